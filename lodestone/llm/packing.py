@@ -12,7 +12,9 @@ import bisect
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ from lodestone.llm.common import batches, table, written
 
 CAPACITY, END_ID = 1024, 2
 #: Words whose ids a worker remembers, at about 0.25 KB each.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Pieces of one length and salt that one task ranks.
 RANKED = 500
 
@@ -42,25 +44,24 @@ def tokenizer_ids(path: str) -> Callable[[list[str]], list[bytes]]:
 
     own = Tokenizer.from_file(path)
     own.encode_special_tokens = True
-    seen: dict[str, bytes] = {}
+    model, seen = own.model, {}
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}  # bytes that stand for themselves in the vocabulary, others for characters from 256
+    shown = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - plain))}
 
-    def encoded(texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in own.encode_batch(texts, add_special_tokens=False)]
+    def merged(word: str) -> bytes:
+        return array("I", [t.id for t in model.tokenize(word.encode().decode("latin-1").translate(shown))]).tobytes()
+
+    def whole(text: str) -> bytes:
+        return array("I", own.encode(text, add_special_tokens=False).ids).tobytes()
 
     def ids(texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for text in texts:
-            if _UNUSUAL.search(text):
-                out += encoded([text])
-                continue
-            words = _SPLIT.findall(text)
-            new = list(set(words).difference(seen))
-            if new:
-                if len(seen) + len(new) > REMEMBERED:
-                    seen.clear()
-                    new = list(set(words))
-                seen.update(zip(new, encoded(new), strict=True))
-            out.append(b"".join(map(seen.__getitem__, words)))
+        words = [None if _UNUSUAL.search(t) else _SPLIT.findall(t) for t in texts]
+        new = list(set(chain.from_iterable(w for w in words if w)).difference(seen))
+        keep = len(seen) < REMEMBERED  # the first words that come hold nearly all frequent ones
+        seen.update(zip(new, map(merged, new), strict=True))
+        out = [b"".join(map(seen.__getitem__, w)) if w is not None else whole(t) for t, w in zip(texts, words, strict=True)]
+        for word in () if keep else new:
+            del seen[word]
         return out
 
     return ids
