@@ -6,10 +6,12 @@ from lodestone.llm.html import op9_html_extraction
 from lodestone.llm.language import op7_language_id
 from lodestone.llm.packing import op10_best_fit_packing
 from lodestone.llm.quality import op4_quality_classifier
+from lodestone.llm.substrings import op8_substring_dedup
 
 QUERIES = {
     "op4_quality_classifier": op4_quality_classifier,
     "op7_language_id": op7_language_id,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_html_extraction": op9_html_extraction,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
