@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from lodestone.llm.html import op9_html_extraction
 from lodestone.llm.language import op7_language_id
+from lodestone.llm.minhash import op1_minhash_near_dedup
 from lodestone.llm.packing import op10_best_fit_packing
 from lodestone.llm.quality import op4_quality_classifier
 from lodestone.llm.substrings import op8_substring_dedup
+from lodestone.llm.vectors import op6_embedding_near_dedup
 
 QUERIES = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op4_quality_classifier": op4_quality_classifier,
+    "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_language_id": op7_language_id,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_html_extraction": op9_html_extraction,
