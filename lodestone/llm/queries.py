@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from lodestone.llm.html import op9_html_extraction
 from lodestone.llm.language import op7_language_id
 from lodestone.llm.minhash import op1_minhash_near_dedup
@@ -18,5 +19,6 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_html_extraction": op9_html_extraction,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {}
