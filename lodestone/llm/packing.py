@@ -14,6 +14,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -26,7 +27,7 @@ from lodestone.llm.common import batches, table, written
 
 CAPACITY, END_ID = 1024, 2
 #: Words whose ids a worker remembers, at about 0.25 KB each.
-REMEMBERED = 200_000
+REMEMBERED = 120_000
 #: Pieces of one length and salt that one task ranks.
 RANKED = 500
 
@@ -37,6 +38,7 @@ _UNUSUAL = re.compile(r"[^\t\n\r\x20-\x7e¡-ɏ–—‘’“”…€]")
 _SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\s{_LETTERS}{_NUMBERS}]+|\s+(?!\S)|\s+")
 
 
+@lru_cache(maxsize=1)  # a worker's tasks share it
 def tokenizer_ids(path: str) -> Callable[[list[str]], list[bytes]]:
     """Function from texts to their ids as little-endian 32-bit bytes, by the tokenizers library; words seen before are looked up."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
