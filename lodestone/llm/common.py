@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one numpy pass works on; a worker's memory is a small multiple of it.
-PASS_BYTES = 2 << 20
+PASS_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -111,17 +111,20 @@ _BYTES = [_rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.ui
 _WORDS = [Rolling(0x9E3779B97F4A7C15), Rolling(0xC2B2AE3D27D4EB4F)]
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes that are no part of a word [0-9A-Za-z\x80-\xFF]+.
+NO_LETTERS = np.ones(256, bool)
+NO_LETTERS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
 class Words:
-    """The words [^\\x20\\x09-\\x0D]+ of the texts of a batch, with 64-bit hashes.
+    """The words of the texts of a batch, with 64-bit hashes: runs of bytes that aren't gaps, by default [^\\x20\\x09-\\x0D]+.
 
     starts, ends: byte places in data; doc: index of each word's text; first: index of the first word of each text, and one past the last.
     """
 
-    def __init__(self, column: pa.Array, lower: bool = False, second: bool = False):
+    def __init__(self, column: pa.Array, lower: bool = False, second: bool = False, gaps: np.ndarray = _SPACE):
         column = column.cast(pa.large_binary())
         offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
         base, stop = int(offsets[0]), int(offsets[-1])
@@ -129,7 +132,7 @@ class Words:
         raw = np.frombuffer(whole, np.uint8, stop - base, base) if stop > base else np.empty(0, np.uint8)
         offsets = offsets - base
         self.data = _LOWER[raw] if lower else raw
-        space = _SPACE[self.data]
+        space = gaps[self.data]
         new = ~space
         new[1:] &= space[:-1]
         inner = offsets[:-1]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from lodestone.llm import licenses, search
 from lodestone.llm.html import op9_html_extraction
 from lodestone.llm.language import op7_language_id
 from lodestone.llm.minhash import op1_minhash_near_dedup
@@ -13,7 +14,9 @@ from lodestone.llm.vectors import op6_embedding_near_dedup
 
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_bm25_top_k": search.op2_bm25_top_k,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_license_scan": licenses.op5_license_scan,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_language_id": op7_language_id,
     "op8_substring_dedup": op8_substring_dedup,
@@ -21,4 +24,7 @@ QUERIES = {
     "op10_best_fit_packing": op10_best_fit_packing,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_bm25_top_k": search.ORACLE,
+    "op5_license_scan": licenses.oracle(),
+}
