@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lodestone.llm import licenses, search
+from lodestone.llm import bpe, licenses, search
 from lodestone.llm.html import op9_html_extraction
 from lodestone.llm.language import op7_language_id
 from lodestone.llm.minhash import op1_minhash_near_dedup
@@ -15,6 +15,7 @@ from lodestone.llm.vectors import op6_embedding_near_dedup
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_bm25_top_k": search.op2_bm25_top_k,
+    "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_license_scan": licenses.op5_license_scan,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
