@@ -134,18 +134,24 @@ def near_duplicate_links(sketch: DataFrame, docs: DataFrame, size: int, percent:
     alone = own.select(F.explode("shingles").alias("s"), "id").groupBy("s").agg(F.count("*").alias("df"), F.min("id").alias("id")).filter("df = 1").groupBy("id").agg(F.count("*").alias("alone"))
     bound = F.col("n") - F.coalesce("alone", F.lit(0))
     left = written(left.join(alone, "id", "left").withColumn("most", bound).filter(_enough(F.col("most"), F.col("most"), F.col("n"), percent)).drop("alone"), "open")
+    left = written(left.join(_distances(left, members, sets), "id").join(sketch.select(F.col("doc_id").alias("id"), "bands"), "id"), "open")
     checked, many = stars, 8
     while True:
         left = _still_open(left, comps)
         order = Window.partitionBy("key").orderBy(F.col("n") - F.col("most"), "id")
-        centres = left.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("most").alias("ma"), F.col("comp").alias("ca"), F.row_number().over(order).alias("at")).filter(F.col("at") <= many)
-        others = left.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("comp").alias("cb"))
-        shared = F.least("ma", "mb")
-        pairs = others.join(centres.drop("at"), "key").filter(F.col("ca") != F.col("cb")).filter(_enough(shared, F.col("na"), F.col("nb"), percent))
+        own = ("id", "n", "most", "pivot", "apart", "shared", "comp", "bands")
+        centres = left.select("key", *(F.col(c).alias(f"{c}_a") for c in own), F.row_number().over(order).alias("at")).filter(F.col("at") <= many)
+        others = left.select("key", *(F.col(c).alias(f"{c}_b") for c in own))
+        # |x - y| + |y - x| is at least what both differ from their pivot by, less twice what of it can be the same
+        far = F.col("apart_a") + F.col("apart_b") - 2 * F.least("shared_a", "shared_b")
+        near = (F.col("pivot_a") != F.col("pivot_b")) | (far * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
+        here = F.col("key") == F.array_min(F.array_intersect("bands_a", "bands_b"))  # a pair comes from one of its buckets alone
+        pairs = others.join(centres.drop("at"), "key").filter((F.col("comp_a") != F.col("comp_b")) & near & _enough(F.least("most_a", "most_b"), F.col("n_a"), F.col("n_b"), percent) & here)
+        pairs = pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(checked, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         new = written(_confirmed(pairs, sets, percent), "links")
-        rest = left.select("key", "id").join(centres.select("key", F.col("a").alias("id")), ["key", "id"], "left_anti")
+        rest = left.select("key", "id").join(centres.select("key", F.col("id_a").alias("id")), ["key", "id"], "left_anti")
         rest = written(left.drop("comp").join(rest, ["key", "id"], "left_semi"), "open")
         links = written(links.unionAll(new), "links")
         comps = written(components(links), "components")
@@ -155,6 +161,17 @@ def near_duplicate_links(sketch: DataFrame, docs: DataFrame, size: int, percent:
             return comps
 
 
+def _distances(left: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(id, pivot, apart, shared): a document that starts a bucket of it, how many shingles just one of both has, and how many of those stand in
+    the same place for another document with that pivot."""
+    pivots = members.join(left.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("first").alias("pivot"))
+    both = pivots.join(sets, "id").join(sets.select(F.col("id").alias("pivot"), F.col("shingles").alias("p")), "pivot")
+    apart = written(both.select("id", "pivot", F.concat(F.array_except("shingles", "p"), F.array_except("p", "shingles")).alias("d")), "apart")
+    each = apart.select("id", "pivot", F.explode("d").alias("s"))
+    alone = each.groupBy("pivot", "s").agg(F.count("*").alias("df"), F.min("id").alias("id")).filter("df = 1").groupBy("id").agg(F.count("*").alias("own"))
+    return apart.select("id", "pivot", F.size("d").alias("apart")).join(alone, "id", "left").select("id", "pivot", "apart", (F.col("apart") - F.coalesce("own", F.lit(0))).alias("shared"))
+
+
 def _with_comp(members: DataFrame, comps: DataFrame) -> DataFrame:
     return members.join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
 
