@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import NO_LETTERS, Words, batches, signed, table, written
+from lodestone.llm.common import NO_LETTERS, PASS_BYTES, Words, batches, signed, table, written
 
 K1, B, TOP = 1.2, 0.75, 10
 #: Text bytes of a shard; documents of a range; distinct terms of the queries that are searched together, which bounds what is broadcast.
@@ -72,7 +72,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             own = _shard(np.concatenate(ids), np.concatenate(doc), np.concatenate(term))
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([n], pa.int64()), pa.array([int(own["lengths"].sum())], pa.int64()), *(pa.array([own[c].astype(k).tobytes()], pa.binary()) for c, k in _COLUMNS)], ["shard", "n", "total", *(c for c, _ in _COLUMNS)])
 
-        for batch in batches(it, "text"):
+        for batch in batches(it, "text", min(PASS_BYTES, shard_bytes)):
             w = _terms(batch["text"])
             ids.append(batch["id"].to_numpy())
             doc.append(w.doc + n)
