@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.config import Settings
+from lodestone.functions import requests
 from lodestone.functions import text as T
 from lodestone.operators import answers, benchmark, chunking, compare, evaluation, ingest, retrieval, workflow
 from lodestone.operators.common import ranked, small, top
@@ -702,6 +703,19 @@ def baseline_delta(spark, d):
     return compare.deltas(compare.same_benchmark(runs, ref, ["version"]), ref, "score").select("model", "delta")
 
 
+# --- requests and logs ---
+
+
+@query("select event_id, case when length(props) > 65536 then 413 when regexp_replace(event_type, '^\\s+|\\s+$', '', 'g') = '' then 400 else 200 end::int as code from events")
+def request_codes(spark, d):
+    return tab(spark, d, "events").select("event_id", requests.verdict(F.col("props"), F.col("event_type")).alias("code"))
+
+
+@query("select doc_id, case when length(text) > 200 then substr(text, 1, 200) || '...<truncated ' || (length(text) - 200) || ' chars>' else text end as shown, '<' || length(text) || ' chars>' as hidden from documents")
+def log_payloads(spark, d):
+    return tab(spark, d, "documents").select("doc_id", requests.logged(F.col("text"), True, 200).alias("shown"), requests.logged(F.col("text"), False).alias("hidden"))
+
+
 # --- harness sanity: scans, joins, aggregates, windows; none is an operator of the engine ---
 
 

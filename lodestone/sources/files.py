@@ -68,6 +68,16 @@ def write_report(rows: DataFrame, path: str, fmt: str = "json") -> None:
     writer.option("header", True).csv(path) if fmt == "csv" else writer.json(path)
 
 
+def write_markdown(blocks: DataFrame, path: str) -> None:
+    """A text file of Markdown for each document, under its name, blocks in order and pages marked."""
+    from pyspark.sql import Window
+
+    before = F.lag("page_start").over(Window.partitionBy("doc_id").orderBy("seq"))
+    marked = blocks.withColumn("text", F.when(F.col("page_start") > before, F.concat(F.lit("<!-- page break -->\n\n"), "text")).otherwise(F.col("text")))
+    whole = marked.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("all"))
+    whole.select("doc_id", F.array_join(F.transform("all", lambda b: b["text"]), "\n\n").alias("value")).write.mode("overwrite").partitionBy("doc_id").text(path)
+
+
 class IndexStore:
     """An index of chunks as two tables in a folder: chunks with vectors, and postings by term."""
 

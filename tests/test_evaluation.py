@@ -163,3 +163,17 @@ def test_stream_windows(spark, tmp_path):
     q.stop()
     assert {(r["event_type"], r["n"], r["max_value"]) for r in spark.table("w").collect()} == {("view", 2, 4.0), ("buy", 1, 1.0)}
     assert stream.sessions(rows).count() == 2
+
+
+def test_markdown_files(spark, tmp_path):
+    rows = spark.createDataFrame([("d", 0, "# A", 1), ("d", 1, "b", 1), ("d", 2, "c", 2)], "doc_id string, seq int, text string, page_start int")
+    files.write_markdown(rows, str(tmp_path / "md"))
+    assert "\n".join(r["value"] for r in spark.read.text(str(tmp_path / "md" / "doc_id=d")).collect()) == "# A\n\nb\n\n<!-- page break -->\n\nc"
+
+
+def test_injected_models(spark):
+    from lodestone.operators import models
+
+    rows = spark.createDataFrame([("ab", "q"), (None, "q")], "text string, query string")
+    got = models.score(models.encode(rows, lambda: lambda ts: [[len(t), 1] for t in ts], batch=1), lambda: lambda qs, ts: [len(q) + len(t) for q, t in zip(qs, ts, strict=True)]).collect()
+    assert [(r["vector"], r["rerank_score"]) for r in got] == [([2.0, 1.0], 3.0), ([0.0, 1.0], 1.0)]
