@@ -109,12 +109,15 @@ def doc_ids(spark, d):
     return tab(spark, d, "documents").select("doc_id", name.alias("hashed_id"), T.chunk_id(name, F.lit(7)).alias("chunk_id"), F.sha2("text", 256).alias("content_sha256"))
 
 
-@query("select sha256(string_agg(h, chr(10) order by doc_id)) as corpus_sha256 from (select doc_id, sha256(text) as h from documents)")
+@query("select sha256(string_agg(h, chr(10) order by part)) as corpus_sha256 from (select doc_id // 10000 as part, sha256(string_agg(sha256(text), chr(10) order by doc_id)) as h from documents group by part)")
 def corpus_fingerprint(spark, d):
-    """The hash of the documents' hashes in order: a few dozen bytes for each, brought to one task by nature."""
-    rows = tab(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
-    listed = rows.agg(F.array_sort(F.collect_list(F.struct("doc_id", "h"))).alias("all"))
-    return listed.select(F.sha2(F.array_join(F.transform("all", lambda x: x["h"]), "\n"), 256).alias("corpus_sha256"))
+    """A tree of hashes: of each text, of each 10,000 ids' texts in order, of those."""
+    rows = tab(spark, d, "documents").select(F.expr("doc_id div 10000").alias("part"), "doc_id", F.sha2("text", 256).alias("h"))
+
+    def joined(order: str):
+        return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "h"))), lambda x: x["h"]), "\n"), 256)
+
+    return rows.groupBy("part").agg(joined("doc_id").alias("h")).agg(joined("part").alias("corpus_sha256"))
 
 
 # --- ingest ---

@@ -188,5 +188,13 @@ def test_lookup_keeps_order(spark):
     assert [r["chunk_id"] for r in got.orderBy("position").collect()] == ["c", "a"]
 
 
-def test_tokens_of_text(spark):
-    assert T.count_tokens(F.lit("a")) is not None
+def test_dense_blocks_equal_pairs(spark):
+    import random
+
+    rnd = random.Random(1)
+    rows = [(i, [rnd.gauss(0, 1) for _ in range(4)]) for i in range(90)]
+    vectors = spark.createDataFrame(rows + [(200, rows[0][1]), (201, None)], "doc_id long, vector array<double>")
+    queries = spark.createDataFrame(rows[:7], "query_id long, vector array<double>")
+    one, two = retrieval.dense_top(queries, vectors, 5, block=3), retrieval.top_hits(retrieval.dense(queries, vectors.filter("vector is not null")), 5)
+    assert sorted(one.collect()) == sorted(two.collect())
+    assert retrieval.dense_top(queries.limit(0), vectors, 5).count() == 0
