@@ -42,10 +42,21 @@ def question_counts(total: int) -> list[int]:
 
 
 def exact_span(facts: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(fact_id, chunk_id) where the chunk's normalised text has a span of the fact; itself aside. facts: fact_id, spans. The few facts are broadcast where they are small."""
-    asked = small(facts.select("fact_id", F.explode(F.transform("spans", T.normalise)).alias("span")).filter("span <> ''"), 10_000)
+    """(fact_id, chunk_id) where the chunk's normalised text has a span of the fact; itself aside. facts: fact_id, spans.
+
+    An inner token of a span is a token of each text that has the span, so the longest one is joined on before texts are compared. Spans without inner tokens, of one or two
+    words, are compared with every text.
+    """
+    asked = facts.select("fact_id", F.explode(F.transform("spans", T.normalise)).alias("span")).filter("span <> ''").distinct()
+    inner = F.slice("t", 2, F.greatest(F.size("t") - 2, F.lit(0)))
+    longest = F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
+    asked = asked.withColumn("t", T.token_list("span")).withColumn("token", F.when(F.size("t") > 2, longest)).drop("t")
     own = chunks.select("chunk_id", T.normalise("text").alias("body"))
-    return own.join(asked, F.contains(F.col("body"), F.col("span"))).filter("fact_id <> chunk_id").select("fact_id", "chunk_id").distinct()
+    has = F.contains(F.col("body"), F.col("span"))
+    words = own.select("chunk_id", F.explode(F.array_distinct(T.token_list("body"))).alias("token"))
+    near = words.join(small(asked.filter("token is not null")), "token").drop("token").join(own, "chunk_id").filter(has)
+    short = own.join(small(asked.filter("token is null").drop("token"), 10_000), has)
+    return near.select("fact_id", "chunk_id").unionByName(short.select("fact_id", "chunk_id")).filter("fact_id <> chunk_id").distinct()
 
 
 def lexical(facts: DataFrame, chunks: DataFrame, share: float = 0.72) -> DataFrame:

@@ -92,7 +92,7 @@ def test_cases_of_two_have_no_lexical_question(spark):
 
 
 def test_candidates(spark):
-    facts = spark.createDataFrame([("f", ["alpha beta gamma delta"], ["alpha", "beta", "gamma", "delta"])], "fact_id string, spans array<string>, tokens array<string>")
+    facts = spark.createDataFrame([("f", ["alpha beta gamma delta", "say al"], ["alpha", "beta", "gamma", "delta"])], "fact_id string, spans array<string>, tokens array<string>")
     chunks = spark.createDataFrame([("f", "Alpha beta  gamma delta"), ("x", "say ALPHA beta gamma\ndelta."), ("y", "gamma beta alpha"), ("z", "alpha beta")], "chunk_id string, text string")
     assert [r["chunk_id"] for r in benchmark.exact_span(facts, chunks).collect()] == ["x"]
     assert sorted(r["chunk_id"] for r in benchmark.lexical(facts, chunks).collect()) == ["y"] or sorted(r["chunk_id"] for r in benchmark.lexical(facts, chunks).collect()) == ["x", "y"]
