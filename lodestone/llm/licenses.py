@@ -1,7 +1,7 @@
 """License scans by an exact set-similarity join, in DataFrame operations only.
 
 Text blocks are lines; a template is contained in a block if at least a threshold of its distinct words are there. All words of templates are ordered by the
-number of blocks in the whole table that have them, rarest first. A block with enough of a template's words has one of its rarest ones, so candidates come from a
+number of documents in the whole table that have them, rarest first. A block with enough of a template's words has one of its rarest ones, so candidates come from a
 join on those (prefix filter); they need as many template words as the overlap asks for (length filter), and as many after the place of
 their first common word (positional filter). What passes is confirmed on full sets. Beside it, base phrases are found where their words stand consecutively.
 """
@@ -32,13 +32,18 @@ TEMPLATES = (
 #: Share of a template's distinct words that a block must have.
 THRESHOLD = 0.9
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: ASCII characters of no word, but the line feed, which ends a block.
+GAPS = "".join(chr(i) for i in range(128) if not chr(i).isalnum() and i != 10)
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_EDGE = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
 
 
-def words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+def lowered(text: Column) -> Column:
+    """The text with A-Z in lower case and a blank for each character of no word but line feeds: words() of it then needs no regular expression."""
+    return F.translate(F.coalesce(text, F.lit("")), UPPER + GAPS, LOWER + " " * len(GAPS))
+
+
+def words(low: Column) -> Column:
+    return F.array_remove(F.split(F.replace(low, F.lit("\n"), F.lit(" ")), " "), "")
 
 
 def template_sets(templates=TEMPLATES) -> list[tuple[str, list[str]]]:
@@ -63,7 +68,7 @@ def _base(own: DataFrame, phrases=PHRASES) -> DataFrame:
 
         return F.filter(F.sequence(F.lit(0), F.size(w) - len(parts)), here)
 
-    likely = {p: F.col("low").rlike(f"(?<!{_EDGE}){_GAP.join(p.split())}(?!{_EDGE})") for p, _ in phrases}
+    likely = {p: functools.reduce(operator.and_, (F.col("low").contains(x) for x in p.split())) for p, _ in phrases}
     none = F.array().cast("array<int>")
     out = own.select("doc_id", "low", words(F.col("low")).alias("w"))
     out = out.select("doc_id", F.size("w").cast("long").alias("n_words"), *(F.when(likely[p], starts(p)).otherwise(none).alias(f"at{i}") for i, (p, _) in enumerate(phrases)))
@@ -81,8 +86,8 @@ def matches(own: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -
     spark = own.sparkSession
     sets = template_sets(templates)
     vocabulary = sorted({x for _, s in sets for x in s})
-    # how many blocks have each template word: one row for each, summed before the shuffle
-    counted = _blocks(own).select(F.explode(F.array_intersect(words(F.col("block")), F.array(*map(F.lit, vocabulary)))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    # how many documents have each template word: one row for each, summed before the shuffle
+    counted = own.select(F.explode(F.array_intersect(F.array(*map(F.lit, vocabulary)), words(F.col("low")))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     often = {r["word"]: r["n"] for r in counted.collect()}  # at most as many rows as the templates have words
     order = sorted(vocabulary, key=lambda x: (often.get(x, 0), x))
     rank = {x: i for i, x in enumerate(order)}
@@ -94,8 +99,13 @@ def matches(own: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -
     prefix = sorted({row[0] for row in index})
     shortest = min(row[4] for row in index)
     known = F.array(*map(F.lit, order))
-    probe = functools.reduce(operator.or_, (F.col("block").contains(x) for x in prefix))
-    blocks = _blocks(own.filter(functools.reduce(operator.or_, (F.col("low").contains(x) for x in prefix)))).filter(probe)
+
+    def probe(text: Column) -> Column:
+        return functools.reduce(operator.or_, (text.contains(x) for x in prefix))
+
+    # the lambda's variable keeps the lowered text from being made anew for each word
+    likely = F.get(F.transform(F.array("low"), probe), F.lit(0))
+    blocks = _blocks(own.filter(likely)).filter(probe(F.col("block")))
     ordered = blocks.select("doc_id", F.array_intersect(known, words(F.col("block"))).alias("own")).filter(F.size("own") >= shortest)
     probes = ordered.select("doc_id", "own", F.posexplode("own").alias("at", "word")).filter(F.col("word").isin(prefix))
     lists = spark.createDataFrame(index, "word string, label string, place int, size int, need int, template array<string>")
@@ -112,7 +122,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = THRES
     empty labels. Rows that share a doc_id, a null one too, are one document, with the largest of their texts. Lines of any length are one block. Other columns are ignored.
     """
     own = one_row_per_id(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "doc_id", "text")
-    own = own.select("doc_id", F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER).alias("low"))
+    own = own.select("doc_id", lowered(F.col("text")).alias("low"))
     base, found = _base(own, phrases), matches(own, templates, threshold).withColumnRenamed("doc_id", "own_id")
     both = base.join(found, base["doc_id"].eqNullSafe(found["own_id"]), "left")
     labels = F.array_sort(F.array_union("base", F.coalesce("found", F.array().cast("array<string>"))))
