@@ -69,7 +69,7 @@ class Vocabulary:
 
 def rank_table(pairs: dict[bytes, bytes]) -> tuple[bytes, int]:
     """The cuckoo table of pairs, six bytes a place, and how many places it has."""
-    size = 1 << max(4, (len(pairs) * 5 // 2).bit_length())
+    size = max(16, len(pairs) * 21 // 10)
     while True:
         slots: list[bytes | None] = [None] * size
         for key in pairs:
@@ -83,7 +83,7 @@ def rank_table(pairs: dict[bytes, bytes]) -> tuple[bytes, int]:
                 break
         else:
             return b"".join(k + pairs[k] if k else b"\xff" * 6 for k in slots), size
-        size *= 2
+        size = size * 11 // 10
 
 
 def _bound(value: Column, use) -> Column:
@@ -91,9 +91,9 @@ def _bound(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _fold(parts: Column, ranks: bytes, size: int) -> Column:
-    """The ids that the ranked merges leave of a word's byte ids; parts has two ids at least."""
-    map_, none = F.lit(ranks), F.lit(_NONE)
+def _fold(parts: Column, map_: Column, size: int) -> Column:
+    """The ids that the ranked merges leave of a word's byte ids; parts has two ids at least. map_: the rank table, bound once so that plans show it once."""
+    none = F.lit(_NONE)
 
     def place(key: Column) -> Column:
         return (F.crc32(key) % size).cast("int") * 6 + 1
@@ -180,7 +180,7 @@ def _frequent(docs: DataFrame, total: int, vocabulary: Vocabulary, pattern: str,
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in words], pa.string()), pa.array([own.parts(b) for _, b in words], pa.binary()), pa.array([seen[w] for w, _ in words], pa.int64())], ["word", "parts", "n"])
 
     words = drawn.select("text").filter("text is not null").mapInArrow(count, "word string, parts binary, n long").groupBy("word", "parts").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "word").limit(most)
-    got = words.repartition(docs.sparkSession.sparkContext.defaultParallelism).select("word", _fold(F.col("parts"), ranks, size).alias("ids")).toPandas()
+    got = words.repartition(docs.sparkSession.sparkContext.defaultParallelism).select("word", _bound(F.lit(ranks), lambda m: _fold(F.col("parts"), m, size)).alias("ids")).toPandas()
     return got["word"].tolist(), got["ids"].tolist()
 
 
@@ -257,7 +257,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays([docs, pa.array(np.diff(ends) // 4, pa.int64()), pa.array([ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     coded = own.mapInArrow(split, "docs array<long>, counts binary, codes binary, tail array<struct<p: binary, done: boolean>>")
-    folded = coded.withColumn("tail", F.transform("tail", lambda t: F.when(t["done"], t["p"]).otherwise(_fold(t["p"], ranks, size))))
+    folded = coded.withColumn("tail", _bound(F.lit(ranks), lambda m: F.transform("tail", lambda t: F.when(t["done"], t["p"]).otherwise(_fold(t["p"], m, size)))))
     return folded.mapInArrow(whole, "doc_id long, n_tokens long, ids binary")
 
 
