@@ -99,8 +99,8 @@ def _scan(docs: DataFrame, window: int) -> DataFrame:
 
 
 def _repeated(rows: DataFrame, *keys: str) -> DataFrame:
-    """The rows whose keys more than one row has. Counts are summed before the shuffle, and the join's hot keys can be split."""
-    often = rows.groupBy(*keys).agg(F.count("*").alias("often")).filter("often > 1").drop("often")
+    """The rows whose keys more than one row has. Counts are summed before the shuffle; since they are a table of their own, Spark can split the join's hot keys."""
+    often = written(rows.groupBy(*keys).agg(F.count("*").alias("often")).filter("often > 1").drop("often"), "repeated")
     return rows.join(often, list(keys))
 
 
