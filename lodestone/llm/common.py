@@ -33,6 +33,21 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_made: list[str] = []
+
+
+def cleared(spark: SparkSession) -> None:
+    """Delete the tables that written() has left, once no result of an operator is read any more."""
+    for path in _made:
+        _delete(spark, path)
+    _made.clear()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: short lineage that outlives any executor."""
     spark = df.sparkSession
@@ -40,6 +55,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lodestone_path = path
+    _made.append(path)
     return out
 
 
@@ -47,9 +63,8 @@ def dropped(df: DataFrame | None) -> None:
     """Delete the table of an earlier written(); only once nothing lazy reads it any more."""
     path = getattr(df, "_lodestone_path", None)
     if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(conf).delete(target, True)
+        _delete(df.sparkSession, path)
+        _made.remove(path)
 
 
 def one_row_per_id(df: DataFrame, key: str, value: str) -> DataFrame:

@@ -56,6 +56,17 @@ def test_no_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_tables_are_cleared(spark):
+    import os
+
+    from lodestone.llm import common
+
+    path = common.written(spark.range(3), "x")._lodestone_path
+    assert os.path.isdir(path)
+    common.cleared(spark)
+    assert not os.path.exists(path) and not common._made
+
+
 # --- near duplicates ---
 
 
