@@ -32,10 +32,14 @@ def bm25(queries: DataFrame, docs: DataFrame, settings: Settings = DEFAULTS, id_
     The query side is broadcast where it is small, so that postings are cut to the terms asked for before anything is shuffled.
     """
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(T.token_list(query_text))).alias("term"))
-    terms = small(asked.select("term").distinct())
-    words = docs.select(F.col(id_col).alias("doc_id"), T.token_list(text_col).alias("w")).select("doc_id", "w", F.size("w").cast("long").alias("dl"))
-    stats = words.agg(F.count("*").alias("n"), F.avg("dl").alias("mean_dl"))
-    index = words.select("doc_id", "dl", F.explode("w").alias("term")).join(terms, "term", "left_semi").groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
+    whole = docs.sparkSession.createDataFrame([("",)], "term string")  # no token is empty: a row for each document, which counts them
+    terms = small(asked.select("term").distinct().unionAll(whole))
+    words = docs.select(F.col(id_col).alias("doc_id"), T.token_list(text_col).alias("w"))
+    rows = words.select("doc_id", F.size("w").cast("long").alias("dl"), F.explode_outer(F.concat("w", F.array(F.lit("")))).alias("term"))
+    # all statistics come from this one aggregate without further filters, so that its exchange is made once
+    index = rows.join(terms, "term", "left_semi").groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
+    own = F.col("term") == ""
+    stats = index.agg(F.count(F.when(own, 1)).alias("n"), F.avg(F.when(own, F.col("dl"))).alias("mean_dl"))
     weight = document_frequency(index).crossJoin(F.broadcast(stats)).select("term", "mean_dl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     k1, b = settings.bm25_k1, settings.bm25_b
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("mean_dl")))
