@@ -26,10 +26,11 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import batches, table
 
 #: Documents that show which words are frequent, about (drawn by a hash of their text), and how many of their words are folded once for all. Both only save work.
-SAMPLE_ROWS, FREQUENT = 8_000, 300_000
+SAMPLE_ROWS, FREQUENT = 24_000, 300_000
 #: Bytes of a word up to which it is folded; the steps of longer ones grow too many, and a heap joins the same pairs in the same order.
 LONGEST = 1024
 _NONE = b"\xff\xff"
+_FREE = b"\xff" * 6
 _LETTERS, _NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
 _UNUSUAL = re.compile(r"[^\t\n\r\x20-\x7e¡-ɏ–—‘’“”…€]")
 _SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\s{_LETTERS}{_NUMBERS}]+|\s+(?!\S)|\s+")
@@ -82,8 +83,16 @@ def rank_table(pairs: dict[bytes, bytes]) -> tuple[bytes, int]:
             if key is not None:
                 break
         else:
-            return b"".join(k + pairs[k] if k else b"\xff" * 6 for k in slots), size
+            break
         size = size * 11 // 10
+    # a key at its second place moves to its first if that is free, so that a free first place tells that there is no such key
+    moved = True
+    while moved:
+        moved = False
+        for at, key in enumerate(slots):
+            if key is not None and (first := zlib.crc32(key) % size) != at and slots[first] is None:
+                slots[first], slots[at], moved = key, None, True
+    return b"".join(k + pairs[k] if k else _FREE for k in slots), size
 
 
 def _bound(value: Column, use) -> Column:
@@ -93,21 +102,24 @@ def _bound(value: Column, use) -> Column:
 
 def _fold(parts: Column, map_: Column, size: int) -> Column:
     """The ids that the ranked merges leave of a word's byte ids; parts has two ids at least. map_: the rank table, bound once so that plans show it once."""
-    none = F.lit(_NONE)
+    none, free = F.lit(_NONE), F.lit(_FREE)
+    one, two, four, five, six = map(F.lit, (1, 2, 4, 5, 6))
 
     def place(key: Column) -> Column:
         return (F.crc32(key) % size).cast("int") * 6 + 1
 
     def rank(key: Column) -> Column:
-        def found(k: Column) -> Column:
-            def other(p: Column) -> Column:
-                return F.when(F.substr(map_, p, F.lit(4)) == k, F.substr(map_, p + 4, F.lit(2))).otherwise(none)
+        def first(k: Column) -> Column:
+            def second(s: Column) -> Column:
+                return F.when(F.substr(s, one, four) == k, F.substr(s, five, two)).otherwise(none)
 
-            return _bound(place(k), lambda p: F.when(F.substr(map_, p, F.lit(4)) == k, F.substr(map_, p + 4, F.lit(2))).otherwise(_bound(place(F.concat(k, F.lit(b"\x01"))), other)))
+            def held(s: Column) -> Column:
+                return F.when(s == free, none).when(F.substr(s, one, four) == k, F.substr(s, five, two)).otherwise(_bound(F.substr(map_, place(F.concat(k, F.lit(b"\x01"))), six), second))
 
-        return _bound(key, found)
+            return _bound(F.substr(map_, place(k), six), held)
+
+        return _bound(key, first)
 
-    two = F.lit(2)
     n = (F.length(parts) / 2).cast("int")
     first = F.concat(F.array(none), F.transform(F.sequence(F.lit(1), n - 1), lambda i: rank(F.substr(parts, i * 2 - 1, F.lit(4)))), F.array(none))
 
@@ -184,8 +196,8 @@ def _frequent(docs: DataFrame, total: int, vocabulary: Vocabulary, pattern: str,
     return got["word"].tolist(), got["ids"].tolist()
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, frequent: int = FREQUENT) -> DataFrame:
-    """(doc_id, n_tokens, ids) of each row; ids: little-endian unsigned 32-bit integers. No string of a text is a special token.
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, frequent: int = FREQUENT, decoded: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids) of each row; ids: little-endian unsigned 32-bit integers. No string of a text is a special token. decoded adds what decode() does, in the same pass.
 
     A null or empty text has no ids. Every row gives one, so null and repeated doc_ids stay. Texts are encoded whole, of any length. Other columns are ignored.
     """
@@ -198,7 +210,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     sent = spark.sparkContext.broadcast((vocabulary, words))  # bounded by the vocabulary and `frequent`
     lengths = np.array([1] * vocabulary.size + [len(i) // 2 for i in word_ids], np.int64)
     flat = np.concatenate((np.arange(vocabulary.size, dtype=np.uint16), np.frombuffer(b"".join(word_ids), ">u2").astype(np.uint16)))
-    known = spark.sparkContext.broadcast((lengths, flat))
+    known = spark.sparkContext.broadcast((lengths, flat, vocabulary.pieces() if decoded else None))
 
     def split(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, listed = sent.value
@@ -242,7 +254,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([pa.array([batch["doc_id"].to_pylist()], pa.list_(pa.int64())), pa.array([np.array([len(x) for x in lists], np.int32).tobytes()], pa.binary()), pa.array([code.tobytes()], pa.binary()), pa.array([[{"p": p, "done": d} for p, d in zip(parts, done, strict=True)]], pa.list_(pa.struct([("p", pa.binary()), ("done", pa.bool_())])))], ["docs", "counts", "codes", "tail"])
 
     def whole(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths, flat = known.value
+        lengths, flat, pieces = known.value
         for batch in it:
             for i in range(batch.num_rows):
                 docs = batch["docs"][i].values
@@ -254,11 +266,20 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 n = size[codes]
                 ids = every[_runs(start[codes], n)].astype("<u4").tobytes()
                 ends = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.cumsum(counts)))] * 4
-                yield pa.RecordBatch.from_arrays([docs, pa.array(np.diff(ends) // 4, pa.int64()), pa.array([ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())], ["doc_id", "n_tokens", "ids"])
+                own = [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                arrays = [docs, pa.array(np.diff(ends) // 4, pa.int64()), pa.array(own, pa.binary())]
+                if pieces:
+                    arrays.append(pa.array([_text(x, pieces) for x in own], pa.binary()))
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_tokens", "ids", "decoded"][: len(arrays)])
 
     coded = own.mapInArrow(split, "docs array<long>, counts binary, codes binary, tail array<struct<p: binary, done: boolean>>")
     folded = coded.withColumn("tail", _bound(F.lit(ranks), lambda m: F.transform("tail", lambda t: F.when(t["done"], t["p"]).otherwise(_fold(t["p"], m, size)))))
-    return folded.mapInArrow(whole, "doc_id long, n_tokens long, ids binary")
+    return folded.mapInArrow(whole, "doc_id long, n_tokens long, ids binary" + ", decoded binary" * decoded)
+
+
+def _text(ids: bytes, pieces: list[bytes]) -> bytes:
+    """The pieces of ids, concatenated."""
+    return b"".join(map(pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -267,9 +288,9 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     kept = [c for c in encoded.columns if c != "decoded"]
 
     def join(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = sent.value.__getitem__
+        pieces = sent.value
         for batch in batches(it, "ids"):
-            out = [None if x is None else b"".join(map(piece, np.frombuffer(x, "<u4").tolist())) for x in batch["ids"].to_pylist()]
+            out = [None if x is None else _text(x, pieces) for x in batch["ids"].to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), pa.array(out, pa.binary())], [*kept, "decoded"])
 
     return encoded.select(*kept).mapInArrow(join, encoded.select(*kept).schema.add("decoded", "binary"))
@@ -279,5 +300,5 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    both = decode(encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
+    both = encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, decoded=True)
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

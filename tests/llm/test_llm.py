@@ -163,6 +163,8 @@ def test_bpe_equals_tiktoken(docs, rows):
     vocabulary = bpe.Vocabulary(path)
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocabulary.ranks, special_tokens={})
     got = by_id(bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN, frequent=40), path))
+    at_once = by_id(bpe.encode(docs, path, public_tokenizers.PATTERN, frequent=40, decoded=True))
+    assert all(tuple(at_once[i]) == tuple(r) for i, r in got.items())
     for i, text, *_ in rows:
         want = enc.encode_ordinary(text or "")
         assert np.frombuffer(got[i]["ids"], "<u4").tolist() == want and got[i]["n_tokens"] == len(want) and bytes(got[i]["decoded"]) == (text or "").encode()
