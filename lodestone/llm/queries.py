@@ -25,7 +25,10 @@ QUERIES = {
     "op10_best_fit_packing": op10_best_fit_packing,
     "pipeline": corpus_pipeline.run,
 }
+#: Further query sets of operators that QUERIES has already.
+MORE = {"op2_bm25_corpus_top_k": search.op2_bm25_corpus_top_k}
 ORACLES: dict[str, str] = {
     "op2_bm25_top_k": search.ORACLE,
+    "op2_bm25_corpus_top_k": search.CORPUS_ORACLE,
     "op5_license_scan": licenses.oracle(),
 }

@@ -254,6 +254,12 @@ def op2_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(written(build_index(table(spark, sf_dir, "documents")), "index"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_bm25_corpus_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents whose doc_id is divisible by 50 as a query with its whole text, against every row of documents, itself among them."""
+    docs = table(spark, sf_dir, "documents")
+    return search(written(build_index(docs), "index"), docs.filter("doc_id % 50 = 0"), id_col="doc_id")
+
+
 ORACLE = rf"""
 with low as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
 words as (select doc_id, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as w from low),
@@ -266,3 +272,6 @@ s as (select item_id as query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df
   from q join df using (w) join tf using (w) join len using (doc_id), st group by item_id, doc_id),
 r as (select query_id, (row_number() over (partition by query_id order by score desc, doc_id))::int as rank, doc_id, score from s)
 select * from r where rank <= {TOP}"""
+
+#: The same with the rows of documents whose doc_id is divisible by 50 as queries.
+CORPUS_ORACLE = ORACLE.replace("from benchmark)", "from (select doc_id as item_id, text from documents where doc_id % 50 = 0))")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -130,6 +131,20 @@ def test_search_equals_sql(spark, docs, rows):
     assert [g[:3] for g in got] == [tuple(map(int, w[:3])) for w in want] and all(abs(g[3] - w[3]) < 2e-6 for g, w in zip(got, want, strict=True))
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_corpus_search_equals_sql(spark):
+    """Every document whose id is divisible by 50 is a query."""
+    import __spark_entry__
+
+    sf = "/root/testdata/sf0.001"
+    got = sorted(tuple(r) for r in __spark_entry__.queries()["op2_bm25_corpus_top_k"](spark, sf).select("query_id", "rank", "doc_id", "score").collect())
+    assert {g[0] for g in got} == {0, 50, 100, 150}
+    duck = duckdb.connect()
+    duck.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    want = sorted(duck.sql("select query_id, rank, doc_id, score from (" + __spark_entry__.oracle_sql()["op2_bm25_corpus_top_k"] + ")").fetchall())
+    assert [g[:3] for g in got] == [w[:3] for w in want] and all(abs(g[3] - w[3]) < 2e-6 for g, w in zip(got, want, strict=True))
+
+
 def test_search_prunes_without_loss():
     """Long lists, so that ranges of documents are skipped by their block maxima."""
     rng = np.random.default_rng(2)
