@@ -1,5 +1,6 @@
 """Near-dedup of embeddings by sorted projection passes.
 
+Vectors of a label that are equal at length 1 are one first, with their number, so that windows span distinct vectors however often each is there.
 In each pass every vector gets a key of concatenated random hashes, the signs of its projections; the vectors are ordered by label and key, and
 each is compared with the next ones of its label within a window. Pairs whose cosine reaches the threshold are united over all passes. Links are
 then counted within each component, block against block, so that windows bound what is compared to find components but lose no link in them.
@@ -43,7 +44,7 @@ def usable(rows: DataFrame, id_col: str, vector_col: str, label_col: str) -> Dat
                 x = np.array(v, np.float64)
                 if not np.isfinite(x).all() or not x.any():
                     continue
-                x = x / np.abs(x).max()
+                x = x / np.abs(x).max() + 0.0  # no negative zeros, so that equal vectors have equal bytes
                 keep.append(i)
                 dims.append(len(x))
                 unit.append((x / np.linalg.norm(x)).tobytes())
@@ -161,7 +162,7 @@ def _border(t: pa.Table, part: int) -> pa.RecordBatch:
 
 
 def link_counts(members: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """(vec_id, n_links) of members (vec_id, component, unit): links to others of the component.
+    """(vec_id, n_links) of members (vec_id, component, unit, copies): links of one of the copies to its other copies and to others of the component.
 
     A component is dealt into blocks of about `block` vectors and each pair of blocks is compared by itself, so no task holds more than two blocks of one.
     """
@@ -175,20 +176,20 @@ def link_counts(members: DataFrame, threshold: float = THRESHOLD, block: int = B
         out = []
         for (_, low, high), g in pdf.groupby(["component", "low", "high"], sort=False):
             own = g["own"].to_numpy()
-            ids, unit = g["vec_id"].to_numpy(), _unit(g["unit"].tolist())
+            ids, copies, unit = g["vec_id"].to_numpy(), g["copies"].to_numpy(), _unit(g["unit"].tolist())
             a, b = (np.arange(len(g)), np.arange(len(g))) if low == high else (np.flatnonzero(own == low), np.flatnonzero(own == high))
             near = unit[a] @ unit[b].T >= threshold
             if low == high:
-                np.fill_diagonal(near, False)
-                out.append((ids, near.sum(1)))
+                np.fill_diagonal(near, True)
+                out.append((ids, near @ copies - 1))
             else:
-                out += [(ids[a], near.sum(1)), (ids[b], near.sum(0))]
+                out += [(ids[a], near @ copies[b]), (ids[b], copies[a] @ near)]
         return pd.DataFrame({"vec_id": np.concatenate([o[0] for o in out]), "n": np.concatenate([o[1] for o in out]).astype(np.int64)})
 
     total = members.count()
     small = cells.filter("blocks = 1").withColumn("cell", F.pmod("cell", F.lit(max(1, total // (4 * block)))))
     both = small.unionAll(cells.filter("blocks > 1"))
-    return both.select("vec_id", "component", "own", "low", "high", "unit", "cell").groupBy("cell").applyInPandas(count, "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("n_links"))
+    return both.select("vec_id", "component", "own", "low", "high", "unit", "copies", "cell").groupBy("cell").applyInPandas(count, "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("n_links"))
 
 
 def link_vectors(rows: DataFrame, threshold: float = THRESHOLD, passes: int = PASSES, window: int = NEIGHBOURS, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -201,10 +202,14 @@ def link_vectors(rows: DataFrame, threshold: float = THRESHOLD, passes: int = PA
     own = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.struct(F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("string").alias("label")).alias("x"))
     own = one_row_per_id(own, "vec_id", "x").select("vec_id", "x.v", "x.label")
     found = written(usable(own, "vec_id", "v", "label"), "vectors")
-    n = found.count()
-    comps = written(components(window_edges(found, n, passes, window, threshold)), "components")
-    members = found.select("vec_id", "unit").join(comps.withColumnRenamed("id", "vec_id"), "vec_id")
-    links = link_counts(members, threshold).join(comps.withColumnRenamed("id", "vec_id"), "vec_id")
+    alike = ["label", "dims", "unit"]
+    distinct = written(found.groupBy(alike).agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")), "distinct")
+    n = distinct.count()
+    comps = written(components(window_edges(distinct.drop("copies"), n, passes, window, threshold)).withColumnRenamed("id", "vec_id"), "components")
+    counts = link_counts(distinct.select("vec_id", "unit", "copies").join(comps, "vec_id"), threshold).join(comps, "vec_id")
+    each = distinct.join(counts, "vec_id", "left").filter("n_links is not null or copies > 1")
+    each = each.select(*alike, F.coalesce("n_links", F.col("copies") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component"))
+    links = found.join(each, alike).select("vec_id", "n_links", "component")
     return own.select("vec_id").join(links, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"), F.coalesce(F.coalesce("component", "vec_id") == F.col("vec_id"), F.lit(True)).alias("kept"))
 
 

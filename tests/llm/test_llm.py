@@ -352,6 +352,22 @@ def test_repeats_within_one_document(spark):
 
 # --- pages ---
 
+def test_copies_of_vectors_do_not_fill_the_window(spark):
+    """Pairs of one topic, each vector 40 times: other vectors' copies come between the two of a pair."""
+    rng = np.random.default_rng(9)
+    one = rng.standard_normal((100, 64)) * 0.3 + rng.standard_normal(64)
+    both = np.concatenate((one, one + rng.standard_normal((100, 64)) * 0.085))
+    which = rng.permutation(np.repeat(np.arange(200), 40))
+    rows = [(i, [float(x) for x in both[w]], 0) for i, w in enumerate(which)]
+    got = by_id(vectors.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), window=16), "vec_id")
+    unit = both / np.linalg.norm(both, axis=1)[:, None]
+    near = unit @ unit.T >= 0.98
+    first = {w: i for i, w in reversed(list(enumerate(which.tolist())))}
+    comps = united([*first.values()], [(first[a], first[b]) for a, b in zip(*map(np.ndarray.tolist, np.nonzero(near)), strict=True) if a != b])
+    assert (near.sum() - 200) // 2 == len(set(comps.values())) == 100
+    assert {i: (r["n_links"], r["component_id"]) for i, r in got.items()} == {i: (int(near[w].sum()) * 40 - 1, comps[first[w]]) for i, w in enumerate(which.tolist())}
+
+
 PAGE = """<html><head><title>T &amp; t</title><style>p{}</style><script>var a = "<p>no</p>";</script></head><body>
 <div class="cookie-notice"><p>We use cookies to make this very long notice even longer than it needs to be, really.</p></div><nav><ul><li><a href="/">Home</a></ul></nav>{}
 <div id="comments"><p>First! This is a rather long comment of a reader who has a lot to say about the article above.</p></div><footer>&copy; us</footer></body></html>"""
