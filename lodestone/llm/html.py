@@ -1,9 +1,9 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped to lines, one for each block element; lines of menus, forms, notices and the like, marked as such by their element,
-class, id or role, carry no weight, and link text counts for nothing. The lengths of the lines are summed over sliding windows;
-text starts where that sum surges, at the first line with weight of a window that reaches the threshold, and ends where it dives to
-nothing. All unmarked text between the two is kept. Where a page marks its article or main part, only lines in it have weight.
+class, id or role, are left out, wherever they stand. Where a page marks its article or main part, all other lines in it are its text. Elsewhere link text
+counts for nothing, and the lengths of the lines are summed over sliding windows; text starts where that sum surges, at the first line with weight of a
+window that reaches the threshold, and ends where it dives to nothing. All lines between the two are kept.
 """
 
 from __future__ import annotations
@@ -131,27 +131,27 @@ def _block(stack: list[tuple[str, bool]]) -> str:
 
 def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
     """The main text of one page: its blocks joined by line feeds, empty if there is none."""
-    found = lines(page)
-    marked = any(core and not gone for _, _, gone, core in found)
-    weight = [0 if gone or marked and not core else (len(line) if marked else own) for line, own, gone, core in found]
+    shown = [(line, own, core) for line, own, gone, core in lines(page) if not gone]
+    inner = [line for line, _, core in shown if core]
+    if inner:
+        return "\n".join(inner)
+    weight = [own for _, own, _ in shown]
     sums = [sum(weight[i : i + window]) for i in range(len(weight))]
     least = min(surge, max(sums, default=0))
     if not least:
         return ""
     kept: list[str] = []
     i = 0
-    while i < len(found):
+    while i < len(shown):
         if not weight[i] or sums[i] < least:
             i += 1
             continue
         while i and weight[i - 1]:  # back to where the run of text began
             i -= 1
         dive = i
-        while dive < len(found) and sums[dive]:
+        while dive < len(shown) and sums[dive]:
             dive += 1
-        for (line, _, gone, core), w in zip(found[i:dive], weight[i:dive], strict=True):
-            if not gone and (w or not marked):
-                kept.append(line)
+        kept += (line for line, _, _ in shown[i:dive])
         i = dive
     return "\n".join(kept)
 

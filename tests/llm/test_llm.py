@@ -386,6 +386,13 @@ def test_small_pages(page, want):
     assert html.main_text(page) == want
 
 
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<main>{}</main>", "<div>{}</div>"])
+def test_left_out_blocks_end_no_text(wrap):
+    advert = "<div class='ad'><p>Buy<p>more<p>now</div>"
+    page = wrap.replace("{}", f"<p>{'word ' * 40}</p>{advert}<h2>Sub</h2>{advert}<p>A short closing paragraph.</p>")
+    assert html.main_text(page) == f"{('word ' * 40).strip()}\nSub\nA short closing paragraph."
+
+
 def test_pages_give_a_row_each(spark):
     rows = [(1, "u", "<p>a b"), (1, "u", "<p>a b"), (None, None, None), (3, "v", "")]
     got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")))
