@@ -65,6 +65,9 @@ hits as (select query_id, doc_id, score, row_number() over (partition by query_i
 GOLD = "gold as (select item_id as case_id, doc_id as chunk_id, 2 as grade from benchmark, documents where contains(documents.text, benchmark.text))"
 DOT = "list_dot_product(list_transform({}, lambda x: x::double), list_transform({}, lambda x: x::double))"
 DENSE = f"dense as (select q.vec_id as query_id, v.vec_id as doc_id, round({DOT.format('q.embedding', 'v.embedding')}, 6) as score from embeddings q, embeddings v where q.vec_id < 20)"
+# The same for the whole search set: every vector whose id is divisible by 50; every question of benchmark.
+FIFTIETH = DENSE.replace("q.vec_id < 20", "q.vec_id % 50 = 0")
+ASKED = DENSE.replace("q.vec_id < 20", "q.vec_id in (select item_id from benchmark)")
 COVER = f"case when len({SET.format('{q}')}) > 0 then round(len(list_intersect({SET.format('{q}')}, {SET.format('{t}')})) / len({SET.format('{q}')}), 6) else 0.0 end"
 
 
@@ -257,6 +260,22 @@ def dense_topk_filtered(spark, d):
     return retrieval.top_hits(retrieval.dense(q, v, ["1", "3"]), 5)
 
 
+def _fiftieth(spark, d):
+    _, v = _vectors(spark, d)
+    return v.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "vector"), v
+
+
+@query(f"with {FIFTIETH} select query_id, doc_id, score, rank::int as rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from dense) where rank <= 5")
+def dense_topk_fiftieth(spark, d):
+    return retrieval.dense_top(*_fiftieth(spark, d), 5)
+
+
+@query(f"with {FIFTIETH} select query_id, doc_id, score, rank::int as rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from dense join embeddings on vec_id = doc_id where label in (1, 3)) where rank <= 5")
+def dense_topk_filtered_fiftieth(spark, d):
+    q, v = _fiftieth(spark, d)
+    return retrieval.dense_top(q, v.filter(F.col("source").isin("1", "3")), 5)
+
+
 _HYBRID = f"""{BM25}, {DENSE}, dh as (select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id) as rank from dense),
 lists as (select query_id, 0 as list_no, doc_id, rank from dh where rank <= 30 union all select query_id, 1, doc_id, rank from hits where rank <= 30),
 fused as (select query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) as score, min((list_no, rank)) as first from lists group by query_id, doc_id)"""
@@ -268,6 +287,14 @@ def hybrid_rrf(spark, d):
     return retrieval.hybrid(retrieval.bm25(questions(spark, d), tab(spark, d, "documents")), retrieval.dense(q, v)).select("query_id", "doc_id", "score", "rank")
 
 
+@query(f"with {_HYBRID.replace(DENSE, ASKED)} select query_id, doc_id, score, rank::int as rank from (select *, row_number() over (partition by query_id order by score desc, first, doc_id) as rank from fused) where rank <= 20")
+def hybrid_rrf_asked(spark, d):
+    """A dense list for every question whose id is a vector's."""
+    v = _vectors(spark, d)[1]
+    q = v.select(F.col("doc_id").alias("query_id"), "vector").join(questions(spark, d).select("query_id").distinct(), "query_id", "left_semi")
+    return retrieval.hybrid(retrieval.bm25(questions(spark, d), tab(spark, d, "documents")), retrieval.dense(q, v)).select("query_id", "doc_id", "score", "rank")
+
+
 _RERANK = f"scored as (select query_id, hits.doc_id, rank, {COVER.format(q='b.text', t='documents.text')} as rerank_score from hits join benchmark b on b.item_id = query_id join documents using (doc_id) where rank <= 20)"
 
 
@@ -584,6 +611,12 @@ def semantic_candidates(spark, d):
     return benchmark.semantic(retrieval.dense(q, v).select(F.col("query_id").alias("fact_id"), F.col("doc_id").alias("chunk_id"), "score"), 8)
 
 
+@query(f"with {FIFTIETH} select query_id as fact_id, doc_id as chunk_id from (select *, row_number() over (partition by query_id order by score desc, doc_id) as nth from dense where query_id <> doc_id) where nth <= 8")
+def semantic_candidates_fiftieth(spark, d):
+    best = retrieval.dense_top(*_fiftieth(spark, d), 9)  # the 8 best and the fact itself
+    return benchmark.semantic(best.select(F.col("query_id").alias("fact_id"), F.col("doc_id").alias("chunk_id"), "score"), 8)
+
+
 @query(f"with {_FACTS}, {_EXACT}, {_LEX} select fact_id, chunk_id, string_agg(r, ',' order by r) as reasons from (select *, 'exact_span' as r from exact union all select *, 'lexical' from lex) group by fact_id, chunk_id")
 def candidate_reasons(spark, d):
     f, c = _facts(spark, d), _chunks(spark, d)
@@ -633,6 +666,12 @@ def triage_spread(spark, d):
     return benchmark.even_spread(tab(spark, d, "benchmark").filter("item_id < 40").select("item_id"), "item_id", 40, 5)
 
 
+@query("select item_id, (row_number() over (order by case when item_id in (select i * n // 5 from range(5) r(i), (select count(*) as n from benchmark)) then 0 else 1 end, item_id))::int as place from benchmark")
+def triage_spread_all(spark, d):
+    items = tab(spark, d, "benchmark").select("item_id")
+    return benchmark.even_spread(items, "item_id", items.count(), 5)
+
+
 # --- decisions ---
 
 
