@@ -183,6 +183,13 @@ def chunk_units(spark, d):
     return rows.filter("n_tokens <= 4000")
 
 
+@query()
+def chunk_units_whole(spark, d):
+    """The units of every block of documents, those of blocks over the budget split into groups of sentences."""
+    split = F.udf(lambda text: [n for _, n in chunking.text_units(text, 4000)], "array<bigint>")
+    return ingest.document_blocks(tab(spark, d, "documents")).select("doc_id", F.col("seq").cast("int").alias("seq"), F.posexplode(split("text")).alias("unit_no", "n_tokens"))
+
+
 _PACK = f"""with recursive u as (select doc_id, row_number() over (partition by doc_id order by seq) - 1 as i, n, sum(n) over (partition by doc_id order by seq) as c from (select doc_id, seq, {WORDS.format('line')} as n from (select doc_id, pos as seq, {CLEAN.format('line')} as line from (select doc_id, unnest(l) as line, generate_subscripts(l, 1) as pos from (select doc_id, string_split(text, chr(10)) as l from documents))) where line <> '')),
 step as (select a.doc_id, 0 as k, 0::bigint as s, coalesce((select min(b.i) - 1 from u b where b.doc_id = a.doc_id and b.i > 0 and b.c > 60), (select max(b.i) from u b where b.doc_id = a.doc_id)) as e from u a where a.i = 0
 union all select p.doc_id, p.k + 1, p.s2, coalesce((select min(b.i) - 1 from u b where b.doc_id = p.doc_id and b.i > p.e + 1 and b.c - (select x.c - x.n from u x where x.doc_id = p.doc_id and x.i = p.s2) > 60), p.last) as e from (
@@ -516,6 +523,27 @@ def marker_drop(spark, d):
     return answers.finish_answers(_answers(spark, d)).select("query_id", "answer", F.array_join(F.col("markers").cast("array<string>"), ",").alias("markers"), "confidence")
 
 
+_WHOLE = _ANSWER.replace("substr(text, 1, 40)", "text")
+
+
+def _whole_answers(spark, d):
+    end = F.concat(F.lit(" ["), (F.col("query_id") % 5).cast("string"), F.lit("] , then ["), (F.col("query_id") % 3 + 1).cast("string"), F.lit("] ."))
+    texts = tab(spark, d, "documents").select(F.col("doc_id").alias("query_id"), "text")
+    rest = [F.array(F.lit(2), F.lit(7)).alias("used"), F.lit("high").alias("confidence"), F.lit("").alias("caveats"), F.lit("").alias("prefix"), F.lit(3).alias("n")]
+    return texts.select("query_id", F.concat("text", end).alias("answer"), *rest)
+
+
+@query(ORACLES["marker_extract"].replace(_ANSWER, _WHOLE))
+def marker_extract_whole(spark, d):
+    a = _whole_answers(spark, d)
+    return a.select("query_id", F.array_join(F.filter(T.markers("answer"), lambda m: m.between(1, F.col("n"))).cast("array<string>"), ",").alias("kept"), F.array_join(T.dropped_markers("answer", "n").cast("array<string>"), ",").alias("dropped"))
+
+
+@query(ORACLES["marker_drop"].replace(_ANSWER, _WHOLE))
+def marker_drop_whole(spark, d):
+    return answers.finish_answers(_whole_answers(spark, d)).select("query_id", "answer", F.array_join(F.col("markers").cast("array<string>"), ",").alias("markers"), "confidence")
+
+
 @query(f"select doc_id, substr({COLLAPSE.format('text')}, 1, 220) || case when length({COLLAPSE.format('text')}) >= 220 then '...' else '' end as quote from documents")
 def quote_render(spark, d):
     return tab(spark, d, "documents").select("doc_id", T.quote("text").alias("quote"))
@@ -539,6 +567,12 @@ def evidence_render(spark, d):
     return answers.render_evidence(hits.select("query_id", F.col("rank").alias("position"), "source", "section", "page_start", "page_end", F.substring("text", 1, 80).alias("text"), (F.col("rank") == 3).alias("is_neighbor"), F.lit("s").alias("seed_chunk_id")))
 
 
+@query(ORACLES["evidence_render"].replace("substr(text, 1, 80)", "text"))
+def evidence_render_whole(spark, d):
+    hits = bm25_hits(spark, d, 3).join(_pages(tab(spark, d, "documents")), "doc_id")
+    return answers.render_evidence(hits.select("query_id", F.col("rank").alias("position"), "source", "section", "page_start", "page_end", "text", (F.col("rank") == 3).alias("is_neighbor"), F.lit("s").alias("seed_chunk_id")))
+
+
 @query("select doc_id, round(len(list_filter(['The', 'ERE', 'zzz'], lambda k: contains(lower(text), lower(k)))) / 3, 6)::double as recall from documents")
 def keyword_recall(spark, d):
     return tab(spark, d, "documents").select("doc_id", F.round(T.keyword_recall("text", F.array(*map(F.lit, ("The", "ERE", "zzz")))), 6).alias("recall"))
