@@ -9,11 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, a temporary folder in local mode, else one in the warehouse."""
+    """spark.checkpoint.dir. Where it is unset: a temporary folder in local mode, else one in the warehouse if that is on a shared file system; ValueError if it isn't."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        local = spark.sparkContext.master.startswith("local")
-        path = tempfile.mkdtemp(prefix="lodestone-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staging"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir", "")
+        if spark.sparkContext.master.split("[")[0] == "local":
+            path = tempfile.mkdtemp(prefix="lodestone-")
+        elif "://" in warehouse and not warehouse.startswith("file:"):
+            path = warehouse.rstrip("/") + "/_staging"
+        else:
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
