@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,34 +12,47 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Text bytes that one numpy pass works on; a worker's memory is a small multiple of it.
-PASS_BYTES = 1 << 20
+from lodestone.sources.staging import folder
+
+#: Text bytes that one numpy pass works on; a worker's memory is a small multiple of it, since longer texts are taken in stretches.
+PASS_BYTES = 1 << 18
+#: Bytes of an Arrow batch, unless the session sets them: both sides hold whole batches.
+ARROW_BYTES = 2 << 20
+_BYTES_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Where it is unset, a temporary one in local mode, else one in the warehouse."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if spark.sparkContext.master.startswith("local"):
-            folder = tempfile.mkdtemp(prefix="lodestone-")
-        else:
-            folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_lodestone"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+def mapped(df: DataFrame, f: Callable, schema) -> DataFrame:
+    """df.mapInArrow(f, schema) with Arrow batches of about ARROW_BYTES, unless the session has a number of its own."""
+    conf = df.sparkSession.conf
+    if _BYTES_CONF not in conf.getAll:
+        conf.set(_BYTES_CONF, ARROW_BYTES)
+    return df.mapInArrow(f, schema)
+
+
+#: Paths of the tables that written() has left, by application.
+_made: dict[str, list[str]] = {}
+
+
+def _paths(spark: SparkSession) -> list[str]:
+    return _made.setdefault(spark.sparkContext.applicationId, [])
 
 
-_made: list[str] = []
+def made(spark: SparkSession) -> int:
+    """How many tables written() has left."""
+    return len(_paths(spark))
 
 
-def cleared(spark: SparkSession) -> None:
-    """Delete the tables that written() has left, once no result of an operator is read any more."""
-    for path in _made:
-        _delete(spark, path)
-    _made.clear()
+def cleared(spark: SparkSession, since: int = 0, but: DataFrame | None = None) -> None:
+    """Delete the tables that written() has left, without the first `since` and `but`, once no result of an operator reads them any more."""
+    left, kept = _paths(spark), getattr(but, "_lodestone_path", None)
+    for path in left[since:]:
+        if path != kept:
+            _delete(spark, path)
+    left[since:] = [p for p in left[since:] if p == kept]
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -51,20 +63,32 @@ def _delete(spark: SparkSession, path: str) -> None:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: short lineage that outlives any executor."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lodestone_path = path
-    _made.append(path)
+    _paths(spark).append(path)
     return out
 
 
-def dropped(df: DataFrame | None) -> None:
-    """Delete the table of an earlier written(); only once nothing lazy reads it any more."""
-    path = getattr(df, "_lodestone_path", None)
-    if path:
-        _delete(df.sparkSession, path)
-        _made.remove(path)
+def dropped(*dfs: DataFrame | None) -> None:
+    """Delete the tables of earlier written(); only once nothing lazy reads them any more."""
+    for df in dfs:
+        path = getattr(df, "_lodestone_path", None)
+        if path in _paths(df.sparkSession) if path else False:
+            _delete(df.sparkSession, path)
+            _paths(df.sparkSession).remove(path)
+
+
+def with_key(df: DataFrame, id_col: str) -> tuple[DataFrame, str]:
+    """df with a long column that differs in every row, and that column's name: the id itself where every row has its own, which costs a count of ids, else a
+    number, written down with the rows so that it stays the same."""
+    key = "_key"
+    while key in df.columns:
+        key += "_"
+    if df.groupBy(id_col).agg(F.count("*").alias("n")).filter((F.col("n") > 1) | F.col(id_col).isNull()).limit(1).count():
+        return written(df.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
+    return df.withColumn(key, F.col(id_col).cast("long")), key
 
 
 def one_row_per_id(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -73,8 +97,9 @@ def one_row_per_id(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.groupBy(key).agg(F.max(value).alias(value)) if repeats else df
 
 
-def batches(it: Iterator[pa.RecordBatch], column: str, most: int = PASS_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches, cut so that the column's texts of each are of about `most` bytes; a longer text makes its own batch."""
+def batches(it: Iterator[pa.RecordBatch], column: str, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that the column's texts of each are of about `most` bytes (by default PASS_BYTES); a longer text makes its own batch."""
+    most = most or PASS_BYTES
     for batch in it:
         ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch[column]), 0), dtype=np.int64))
         at = 0
@@ -111,8 +136,9 @@ class Rolling:
         self.up = self.down = np.empty(0, np.uint64)
 
     def sums(self, values: np.ndarray) -> np.ndarray:
-        if len(self.up) < len(values) + 1:
-            self.up, self.down = _powers(self.base, len(values) + 1024), _powers(self.back, len(values) + 1024)
+        n = len(values) + 1
+        if len(self.up) < n or len(self.up) > max(8 * n, 8 * PASS_BYTES):  # tables that a long word has made go again
+            self.up, self.down = _powers(self.base, n + 1024), _powers(self.back, n + 1024)
         out = np.zeros(len(values) + 1, np.uint64)
         np.cumsum(values * self.up[: len(values)], out=out[1:], dtype=np.uint64)
         return out
@@ -172,3 +198,52 @@ class Words:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+def runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places starts[i], starts[i] + 1, ... of each run, one after the other; sizes are 1 at least."""
+    if not len(sizes):
+        return np.empty(0, np.int64)
+    out = np.ones(int(sizes.sum()), np.int64)
+    out[0] = starts[0]
+    out[np.cumsum(sizes)[:-1]] = starts[1:] - starts[:-1] - sizes[:-1] + 1
+    return np.cumsum(out)
+
+
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def long_text(column: pa.Array) -> bytes | None:
+    """The text of a column of one, if it is longer than a pass by far."""
+    if len(column) != 1 or not column[0].is_valid:
+        return None
+    text = column.cast(pa.large_binary())[0].as_buffer()
+    return text.to_pybytes() if text.size > 2 * PASS_BYTES else None
+
+
+def cut_text(text: bytes) -> Iterator[bytes]:
+    """A text in pieces of about PASS_BYTES that end between words."""
+    at = 0
+    while at < len(text) or not at:
+        gap = _GAP.search(text, at + PASS_BYTES)
+        end = gap.start() if gap else len(text)
+        yield text[at:end]
+        if not gap:
+            return
+        at = end
+
+
+def stretches(text: bytes, back: int = 0, **how) -> Iterator[tuple[Words, int, bytes]]:
+    """A long text's words, a stretch of about PASS_BYTES at a time, with the stretch itself. Each stretch but the first begins with the last `back` words of the one before;
+    the number that comes with it tells how many of its words did. Only a single word that is longer makes a longer stretch."""
+    at = end = again = 0
+    while True:
+        gap = _GAP.search(text, max(at + PASS_BYTES, end + 1))
+        end = gap.start() if gap else len(text)
+        piece = text[at:end]
+        words = Words(pa.array([piece], pa.large_binary()), **how)
+        yield words, again, piece
+        if not gap:
+            return
+        again = min(back, len(words.starts))
+        at = at + int(words.starts[len(words.starts) - again]) if again else end
