@@ -9,13 +9,12 @@ the pieces are dealt to the planned places by their rank among pieces of equal l
 from __future__ import annotations
 
 import bisect
+import json
 import os
-import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,52 +22,64 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import batches, table, written
+from lodestone.llm.common import batches, mapped, table, written
+from lodestone.llm.patterns import PATTERN, UNCOMMON
 
 CAPACITY, END_ID = 1024, 2
-#: Words whose ids a worker remembers, at about 0.25 KB each.
-REMEMBERED = 120_000
+#: Characters of white space in a row, at twice which at the latest a text goes to the library itself.
+BLANKS = 500
 #: Pieces of one length and salt that one task ranks.
 RANKED = 500
 
-_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
-_NUMBERS = "0-9²³¹¼-¾"
-#: Characters on which this module's splitter and the library's agree; texts with others go to the library whole.
-_UNUSUAL = re.compile(r"[^\t\n\r\x20-\x7e¡-ɏ–—‘’“”…€]")
-_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\s{_LETTERS}{_NUMBERS}]+|\s+(?!\S)|\s+")
-
-
 @lru_cache(maxsize=1)  # a worker's tasks share it
-def tokenizer_ids(path: str) -> Callable[[list[str]], list[bytes]]:
-    """Function from texts to their ids as little-endian 32-bit bytes, by the tokenizers library; words seen before are looked up."""
+def tokenizer_ids(path: str) -> Callable[[str], list[int]]:
+    """Function from a text to its ids by the tokenizers library, without special tokens added; a special token's string in a text is that token.
+
+    Where the file says that texts are split by PATTERN alone and merged by rank, the same merges run in another library, which is several times faster; texts with uncommon characters, with strings of added
+    tokens or with very long white space, and all texts for other files, go to the library itself.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
-    model, seen = own.model, {}
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}  # bytes that stand for themselves in the vocabulary, others for characters from 256
-    shown = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - plain))}
-
-    def merged(word: str) -> bytes:
-        return array("I", [t.id for t in model.tokenize(word.encode().decode("latin-1").translate(shown))]).tobytes()
-
-    def whole(text: str) -> bytes:
-        return array("I", own.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def ids(texts: list[str]) -> list[bytes]:
-        words = [None if _UNUSUAL.search(t) else _SPLIT.findall(t) for t in texts]
-        new = list(set(chain.from_iterable(w for w in words if w)).difference(seen))
-        keep = len(seen) < REMEMBERED  # the first words that come hold nearly all frequent ones
-        seen.update(zip(new, map(merged, new), strict=True))
-        out = [b"".join(map(seen.__getitem__, w)) if w is not None else whole(t) for t, w in zip(texts, words, strict=True)]
-        for word in () if keep else new:
-            del seen[word]
-        return out
+    merged = _ranked_merges(own)
+    if merged is None:
+        return lambda text: own.encode(text, add_special_tokens=False).ids
+    added = [t.content for t in own.get_added_tokens_decoder().values()]
+
+    def ids(text: str) -> list[int]:
+        if UNCOMMON.search(text) or any(t in text for t in added) or any(text[i : i + BLANKS].isspace() for i in range(0, len(text) - BLANKS, BLANKS)):
+            return own.encode(text, add_special_tokens=False).ids
+        return merged(text)
 
     return ids
 
 
+def _ranked_merges(own) -> Callable[[str], list[int]] | None:
+    """The encoding of texts of common characters by ranks, or None where that could differ from the library's.
+
+    The library joins the pairs of its list of merges, the other one any two tokens that make a third, both those of the lowest rank first. They differ only if some token's own bytes don't end as
+    that token: with all merges below its rank done, what stands in its place anywhere is what its bytes alone give. So every token is tried.
+    """
+    told = json.loads(own.to_str())
+    split, model = told["pre_tokenizer"] or {}, told["model"]
+    plain = not any(told.get(k) for k in ("normalizer", "truncation", "padding")) and (split.get("type"), split.get("add_prefix_space"), split.get("use_regex", True)) == ("ByteLevel", False, True)
+    if not plain or model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return None
+    itself = {*range(33, 127), *range(161, 173), *range(174, 256)}  # bytes that stand for themselves in the vocabulary, others for characters from 256
+    byte_of = {chr(b): b for b in itself} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - itself))}
+    added = {t.content for t in own.get_added_tokens_decoder().values()}
+    tokens = {t: i for t, i in model["vocab"].items() if t not in added}
+    made = [model["vocab"].get("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+    ordered = None not in made and all(a < b for a, b in zip(made, made[1:], strict=False))
+    if not ordered or any(c not in tokens for c in byte_of) or any(not set(t) <= byte_of.keys() for t in tokens) or any([x.id for x in own.model.tokenize(t)] != [i] for t, i in tokens.items()):
+        return None
+    import tiktoken
+
+    ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in tokens.items()}
+    return tiktoken.Encoding("merges", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces (doc_id, piece, start, length, ids_crc32, uid) of each row of docs.
 
@@ -81,8 +92,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
         uid = TaskContext.get().partitionId() << 33
         for batch in batches(it, "text"):
             rows: list[tuple] = []
-            for doc, own in zip(batch["doc_id"].to_pylist(), ids([t or "" for t in batch["text"].to_pylist()]), strict=True):
-                own += end
+            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                own = array("I", ids(text) if text else ()).tobytes() + end
                 n = len(own) // 4
                 first = n % capacity or capacity
                 at = 0
@@ -92,7 +103,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                     at, uid = at + length, uid + 1
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), *[pa.int64()] * 4), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "uid"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, uid long")
+    return mapped(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), cut, "doc_id long, piece int, start long, length long, ids_crc32 long, uid long")
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
