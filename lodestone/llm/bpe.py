@@ -1,21 +1,19 @@
 """Byte-level BPE encoding and decoding.
 
-Texts are split by the vocabulary's pattern. A word that is a token has its id; any other is a string of the ids of its bytes, which Spark's higher-order functions
-fold: each step joins the first pair of the lowest rank, looked up in a literal map of all pairs that make a token, until no pair does. Words are folded once for each
-batch of texts in which they are new; those that a sample of documents shows to be frequent, once altogether. Decoding concatenates the tokens' bytes.
+Texts are split by the vocabulary's pattern. A word that is a token has its id. Any other is a string of units, one for each of its bytes, over which Spark's higher-order functions fold
+the ranked merges: in the order of their ranks, each joins all pairs of its two units, left to right. What a merge makes ranks after its parts, so that this is what joining the pair of
+the lowest rank again and again gives. The fold reads the merges from a literal map by rank; each word brings the ranks of the tokens that occur in it, since no other merge can apply. Words are folded
+once for each batch of texts in which they are new; those that a sample of documents shows to be frequent, once altogether. Decoding concatenates the tokens' bytes.
 
-Ids are two bytes wide, big end first, so that binary order is rank order. The map is a cuckoo table in one binary literal: a pair stands, with its rank, at one of two places that
-CRC-32 gives.
+A unit is an id as a character, moved past those that UTF-16 keeps for pairs.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
-import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -23,44 +21,90 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import batches, table
+from lodestone.llm.common import batches, mapped, runs, table
+from lodestone.llm.patterns import splitter
 
 #: Documents that show which words are frequent, about (drawn by a hash of their text), and how many of their words are folded once for all. Both only save work.
 SAMPLE_ROWS, FREQUENT = 24_000, 300_000
-#: Bytes of a word up to which it is folded; the steps of longer ones grow too many, and a heap joins the same pairs in the same order.
-LONGEST = 1024
-_NONE = b"\xff\xff"
-_FREE = b"\xff" * 6
-_LETTERS, _NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
-_UNUSUAL = re.compile(r"[^\t\n\r\x20-\x7e¡-ɏ–—‘’“”…€]")
-_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\s{_LETTERS}{_NUMBERS}]+|\s+(?!\S)|\s+")
+#: Text bytes of a pass: words that are new to it are folded.
+PASS = 1 << 19
+_GAP, _MOVE, _MOST = 0xD7FF, 0x800, 0xF000
+_SEPARATOR = "\ufff0"  # no unit
+
+
+def to_text(ids: np.ndarray) -> str:
+    """Ids as a string of units: characters 1, 2, ... without surrogates."""
+    ids = ids.astype(np.uint16)
+    return (ids + np.uint16(1) + np.where(ids >= _GAP, np.uint16(_MOVE), np.uint16(0))).astype(">u2").tobytes().decode("utf-16-be")
+
+
+def to_ids(text: str) -> np.ndarray:
+    units = np.frombuffer(text.encode("utf-16-be"), ">u2").astype(np.uint16)
+    return units - np.uint16(1) - np.where(units > _GAP, np.uint16(_MOVE), np.uint16(0))
 
 
 class Vocabulary:
-    """Ranks of a tiktoken file of at most 65,535 tokens, all single bytes among them."""
+    """Ranks of a tiktoken file: all single bytes, and tokens that merges of two others make, ranked after them; ValueError for other files."""
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        if max(self.ranks.values()) >= 0xFFFF or any(bytes([b]) not in self.ranks for b in range(256)):
-            raise ValueError("not a byte-level vocabulary of less than 65,535 tokens")
         self.size = max(self.ranks.values()) + 1
-        self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], ">u2")
+        if self.size > _MOST or any(bytes([b]) not in self.ranks for b in range(256)):
+            raise ValueError(f"not a byte-level vocabulary of at most {_MOST} tokens")
 
-    def parts(self, word: bytes) -> bytes:
-        """The ids of a word's bytes."""
-        return self.byte_ids[np.frombuffer(word, np.uint8)].tobytes()
-
-    def pairs(self) -> dict[bytes, bytes]:
-        """Of each two tokens that make a third: both ids, and the third's."""
+    def merges(self) -> dict[int, tuple[int, int]]:
+        """By its id, the ids of the two tokens that each token of several bytes is made of."""
         out = {}
         for word, rank in self.ranks.items():
-            for i in range(1, len(word)):
-                a, b = self.ranks.get(word[:i]), self.ranks.get(word[i:])
-                if a is not None and b is not None:
-                    out[a.to_bytes(2) + b.to_bytes(2)] = rank.to_bytes(2)
+            if len(word) == 1:
+                continue
+            parts = [word[i : i + 1] for i in range(len(word))]
+            while len(parts) > 2:
+                near = [self.ranks.get(a + b, rank) for a, b in zip(parts, parts[1:], strict=False)]
+                low = min(near)
+                if low >= rank:
+                    break
+                i = near.index(low)
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            out[rank] = pair = tuple(self.ranks[p] for p in parts)
+            if len(pair) != 2 or any(r > rank for r, p in zip(pair, parts, strict=True) if len(p) > 1):
+                raise ValueError(f"no ranked merge makes token {rank}")
         return out
 
+    def literals(self) -> tuple[str, str]:
+        """Of each rank the two units that its merge joins, and the one that it makes; empty where there is none."""
+        merges = self.merges()
+        joined = [to_text(np.array(merges[r])) if r in merges else "" for r in range(self.size)]
+        return _SEPARATOR.join(joined), _SEPARATOR.join(to_text(np.arange(self.size)))
+
+    @cached_property
+    def _tokens(self):
+        import ahocorasick
+
+        found = ahocorasick.Automaton()
+        for word, rank in self.ranks.items():
+            if len(word) > 1:
+                found.add_word(word.decode("latin-1"), rank)
+        found.make_automaton()
+        return found
+
+    @cached_property
+    def _byte_ids(self) -> np.ndarray:
+        return np.array([self.ranks[bytes([b])] for b in range(256)], np.uint16)
+
+    def prepared(self, words: list[bytes]) -> tuple[pa.Array, pa.Array]:
+        """Of each word the string of units of its bytes, and the ranks of the merges that may apply: those of tokens that occur in it, ascending."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(size)
+        units = to_text(self._byte_ids[np.frombuffer(b"".join(words), np.uint8)])
+        texts = pa.array([units[b - n : b] for b, n in zip(ends.tolist(), size.tolist(), strict=True)], pa.string())
+        found = self._tokens.iter("\u0100".join(w.decode("latin-1") for w in words)) if words and len(self._tokens) else ()
+        at, rank = np.fromiter(chain.from_iterable(found), np.int64).reshape(-1, 2).T
+        each = np.sort(np.searchsorted(ends + np.arange(len(words)), at, side="left") << 16 | rank)
+        each = each[np.append(True, each[1:] != each[:-1])] if len(each) else each
+        return texts, pa.ListArray.from_arrays(pa.array(np.searchsorted(each >> 16, np.arange(len(words) + 1)), pa.int32()), pa.array(each & 0xFFFF, pa.int32()))
+
     def pieces(self) -> list[bytes]:
         out = [b""] * self.size
         for word, rank in self.ranks.items():
@@ -68,203 +112,95 @@ class Vocabulary:
         return out
 
 
-def rank_table(pairs: dict[bytes, bytes]) -> tuple[bytes, int]:
-    """The cuckoo table of pairs, six bytes a place, and how many places it has."""
-    size = max(16, len(pairs) * 21 // 10)
-    while True:
-        slots: list[bytes | None] = [None] * size
-        for key in pairs:
-            at, steps = zlib.crc32(key) % size, 0
-            while key is not None and steps < 200:
-                slots[at], key = key, slots[at]
-                if key is not None:
-                    a, b = zlib.crc32(key) % size, zlib.crc32(key + b"\x01") % size
-                    at, steps = (b if at == a else a), steps + 1
-            if key is not None:
-                break
-        else:
-            break
-        size = size * 11 // 10
-    # a key at its second place moves to its first if that is free, so that a free first place tells that there is no such key
-    moved = True
-    while moved:
-        moved = False
-        for at, key in enumerate(slots):
-            if key is not None and (first := zlib.crc32(key) % size) != at and slots[first] is None:
-                slots[first], slots[at], moved = key, None, True
-    return b"".join(k + pairs[k] if k else _FREE for k in slots), size
-
-
 def _bound(value: Column, use) -> Column:
     """use(value), with value evaluated once."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _fold(parts: Column, map_: Column, size: int) -> Column:
-    """The ids that the ranked merges leave of a word's byte ids; parts has two ids at least. map_: the rank table, bound once so that plans show it once."""
-    none, free = F.lit(_NONE), F.lit(_FREE)
-    one, two, four, five, six = map(F.lit, (1, 2, 4, 5, 6))
-
-    def place(key: Column) -> Column:
-        return (F.crc32(key) % size).cast("int") * 6 + 1
-
-    def rank(key: Column) -> Column:
-        def first(k: Column) -> Column:
-            def second(s: Column) -> Column:
-                return F.when(F.substr(s, one, four) == k, F.substr(s, five, two)).otherwise(none)
-
-            def held(s: Column) -> Column:
-                return F.when(s == free, none).when(F.substr(s, one, four) == k, F.substr(s, five, two)).otherwise(_bound(F.substr(map_, place(F.concat(k, F.lit(b"\x01"))), six), second))
-
-            return _bound(F.substr(map_, place(k), six), held)
-
-        return _bound(key, first)
+def folded(words: Column, merges: Column, literals: tuple[str, str]) -> Column:
+    """words, arrays of strings of units, after their merges, arrays of ranks, in turn. literals: the rank map, bound once so that plans show it once."""
+    joined, made = (F.split(F.lit(x), _SEPARATOR) for x in literals)  # constants, which the optimizer evaluates
+    return _bound(joined, lambda a: _bound(made, lambda b: F.zip_with(words, merges, lambda w, m: F.aggregate(m, w, lambda s, rank: F.replace(s, F.get(a, rank), F.get(b, rank))))))
 
-    n = (F.length(parts) / 2).cast("int")
-    first = F.concat(F.array(none), F.transform(F.sequence(F.lit(1), n - 1), lambda i: rank(F.substr(parts, i * 2 - 1, F.lit(4)))), F.array(none))
 
-    def step(own: Column, _: Column) -> Column:
-        p, r = own["p"], own["r"]
-
-        def joined(low: Column) -> Column:
-            def at(j: Column) -> Column:  # the pair is the (j - 1)-th
-                left = F.when(j > 2, rank(F.concat(F.substr(p, j * 2 - 5, two), low))).otherwise(none)
-                right = rank(F.concat(low, F.substr(p, j * 2 + 1, two)))
-                return F.struct(F.concat(F.substr(p, F.lit(1), j * 2 - 4), low, F.substr(p, j * 2 + 1, F.length(p))).alias("p"), F.concat(F.slice(r, F.lit(1), j - 2), F.array(left, right), F.slice(r, j + 2, F.size(r))).alias("r"))
-
-            return F.when(low == none, own).otherwise(_bound(F.array_position(r, low).cast("int"), at))
-
-        return _bound(F.array_min(r), joined)
-
-    start = F.struct(parts.alias("p"), first.alias("r"))
-    return F.aggregate(F.sequence(F.lit(2), n), start, step, lambda own: own["p"])
-
-
-def _heap(parts: bytes, pairs: dict[bytes, bytes]) -> bytes:
-    """What _fold gives, for long words."""
-    n = len(parts) // 2
-    ids: list[bytes | None] = [parts[2 * i : 2 * i + 2] for i in range(n)]
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := pairs.get(ids[i] + ids[i + 1]))]
-    heapq.heapify(heap)
-    while heap:
-        r, i, a, b = heapq.heappop(heap)
-        j = after[i]
-        if ids[i] != a or j >= n or ids[j] != b:
-            continue
-        ids[i], ids[j], after[i] = r, None, after[j]
-        if after[i] < n:
-            before[after[i]] = i
-            if s := pairs.get(r + ids[after[i]]):
-                heapq.heappush(heap, (s, i, r, ids[after[i]]))
-        if (k := before[i]) >= 0 and (s := pairs.get(ids[k] + r)):
-            heapq.heappush(heap, (s, k, ids[k], r))
-    return b"".join(x for x in ids if x is not None)
-
-
-def _words(texts: list[str], pattern: str) -> list[list[str]]:
-    import regex
-
-    whole = regex.compile(pattern)
-    return [whole.findall(t) if _UNUSUAL.search(t) else _SPLIT.findall(t) for t in texts]
-
-
-def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The places starts[i], starts[i] + 1, ... of each run; sizes are 1 at least."""
-    if not len(sizes):
-        return np.empty(0, np.int64)
-    out = np.ones(int(sizes.sum()), np.int64)
-    out[0] = starts[0]
-    out[np.cumsum(sizes)[:-1]] = starts[1:] - starts[:-1] - sizes[:-1] + 1
-    return np.cumsum(out)
-
-
-def _frequent(docs: DataFrame, total: int, vocabulary: Vocabulary, pattern: str, sample_rows: int, most: int, ranks: bytes, size: int) -> tuple[list[str], list[bytes]]:
-    """Frequent words that are no tokens, and their ids; at most `most`."""
+def _frequent(docs: DataFrame, total: int, vocabulary: Vocabulary, tokens, pattern: str, sample_rows: int, most: int, literals: tuple[str, str]) -> tuple[list[str], list[str]]:
+    """Frequent words that are no tokens, and their units; at most `most`. tokens: the vocabulary, broadcast."""
     drawn = docs.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample_rows / max(total, 1))))
-    tokens = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen = tokens.value, Counter()
-        for batch in batches(it, "text"):
-            seen.update(chain.from_iterable(_words(batch["text"].to_pylist(), pattern)))
-        words = [(w, b) for w in seen if len(b := w.encode()) <= 64 and b not in own.ranks]
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in words], pa.string()), pa.array([own.parts(b) for _, b in words], pa.binary()), pa.array([seen[w] for w, _ in words], pa.int64())], ["word", "parts", "n"])
+        own, seen, split = tokens.value.ranks, Counter(), splitter(pattern)
+        for batch in batches(it, "text", PASS):
+            seen.update(chain.from_iterable(map(split, batch["text"].to_pylist())))
+        words = [w for w in seen if len(b := w.encode()) <= 64 and b not in own]
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([seen[w] for w in words], pa.int64())], ["word", "n"])
+
+    def prepare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            units, merges = tokens.value.prepared([w.encode() for w in batch["word"].to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch["word"], units, merges], ["word", "units", "merges"])
 
-    words = drawn.select("text").filter("text is not null").mapInArrow(count, "word string, parts binary, n long").groupBy("word", "parts").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "word").limit(most)
-    got = words.repartition(docs.sparkSession.sparkContext.defaultParallelism).select("word", _bound(F.lit(ranks), lambda m: _fold(F.col("parts"), m, size)).alias("ids")).toPandas()
-    return got["word"].tolist(), got["ids"].tolist()
+    words = mapped(drawn.select("text").filter("text is not null"), count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "word").limit(most).select("word")
+    ready = mapped(words.repartition(docs.sparkSession.sparkContext.defaultParallelism), prepare, "word string, units string, merges array<int>")
+    got = ready.select("word", F.get(folded(F.array("units"), F.array("merges"), literals), F.lit(0)).alias("units")).toPandas()
+    return got["word"].tolist(), got["units"].tolist()
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, frequent: int = FREQUENT, decoded: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids) of each row; ids: little-endian unsigned 32-bit integers. No string of a text is a special token. decoded adds what decode() does, in the same pass.
 
-    A null or empty text has no ids. Every row gives one, so null and repeated doc_ids stay. Texts are encoded whole, of any length. Other columns are ignored.
+    A null or empty text has no ids. Every row gives one, so null and repeated doc_ids stay; an empty table gives none. Texts are encoded whole, of any length; a
+    single match of the pattern is held whole, at some ten times its bytes. Other columns are ignored.
     """
     spark = docs.sparkSession
     vocabulary = Vocabulary(path)
-    pairs = vocabulary.pairs()
-    ranks, size = rank_table(pairs)
+    literals, tokens = vocabulary.literals(), spark.sparkContext.broadcast(vocabulary)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    words, word_ids = _frequent(own, docs.count(), vocabulary, pattern, sample_rows, frequent, ranks, size)
-    sent = spark.sparkContext.broadcast((vocabulary, words))  # bounded by the vocabulary and `frequent`
-    lengths = np.array([1] * vocabulary.size + [len(i) // 2 for i in word_ids], np.int64)
-    flat = np.concatenate((np.arange(vocabulary.size, dtype=np.uint16), np.frombuffer(b"".join(word_ids), ">u2").astype(np.uint16)))
-    known = spark.sparkContext.broadcast((lengths, flat, vocabulary.pieces() if decoded else None))
+    words, word_units = _frequent(own, docs.count(), vocabulary, tokens, pattern, sample_rows, frequent, literals)
+    listed = spark.sparkContext.broadcast(words)  # at most `frequent`
+    lengths = np.array([1] * vocabulary.size + [len(u) for u in word_units], np.int32)
+    flat = np.concatenate((np.arange(vocabulary.size, dtype=np.uint16), to_ids("".join(word_units))))
+    known = spark.sparkContext.broadcast((lengths, np.cumsum(lengths, dtype=np.int64) - lengths, flat, vocabulary.pieces() if decoded else None))
 
     def split(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, listed = sent.value
-        base = own.size + len(listed)
-        tail: list[bytes] = []
-        joins: dict[bytes, bytes] = {}
+        own, matches, new = tokens.value, splitter(pattern), []
+        base = own.size + len(listed.value)
 
         class Codes(dict):
             def __missing__(self, word: str) -> int:
-                self[word] = code = base + len(tail)
-                tail.append(word.encode())
+                self[word] = code = base + len(new)
                 new.append(word)
                 return code
 
-        new: list[str] = []
         codes = Codes()
         for token, rank in own.ranks.items():
             try:
                 codes[token.decode()] = rank
             except UnicodeDecodeError:
                 pass  # no word of a text has such bytes
-        codes.update(zip(listed, range(own.size, base), strict=True))
-        for batch in batches(it, "text"):
-            lists = _words([t or "" for t in batch["text"].to_pylist()], pattern)
-            code = np.fromiter(map(codes.__getitem__, chain.from_iterable(lists)), np.int32, sum(map(len, lists)))
+        codes.update(zip(listed.value, range(own.size, base), strict=True))
+        for batch in batches(it, "text", PASS):
+            lists = [matches(t) if t else [] for t in batch["text"].to_pylist()]
+            counts = np.fromiter(map(len, lists), np.int32, len(lists))
+            code = np.fromiter(map(codes.__getitem__, chain.from_iterable(lists)), np.int32, int(counts.sum()))
             for word in new:
                 del codes[word]
-            parts, done = [], []
-            for word in tail:
-                p = own.parts(word)
-                if len(word) > LONGEST:
-                    if not joins:
-                        joins.update(own.pairs())
-                    p, fold = _heap(p, joins), False
-                else:
-                    fold = len(word) > 1
-                parts.append(p)
-                done.append(not fold)
-            tail.clear()
+            tail = own.prepared([w.encode() for w in new])
             new.clear()
-            yield pa.RecordBatch.from_arrays([pa.array([batch["doc_id"].to_pylist()], pa.list_(pa.int64())), pa.array([np.array([len(x) for x in lists], np.int32).tobytes()], pa.binary()), pa.array([code.tobytes()], pa.binary()), pa.array([[{"p": p, "done": d} for p, d in zip(parts, done, strict=True)]], pa.list_(pa.struct([("p", pa.binary()), ("done", pa.bool_())])))], ["docs", "counts", "codes", "tail"])
+            list_of = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+            yield pa.RecordBatch.from_arrays([list_of(batch["doc_id"]), *(pa.array([x.tobytes()], pa.binary()) for x in (counts, code)), *map(list_of, tail)], ["docs", "counts", "codes", "tail", "merges"])
 
     def whole(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths, flat, pieces = known.value
+        lengths, starts, flat, pieces = known.value
         for batch in it:
             for i in range(batch.num_rows):
                 docs = batch["docs"][i].values
-                counts, codes = np.frombuffer(batch["counts"][i].as_buffer(), np.int32), np.frombuffer(batch["codes"][i].as_buffer(), np.int32)
+                counts, codes = (np.frombuffer(batch[c][i].as_buffer(), np.int32) for c in ("counts", "codes"))
                 tail = batch["tail"][i].as_py()
-                size = np.concatenate((lengths, np.array([len(t) // 2 for t in tail], np.int64)))
-                every = np.concatenate((flat, np.frombuffer(b"".join(tail), ">u2").astype(np.uint16)))
-                start = np.cumsum(size) - size
-                n = size[codes]
-                ids = every[_runs(start[codes], n)].astype("<u4").tobytes()
+                fresh = np.fromiter(map(len, tail), np.int32, len(tail))
+                size, start = np.concatenate((lengths, fresh)), np.concatenate((starts, len(flat) + np.cumsum(fresh, dtype=np.int64) - fresh))
+                every = np.concatenate((flat, to_ids("".join(tail))))
+                n = size[codes].astype(np.int64)
+                ids = every[runs(start[codes], n)].astype("<u4").tobytes()
                 ends = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.cumsum(counts)))] * 4
                 own = [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
                 arrays = [docs, pa.array(np.diff(ends) // 4, pa.int64()), pa.array(own, pa.binary())]
@@ -272,9 +208,9 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                     arrays.append(pa.array([_text(x, pieces) for x in own], pa.binary()))
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_tokens", "ids", "decoded"][: len(arrays)])
 
-    coded = own.mapInArrow(split, "docs array<long>, counts binary, codes binary, tail array<struct<p: binary, done: boolean>>")
-    folded = coded.withColumn("tail", _bound(F.lit(ranks), lambda m: F.transform("tail", lambda t: F.when(t["done"], t["p"]).otherwise(_fold(t["p"], m, size)))))
-    return folded.mapInArrow(whole, "doc_id long, n_tokens long, ids binary" + ", decoded binary" * decoded)
+    coded = mapped(own, split, "docs array<long>, counts binary, codes binary, tail array<string>, merges array<array<int>>")
+    done = coded.select("docs", "counts", "codes", folded(F.col("tail"), F.col("merges"), literals).alias("tail"))
+    return mapped(done, whole, "doc_id long, n_tokens long, ids binary" + ", decoded binary" * decoded)
 
 
 def _text(ids: bytes, pieces: list[bytes]) -> bytes:
@@ -293,7 +229,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             out = [None if x is None else _text(x, pieces) for x in batch["ids"].to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), pa.array(out, pa.binary())], [*kept, "decoded"])
 
-    return encoded.select(*kept).mapInArrow(join, encoded.select(*kept).schema.add("decoded", "binary"))
+    return mapped(encoded.select(*kept), join, encoded.select(*kept).schema.add("decoded", "binary"))
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
