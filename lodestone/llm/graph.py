@@ -9,20 +9,20 @@ from lodestone.llm.common import dropped, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Edges (a, b), a > b, after one step: of each node, its larger (or smaller) neighbours go to its smallest one, itself included."""
+    """Edges (a, b), a > b, after one step: of each node, its larger (or smaller) neighbours go to its smallest one, itself included. The smallest ones are a table of their own,
+    so that Spark can split the join of a hot node."""
     both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    if large:
-        return both.join(least, "a").filter("b > a and b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-    moved = both.join(least, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionAll(least.select("a", F.col("m").alias("b"))).filter("a > b").distinct()
+    least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+    moved = both.join(least, "a").filter("b > a and b > m" if large else "b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    out = written((moved if large else moved.unionAll(least.select("a", F.col("m").alias("b"))).filter("a > b")).distinct(), "edges")
+    dropped(least)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of each node with an edge; component is the smallest id that can be reached. edges: (a, b), in any order, a != b.
 
     Each step is written to the shared folder; the loop ends when a step changes nothing, seen by the count and a sum of hashes of its edges.
-    A node's edges are summed before the shuffle and joined so that a hot node's can be split.
     """
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), "edges")
     mark = None
@@ -31,7 +31,8 @@ def components(edges: DataFrame) -> DataFrame:
         if seen == mark or not seen[0]:
             break
         mark = seen
-        then = written(_star(_star(now, True), False), "edges")
-        dropped(now)
+        half = _star(now, True)
+        then = _star(half, False)
+        dropped(now, half)
         now = then
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionAll(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

@@ -15,11 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Rolling, Words, batches, mixed, one_row_per_id, signed, table, written
+from lodestone.llm.common import Rolling, Words, batches, dropped, long_text, mapped, mixed, signed, stretches, table, with_key, written
 from lodestone.llm.graph import components
 
 #: 24 bands of 5 bins find two sets with a similarity of 0.85 with a probability of 1 - 8e-7.
 BANDS, ROWS = 24, 5
+#: Parts of a bucket that are ranked by themselves.
+SALTS = 16
 _SHINGLES = Rolling(0xE7037ED1A0B428DB)
 _TRIES = 64
 
@@ -27,17 +29,23 @@ _TRIES = 64
 def shingle_sets(text: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Owner and hash of each distinct shingle of each text, sorted by owner and hash.
 
-    A shingle is `size` consecutive words, A-Z lower-cased; a text with fewer words, but at least one, has the sequence of all.
+    A shingle is `size` consecutive words, A-Z lower-cased; a text with fewer words, but at least one, has the sequence of all. A single long text is read in stretches.
     """
+    whole = long_text(text)
+    if whole is not None:
+        parts, count = [], 0
+        for w, again, _ in stretches(whole, size - 1, lower=True):
+            count += len(w.starts) - again
+            parts.append(np.unique(_shingles(w, size)[1]) if len(w.starts) >= size else np.empty(0, np.uint64))
+        if count >= size:
+            h = np.unique(np.concatenate(parts))
+            return np.zeros(len(h), np.int64), h
     w = Words(text, lower=True)
-    sums = _SHINGLES.sums(w.hashes)
+    owner, h = _shingles(w, size)
     count = np.diff(w.first)
-    at = np.arange(len(w.starts))
-    end = w.first[1:][w.doc] if len(at) else at
-    starts = at[at + size <= end]
     short = np.flatnonzero((count > 0) & (count < size))
-    owner = np.concatenate((w.doc[starts], short))
-    h = np.concatenate((_SHINGLES.spans(sums, starts, starts + size), _SHINGLES.spans(sums, w.first[short], w.first[short + 1])))
+    if len(short):
+        owner, h = np.concatenate((owner, short)), np.concatenate((h, _SHINGLES.spans(_SHINGLES.sums(w.hashes), w.first[short], w.first[short + 1])))
     order = np.lexsort((h, owner))
     owner, h = owner[order], h[order]
     fresh = np.ones(len(h), bool)
@@ -45,6 +53,13 @@ def shingle_sets(text: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return owner[fresh], h[fresh]
 
 
+def _shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    at = np.arange(len(w.starts))
+    end = w.first[1:][w.doc] if len(at) else at
+    starts = at[at + size <= end]
+    return w.doc[starts], _SHINGLES.spans(_SHINGLES.sums(w.hashes), starts, starts + size)
+
+
 def signatures(owner: np.ndarray, h: np.ndarray, n: int, bins: int) -> np.ndarray:
     """One-permutation signatures, densified, of n sets; a row for each set, meaningless for an empty one."""
     x = mixed(h)
@@ -71,7 +86,7 @@ def signatures(owner: np.ndarray, h: np.ndarray, n: int, bins: int) -> np.ndarra
 
 
 def _sketch(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, n, h1, h2, bands): size and hash of each document's set, and its bucket in each band."""
+    """(key, doc_id, n, h1, h2, bands): size and hash of the set of each of docs (key, doc_id, text), and its bucket in each band."""
 
     def read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it, "text"):
@@ -87,9 +102,9 @@ def _sketch(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                 bucket = mixed(bucket * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, r])
             alive = count > 0
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(alive * bands))), pa.int32()), pa.array(signed(bucket[alive].reshape(-1))))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(count, pa.int64()), *(pa.array(signed(b)) for b in both), lists], ["doc_id", "n", "h1", "h2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch["key"], batch["doc_id"], pa.array(count, pa.int64()), *(pa.array(signed(b)) for b in both), lists], ["key", "doc_id", "n", "h1", "h2", "bands"])
 
-    return docs.mapInArrow(read, "doc_id long, n long, h1 long, h2 long, bands array<long>")
+    return mapped(docs, read, "key long, doc_id long, n long, h1 long, h2 long, bands array<long>")
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -99,9 +114,9 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
         for batch in batches(it, "text"):
             owner, h = shingle_sets(batch["text"], size)
             lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(len(batch) + 1)), pa.int32()), pa.array(signed(h)))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], lists], ["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch["key"], lists], ["id", "shingles"])
 
-    return docs.mapInArrow(read, "id long, shingles array<long>")
+    return mapped(docs, read, "id long, shingles array<long>")
 
 
 def _enough(common, a, b, percent: int):
@@ -116,92 +131,105 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicate_links(sketch: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(id, component) of the representatives that are linked; sketch: one row for each distinct set, written."""
-    buckets = sketch.select("doc_id", "n", F.explode("bands").alias("key"))
-    several = buckets.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("many")).filter("many > 1")
-    members = written(buckets.join(several.select("key", "first"), "key").select("key", F.col("doc_id").alias("id"), "n", "first"), "members")
+    """(id, component) of the representatives that are linked, written; sketch: one row for each distinct set, written.
+
+    What a key's rows are joined with is a table of its own each time, summed or limited before, so that Spark can split the join of a hot bucket.
+    """
+    made: list[DataFrame] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        made.append(written(df, name))
+        return made[-1]
+
+    buckets = sketch.select("key", "n", F.explode("bands").alias("bucket"))
+    several = keep(buckets.groupBy("bucket").agg(F.min("key").alias("first"), F.count("*").alias("many")).filter("many > 1").drop("many"), "buckets")
+    members = keep(buckets.join(several, "bucket").select(F.col("bucket").alias("key"), F.col("key").alias("id"), "n", "first"), "members")
     ids = members.select("id").distinct()
-    sets = written(_sets(docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), size), "sets")
-    stars = members.filter("id != first").join(members.filter("id = first").select("key", F.col("n").alias("n_first")), "key").filter(_enough(F.least("n", "n_first"), F.col("n"), F.col("n_first"), percent)).select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    links = written(_confirmed(stars, sets, percent), "links")
-    comps = written(components(links), "components")
+    sets = keep(_sets(docs.join(ids.withColumnRenamed("id", "key"), "key", "left_semi"), size), "sets")
+    heads = keep(members.filter("id = first").select("key", F.col("n").alias("n_first")), "heads")
+    stars = members.filter("id != first").join(heads, "key").filter(_enough(F.least("n", "n_first"), F.col("n"), F.col("n_first"), percent)).select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
+    stars = keep(stars, "stars")
+    links = keep(_confirmed(stars, sets, percent), "links")
+    comps = keep(components(links), "components")
     # shingles that no other member has bound what a pair can share; they are counted where a star left something open
-    left = _open(members, comps)
-    if not left.limit(1).count():
-        return comps
-    left = written(left, "open")
-    own = sets.join(left.select("id").distinct(), "id", "left_semi")
-    alone = own.select(F.explode("shingles").alias("s"), "id").groupBy("s").agg(F.count("*").alias("df"), F.min("id").alias("id")).filter("df = 1").groupBy("id").agg(F.count("*").alias("alone"))
-    bound = F.col("n") - F.coalesce("alone", F.lit(0))
-    left = written(left.join(alone, "id", "left").withColumn("most", bound).filter(_enough(F.col("most"), F.col("most"), F.col("n"), percent)).drop("alone"), "open")
-    left = written(left.join(_distances(left, members, sets), "id").join(sketch.select(F.col("doc_id").alias("id"), "bands"), "id"), "open")
+    left = keep(_still_open(members, comps, keep).filter("id != first").drop("comp", "first"), "open")
+    if left.limit(1).count():
+        own = sets.join(left.select("id").distinct(), "id", "left_semi")
+        alone = own.select(F.explode("shingles").alias("s"), "id").groupBy("s").agg(F.count("*").alias("df"), F.min("id").alias("id")).filter("df = 1").groupBy("id").agg(F.count("*").alias("alone"))
+        bound = F.col("n") - F.coalesce("alone", F.lit(0))
+        left = keep(left.join(alone, "id", "left").withColumn("most", bound).filter(_enough(F.col("most"), F.col("most"), F.col("n"), percent)).drop("alone"), "open")
+        left = keep(left.join(_distances(left, members, sets, keep), "id").join(sketch.select(F.col("key").alias("id"), "bands"), "id"), "open")
+        left = keep(_still_open(left, comps, keep), "open")
     checked, many = stars, 8
-    while True:
-        left = _still_open(left, comps)
-        order = Window.partitionBy("key").orderBy(F.col("n") - F.col("most"), "id")
+    while left.limit(1).count():
         own = ("id", "n", "most", "pivot", "apart", "shared", "comp", "bands")
-        centres = left.select("key", *(F.col(c).alias(f"{c}_a") for c in own), F.row_number().over(order).alias("at")).filter(F.col("at") <= many)
+        centres = keep(_first(left, many).select("key", *(F.col(c).alias(f"{c}_a") for c in own)), "centres")
         others = left.select("key", *(F.col(c).alias(f"{c}_b") for c in own))
         # |x - y| + |y - x| is at least what both differ from their pivot by, less twice what of it can be the same
         far = F.col("apart_a") + F.col("apart_b") - 2 * F.least("shared_a", "shared_b")
         near = (F.col("pivot_a") != F.col("pivot_b")) | (far * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
         here = F.col("key") == F.array_min(F.array_intersect("bands_a", "bands_b"))  # a pair comes from one of its buckets alone
-        pairs = others.join(centres.drop("at"), "key").filter((F.col("comp_a") != F.col("comp_b")) & near & _enough(F.least("most_a", "most_b"), F.col("n_a"), F.col("n_b"), percent) & here)
-        pairs = pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(checked, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        new = written(_confirmed(pairs, sets, percent), "links")
-        rest = left.select("key", "id").join(centres.select("key", F.col("id_a").alias("id")), ["key", "id"], "left_anti")
-        rest = written(left.drop("comp").join(rest, ["key", "id"], "left_semi"), "open")
-        links = written(links.unionAll(new), "links")
-        comps = written(components(links), "components")
+        pairs = others.join(centres, "key").filter((F.col("comp_a") != F.col("comp_b")) & near & _enough(F.least("most_a", "most_b"), F.col("n_a"), F.col("n_b"), percent) & here)
+        pairs = pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct().join(checked, ["a", "b"], "left_anti")
+        pairs = keep(pairs, "pairs")
+        links = keep(links.unionAll(_confirmed(pairs, sets, percent)), "links")
+        comps = keep(components(links), "components")
         checked = checked.unionAll(pairs)
-        left, many = rest, many * 8
-        if not _still_open(left, comps).limit(1).count():
-            return comps
+        rest = left.drop("comp").join(centres.select("key", F.col("id_a").alias("id")), ["key", "id"], "left_anti")
+        left, many = keep(_still_open(rest, comps, keep), "open"), many * 8
+    dropped(*(df for df in made if df is not comps))
+    return comps
 
 
-def _distances(left: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
+def _distances(left: DataFrame, members: DataFrame, sets: DataFrame, keep) -> DataFrame:
     """(id, pivot, apart, shared): a document that starts a bucket of it, how many shingles just one of both has, and how many of those stand in
     the same place for another document with that pivot."""
     pivots = members.join(left.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("first").alias("pivot"))
     both = pivots.join(sets, "id").join(sets.select(F.col("id").alias("pivot"), F.col("shingles").alias("p")), "pivot")
-    apart = written(both.select("id", "pivot", F.concat(F.array_except("shingles", "p"), F.array_except("p", "shingles")).alias("d")), "apart")
+    apart = keep(both.select("id", "pivot", F.concat(F.array_except("shingles", "p"), F.array_except("p", "shingles")).alias("d")), "apart")
     each = apart.select("id", "pivot", F.explode("d").alias("s"))
     alone = each.groupBy("pivot", "s").agg(F.count("*").alias("df"), F.min("id").alias("id")).filter("df = 1").groupBy("id").agg(F.count("*").alias("own"))
     return apart.select("id", "pivot", F.size("d").alias("apart")).join(alone, "id", "left").select("id", "pivot", "apart", (F.col("apart") - F.coalesce("own", F.lit(0))).alias("shared"))
 
 
+def _first(members: DataFrame, many: int) -> DataFrame:
+    """The first members of each key, ranked in salted parts before all of a key meet."""
+    order = (F.col("n") - F.col("most"), "id")
+    part = members.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    part = part.withColumn("at", F.row_number().over(Window.partitionBy("key", "salt").orderBy(*order))).filter(F.col("at") <= many)
+    return part.withColumn("at", F.row_number().over(Window.partitionBy("key").orderBy(*order))).filter(F.col("at") <= many).drop("at", "salt")
+
+
 def _with_comp(members: DataFrame, comps: DataFrame) -> DataFrame:
     return members.join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
 
 
-def _still_open(members: DataFrame, comps: DataFrame) -> DataFrame:
+def _still_open(members: DataFrame, comps: DataFrame, keep) -> DataFrame:
     """The members, with their component, of buckets that hold more than one."""
     own = _with_comp(members, comps)
-    mixed_keys = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key")
-    return own.join(mixed_keys, "key")
-
-
-def _open(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """What stars leave: members but the first of each bucket, where those others lie in several components or outside the first's."""
-    return _still_open(members, comps).filter("id != first").drop("comp", "first")
+    several = keep(own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key"), "keys")
+    return own.join(several, "key")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 3, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of each document; linked are those that share at least `percent` of the union of their shingles.
+    """(doc_id, n_shingles, component_id, kept) of each row of docs; linked are those that share at least `percent` of the union of their shingles.
 
-    component_id is the smallest doc_id that links reach, kept says that it is the document's own. Documents with equal sets are one from the start. A null or empty text, or one
-    of white space, has no shingles and is linked with nothing. Rows that share a doc_id are one document, with the largest of their texts; a null id is
-    linked with nothing. Texts are read whole, no bucket is cut, other columns are ignored.
+    component_id is the smallest doc_id that links reach, kept says that it is the row's own. Rows with equal sets are one from the start. A null or empty text, or one
+    of white space, has no shingles and is linked with nothing. Rows that share a doc_id are documents of their own; one with a null doc_id is linked with nothing and kept. An
+    empty table gives no rows. Texts are read whole, very long ones in stretches, no bucket is cut, other columns are ignored, whatever their names.
     """
-    own = one_row_per_id(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "doc_id", "text")
+    own, key = with_key(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "doc_id")
+    own = own.withColumnRenamed(key, "key")
     sketch = written(_sketch(own, size, bands, rows), "sketch")
     usable = sketch.filter("n > 0 and doc_id is not null")
-    classes = written(usable.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("keeper")), "classes")
-    distinct = written(usable.join(classes.select(F.col("keeper").alias("doc_id")), "doc_id", "left_semi"), "distinct")
+    classes = written(usable.groupBy("h1", "h2", "n").agg(F.min(F.struct("doc_id", "key")).alias("least")).select("h1", "h2", "n", F.col("least.doc_id").alias("doc_id"), F.col("least.key").alias("key")), "classes")
+    distinct = written(usable.join(classes.select("key"), "key", "left_semi"), "distinct")
     comps = near_duplicate_links(distinct, own, size, percent)
-    named = classes.join(comps.withColumnRenamed("id", "keeper"), "keeper", "left").select("h1", "h2", "n", F.coalesce("component", "keeper").alias("component_id"))
+    linked = classes.join(comps.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    # a component is named by a key, which need not ascend with the ids
+    least = written(linked.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
+    named = written(linked.join(least, "component").select("h1", "h2", "n", "component_id"), "named")
+    dropped(distinct, comps, least, classes)
     with_words = usable.join(named, ["h1", "h2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     without = sketch.filter("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return with_words.unionAll(without).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
