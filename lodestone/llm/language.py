@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import batches, mixed, table
+from lodestone.llm.common import batches, mapped, mixed, table
 
 #: Labelled rows that a fit reads, about: rows are drawn by a hash of their id, so that this many are expected at most.
 MAX_TRAINING_ROWS = 20_000
@@ -23,7 +23,7 @@ MAX_TRAINING_ROWS = 20_000
 MAX_MATRIX_BYTES = 32 << 20
 MAX_LABELS = 1024
 UNDETERMINED = "und"
-_ORDERS, _PIECE = 3, 1 << 19
+_ORDERS, _PIECE = 3, 1 << 17
 _alpha: np.ndarray | None = None
 
 
@@ -113,7 +113,7 @@ def fit(labelled: DataFrame, max_rows: int = MAX_TRAINING_ROWS, buckets: int = 1
         i, j = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(sums[i, j], pa.int64())], ["label", "bucket", "n"])
 
-    summed = rows.select("text", "label").mapInArrow(count, "label int, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most labels x buckets rows
+    summed = mapped(rows.select("text", "label"), count, "label int, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most labels x buckets rows
     counts = np.full((buckets, len(labels)), 0.1)
     counts[summed["bucket"].to_numpy(int), summed["label"].to_numpy(int)] += summed["n"].to_numpy(float)
     prior = np.array([found[x] for x in labels], float)
@@ -124,7 +124,8 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", out: tuple[st
     """docs with the predicted label and its posterior probability; other columns pass through.
 
     A text that is null or has no letter gets label `und` and score 0, as does every text where the model has no labels.
-    Each row is judged by itself, so repeated rows and ids do no harm. Ties go to the label that sorts first.
+    Each row is judged by itself, so repeated rows and ids do no harm; an empty table gives no rows. Ties go to the label that sorts first. Texts are read whole, long ones a
+    piece at a time. Columns of docs that are named like the new ones are replaced, others pass through.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_MATRIX_BYTES
     kept = [c for c in docs.columns if c not in out]
@@ -146,7 +147,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", out: tuple[st
                 label = [own.labels[b] if a else UNDETERMINED for a, b in zip(letters, best, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), pa.array(label, pa.string()), pa.array(p, pa.float64())], [*kept, *out])
 
-    return docs.select(*kept).mapInArrow(score, schema)
+    return mapped(docs.select(*kept), score, schema)
 
 
 def held_out(id_col: str = "doc_id"):
@@ -157,7 +158,7 @@ def held_out(id_col: str = "doc_id"):
 def identify(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of each row, by a model learnt from the rows that are not held out.
 
-    A row with a null doc_id is neither held out nor learnt from.
+    A row with a null doc_id is neither held out nor learnt from. Null and empty texts, repeated rows, empty tables and long texts: as in predict(). Other columns are ignored, whatever their names.
     """
     model = fit(docs.filter(F.col("doc_id").isNotNull() & ~held_out()))
     return predict(docs.select("doc_id", "text", held_out().alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
