@@ -1,16 +1,16 @@
 """Quality classification by co-training.
 
 Two logistic classifiers see each document by separate views: its text content (hashed pairs of neighbouring characters and
-statistics of its words) and its page metadata (source, language, size and line layout). Over some rounds each labels the rows of an
-unlabelled pool of which it is sure for the other. Both are then calibrated on labelled rows kept apart, and the calibrated views
-are combined into the score of every document.
+statistics of its words) and its page metadata (source, language, size and line layout). Over some rounds each scores all unlabelled documents and labels those of which it is
+surest for the other. Both are then calibrated on labelled rows kept apart, and the calibrated views are combined into the score of every document.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,15 +18,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Words, batches, one_row_per_id, table
+from lodestone.llm.common import Words, batches, dropped, long_text, mapped, one_row_per_id, stretches, table, written
 
-#: Labelled and unlabelled rows that a fit reads, about: rows are drawn by a hash of their id, so that this many are expected at most.
-MAX_LABELLED, MAX_POOL = 8_000, 8_000
+#: Labelled rows that a fit reads, about: ids are drawn by a hash, so that this many are expected at most, and never more than twice as many are taken.
+MAX_LABELLED = 8_000
 ROUNDS, SURE, PER_ROUND = 3, 0.95, 1_000
 #: Documents below this score are rejected.
 THRESHOLD = 0.5
 #: Words that a text needs for its view to count in full; with fewer its logit shrinks towards that of the labels' mean.
 ENOUGH_WORDS = 10
+#: The columns that scoring adds.
+SCORES = ("p_text", "p_meta", "quality_score", "quality_kept")
 _PAIRS, _WORD_STATS = 256, 9
 _SOURCES, _LANGS, _LAYOUT = 64, 16, 6
 TEXT_SIZE, META_SIZE = _PAIRS + _WORD_STATS, _SOURCES + _LANGS + _LAYOUT
@@ -41,37 +43,61 @@ def _bucket(value: str | None, size: int) -> int:
     return 0 if value is None else 1 + zlib.crc32(value.encode("utf-8", "surrogatepass")) % (size - 1)
 
 
-def features(text: pa.Array, lang: pa.Array, source: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The text view and the metadata view of a batch, a row for each text; nulls count as empty texts and a value of their own."""
-    words = Words(text)
-    n = len(text)
-    data, offsets = words.data, np.concatenate(([0], np.cumsum(np.asarray(pc.fill_null(pc.binary_length(text), 0), np.int64))))
-    size = np.diff(offsets)
+def _pair_buckets(data: np.ndarray) -> np.ndarray:
+    return ((data[:-1].astype(np.uint32) * 257 + data[1:]) * np.uint32(2654435761) >> np.uint32(24)).astype(np.int64)
+
+
+def _counted(text: pa.Array) -> tuple[np.ndarray, ...]:
+    """Of each text: counts of pair buckets, of kinds of bytes, bytes, words, distinct words, times of the most frequent, words equal to the one before, bytes in words."""
+    words, n = Words(text), len(text)
+    data, size = words.data, np.asarray(pc.fill_null(pc.binary_length(text), 0), np.int64)
     owner = np.repeat(np.arange(n), size)
-    t = np.zeros((n, TEXT_SIZE), np.float32)
+    pairs = np.zeros((n, _PAIRS), np.int64)
     if len(data) > 1:
         same = owner[1:] == owner[:-1]
-        pair = ((data[:-1].astype(np.uint32) * 257 + data[1:]) * np.uint32(2654435761) >> np.uint32(24)).astype(np.int64)
-        t[:, :_PAIRS] = np.bincount(owner[1:][same] * _PAIRS + pair[same], minlength=n * _PAIRS).reshape(n, _PAIRS) / np.maximum(size - 1, 1)[:, None]
-    t[:, :_PAIRS] = np.sqrt(t[:, :_PAIRS])
+        pairs = np.bincount(owner[1:][same] * _PAIRS + _pair_buckets(data)[same], minlength=n * _PAIRS).reshape(n, _PAIRS)
     kinds = np.stack([np.bincount(owner, k[data], n) if len(data) else np.zeros(n) for k in _KINDS])
-    count = np.diff(words.first)
-    some = np.maximum(count, 1)
     order = np.lexsort((words.hashes, words.doc))
     h, d = words.hashes[order], words.doc[order]
     fresh = np.ones(len(h), bool)
     fresh[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-    distinct = np.bincount(d[fresh], minlength=n)
     top = np.zeros(n)
     if len(h):
-        runs = np.diff(np.append(np.flatnonzero(fresh), len(h)))
-        np.maximum.at(top, d[fresh], runs)
+        np.maximum.at(top, d[fresh], np.diff(np.append(np.flatnonzero(fresh), len(h))))
     again = np.bincount(words.doc[1:][(words.hashes[1:] == words.hashes[:-1]) & (words.doc[1:] == words.doc[:-1])], minlength=n)
+    return pairs, kinds, size, np.diff(words.first), np.bincount(d[fresh], minlength=n), top, again, np.bincount(words.doc, words.ends - words.starts, n)
+
+
+def _long_counted(text: bytes) -> tuple[np.ndarray, ...]:
+    """The same of one long text, stretch by stretch."""
+    pairs, kinds, again, inside, count, last, before = np.zeros(_PAIRS, np.int64), np.zeros(4), 0, 0, 0, None, b""
+    seen = np.empty(0, np.uint64), np.empty(0, np.int64)
+    for w, _, piece in stretches(text):
+        pairs += np.bincount(_pair_buckets(np.frombuffer(before + piece, np.uint8)), minlength=_PAIRS)
+        kinds += [np.count_nonzero(k[w.data]) for k in _KINDS]
+        before = piece[-1:] or before
+        if len(w.hashes):
+            again += np.count_nonzero(w.hashes[1:] == w.hashes[:-1]) + int(w.hashes[0] == last if last is not None else 0)
+            last, inside, count = w.hashes[-1], inside + int((w.ends - w.starts).sum()), count + len(w.hashes)
+            h, times = np.unique(w.hashes, return_counts=True)
+            h, at = np.unique(np.concatenate((seen[0], h)), return_inverse=True)
+            seen = h, np.bincount(at, np.concatenate((seen[1], times)), len(h)).astype(np.int64)
+    one = lambda x: np.array([x])
+    return pairs[None], kinds[:, None], one(len(text)), one(count), one(len(seen[0])), one(float(seen[1].max(initial=0))), one(again), one(float(inside))
+
+
+def features(text: pa.Array, lang: pa.Array, source: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The text view and the metadata view of a batch, a row for each text, in single precision rounded to half; nulls count as empty texts and a value of their own."""
+    n, long = len(text), long_text(text)
+    pairs, kinds, size, count, distinct, top, again, inside = _counted(text) if long is None else _long_counted(long)
+    some = np.maximum(count, 1)
+    t = np.zeros((n, TEXT_SIZE), np.float32)
+    t[:, :_PAIRS] = np.sqrt(pairs / np.maximum(size - 1, 1)[:, None])
     s = t[:, _PAIRS:]
     s[:, 0], s[:, 1], s[:, 2] = kinds[0] / np.maximum(size, 1), kinds[1] / np.maximum(size, 1), kinds[2] / np.maximum(size, 1)
     s[:, 3], s[:, 4], s[:, 5] = distinct / some, top / some, again / some
     s[:, 6] = np.log1p(distinct) / np.log1p(some)
-    s[:, 7] = np.minimum(np.bincount(words.doc, words.ends - words.starts, n) / some, 50) / 10
+    s[:, 7] = np.minimum(inside / some, 50) / 10
     s[:, 8] = np.log1p(count) / 10
     m = np.zeros((n, META_SIZE), np.float32)
     m[np.arange(n), [_bucket(x, _SOURCES) for x in source.to_pylist()]] = 1
@@ -81,7 +107,7 @@ def features(text: pa.Array, lang: pa.Array, source: pa.Array) -> tuple[np.ndarr
     rest[:, 2] = np.log1p(size / (kinds[3] + 1)) / 10
     for k, low in enumerate((1_000, 5_000, 20_000)):
         rest[:, 3 + k] = size > low
-    return t, m
+    return t.astype(np.float16).astype(np.float32), m.astype(np.float16).astype(np.float32)
 
 
 @dataclass
@@ -134,27 +160,35 @@ def _view(x: np.ndarray, y: np.ndarray) -> View:
     return View(mean, scale, _newton((x - mean) / scale, y, 3.0))
 
 
-def cotrain(t: np.ndarray, m: np.ndarray, y: np.ndarray, pool_t: np.ndarray, pool_m: np.ndarray, rounds: int = ROUNDS, sure: float = SURE, per_round: int = PER_ROUND) -> Model | None:
-    """A model from labelled rows (y of 0 and 1) and an unlabelled pool; None unless y has both labels."""
+#: Of rows that one view is surest of: view, label, number of the row, features.
+Sure = tuple[int, int, int, np.ndarray]
+
+
+def cotrain(t: np.ndarray, m: np.ndarray, y: np.ndarray, surest: Callable[[list[View], list[set[int]]], list[Sure]], rounds: int = ROUNDS) -> Model | None:
+    """A model from labelled rows (y of 0 and 1); None unless y has both labels.
+
+    surest(views, taken): the unlabelled rows that each view labels for the other, but for those that the other has taken already.
+    """
     if len(np.unique(y)) < 2:
         return None
     apart = np.arange(len(y)) % 4 == 0
     if len(np.unique(y[apart])) < 2 or len(np.unique(y[~apart])) < 2:
         apart = np.zeros(len(y), bool)
-    views, own = [t, m], [pool_t, pool_m]
-    extra: list[dict[int, float]] = [{}, {}]
+    views, extra = [t, m], [[], []]
+    taken: list[set[int]] = [set(), set()]
 
     def fitted(k: int) -> View:
-        rows = list(extra[k])
-        return _view(np.concatenate((views[k][~apart], own[k][rows])), np.concatenate((y[~apart], [extra[k][i] for i in rows])))
+        more = [x for x, _ in extra[k]]
+        return _view(np.concatenate((views[k][~apart], np.array(more, np.float32).reshape(len(more), views[k].shape[1]))), np.concatenate((y[~apart], [label for _, label in extra[k]])))
 
     now = [fitted(0), fitted(1)]
-    for _ in range(rounds if len(pool_t) else 0):
-        for k in (0, 1):  # the view that labels for the other
-            p = _sigmoid(now[k].logit(own[k]))
-            for label, how in ((1.0, p), (0.0, 1 - p)):
-                best = [i for i in np.argsort(-how, kind="stable") if how[i] >= sure and i not in extra[1 - k]][:per_round]
-                extra[1 - k].update((int(i), label) for i in best)
+    for _ in range(rounds):
+        found = surest(now, taken)
+        for k, label, row, x in found:
+            taken[1 - k].add(row)
+            extra[1 - k].append(((x[TEXT_SIZE:] if k == 0 else x[:TEXT_SIZE]), float(label)))
+        if not found:
+            break
         now = [fitted(0), fitted(1)]
     held = apart if apart.any() else np.ones(len(y), bool)
     for k in (0, 1):
@@ -165,39 +199,93 @@ def cotrain(t: np.ndarray, m: np.ndarray, y: np.ndarray, pool_t: np.ndarray, poo
     return Model(now[0], now[1], _newton(both, y[held], 1e-2), float(np.log(share / (1 - share))))
 
 
-def _drawn(rows: DataFrame, n: int, most: int, salt: str) -> DataFrame:
-    return rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, most / max(n, 1))))
+def _split(x: bytes | np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both views of n rows of features."""
+    own = np.frombuffer(x, np.float16).reshape(n, TEXT_SIZE + META_SIZE).astype(np.float32)
+    return own[:, :TEXT_SIZE], own[:, TEXT_SIZE:]
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> Model | None:
-    """A model from about max_labelled rows of docs with a label, and max_pool without, drawn by a hash of doc_id."""
-    known = one_row_per_id(labels.select("doc_id", F.col(label_col).cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)"), "doc_id", "label")
-    n, total = known.count(), docs.count()
-    rows = docs.select("doc_id", "text", "lang", "source").filter("doc_id is not null and text is not null")
-    drawn = _drawn(known, n, max_labelled, "labelled")
-    some = _drawn(rows, max(total, 1), max_pool, "pool").join(known, "doc_id", "left_anti").withColumn("label", F.lit(-1))
-    picked = rows.join(F.broadcast(drawn), "doc_id").unionByName(some)  # drawn has about max_labelled rows
+def viewed(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, filled, x) of docs (doc_id, text, lang, source), written: a number of its own for each row, whether it has text, its features as bytes of half precision."""
 
     def seen(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it, "text"):
-            t, m = features(batch["text"], batch["lang"], batch["source"])
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["label"], pa.array([x.tobytes() for x in np.concatenate((t, m), 1)], pa.binary())], ["doc_id", "label", "x"])
+            x = np.concatenate(features(batch["text"], batch["lang"], batch["source"]), 1).astype(np.float16)
+            filled = np.asarray(pc.fill_null(pc.binary_length(batch["text"]), 0)) > 0
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(filled), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "filled", "x"])
+
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).cast("string").alias(c) for c in ("text", "lang", "source")))
+    return written(mapped(own, seen, "doc_id long, filled boolean, x binary").select(F.monotonically_increasing_id().alias("row"), "doc_id", "filled", "x"), "views")
+
+
+def _known(labels: DataFrame, label_col: str) -> DataFrame:
+    return one_row_per_id(labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)"), "doc_id", "label")
+
+
+def surest(rows: DataFrame, views: list[View], taken: list[set[int]], sure: float = SURE, most: int = PER_ROUND) -> list[Sure]:
+    """Of rows (row, x), the `most` that each view is surest of for each label, at least `sure`, that the other view hasn't taken; each task sends as many of its own at most."""
+    sent = rows.sparkSession.sparkContext.broadcast((views, [np.array(sorted(x), np.int64) for x in taken]))
+
+    def best(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        views, taken = sent.value
+        held = {(k, label): (np.empty(0), np.empty(0, np.int64), np.empty(0, object)) for k in (0, 1) for label in (1, 0)}
+        for batch in it:
+            row, x = batch["row"].to_numpy(), batch["x"].to_pylist()
+            for k, own in enumerate(_split(b"".join(x), len(x))):
+                p = _sigmoid(views[k].logit(own))
+                free = ~np.isin(row, taken[1 - k])
+                for label, how in ((1, p), (0, 1 - p)):
+                    some = np.flatnonzero((how >= sure) & free)
+                    if len(some):
+                        how_, row_, x_ = (np.concatenate(z) for z in zip(held[k, label], (how[some], row[some], np.array([x[i] for i in some], object)), strict=True))
+                        first = np.lexsort((row_, -how_))[:most]
+                        held[k, label] = how_[first], row_[first], x_[first]
+        for (k, label), (how, row, x) in held.items():
+            if len(how):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(how), k), pa.int32()), pa.array(np.full(len(how), label), pa.int32()), pa.array(how), pa.array(row, pa.int64()), pa.array(list(x), pa.binary())], ["k", "label", "how", "row", "x"])
+
+    found = written(mapped(rows.select("row", "x"), best, "k int, label int, how double, row long, x binary"), "sure")
+    parts = [found.filter((F.col("k") == k) & (F.col("label") == label)).orderBy(F.col("how").desc(), "row").limit(most) for k in (0, 1) for label in (1, 0)]
+    got = reduce(DataFrame.unionAll, parts).collect()  # four times `most` rows
+    dropped(found)
+    return [(r["k"], r["label"], r["row"], np.concatenate(_split(bytes(r["x"]), 1), 1)[0]) for r in sorted(got, key=lambda r: (r["k"], -r["label"], -r["how"], r["row"]))]
+
+
+def _fitted(rows: DataFrame, labels: DataFrame, label_col: str, max_labelled: int) -> Model | None:
+    known = _known(labels, label_col)
+    n = known.count()
+    drawn = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("labelled")), F.lit(1 << 30)) < int((1 << 30) * min(1.0, max_labelled / max(n, 1)))).limit(2 * max_labelled)
+    usable = rows.filter("doc_id is not null and filled")
+    picked = usable.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct("row", "x")).alias("first")).select("doc_id", "label", "first.x").orderBy("doc_id").toPandas()  # one row of an id
+    y = picked["label"].to_numpy(float)
+    t, m = _split(b"".join(picked["x"]), len(picked))
+    if len(np.unique(y)) < 2:
+        return None
+    pool = usable.join(known.select("doc_id"), "doc_id", "left_anti")
+    return cotrain(t, m, y, lambda views, taken: surest(pool, views, taken))
+
 
-    got = picked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), "label").mapInArrow(seen, "doc_id long, label int, x binary").toPandas()
-    got = got.sort_values(["doc_id", "x"], kind="stable")
-    x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(len(got), TEXT_SIZE + META_SIZE)
-    y = got["label"].to_numpy(int)
-    t, m, lab = x[:, :TEXT_SIZE], x[:, TEXT_SIZE:], y >= 0
-    return cotrain(t[lab], m[lab], y[lab].astype(float), t[~lab], m[~lab])
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_labelled: int = MAX_LABELLED) -> Model | None:
+    """A model from about max_labelled rows of docs with a label, drawn by a hash of doc_id, one for each id, and from all rows without one. None without labels of both kinds."""
+    rows = viewed(docs)
+    model = _fitted(rows, labels, label_col, max_labelled)
+    dropped(rows)
+    return model
+
+
+def _judged(model: Model | None, t: np.ndarray, m: np.ndarray, filled: np.ndarray) -> np.ndarray:
+    p = model.scores(t, m) if model else np.ones((3, len(t)))
+    p[:, ~filled] = 0
+    return p
 
 
 def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
     """docs with p_text and p_meta (what each calibrated view gives for good quality), quality_score and quality_kept.
 
-    A null or empty text has score 0 and is rejected. Without a model (no labels of both kinds) every other row has score 1. Rows
-    are judged one by one, so repeats and null ids do no harm; columns of docs with the names of the new ones are replaced.
+    A null or empty text has score 0 and is rejected. Without a model (no labels of both kinds) every other row has score 1. Rows are judged one by one, so repeats and null
+    ids do no harm; an empty table gives no rows. Texts are read whole, long ones in stretches. Columns of docs with the names of the new ones are replaced, others pass through.
     """
-    new = ("p_text", "p_meta", "quality_score", "quality_kept")
+    new = SCORES
     kept = [c for c in docs.columns if c not in new]
     sent = docs.sparkSession.sparkContext.broadcast(model)  # some thousand numbers
     schema = docs.select(*kept).schema
@@ -206,19 +294,25 @@ def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) ->
     schema = schema.add(new[3], "boolean", False)
 
     def rate(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
         for batch in batches(it, "text"):
             text = batch["text"].cast(pa.string())
-            p = own.scores(*features(text, batch["lang"].cast(pa.string()), batch["source"].cast(pa.string()))) if own else np.ones((3, len(text)))
-            p[:, np.asarray(pc.fill_null(pc.binary_length(text), 0)) == 0] = 0
+            p = _judged(sent.value, *features(text, batch["lang"].cast(pa.string()), batch["source"].cast(pa.string())), np.asarray(pc.fill_null(pc.binary_length(text), 0)) > 0)
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), *map(pa.array, p), pa.array(p[2] >= threshold)], [*kept, *new])
 
-    return docs.select(*kept).mapInArrow(rate, schema)
+    return mapped(docs.select(*kept), rate, schema)
+
 
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, label_col: str = "quality", max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """(doc_id, p_text, p_meta, quality_score, quality_kept) of each row of docs, by a model co-trained on docs and labels; texts are read once. Odd rows and tables: as in score()."""
+    rows = viewed(docs)
+    sent = docs.sparkSession.sparkContext.broadcast(_fitted(rows, labels, label_col, max_labelled))
+
+    def rate(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            p = _judged(sent.value, *_split(b"".join(batch["x"].to_pylist()), batch.num_rows), batch["filled"].to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *map(pa.array, p), pa.array(p[2] >= threshold)], ["doc_id", "p_text", "p_meta", "quality_score", "quality_kept"])
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, p_text, p_meta, quality_score, quality_kept) of each row of docs, by a model co-trained on docs and labels."""
-    return score(docs.select("doc_id", "text", "lang", "source"), fit(docs, labels), threshold).drop("text", "lang", "source")
+    return mapped(rows.select("doc_id", "filled", "x"), rate, "doc_id long, p_text double, p_meta double, quality_score double, quality_kept boolean")
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
