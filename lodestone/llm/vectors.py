@@ -8,6 +8,7 @@ then counted within each component, block against block, so that windows bound w
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,12 +19,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import one_row_per_id, table, written
+from lodestone.llm.common import dropped, mapped, table, written
 from lodestone.llm.graph import components
 
 THRESHOLD, PASSES, NEIGHBOURS = 0.98, 8, 128
 #: Rows of a block when links are counted; vectors that one task sorts, about.
-BLOCK, SORTED = 512, 20_000
+BLOCK, SORTED = 2048, 20_000
 _BITS = 63
 
 
@@ -32,26 +33,33 @@ def _unit(rows: list[bytes]) -> np.ndarray:
     return x
 
 
-def usable(rows: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    """(vec_id, label, dims, unit) of the rows that can have links: unit is the vector at length 1, as bytes of doubles."""
+def usable(rows: DataFrame) -> DataFrame:
+    """rows (vec_id, v, label) with dims, unit, h1 and h2: the vector at length 1, as bytes of doubles, and a hash of it and its label in 128 bits; null where it can have no links. Lists
+    are read as flat arrays."""
 
     def norm(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            keep, dims, unit = [], [], []
-            for i, v in enumerate(batch["v"].to_pylist()):
-                if not v or None in v:
-                    continue
-                x = np.array(v, np.float64)
-                if not np.isfinite(x).all() or not x.any():
-                    continue
-                x = x / np.abs(x).max() + 0.0  # no negative zeros, so that equal vectors have equal bytes
-                keep.append(i)
-                dims.append(len(x))
-                unit.append((x / np.linalg.norm(x)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch["vec_id"].take(pa.array(keep, pa.int64())), batch["label"].take(pa.array(keep, pa.int64())), pa.array(dims, pa.int32()), pa.array(unit, pa.binary())], ["vec_id", "label", "dims", "unit"])
-
-    own = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v")).filter("vec_id is not null and label is not null and v is not null")
-    return own.mapInArrow(norm, "vec_id long, label string, dims int, unit binary")
+            n, lists = batch.num_rows, batch["v"]
+            size = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64)
+            flat = pc.list_flatten(lists).to_numpy(zero_copy_only=False).astype(np.float64)  # null components become NaN
+            at = np.cumsum(size) - size
+            count = lambda x: np.concatenate(([0], np.cumsum(x)))
+            odd, some = count(~np.isfinite(flat)), count(flat != 0)
+            good = (size > 0) & (odd[at + size] == odd[at]) & (some[at + size] > some[at]) & ~np.asarray(pc.is_null(batch["label"])) & ~np.asarray(pc.is_null(batch["vec_id"]))
+            unit: list[bytes | None] = [None] * n
+            for d in np.unique(size[good]).tolist():
+                those = np.flatnonzero(good & (size == d))
+                x = flat[at[those][:, None] + np.arange(d)]
+                x = x / np.abs(x).max(1, keepdims=True) + 0.0  # no negative zeros, so that equal vectors have equal bytes
+                x = x / np.sqrt((x * x).sum(1, keepdims=True))
+                for i, row in zip(those.tolist(), x, strict=True):
+                    unit[i] = row.tobytes()
+            told = [hashlib.blake2b(len(u).to_bytes(8) + u + t.encode(), digest_size=16).digest() if u else bytes(16) for u, t in zip(unit, batch["label"].to_pylist(), strict=True)]
+            whole = np.frombuffer(b"".join(told), np.int64).reshape(n, 2)
+            mask = ~good
+            yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["label"], pa.array(size, pa.int32(), mask=mask), pa.array(unit, pa.binary()), *(pa.array(whole[:, k], pa.int64(), mask=mask) for k in (0, 1))], ["vec_id", "label", "dims", "unit", "h1", "h2"])
+
+    return mapped(rows, norm, "vec_id long, label string, dims int, unit binary, h1 long, h2 long")
 
 
 def _keys(passes: int):
@@ -141,9 +149,9 @@ def window_edges(found: DataFrame, rows: int, passes: int = PASSES, window: int
         return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
     parts = max(1, -(-rows * passes // SORTED))
-    keyed = found.mapInArrow(_keys(passes), "pass int, key long, vec_id long, label string, dims int, unit binary")
+    keyed = mapped(found, _keys(passes), "pass int, key long, vec_id long, label string, dims int, unit binary")
     order = ["pass", "label", "dims", "key", "vec_id"]
-    walked = written(keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(walk, "a long, b long, part int, pass int, vec_id long, label string, dims int, unit binary"), "passes")
+    walked = written(mapped(keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order), walk, "a long, b long, part int, pass int, vec_id long, label string, dims int, unit binary"), "passes")
     inside = walked.filter("a is not null").select("a", "b")
     if parts == 1:
         return inside
@@ -193,24 +201,27 @@ def link_counts(members: DataFrame, threshold: float = THRESHOLD, block: int = B
 
 
 def link_vectors(rows: DataFrame, threshold: float = THRESHOLD, passes: int = PASSES, window: int = NEIGHBOURS, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of each vector.
+    """(vec_id, n_links, component_id, kept) of each row.
 
     Vectors are linked if their labels are equal and their cosine, in doubles, is at least the threshold, and they came within a window
     in some pass, or are joined through others that did. Vectors that are null, zero, or hold nulls or non-finite components, and those without label or id, link with nothing, as do
-    vectors of different lengths. Rows that share an id are one, with the largest of their vectors and labels. An empty table gives no rows.
+    vectors of different lengths. Every row is a vector of its own, also where ids are null or repeat: component_id is the smallest id that links reach, null for a null id, which is kept.
+    An empty table gives no rows; vectors of any length are read whole; other columns are ignored, whatever their names.
     """
-    own = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.struct(F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("string").alias("label")).alias("x"))
-    own = one_row_per_id(own, "vec_id", "x").select("vec_id", "x.v", "x.label")
-    found = written(usable(own, "vec_id", "v", "label"), "vectors")
-    alike = ["label", "dims", "unit"]
-    distinct = written(found.groupBy(alike).agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")), "distinct")
-    n = distinct.count()
-    comps = written(components(window_edges(distinct.drop("copies"), n, passes, window, threshold)).withColumnRenamed("id", "vec_id"), "components")
-    counts = link_counts(distinct.select("vec_id", "unit", "copies").join(comps, "vec_id"), threshold).join(comps, "vec_id")
-    each = distinct.join(counts, "vec_id", "left").filter("n_links is not null or copies > 1")
-    each = each.select(*alike, F.coalesce("n_links", F.col("copies") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component"))
-    links = found.join(each, alike).select("vec_id", "n_links", "component")
-    return own.select("vec_id").join(links, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"), F.coalesce(F.coalesce("component", "vec_id") == F.col("vec_id"), F.lit(True)).alias("kept"))
+    own = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("string").alias("label"))
+    found = written(usable(own), "vectors")
+    # equal vectors of a label are one class, with a number of its own
+    classes = found.filter("unit is not null").groupBy("h1", "h2", "label", "dims", "unit").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    classes = written(classes.select(F.monotonically_increasing_id().alias("vec_id"), "*"), "classes")
+    n = classes.count()
+    comps = written(components(window_edges(classes.select("vec_id", "label", "dims", "unit"), n, passes, window, threshold)).withColumnRenamed("id", "vec_id"), "components")
+    counts = link_counts(classes.select("vec_id", "unit", "copies").join(comps, "vec_id"), threshold)
+    joined = classes.select("vec_id", "h1", "h2", "least", "copies").join(comps, "vec_id", "left").withColumn("component", F.coalesce("component", "vec_id"))
+    least = written(joined.groupBy("component").agg(F.min("least").alias("component_id")), "least")
+    each = written(joined.join(least, "component").join(counts, "vec_id", "left").select("h1", "h2", F.coalesce("n_links", F.col("copies") - 1).alias("n_links"), "component_id"), "links")
+    dropped(classes, comps, least)
+    same = F.coalesce("component_id", "vec_id")
+    return found.select("vec_id", "h1", "h2").join(each, ["h1", "h2"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), same.alias("component_id"), F.coalesce(same == F.col("vec_id"), F.lit(True)).alias("kept"))
 
 
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
