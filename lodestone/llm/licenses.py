@@ -1,9 +1,11 @@
 """License scans by an exact set-similarity join, in DataFrame operations only.
 
-Text blocks are lines; a template is contained in a block if at least a threshold of its distinct words are there. All words of templates are ordered by the
-number of documents in the whole table that have them, rarest first. A block with enough of a template's words has one of its rarest ones, so candidates come from a
-join on those (prefix filter); they need as many template words as the overlap asks for (length filter), and as many after the place of
-their first common word (positional filter). What passes is confirmed on full sets. Beside it, base phrases are found where their words stand consecutively.
+A text block is a run of consecutive words, a quarter longer than the template it is held against, so that wrapped lines and words put in do no harm; a template is contained in it if at least a threshold
+of its distinct words are there. All words of templates are ordered by the number of documents in the whole table that have them, rarest first. A block with enough of a template's
+words has one of its rarest ones, so candidates come from a join on those (prefix filter); the stretch of words around has to have as many template words as the overlap asks for (length filter), and as many
+from that word on in the common order (positional filter). What passes is confirmed on all its blocks. Beside it, base phrases are found where their words stand consecutively.
+
+Texts are read once: that gives counts, base phrases and the template words of each document, and of documents with enough words of some template their words, which are few.
 """
 
 from __future__ import annotations
@@ -11,54 +13,79 @@ from __future__ import annotations
 import functools
 import math
 import operator
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import one_row_per_id, table
+from lodestone.llm.common import table, written
 
 #: The base phrases and their labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-#: Statements by which well-known licenses are granted, and labels for them.
+#: Statements by which well-known licenses are granted, and their full notices, with labels for them.
 TEMPLATES = (
     ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
+    (
+        "apache-2.0",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at "
+        "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR "
+        "CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    ),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    (
+        "bsd",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright "
+        "notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    ),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
     ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3"),
+    (
+        "gpl-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the "
+        "License, or (at your option) any later version.",
+    ),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    (
+        "mit",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, "
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+        "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    ),
     ("mit", "Released under the MIT License"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
 )
 #: Share of a template's distinct words that a block must have.
 THRESHOLD = 0.9
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: ASCII characters of no word, but the line feed, which ends a block.
-GAPS = "".join(chr(i) for i in range(128) if not chr(i).isalnum() and i != 10)
+#: ASCII characters of no word.
+GAPS = "".join(chr(i) for i in range(128) if not chr(i).isalnum())
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def lowered(text: Column) -> Column:
-    """The text with A-Z in lower case and a blank for each character of no word but line feeds: words() of it then needs no regular expression."""
+    """The text with A-Z in lower case and a blank for each character of no word: words() of it then needs no regular expression."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER + GAPS, LOWER + " " * len(GAPS))
 
 
 def words(low: Column) -> Column:
-    return F.array_remove(F.split(F.replace(low, F.lit("\n"), F.lit(" ")), " "), "")
-
-
-def template_sets(templates=TEMPLATES) -> list[tuple[str, list[str]]]:
-    import re
-
-    return [(label, sorted(set(re.findall(WORD, text.lower())))) for label, text in templates]
+    return F.array_remove(F.split(low, " "), "")
 
 
-def _needed(size: int, threshold: float) -> int:
-    return max(1, math.ceil(size * threshold - 1e-9))
+def template_sets(templates=TEMPLATES, threshold: float = THRESHOLD) -> list[tuple[int, str, list[str], int, int]]:
+    """Of each template its number, label, distinct words, how many of them a block needs, and how many words a block has."""
+    out = []
+    for i, (label, text) in enumerate(templates):
+        w = re.findall(WORD, text.lower())
+        own = sorted(set(w))
+        out.append((i, label, own, max(1, math.ceil(len(own) * threshold - 1e-9)), len(w) + -(-len(w) // 4)))
+    return out
 
 
-def _base(own: DataFrame, phrases=PHRASES) -> DataFrame:
-    """doc_id with n_words and, for base phrases, n_base, first_word, last_word, base (labels)."""
-    w = F.col("w")
+def _read(own: DataFrame, phrases, sets) -> DataFrame:
+    """(doc_id, n_words, n_base, first_word, last_word, base, known, w) of own (doc_id, low): counts, base phrases and their labels, the template words that occur, and all words where some template has
+    enough of those."""
+    w, vocabulary = F.col("w"), sorted({x for _, _, s, _, _ in sets for x in s})
 
     def starts(phrase: str) -> Column:
         parts = phrase.split()
@@ -71,60 +98,53 @@ def _base(own: DataFrame, phrases=PHRASES) -> DataFrame:
     likely = {p: functools.reduce(operator.and_, (F.col("low").contains(x) for x in p.split())) for p, _ in phrases}
     none = F.array().cast("array<int>")
     out = own.select("doc_id", "low", words(F.col("low")).alias("w"))
-    out = out.select("doc_id", F.size("w").cast("long").alias("n_words"), *(F.when(likely[p], starts(p)).otherwise(none).alias(f"at{i}") for i, (p, _) in enumerate(phrases)))
+    known = F.array_intersect(F.array(*map(F.lit, vocabulary)), w)
+    out = out.select("doc_id", "w", F.size("w").cast("long").alias("n_words"), known.alias("known"), *(F.when(likely[p], starts(p)).otherwise(none).alias(f"at{i}") for i, (p, _) in enumerate(phrases)))
     places = F.concat(*(f"at{i}" for i in range(len(phrases))))
     labels = F.filter(F.array(*(F.when(F.size(f"at{i}") > 0, F.lit(label)) for i, (_, label) in enumerate(phrases))), lambda x: x.isNotNull())
-    return out.select("doc_id", "n_words", places.alias("places"), labels.alias("base")).select("doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min("places").cast("long").alias("first_word"), F.array_max("places").cast("long").alias("last_word"), "base")
+    enough = functools.reduce(operator.or_, (F.size(F.array_intersect(F.array(*map(F.lit, s)), "known")) >= need for _, _, s, need, _ in sets), F.lit(False))
+    least = min((need for _, _, _, need, _ in sets), default=1)
+    out = out.select("doc_id", "n_words", places.alias("places"), labels.alias("base"), "known", F.when((F.size("known") >= least) & enough, w).alias("w"))
+    return out.select("doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min("places").cast("long").alias("first_word"), F.array_max("places").cast("long").alias("last_word"), "base", "known", "w")
 
 
-def _blocks(own: DataFrame) -> DataFrame:
-    return own.select("doc_id", F.explode(F.split("low", "\n")).alias("block"))
-
-
-def matches(own: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, found, best): labels of the templates that some block of the document contains, and the largest containment. own: doc_id, low."""
-    spark = own.sparkSession
-    sets = template_sets(templates)
-    vocabulary = sorted({x for _, s in sets for x in s})
-    # how many documents have each template word: one row for each, summed before the shuffle
-    counted = own.select(F.explode(F.array_intersect(F.array(*map(F.lit, vocabulary)), words(F.col("low")))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+def matches(read: DataFrame, sets) -> DataFrame:
+    """(row, found, best): labels of the templates that some block of the document contains, and the largest containment. read: row, known, w."""
+    spark = read.sparkSession
+    counted = read.select(F.explode("known").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     often = {r["word"]: r["n"] for r in counted.collect()}  # at most as many rows as the templates have words
-    order = sorted(vocabulary, key=lambda x: (often.get(x, 0), x))
+    order = sorted({x for _, _, s, _, _ in sets for x in s}, key=lambda x: (often.get(x, 0), x))
     rank = {x: i for i, x in enumerate(order)}
     index = []
-    for label, s in sets:
+    for i, label, s, need, length in sets:
         by_rank = sorted(s, key=rank.__getitem__)
-        need = _needed(len(s), threshold)
-        index += [(x, label, i, len(s), need, by_rank) for i, x in enumerate(by_rank[: len(s) - need + 1])]
+        index += [(x, i, label, place, len(s), need, length, by_rank) for place, x in enumerate(by_rank[: len(s) - need + 1])]
+    lists = spark.createDataFrame(index, "word string, template int, label string, place int, size int, need int, length int, words array<string>")
     prefix = sorted({row[0] for row in index})
-    shortest = min(row[4] for row in index)
-    known = F.array(*map(F.lit, order))
-
-    def probe(text: Column) -> Column:
-        return functools.reduce(operator.or_, (text.contains(x) for x in prefix))
-
-    # the lambda's variable keeps the lowered text from being made anew for each word
-    likely = F.get(F.transform(F.array("low"), probe), F.lit(0))
-    blocks = _blocks(own.filter(likely)).filter(probe(F.col("block")))
-    ordered = blocks.select("doc_id", F.array_intersect(known, words(F.col("block"))).alias("own")).filter(F.size("own") >= shortest)
-    probes = ordered.select("doc_id", "own", F.posexplode("own").alias("at", "word")).filter(F.col("word").isin(prefix))
-    lists = spark.createDataFrame(index, "word string, label string, place int, size int, need int, template array<string>")
-    near = probes.join(F.broadcast(lists), "word").filter((F.size("own") >= F.col("need")) & (F.least(F.col("size") - F.col("place"), F.size("own") - F.col("at")) >= F.col("need") - F.least("place", "at")))
-    common = F.size(F.array_intersect("own", "template"))
-    sure = near.select("doc_id", "label", "size", "need", common.alias("common")).filter("common >= need")
-    return sure.groupBy("doc_id").agg(F.collect_set("label").alias("found"), F.max(F.col("common") / F.col("size")).alias("best"))
+    probes = read.filter("w is not null").select("row", "w", F.posexplode("w").alias("at", "word")).filter(F.col("word").isin(prefix))
+    # the words that blocks with this one have, from the start of the first to the end of the last
+    first = F.greatest(F.col("at") - F.col("length") + 1, F.lit(0))
+    near = probes.join(F.broadcast(lists), "word").select("*", F.slice("w", first + 1, F.col("at") - first + F.col("length")).alias("around"))
+    own = F.array_intersect(F.array(*map(F.lit, order)), F.col("around"))
+    near = near.drop("w").withColumn("own", own).withColumn("from", F.array_position("own", F.col("word")).cast("int") - 1)
+    near = near.filter(F.size("own") >= F.col("need")).filter(F.least(F.col("size") - F.col("place"), F.size("own") - F.col("from")) >= F.col("need") - F.least("place", "from"))
+    # of all blocks, those that begin with a template word have most of them
+    begins = F.filter(F.sequence(F.lit(0), F.size("around") - 1), lambda i: F.array_contains("words", F.get("around", i)))
+    common = F.array_max(F.transform(begins, lambda i: F.size(F.array_intersect("words", F.slice("around", i + 1, F.col("length"))))))
+    sure = near.select("row", "label", "size", "need", common.alias("common")).filter("common >= need")
+    return sure.groupBy("row").agg(F.collect_set("label").alias("found"), F.max(F.col("common") / F.col("size")).alias("best"))
 
 
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, phrases=PHRASES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) of each document.
+    """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) of each row of docs.
 
     score: 1 where a base phrase stands, else the largest containment among the templates found, else 0. A null or empty text has no words: counts of 0, null places,
-    empty labels. Rows that share a doc_id, a null one too, are one document, with the largest of their texts. Lines of any length are one block. Other columns are ignored.
+    empty labels. Every row is a document of its own, also where doc_ids are null or repeat; an empty table gives no rows. Texts of any length are read whole. Other columns are ignored, whatever their names.
     """
-    own = one_row_per_id(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "doc_id", "text")
-    own = own.select("doc_id", lowered(F.col("text")).alias("low"))
-    base, found = _base(own, phrases), matches(own, templates, threshold).withColumnRenamed("doc_id", "own_id")
-    both = base.join(found, base["doc_id"].eqNullSafe(found["own_id"]), "left")
+    sets = template_sets(templates, threshold)
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), lowered(F.col(text_col).cast("string")).alias("low"))
+    read = written(_read(own, phrases, sets).select(F.monotonically_increasing_id().alias("row"), "*"), "licenses")
+    both = read.join(matches(read, sets), "row", "left")
     labels = F.array_sort(F.array_union("base", F.coalesce("found", F.array().cast("array<string>"))))
     return both.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join(F.array_sort("base"), ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"))
 
@@ -138,24 +158,26 @@ def _quoted(values) -> str:
 
 
 def oracle() -> str:
-    """DuckDB SQL for op5_license_scan: every template against every line, without filters."""
-    word = WORD
+    """DuckDB SQL for op5_license_scan: every template against the blocks that begin with one of its words, without filters; no other block has more of them."""
     hits = []
     for phrase, label in PHRASES:
         parts = phrase.split()
         here = " and ".join(f"w[i + {k}] = '{p}'" for k, p in enumerate(parts, 1))
-        hits.append(f"select doc_id, i as place, '{label}' as label from (select doc_id, w, unnest(range(0, greatest(len(w) - {len(parts) - 1}, 0))) as i from words) where {here}")
-    values = ", ".join(f"('{label}', {_quoted(s)}, {_needed(len(s), THRESHOLD)})" for label, s in template_sets())
+        hits.append(f"select r, i as place, '{label}' as label from (select r, w, unnest(range(0, greatest(len(w) - {len(parts) - 1}, 0))) as i from words) where {here}")
+    templates = " union all ".join(f"select {i}, '{label}', {len(s)}, {need}, {length}, unnest({_quoted(s)})" for i, label, s, need, length in template_sets())
     return f"""
-with own as (select doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') as low from documents),
-words as (select doc_id, regexp_extract_all(low, '{word}') as w from own),
+with own as (select row_number() over () as r, doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') as low from documents),
+words as (select r, doc_id, regexp_extract_all(low, '{WORD}') as w from own),
 hits as ({" union all ".join(hits)}),
-base as (select doc_id, count(*) as n, min(place) as lo, max(place) as hi, list_distinct(list(label)) as labels from hits group by doc_id),
-blocks as (select doc_id, list_distinct(regexp_extract_all(unnest(string_split(low, chr(10))), '{word}')) as b from own),
-templates(label, t, need) as (values {values}),
-found as (select doc_id, list_distinct(list(label)) as labels, max(len(list_intersect(b, t)) / len(t)) as best from blocks, templates where len(list_intersect(b, t)) >= need group by doc_id)
+base as (select r, count(*) as n, min(place) as lo, max(place) as hi, list_distinct(list(label)) as labels from hits group by r),
+t(template, label, size, need, length, word) as ({templates}),
+p as (select r, i, word from (select r, unnest(w) as word, generate_subscripts(w, 1) as i from words) where word in (select word from t)),
+o as (select r, i, word, template, label, size, need, length from p join t using (word)),
+blocks as (select a.r, a.template, a.i, any_value(a.label) as label, any_value(a.size) as size, any_value(a.need) as need, count(distinct b.word) as common
+  from o a join o b on a.r = b.r and a.template = b.template and b.i >= a.i and b.i < a.i + a.length group by a.r, a.template, a.i),
+found as (select r, list_distinct(list(label)) as labels, max(common / size) as best from blocks where common >= need group by r)
 select w.doc_id, len(w.w)::bigint as n_words, coalesce(base.n, 0)::bigint as n_base, base.lo::bigint as first_word, base.hi::bigint as last_word,
   coalesce(array_to_string(list_sort(base.labels), ','), '') as base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []::varchar[]), coalesce(found.labels, []::varchar[])))), ','), '') as labels,
   case when base.n > 0 then 1.0::double else coalesce(found.best, 0)::double end as score
-from words w left join base using (doc_id) left join found using (doc_id)"""
+from words w left join base using (r) left join found using (r)"""
