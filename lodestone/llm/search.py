@@ -1,92 +1,96 @@
 """Exact top-k search by BM25: an inverted index in shards, block-max WAND pruning in each, an exact merge.
 
-A shard is a run of documents of bounded size and one row of the index: for each term its postings, and for terms with many of them also the largest
-frequency and the smallest document length within each range of documents. Document frequencies, the number of documents and their mean length are of the whole index, so
-that scores of all shards compare. In a shard, a range of documents is skipped if the maxima of its blocks cannot add up to the k-th best score so far;
-ranges are tested in the order of those sums. Terms are 64-bit hashes of words; of 1e9 words and 1e4 query terms two are the same with probability 1e-6.
+A shard is a run of documents of bounded size and one row of the index: for each term its postings, in blocks of the documents of one range, and of each block the largest
+frequency and the smallest document length. Document frequencies, the number of documents and their mean length are of the whole index, so
+that scores of all shards compare. In a shard every term of a query has a cursor on its blocks. The pivot is the first range, in the order of the cursors, up to which the terms' largest
+scores add up to the k-th best score so far; cursors before it move up to it, and it is scored only if the maxima of its blocks add up to that too.
+Terms are 64-bit hashes of words; of 1e9 words and 1e4 query terms two are the same with probability 1e-6.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import NO_LETTERS, PASS_BYTES, Words, batches, signed, table, written
+from lodestone.llm import common
+from lodestone.llm.common import NO_LETTERS, Words, batches, long_text, mapped, runs, signed, stretches, table, written
 
 K1, B, TOP = 1.2, 0.75, 10
 #: Text bytes of a shard; documents of a range; distinct terms of the queries that are searched together, which bounds what is broadcast.
 SHARD_BYTES, RANGE, QUERY_TERMS = 8 << 20, 64, 200_000
 _DIGITS = 6
-_COLUMNS = (("ids", "<i8"), ("lengths", "<u4"), ("terms", "<u8"), ("first", "<u4"), ("docs", "<u4"), ("counts", "<u4"), ("long", "<u4"), ("long_first", "<u4"), ("block", "<u4"), ("block_first", "<u4"), ("most", "<u4"), ("shortest", "<u4"))
+_COLUMNS = (("ids", "<i8"), ("lengths", "<u4"), ("terms", "<u8"), ("first", "<u4"), ("docs", "<u4"), ("counts", "<u4"), ("blocks", "<u4"), ("block", "<u4"), ("block_first", "<u4"), ("most", "<u4"), ("shortest", "<u4"))
 _INDEX = "shard long, n long, total long, " + ", ".join(f"{c} binary" for c, _ in _COLUMNS)
 
 
-def _terms(text: pa.Array) -> Words:
-    return Words(text, lower=True, gaps=NO_LETTERS)
+def _postings(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, term and times of each term of each text, ordered by them; a single long text is read in stretches."""
+    long = long_text(text)
+    words = [Words(text, lower=True, gaps=NO_LETTERS)] if long is None else (w for w, _, _ in stretches(long, lower=True, gaps=NO_LETTERS))
+    parts = [_summed(w.doc, w.hashes, np.ones(len(w.hashes), np.int64)) for w in words]
+    return parts[0] if len(parts) == 1 else _summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
 
-def _shard(ids: np.ndarray, doc: np.ndarray, term: np.ndarray) -> dict[str, np.ndarray]:
-    """The arrays of a shard, from the document number and the hash of each word."""
-    order = np.lexsort((doc, term))
-    doc, term = doc[order], term[order]
+def _summed(doc: np.ndarray, term: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((term, doc))
+    doc, term, count = doc[order], term[order], count[order]
     new = np.ones(len(term), bool)
     new[1:] = (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])
     at = np.flatnonzero(new)
-    counts = np.diff(np.append(at, len(term)))
-    p_doc, p_term = doc[at], term[at]
-    fresh = np.ones(len(p_term), bool)
-    fresh[1:] = p_term[1:] != p_term[:-1]
-    first = np.append(np.flatnonzero(fresh), len(p_term))
-    lengths = np.bincount(doc, minlength=len(ids))
-    long = np.flatnonzero(np.diff(first) >= RANGE)
-    blocks, starts, most, shortest, long_first = [], [], [], [], [0]
-    for t in long:
-        a, b = first[t], first[t + 1]
-        block = p_doc[a:b] // RANGE
-        cut = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
-        blocks.append(block[cut])
-        starts.append(a + cut)
-        most.append(np.maximum.reduceat(counts[a:b], cut))
-        shortest.append(np.minimum.reduceat(lengths[p_doc[a:b]], cut))
-        long_first.append(long_first[-1] + len(cut))
-    cat = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
-    return {"ids": ids, "lengths": lengths, "terms": p_term[fresh], "first": first, "docs": p_doc, "counts": counts, "long": long, "long_first": np.array(long_first), "block": cat(blocks), "block_first": cat(starts), "most": cat(most), "shortest": cat(shortest)}
+    return doc[at], term[at], np.add.reduceat(count, at) if len(at) else count
+
+
+def _shard(ids: np.ndarray, doc: np.ndarray, term: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
+    """The arrays of a shard, from postings: document number, term and times."""
+    order = np.lexsort((doc, term))
+    doc, term, counts = doc[order], term[order], counts[order]
+    fresh = np.ones(len(term), bool)
+    fresh[1:] = term[1:] != term[:-1]
+    first = np.append(np.flatnonzero(fresh), len(term))
+    lengths = np.bincount(doc, counts, minlength=len(ids)).astype(np.int64)
+    block = doc // RANGE
+    cut = fresh.copy()
+    cut[1:] |= block[1:] != block[:-1]
+    at = np.flatnonzero(cut)
+    reduced = (lambda f, x: f.reduceat(x, at)) if len(at) else (lambda f, x: x)
+    return {"ids": ids, "lengths": lengths, "terms": term[fresh], "first": first, "docs": doc, "counts": counts, "blocks": np.searchsorted(at, first), "block": block[at], "block_first": np.append(at, len(term)), "most": reduced(np.maximum, counts), "shortest": reduced(np.minimum, lengths[doc])}
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """The index of docs, lazily: a row for each shard. Every row of docs with an id is indexed; a null text has no terms."""
+    """The index of docs, lazily: a row for each shard. Every row of docs with an id is indexed, repeated ids too; a null or empty text has no terms but counts as a document, an empty
+    table has no shards. Texts are read whole, very long ones in stretches; one that is longer than a shard makes its own. Other columns are ignored, whatever their names."""
 
     def build(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId() << 24
         ids: list[np.ndarray] = []
-        doc: list[np.ndarray] = []
-        term: list[np.ndarray] = []
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         n = size = 0
 
         def made() -> pa.RecordBatch:
-            own = _shard(np.concatenate(ids), np.concatenate(doc), np.concatenate(term))
+            own = _shard(np.concatenate(ids), *(np.concatenate(x) for x in zip(*parts, strict=True)))
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([n], pa.int64()), pa.array([int(own["lengths"].sum())], pa.int64()), *(pa.array([own[c].astype(k).tobytes()], pa.binary()) for c, k in _COLUMNS)], ["shard", "n", "total", *(c for c, _ in _COLUMNS)])
 
-        for batch in batches(it, "text", min(PASS_BYTES, shard_bytes)):
-            w = _terms(batch["text"])
+        for batch in batches(it, "text", min(common.PASS_BYTES, shard_bytes)):
+            doc, term, count = _postings(batch["text"])
             ids.append(batch["id"].to_numpy())
-            doc.append(w.doc + n)
-            term.append(w.hashes)
-            n, size = n + batch.num_rows, size + len(w.data)
+            parts.append((doc + n, term, count))
+            n, size = n + batch.num_rows, size + int(pc.sum(pc.fill_null(pc.binary_length(batch["text"]), 0)).as_py())
             if size >= shard_bytes:
                 yield made()
-                for x in (ids, doc, term):
-                    x.clear()
+                ids.clear()
+                parts.clear()
                 n, size, shard = 0, 0, shard + 1
         if n:
             yield made()
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null").mapInArrow(build, _INDEX)
+    return mapped(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null"), build, _INDEX)
 
 
 def _loaded(batch: pa.RecordBatch, i: int, columns: tuple[str, ...]) -> dict[str, np.ndarray]:
@@ -103,85 +107,77 @@ def _best(x: dict[str, np.ndarray], terms: np.ndarray, idf: np.ndarray, mean: fl
     at = np.searchsorted(x["terms"], terms)
     at[at == len(x["terms"])] = 0
     here = x["terms"][at] == terms if len(x["terms"]) else np.zeros(len(terms), bool)
-    n, first = len(x["ids"]), x["first"].astype(np.int64)
-    spans = [(first[t], first[t + 1], w, t) for t, w in zip(at[here].tolist(), idf[here].tolist(), strict=True)]
-    if not spans:
+    own = at[here]
+    if not len(own):
         return np.empty(0, int), np.empty(0)
-    ranges = -(-n // RANGE)
-    bound, short = np.zeros(ranges * RANGE), [s for s in spans if s[1] - s[0] < RANGE]
-    if short:
-        p = np.concatenate([np.arange(a, e) for a, e, _, _ in short])
-        w = np.repeat([s[2] for s in short], [s[1] - s[0] for s in short])
-        d = x["docs"][p]
-        bound += np.bincount(d, w * _impact(x["counts"][p], x["lengths"][d], mean, k1, b), len(bound))
-    theta = np.partition(bound, -k)[-k] if len(bound) > k else 0.0
-    upper = bound.reshape(ranges, RANGE).max(1)
-    blocks = {}
-    for a, e, w, t in spans:
-        if e - a >= RANGE:
-            i = int(np.searchsorted(x["long"], t))
-            s = slice(int(x["long_first"][i]), int(x["long_first"][i + 1]))
-            blocks[t] = s
-            upper[x["block"][s]] += w * _impact(x["most"][s], x["shortest"][s], mean, k1, b)
-    order = np.argsort(-upper, kind="stable")
+    weight = idf[here]
+    low, high = x["blocks"][own].astype(np.int64), x["blocks"][own + 1].astype(np.int64)
+    size = high - low
+    flat = runs(low, size)
+    bound = np.repeat(weight, size) * _impact(x["most"][flat], x["shortest"][flat], mean, k1, b)
+    ends = np.cumsum(size)
+    begins = ends - size
+    most = np.maximum.reduceat(bound, begins).tolist()
+    block = x["block"][flat].astype(np.int64)
+    cursor, stop, slack = begins.tolist(), ends.tolist(), 10.0**-_DIGITS
+    now = block[begins].tolist()  # the range under each term's cursor
+    open_ = sorted(range(len(own)), key=now.__getitem__)
+    theta, best = 0.0, []
     found_d, found_s = [], []
-    done, step = 0, 4
-    slack = 10.0**-_DIGITS
-    while done < ranges and upper[order[done]] > 0 and upper[order[done]] >= theta - slack:
-        some = order[done : done + step]
-        some = np.sort(some[(upper[some] >= theta - slack) & (upper[some] > 0)])
-        slot = np.full(ranges, -1)
-        slot[some] = np.arange(len(some))
-        total = np.zeros(len(some) * RANGE)
-        for a, e, w, t in spans:  # in the order of terms, so that equal documents get equal sums
-            if t in blocks:
-                s = blocks[t]
-                pick = np.flatnonzero(slot[x["block"][s]] >= 0)
-                starts = x["block_first"][s].astype(np.int64)
-                ends = np.append(starts[1:], e)
-                p = _runs(starts[pick], ends[pick])
-            else:
-                p = np.arange(a, e)
-                p = p[slot[x["docs"][p] // RANGE] >= 0]
-            if len(p):
-                d = x["docs"][p].astype(np.int64)
-                total += np.bincount(slot[d // RANGE] * RANGE + d % RANGE, w * _impact(x["counts"][p], x["lengths"][d], mean, k1, b), len(total))
-        hit = np.flatnonzero(total > 0)
-        found_d.append(some[hit // RANGE] * RANGE + hit % RANGE)
-        found_s.append(total[hit])
-        scores = np.concatenate(found_s)
-        if len(scores) >= k:
-            theta = max(theta, np.partition(scores, -k)[-k])
-        done, step = done + step, step * 4
-    return (np.concatenate(found_d), np.concatenate(found_s)) if found_d else (np.empty(0, int), np.empty(0))
-
 
-def _runs(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    size = ends - starts
-    if not len(size):
-        return np.empty(0, np.int64)
-    out = np.ones(int(size.sum()), np.int64)
-    out[0] = starts[0]
-    out[np.cumsum(size)[:-1]] = starts[1:] - ends[:-1] + 1
-    return np.cumsum(out)
+    def moved(t: int, to: int) -> bool:
+        """The cursor of t, at the range `to` or after it; whether there is one."""
+        cursor[t] += int(np.searchsorted(block[cursor[t] : stop[t]], to))
+        if cursor[t] < stop[t]:
+            now[t] = int(block[cursor[t]])
+            return True
+        return False
+
+    while open_:
+        total, pivot = 0.0, -1
+        for t in open_:
+            total += most[t]
+            if total >= theta - slack:
+                pivot = now[t]
+                break
+        if pivot < 0:
+            break
+        if now[open_[0]] < pivot:  # ranges before the pivot cannot reach the k-th score
+            open_ = sorted((t for t in open_ if now[t] >= pivot or moved(t, pivot)), key=now.__getitem__)
+            continue
+        those = sorted(t for t in open_ if now[t] == pivot)  # in the order of terms, so that equal documents get equal sums
+        if sum(float(bound[cursor[t]]) for t in those) >= theta - slack:
+            cells = flat[[cursor[t] for t in those]]
+            start, n = x["block_first"][cells].astype(np.int64), x["block_first"][cells + 1].astype(np.int64) - x["block_first"][cells]
+            p = runs(start, n)
+            d = x["docs"][p].astype(np.int64)
+            scores = np.bincount(d - pivot * RANGE, np.repeat(weight[those], n) * _impact(x["counts"][p], x["lengths"][d], mean, k1, b), RANGE)
+            hit = np.flatnonzero(scores >= max(theta - slack, 1e-300))
+            found_d.append(hit + pivot * RANGE)
+            found_s.append(scores[hit])
+            for s in scores[hit].tolist():
+                heapq.heappush(best, s) if len(best) < k else heapq.heappushpop(best, s)
+            theta = best[0] if len(best) == k else 0.0
+        open_ = sorted((t for t in open_ if now[t] > pivot or moved(t, pivot + 1)), key=now.__getitem__)
+    return (np.concatenate(found_d), np.concatenate(found_s)) if found_d else (np.empty(0, int), np.empty(0))
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = TOP, k1: float = K1, b: float = B, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(query_id, rank, doc_id, score) of the k best documents with a score over 0 for each query; index: a written build_index().
 
     score is rounded to six places; equal ones go by the smaller doc_id. Rows of queries that share an id are searched as one, with all their distinct words; those with a null id or no words have
-    no result. Rows of the index that share a doc_id are documents of their own. Queries are taken in blocks of bounded size, each searched in every shard.
+    no result; nor has any over an empty index. Rows of the index that share a doc_id are documents of their own. Queries of any length are taken whole, in blocks of bounded size, each
+    searched in every shard. Other columns of queries are ignored, whatever their names.
     """
     stats = index.agg(F.sum("n").alias("n"), F.sum("total").alias("total")).first()
     n, mean = stats["n"] or 0, (stats["total"] or 0) / max(stats["n"] or 0, 1)
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it, "text"):
-            w = _terms(batch["text"])
-            q = batch["query_id"].to_numpy()[w.doc] if len(w.doc) else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(signed(w.hashes))], ["query_id", "term"])
+            doc, term, _ = _postings(batch["text"])
+            yield pa.RecordBatch.from_arrays([pa.array(batch["query_id"].to_numpy()[doc], pa.int64()), pa.array(signed(term))], ["query_id", "term"])
 
-    asked = queries.select(F.col(id_col).cast("long").alias("query_id"), F.col(text_col).cast("string").alias("text")).filter("query_id is not null").mapInArrow(cut, "query_id long, term long").groupBy("query_id").agg(F.collect_set("term").alias("terms"))
+    asked = mapped(queries.select(F.col(id_col).cast("long").alias("query_id"), F.col(text_col).cast("string").alias("text")).filter("query_id is not null"), cut, "query_id long, term long").groupBy("query_id").agg(F.collect_set("term").alias("terms"))
     parts: list[DataFrame] = []
     block: list[tuple[int, np.ndarray]] = []
 
@@ -226,7 +222,7 @@ def _search_block(index: DataFrame, block: list[tuple[int, np.ndarray]], n: int,
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], ["at", "df"])
 
-    got = index.select("terms", "first").mapInArrow(often, "at int, df long").groupBy("at").agg(F.sum("df").alias("df")).toPandas()  # a row for each term of the block at most
+    got = mapped(index.select("terms", "first"), often, "at int, df long").groupBy("at").agg(F.sum("df").alias("df")).toPandas()  # a row for each term of the block at most
     df = np.zeros(len(terms))
     df[got["at"].to_numpy(int)] = got["df"].to_numpy(float)
     weights = spark.sparkContext.broadcast(np.log1p((n - df + 0.5) / (df + 0.5)))
@@ -246,7 +242,7 @@ def _search_block(index: DataFrame, block: list[tuple[int, np.ndarray]], n: int,
                     out.append((np.full(len(top), q), ids[top], s[top]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[j] for o in out]), kind) for j, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "doc_id", "score"])
 
-    return index.mapInArrow(best, "query_id long, doc_id long, score double")
+    return mapped(index, best, "query_id long, doc_id long, score double")
 
 
 def op2_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
