@@ -1,22 +1,24 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one for each block element; lines of menus, forms, notices and the like, marked as such by their element,
-class, id or role, are left out, wherever they stand. Where a page marks its article or main part, all other lines in it are its text. Elsewhere link text
-counts for nothing, and the lengths of the lines are summed over sliding windows; text starts where that sum surges, at the first line with weight of a
-window that reaches the threshold, and ends where it dives to nothing. All lines between the two are kept.
+Markup is stripped to lines, one for each block element; lines of menus, headers, forms, notices and the like, told by their element, class, id or role, are left out, wherever they stand, but
+such a word never leaves out what holds the page's main text. The lengths of the other lines, without their links, are summed over sliding windows; text starts where that sum surges, at the first line
+with weight of a window that reaches the threshold, and ends where it dives to nothing. All lines between the two are kept. Where article and main elements
+hold at least half of all that length, text surges and dives within them alone, and their links count as well.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import batches, table
+from lodestone.llm.common import batches, mapped, table
 
 #: Lines of a window; a window's sum that starts text, unless no window of the page reaches it.
 WINDOW, SURGE = 3, 80
@@ -24,54 +26,94 @@ WINDOW, SURGE = 3, 80
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s>/]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _RAW = frozenset(("script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "textarea", "title", "math", "audio", "video"))
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s>/])[^>]*(?:>|\Z)", re.I) for t in _RAW}
-_OUT = frozenset(("head", "nav", "header", "footer", "aside", "form", "button", "select", "menu", "dialog", "fieldset", "label", "option"))
+_OUT = frozenset(("head", "nav", "header", "footer", "aside", "button", "select", "menu", "dialog", "option"))
+_FORM = frozenset(("form", "fieldset", "label"))
 _VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br label".split())
 _CORE = frozenset(("article", "main"))
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
-_MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|banners?|sponsor(?:ed)?|promo(?:tion)?s?|nav|navbar|navigation|menus?|sidebars?|breadcrumbs?|headers?|masthead|footers?|cookies?|consent|notices?"
-    r"|alerts?|popups?|modal|overlay|newsletter|subscribe|subscription|signup|login|search|share|sharing|social|related|recommend(?:ed|ations)?|widgets?|toolbar|pagination|pager|comments?|replies|respond|disqus|complementary|contentinfo)(?:$|[\s_-])",
-    re.I,
-)
+_PART = re.compile(r"[a-z0-9]+", re.I)
+#: Parts of names that mark what is no text of its own: notices, adverts and readers' comments, and what a layout puts around or beside the text.
+_NEVER = frozenset("ad ads advert adverts advertisement advertisements sponsor sponsored promo promotion promotions cookie cookies consent notice notices alert alerts popup popups modal overlay newsletter subscribe subscription signup login comment comments replies respond disqus".split())
+_LAYOUT = frozenset("banner banners nav navbar navigation menu menus sidebar sidebars breadcrumb breadcrumbs header headers masthead footer footers search share sharing social related recommend recommended recommendations widget widgets toolbar pagination pager complementary contentinfo".split())
+#: Parts that say that a name tells of another element, as in has-sidebar.
+_OF_OTHERS = frozenset("has have no not with without non is".split())
 _CLOSES = {"p": frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()), "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr",)), "td": frozenset(("td", "th", "tr")), "th": frozenset(("td", "th", "tr")), "option": frozenset(("option",))}
 _BLANKS = re.compile(r"\s+")
 
 
-def _left_out(tag: str, attributes: str) -> bool:
+def _mark(tag: str, attributes: str) -> str:
+    """What an element's tag and attributes say: "out", "never", "layout" or nothing."""
     if tag in _OUT:
-        return True
-    if tag in ("html", "body") or tag in _CORE or not attributes.strip():
-        return False
+        return "out"
+    told = "layout" if tag in _FORM else ""
+    if tag in ("html", "body") or not attributes.strip():
+        return told
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "hidden" and m.start() and attributes[m.start() - 1].isspace() or name == "aria-hidden" and value.lower() == "true" or name in ("class", "id", "role") and _MARKED.search(value):
-            return True
-    return False
-
-
-def lines(page: str) -> list[tuple[str, int, bool, bool]]:
-    """The blocks of a page in order: text, characters outside links, left out by its markup, inside an article or main element."""
-    out: list[tuple[str, int, bool, bool]] = []
-    stack: list[tuple[str, bool]] = []
+        if name == "hidden" and m.start() and attributes[m.start() - 1].isspace() or name == "aria-hidden" and value.lower() == "true":
+            told = "layout"
+        elif name in ("class", "id", "role"):
+            for word in value.split():
+                parts = {p.lower() for p in _PART.findall(word)}
+                if parts & _OF_OTHERS:
+                    continue
+                if parts & _NEVER:
+                    return "never"
+                if parts & _LAYOUT:
+                    told = "layout"
+    return told
+
+
+@dataclass
+class Line:
+    text: str
+    own: int  # characters outside links
+    core: bool  # in an article or main element
+
+
+@dataclass
+class _Marked:
+    """A marked element: the marked one that it is in, its mark, and what it holds."""
+
+    parent: int
+    mark: str
+    core: bool = False  # an article or main element without a mark
+    mass: int = 0
+    longest: int = 0
+    heading: bool = False
+
+
+def lines(page: str) -> list[Line]:
+    """The blocks of a page in order, without what its markup leaves out; the time grows with the page's length, however deep its elements are nested."""
+    found: list[tuple[Line, int]] = []
+    marked: list[_Marked] = []
+    stack: list[tuple[str, int, bool]] = []  # tag, the marked element that it is or is in, whether its text is out
+    blocks: list[str] = []
+    open_: Counter[str] = Counter()
     text: list[str] = []
-    own, links, hidden, core = 0, 0, 0, 0
+    own = 0
 
     def end() -> None:
         nonlocal own
         if text:
-            line = _BLANKS.sub(" ", _html.unescape("".join(text))).strip()
-            if line:
-                out.append((line, own, hidden > 0, core > 0))
-        text.clear()
+            if not (stack and stack[-1][2]):
+                line = _BLANKS.sub(" ", _html.unescape("".join(text))).strip()
+                if line:
+                    at = stack[-1][1] if stack else -1
+                    found.append((Line(line, own, open_["article"] + open_["main"] > 0), at))
+                    if at >= 0:
+                        e = marked[at]
+                        e.mass, e.longest, e.heading = e.mass + own, max(e.longest, own), e.heading or open_["h1"] > 0
+            text.clear()
         own = 0
 
-    def pop() -> None:
-        nonlocal hidden, core, links
-        tag, was = stack.pop()
-        hidden -= was
-        core -= tag in _CORE
-        links -= tag == "a"
+    def pop() -> str:
+        tag = stack.pop()[0]
+        open_[tag] -= 1
+        if tag not in _INLINE:
+            blocks.pop()
+        return tag
 
     at = 0
     while at < len(page):
@@ -79,7 +121,7 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
         piece = page[at : m.start() if m else len(page)]
         if piece:
             text.append(piece)
-            if not links:
+            if not open_["a"]:
                 own += len(piece.strip())
         if not m:
             break
@@ -97,70 +139,98 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
         if tag not in _INLINE:
             end()
         if m[1]:
-            if any(t == tag for t, _ in stack):
-                while True:
-                    inner = stack[-1][0]
-                    if inner != tag and inner not in _INLINE:
-                        end()
-                    if stack[-1][1] and inner in _INLINE:
-                        end()
-                    pop()
-                    if inner == tag:
-                        break
+            while open_[tag] > 0:
+                inner = stack[-1]
+                if inner[0] not in _INLINE or inner[1] != (stack[-2][1] if len(stack) > 1 else -1) or inner[2] != (len(stack) > 1 and stack[-2][2]):
+                    end()
+                if pop() == tag:
+                    break
             continue
-        while stack and tag not in _INLINE and tag in _CLOSES.get(_block(stack), ()):
-            while stack[-1][0] in _INLINE:
-                pop()
-            pop()
+        while blocks and tag not in _INLINE and tag in _CLOSES.get(blocks[-1], ()):
+            while pop() in _INLINE:
+                pass
         if tag in _VOID:
             continue
-        out_here = _left_out(tag, m[3])
-        if out_here and tag in _INLINE:
+        mark, (_, inside, out) = _mark(tag, m[3]), stack[-1] if stack else ("", -1, False)
+        if mark and tag in _INLINE:
             end()
-        stack.append((tag, out_here))
-        hidden += out_here
-        core += tag in _CORE
-        links += tag == "a"
+        if tag in _CORE and not mark and not out and inside >= 0:
+            marked[inside].core = True
+        if mark in ("never", "layout") and not out:
+            marked.append(_Marked(inside, mark))
+            inside = len(marked) - 1
+        stack.append((tag, inside, out or mark == "out"))
+        open_[tag] += 1
+        if tag not in _INLINE:
+            blocks.append(tag)
     end()
-    return out
+    gone = _left_out(marked, sum(line.own for line, _ in found))
+    return [line for line, at in found if at < 0 or not gone[at]]
 
 
-def _block(stack: list[tuple[str, bool]]) -> str:
-    return next((t for t, _ in reversed(stack) if t not in _INLINE), "")
+def _left_out(marked: list[_Marked], total: int) -> list[bool]:
+    """Which marked elements are left out: those in one that is, and all that don't hold the main text.
 
-
-def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
-    """The main text of one page: its blocks joined by line feeds, empty if there is none."""
-    shown = [(line, own, core) for line, own, gone, core in lines(page) if not gone]
-    inner = [line for line, _, core in shown if core]
-    if inner:
-        return "\n".join(inner)
-    weight = [own for _, own, _ in shown]
-    sums = [sum(weight[i : i + window]) for i in range(len(weight))]
+    An article or main element is taken for that, else, of what only the layout marks, more than half of the page's text with a heading or a paragraph of some length.
+    """
+    for e in reversed(marked):
+        if e.parent >= 0:
+            up = marked[e.parent]
+            up.core, up.mass, up.longest, up.heading = up.core or e.core, up.mass + e.mass, max(up.longest, e.longest), up.heading or e.heading
+    gone: list[bool] = []
+    for e in marked:
+        holds = e.core or e.mark == "layout" and 2 * e.mass > total and (e.heading or e.longest >= SURGE)
+        gone.append(not holds or e.parent >= 0 and gone[e.parent])
+    return gone
+
+
+def runs_of_text(weight: list[int], window: int, surge: int) -> list[tuple[int, int]]:
+    """Where text surges and dives: first line and one past the last, of lines with these weights."""
+    before = [0]
+    for w in weight:
+        before.append(before[-1] + w)
+    n = len(weight)
+    sums = [before[min(i + window, n)] - before[i] for i in range(n)]
     least = min(surge, max(sums, default=0))
-    if not least:
-        return ""
-    kept: list[str] = []
+    out: list[tuple[int, int]] = []
     i = 0
-    while i < len(shown):
+    while i < n and least:
         if not weight[i] or sums[i] < least:
             i += 1
             continue
-        while i and weight[i - 1]:  # back to where the run of text began
-            i -= 1
-        dive = i
-        while dive < len(shown) and sums[dive]:
-            dive += 1
-        kept += (line for line, _, _ in shown[i:dive])
-        i = dive
+        start = i
+        while start and weight[start - 1]:  # back to where the run of text began
+            start -= 1
+        while i < n and sums[i]:
+            i += 1
+        out.append((start, i))
+    return out
+
+
+def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
+    """The main text of one page: its blocks joined by line feeds, empty if there is none."""
+    shown = lines(page)
+    cored = sum(line.own for line in shown if line.core)
+    inner = cored > 0 and 2 * cored >= sum(line.own for line in shown)
+    parts: list[list[Line]] = [[]]
+    for a, line in enumerate(shown):
+        if inner and a and line.core != shown[a - 1].core:
+            parts.append([])
+        if line.core or not inner:
+            parts[-1].append(line)
+    kept: list[str] = []
+    for part in parts:
+        weight = [len(line.text) if inner else line.own for line in part]
+        for start, stop in runs_of_text(weight, window, surge):
+            kept += [line.text for line in part[start:stop]]
     return "\n".join(kept)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of each row of pages.
 
-    Every row gives one, whatever its ids: nulls and repeats stay. A null or empty page, or one without main text, has
-    empty text. Pages of any length are read whole. Other columns are ignored.
+    Every row gives one, whatever its ids: nulls and repeats stay; an empty table gives none. A null or empty page, or one without main text, has
+    empty text. Pages of any length are read whole. Other columns are ignored, whatever their names.
     """
 
     def read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +238,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             texts = [main_text(page or "") for page in batch["html"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).mapInArrow(read, "page_id long, url string, text string, n_chars long")
+    return mapped(pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")), read, "page_id long, url string, text string, n_chars long")
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
