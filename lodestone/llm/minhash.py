@@ -149,8 +149,7 @@ def near_duplicate_links(sketch: DataFrame, docs: DataFrame, size: int, percent:
     heads = keep(members.filter("id = first").select("key", F.col("n").alias("n_first")), "heads")
     stars = members.filter("id != first").join(heads, "key").filter(_enough(F.least("n", "n_first"), F.col("n"), F.col("n_first"), percent)).select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     stars = keep(stars, "stars")
-    links = keep(_confirmed(stars, sets, percent), "links")
-    comps = keep(components(links), "components")
+    comps = keep(components(_confirmed(stars, sets, percent)), "components")
     # shingles that no other member has bound what a pair can share; they are counted where a star left something open
     left = keep(_still_open(members, comps, keep).filter("id != first").drop("comp", "first"), "open")
     if left.limit(1).count():
@@ -172,8 +171,8 @@ def near_duplicate_links(sketch: DataFrame, docs: DataFrame, size: int, percent:
         pairs = others.join(centres, "key").filter((F.col("comp_a") != F.col("comp_b")) & near & _enough(F.least("most_a", "most_b"), F.col("n_a"), F.col("n_b"), percent) & here)
         pairs = pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct().join(checked, ["a", "b"], "left_anti")
         pairs = keep(pairs, "pairs")
-        links = keep(links.unionAll(_confirmed(pairs, sets, percent)), "links")
-        comps = keep(components(links), "components")
+        so_far = comps.filter("id != component").select(F.col("id").alias("a"), F.col("component").alias("b"))  # joins what the links so far do
+        comps = keep(components(so_far.unionAll(_confirmed(pairs, sets, percent))), "components")
         checked = checked.unionAll(pairs)
         rest = left.drop("comp").join(centres.select("key", F.col("id_a").alias("id")), ["key", "id"], "left_anti")
         left, many = keep(_still_open(rest, comps, keep), "open"), many * 8

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import dropped, mapped, table, written
-from lodestone.llm.graph import components
+from lodestone.llm.graph import components, forest
 
 THRESHOLD, PASSES, NEIGHBOURS = 0.98, 8, 128
 #: Rows of a block when links are counted; vectors that one task sorts, about.
@@ -79,20 +79,6 @@ def _keys(passes: int):
     return keyed
 
 
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """The smallest node of the component of each of n nodes."""
-    root = np.arange(n)
-    while len(a):
-        x, y = root[a], root[b]
-        low, high = np.minimum(x, y), np.maximum(x, y)
-        if (low == high).all():
-            break
-        np.minimum.at(root, high, low)
-        while (root[root] != root).any():
-            root = root[root]
-    return root
-
-
 def _near(unit: np.ndarray, group: np.ndarray, window: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows at most window apart, of one group, with a cosine of the threshold or more."""
     found_a, found_b = [], []
@@ -113,7 +99,7 @@ def _linked(ids: np.ndarray, unit: list[bytes], group: np.ndarray, window: int,
     for s in np.unique(sizes):
         at = np.flatnonzero(sizes == s)
         a, b = _near(_unit([unit[i] for i in at]), group[at], window, threshold)
-        root = _forest(a, b, len(at))
+        root = forest(a, b, len(at))
         moved = np.flatnonzero(root != np.arange(len(at)))
         edges += zip(ids[at[moved]].tolist(), ids[at[root[moved]]].tolist(), strict=True)
     return edges

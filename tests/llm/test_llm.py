@@ -44,12 +44,12 @@ def united(ids, links):
 # --- components ---
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_components(spark, seed):
+@pytest.mark.parametrize("seed, few", [(0, 0), (0, 1000), (1, 1000), (2, 1000)])
+def test_components(spark, seed, few):
     rnd = random.Random(seed)
     edges = [(rnd.randrange(80), rnd.randrange(80)) for _ in range(45)] + [(200 + i, 201 + i) for i in range(40)] + [(500, 501 + i) for i in range(30)]
     edges = [(a, b) for a, b in edges if a != b]
-    got = {r["id"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["id"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a long, b long"), few).collect()}
     assert got == united({x for e in edges for x in e}, edges)
 
 
