@@ -29,3 +29,9 @@ def logged(value: Column, show: bool, most: int = 2_000) -> Column:
 def event(name: str, **fields: Column) -> Column:
     """A log line of key=value pairs."""
     return F.concat_ws(" ", F.lit(name), *(F.concat(F.lit(f"{k}="), F.to_json(F.struct(v.alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(v.alias("v")))) - 6)) for k, v in fields.items()))
+
+
+def evidence_summary(evidence: DataFrame) -> DataFrame:
+    """(query_id, evidence): a log line's view of passages, without their texts."""
+    one = F.struct("position", "chunk_id", "source", "section", T.page_label("page_start", "page_end").alias("pages"), "rerank_score", "is_neighbor")
+    return evidence.groupBy("query_id").agg(F.to_json(F.array_sort(F.collect_list(one))).alias("evidence"))

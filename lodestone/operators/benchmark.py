@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,22 +42,28 @@ def question_counts(total: int) -> list[int]:
     return counts
 
 
-def exact_span(facts: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(fact_id, chunk_id) where the chunk's normalised text has a span of the fact; itself aside. facts: fact_id, spans.
+def holding(texts: DataFrame, spans: DataFrame) -> DataFrame:
+    """Rows of texts (chunk_id, body) and spans (span, ...) where the body has the span: chunk_id and the columns of spans but span.
 
     An inner token of a span is a token of each text that has the span, so the longest one is joined on before texts are compared. Spans without inner tokens, of one or two
-    words, are compared with every text.
+    words, are compared with every text, if there are any.
     """
-    asked = facts.select("fact_id", F.explode(F.transform("spans", T.normalise)).alias("span")).filter("span <> ''").distinct()
     inner = F.slice("t", 2, F.greatest(F.size("t") - 2, F.lit(0)))
     longest = F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
-    asked = asked.withColumn("t", T.token_list("span")).withColumn("token", F.when(F.size("t") > 2, longest)).drop("t")
-    own = chunks.select("chunk_id", T.normalise("text").alias("body"))
+    asked = spans.filter("span <> ''").distinct().withColumn("t", T.token_list("span")).withColumn("token", F.when(F.size("t") > 2, longest)).drop("t")
     has = F.contains(F.col("body"), F.col("span"))
-    words = own.select("chunk_id", F.explode(F.array_distinct(T.token_list("body"))).alias("token"))
-    near = words.join(small(asked.filter("token is not null")), "token").drop("token").join(own, "chunk_id").filter(has)
-    short = own.join(small(asked.filter("token is null").drop("token"), 10_000), has)
-    return near.select("fact_id", "chunk_id").unionByName(short.select("fact_id", "chunk_id")).filter("fact_id <> chunk_id").distinct()
+    words = texts.select("chunk_id", F.explode(F.array_distinct(T.token_list("body"))).alias("token"))
+    near = words.join(small(asked.filter("token is not null")), "token").drop("token").join(texts, "chunk_id").filter(has).drop("body", "span")
+    short = asked.filter("token is null").drop("token")
+    if not short.limit(1).count():
+        return near
+    return near.unionByName(texts.join(small(short, 10_000), has).drop("body", "span"))
+
+
+def exact_span(facts: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(fact_id, chunk_id) where the chunk's normalised text has a span of the fact; itself aside. facts: fact_id, spans."""
+    asked = facts.select("fact_id", F.explode(F.transform("spans", T.normalise)).alias("span"))
+    return holding(chunks.select("chunk_id", T.normalise("text").alias("body")), asked).select("fact_id", "chunk_id").filter("fact_id <> chunk_id").distinct()
 
 
 def lexical(facts: DataFrame, chunks: DataFrame, share: float = 0.72) -> DataFrame:
@@ -88,6 +95,26 @@ def audit_exact(pairs: DataFrame) -> DataFrame:
     return pairs.select("fact_id", "chunk_id", F.when(every, "full").otherwise("unjudged").alias("support_level"), F.when(every, "exact_overlap").otherwise("judge").alias("match_kind"))
 
 
+def valid_judgment(level: Column, spans: Column, text: Column) -> Column:
+    """Whether a judgment holds: no support without spans, full or partial support with spans that are long enough and in the text."""
+    body = T.normalise(text)
+    shown = (F.size(spans) > 0) & F.forall(spans, lambda s: (F.length(T.normalise(s)) >= LEAST_SPAN) & F.contains(body, T.normalise(s)))
+    return F.when(level == "none", F.size(F.coalesce(spans, F.array().cast("array<string>"))) == 0).when(level.isin("full", "partial"), F.coalesce(shown, F.lit(False))).otherwise(False)
+
+
+def audit(pairs: DataFrame, judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(fact_id, chunk_id, support_level, match_kind, evidence_spans) of pairs (fact_id, chunk_id, spans, text, ...) with full or partial support.
+
+    Exact overlap is full support. The others go to the judge, from pairs to (fact_id, chunk_id, support_level, evidence_spans); a judgment that is missing or not valid supports nothing.
+    """
+    seen = audit_exact(pairs).join(pairs, ["fact_id", "chunk_id"])
+    exact = seen.filter("match_kind = 'exact_overlap'").select("fact_id", "chunk_id", "support_level", "match_kind", F.col("spans").alias("evidence_spans"))
+    open_ = seen.filter("match_kind = 'judge'").drop("support_level", "match_kind")
+    told = judge(open_).select("fact_id", "chunk_id", F.col("support_level").alias("level"), "evidence_spans").dropDuplicates(["fact_id", "chunk_id"])
+    both = open_.join(told, ["fact_id", "chunk_id"]).filter(valid_judgment(F.col("level"), F.col("evidence_spans"), F.col("text"))).filter("level <> 'none'")
+    return exact.unionByName(both.select("fact_id", "chunk_id", F.col("level").alias("support_level"), F.lit("semantic_equivalent").alias("match_kind"), "evidence_spans"))
+
+
 def duplication_scope(gold: DataFrame) -> DataFrame:
     """(fact_id, n_gold, scope, multiplicity) of gold (fact_id, doc_id), a row for each gold chunk, the primary one among them."""
     per = gold.groupBy("fact_id", "doc_id").agg(F.count("*").alias("n")).groupBy("fact_id").agg(F.sum("n").alias("n_gold"), F.count("*").alias("docs"), F.max("n").alias("most"))
@@ -121,8 +148,13 @@ def first_occurrence(rows: DataFrame, text: str, order: list[str], by: list[str]
     return ranked(rows.withColumn("_norm", T.normalise(text)), [*(by or []), "_norm"], order, "_at").filter("_at = 1").drop("_at", "_norm")
 
 
+def spread_first(index: Column, n: Column, k: Column) -> Column:
+    """Whether an index from 0 is one of i * n div k for i below k: the first such index not below it is itself."""
+    i = F.ceil(index * k / n)
+    return (i < k) & (F.floor(i * n / k) == index)
+
+
 def even_spread(rows: DataFrame, index: str, n: int, k: int) -> DataFrame:
     """rows with `place`: those at indexes i * n div k come first, the others after, each in order; a plan for one list, numbered in one task."""
-    picked = [i * n // k for i in range(k)] if k else []
-    late = (~F.col(index).isin(picked)).cast("int") if picked else F.lit(1)
-    return ranked(rows.withColumn("late", late), [], ["late", index], "place").drop("late")
+    first = spread_first(F.col(index), F.lit(n), F.lit(k)) if k and n else F.lit(False)
+    return ranked(rows.withColumn("late", (~first).cast("int")), [], ["late", index], "place").drop("late")
