@@ -79,44 +79,51 @@ def _lines(*parts: str) -> str:
     return "\n".join(parts)
 
 
+def _context(block: dict, number: int | None = None) -> list[str]:
+    named = [f"{name}: {block[key]}" for name, key in (("Section", "section"), ("Table", "caption")) if block[key]]
+    return named if number is None else [*named, f"Row: {number}"]
+
+
+def _value_pieces(name: str, value: str, fits: Callable[[str], bool]) -> list[str]:
+    """A field as lines that fit, cut between words; a word that never fits stands alone."""
+    out: list[str] = []
+    for word in value.split():
+        longer = f"{out[-1]} {word}" if out else ""
+        if longer and fits(longer):
+            out[-1] = longer
+        else:
+            out.append(f"{name}: {word}")
+    return out
+
+
 def row_texts(block: dict, row: dict[str, str], number: int, most: int, count: Count = words) -> list[str]:
     """A table row as texts within the budget. Too long a row is cut between fields, each part with the row's context and a short first field;
     too long a field between words."""
     fields = [(h, row[h]) for h in block["table_headers"] if row.get(h)]
-    shown = [f"{h}: {v}" for h, v in fields]
-    head = [f"{name}: {block[key]}" for name, key in (("Section", "section"), ("Table", "caption")) if block[key]] + [f"Row: {number}"]
-    if count(_lines(*head, *shown)) <= most:
-        return [_lines(*head, *shown)]
+    head, shown = _context(block, number), [f"{h}: {v}" for h, v in fields]
+    whole = _lines(*head, *shown)
+    if count(whole) <= most:
+        return [whole]
     short = next((i for i, s in enumerate(shown) if count(s) <= min(64, most // 4)), None)
-    rest = [f for f in fields if short is None or f != fields[short]]
-    if rest and short is not None:
-        head.append(shown[short])
-    out: list[str] = []
-    held: list[str] = []
-    fits = lambda *more: count(_lines(*head, *more)) <= most
+    if short is not None and len(fields) > 1:
+        head, fields = [*head, shown[short]], fields[:short] + fields[short + 1 :]
 
-    def flush() -> None:
-        if held:
-            out.append(_lines(*head, *held))
-            held.clear()
+    def fits(*more: str) -> bool:
+        return count(_lines(*head, *more)) <= most
 
-    for h, v in rest or fields:
+    parts: list[list[str]] = []  # lines of each text
+    open_ = False  # whether the last text may take more fields
+    for h, v in fields:
         line = f"{h}: {v}"
-        if not fits(*held, line):
-            flush()
-        if fits(*held, line):
-            held.append(line)
-            continue
-        some: list[str] = []
-        for word in v.split():
-            if some and not fits(f"{h}: {' '.join([*some, word])}"):
-                out.append(_lines(*head, f"{h}: {' '.join(some)}"))
-                some = []
-            some.append(word)
-        if some:
-            out.append(_lines(*head, f"{h}: {' '.join(some)}"))
-    flush()
-    return out or [_lines(*head, *shown)]
+        if open_ and fits(*parts[-1], line):
+            parts[-1].append(line)
+        elif fits(line):
+            parts.append([line])
+            open_ = True
+        else:
+            parts += [[piece] for piece in _value_pieces(h, v, fits)]
+            open_ = False
+    return [_lines(*head, *p) for p in parts] or [whole]
 
 
 def table_texts(block: dict, most: int, count: Count = words) -> list[tuple[str, int, dict]]:
@@ -124,7 +131,7 @@ def table_texts(block: dict, most: int, count: Count = words) -> list[tuple[str,
     out = [(text, i, row) for i, row in enumerate(block["table_rows"], 1) for text in row_texts(block, row, i, most, count)]
     if out:
         return out
-    head = [f"{name}: {block[key]}" for name, key in (("Section", "section"), ("Table", "caption")) if block[key]]
+    head = _context(block)
     if block["table_headers"]:
         head.append("Columns: " + ", ".join(block["table_headers"]))
     elif block["text"]:
@@ -169,6 +176,31 @@ def chunk_blocks(blocks: DataFrame, settings: Settings = DEFAULTS, count: Count
     return blocks.groupBy("doc_id").applyInPandas(fold, CHUNKS)
 
 
+def split_units(blocks: DataFrame, most: int, count: Count = words, by: tuple[str, ...] = ("doc_id", "seq")) -> DataFrame:
+    """(doc_id, seq, unit_no, text, n_tokens): the units of each block, where it lies."""
+
+    def split(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            rows = [(*key, i, text, n) for *key, whole in pdf[[*by, "text"]].itertuples(index=False) for i, (text, n) in enumerate(text_units(whole or "", most, count))]
+            yield pd.DataFrame(rows, columns=[*by, "unit_no", "text", "n_tokens"])
+
+    kinds = ", ".join(f"{c} {dict(blocks.dtypes)[c]}" for c in by)
+    return blocks.select(*by, "text").mapInPandas(split, f"{kinds}, unit_no int, text string, n_tokens long")
+
+
+def chunk_documents(docs: DataFrame, settings: Settings = DEFAULTS, count: Count = words, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What chunk_blocks() gives for plain documents of one row each, whose non-empty lines are blocks on page 1 and in no section; no shuffle."""
+
+    def fold(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in CHUNKS.split(", ")]
+        plain = {"block_type": "text", "section": "", "page_start": 1, "page_end": 1}
+        for pdf in it:
+            rows = [c for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True) for c in document_chunks(str(doc), [{**plain, "text": line} for line in map(clean, (text or "").split("\n")) if line], settings, count)]
+            yield pd.DataFrame(rows, columns=names)
+
+    return docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(fold, CHUNKS)
+
+
 def pack_documents(docs: DataFrame, size: int, overlap: int, count: Count = words, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, chunk_index, first_unit, last_unit, n_tokens, text) of documents of one row each, whose non-empty lines are units; no shuffle."""
 
