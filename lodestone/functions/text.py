@@ -95,23 +95,33 @@ def quote(c: Column | str, most: int = 220) -> Column:
     return F.concat(head, F.when(F.length(head) == most, "...").otherwise(""))
 
 
+def _numbers(c: Column | str) -> Column:
+    return F.regexp_extract_all(_col(c), F.lit(r"\[(\d+)\]"), F.lit(1))
+
+
 def markers(c: Column | str) -> Column:
-    """Numbers in square brackets, in order."""
-    return F.transform(F.regexp_extract_all(_col(c), F.lit(r"\[(\d+)\]"), F.lit(1)), lambda m: m.cast("int"))
+    """Numbers in square brackets, in order; null where one is too large for any passage."""
+    return F.transform(_numbers(c), lambda m: m.try_cast("int"))
+
+
+def _valid(m: Column, n: Column) -> Column:
+    return F.coalesce(m.try_cast("int").between(1, n), F.lit(False))
 
 
 def dropped_markers(c: Column | str, n: Column | str) -> Column:
-    """Distinct markers out of 1..n, sorted."""
+    """Distinct markers out of 1..n, sorted, of up to 38 digits."""
     n = _col(n)
-    return F.array_sort(F.array_distinct(F.filter(markers(c), lambda m: ~m.between(1, n))))
+    bad = F.transform(F.filter(_numbers(c), lambda m: ~_valid(m, n)), lambda m: m.try_cast("decimal(38,0)"))
+    return F.array_sort(F.array_distinct(F.filter(bad, lambda m: m.isNotNull())))
 
 
-def without_markers(c: Column | str, dropped: Column) -> Column:
-    """The text without the dropped markers; blanks before punctuation and double blanks close up only where something was dropped."""
-    c = _col(c)
-    bare = F.aggregate(dropped, c, lambda s, m: F.replace(s, F.concat(F.lit("["), m.cast("string"), F.lit("]")), F.lit("")))
+def without_markers(c: Column | str, n: Column | str) -> Column:
+    """The text without markers out of 1..n; blanks before punctuation and double blanks close up only where something was dropped."""
+    c, n = _col(c), _col(n)
+    bad = F.array_distinct(F.filter(_numbers(c), lambda m: ~_valid(m, n)))
+    bare = F.aggregate(bad, c, lambda s, m: F.replace(s, F.concat(F.lit("["), m, F.lit("]")), F.lit("")))
     tidy = F.regexp_replace(F.regexp_replace(bare, " +([.,;:])", "$1"), " {2,}", " ")
-    return F.when(F.size(dropped) > 0, tidy).otherwise(c)
+    return F.when(F.size(bad) > 0, tidy).otherwise(c)
 
 
 def compact(c: Column | str, most: int) -> Column:
@@ -132,7 +142,7 @@ def index_of_chunk(doc: Column | str, chunk: Column | str, index: Column | str)
     """The chunk's index, or where it is null the digits after the document's prefix, or -1."""
     doc, chunk = _col(doc), _col(chunk)
     rest = F.when((doc != "") & chunk.startswith(F.concat(doc, F.lit("-"))), F.substr(chunk, F.length(doc) + 2))
-    return F.coalesce(_col(index).cast("int"), F.when(rest.rlike(r"^\d+$"), rest.cast("int")), F.lit(-1))
+    return F.coalesce(_col(index).cast("int"), F.when(rest.rlike(r"^\d+$"), rest.try_cast("int")), F.lit(-1))
 
 
 def keyword_recall(answer: Column | str, keywords: Column | str) -> Column:
@@ -162,6 +172,12 @@ def delta(value: Column | str, reference: Column | str, comparable: Column) -> C
     return F.when(comparable & moved.isNotNull(), F.format_string("%+.2f pp", moved)).otherwise("—")
 
 
+def change(value: Column | str, reference: Column | str, digits: int = 2) -> Column:
+    """How much smaller a value is than the reference, as a percentage; a dash where either is missing or the reference is 0."""
+    value, reference = _col(value), _col(reference)
+    return percent(F.when(reference != 0, 1 - value / reference), digits)
+
+
 def dot(a: Column | str, b: Column | str) -> Column:
     """Dot product in doubles."""
     return F.aggregate(F.zip_with(_col(a), _col(b), lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)

@@ -11,15 +11,18 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 
 UNTIED = "The answer could not be tied to specific passages."
+EMPTY = "(no evidence retrieved)"
 
 
-def render_evidence(evidence: DataFrame) -> DataFrame:
-    """(query_id, rendered): passages (query_id, position, source, section, page_start, page_end, text, is_neighbor, seed_chunk_id) numbered in order, blank lines between."""
+def render_evidence(evidence: DataFrame, questions: DataFrame | None = None) -> DataFrame:
+    """(query_id, rendered): passages (query_id, position, source, section, page_start, page_end, text, is_neighbor, seed_chunk_id) numbered in order, blank lines between. Of questions, those
+    without a passage have a placeholder."""
     where = T.citation("source", "section", "page_start", "page_end")
     near = F.when(F.col("is_neighbor"), F.concat(F.lit("; adjacent context for "), "seed_chunk_id")).otherwise("")
     shown = evidence.select("query_id", "position", F.concat(F.lit("["), F.col("position").cast("string"), F.lit("] ("), where, near, F.lit(")\n"), "text").alias("shown"))
     listed = shown.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("position", "shown"))).alias("all"))
-    return listed.select("query_id", F.array_join(F.transform("all", lambda x: x["shown"]), "\n\n").alias("rendered"))
+    rendered = listed.select("query_id", F.array_join(F.transform("all", lambda x: x["shown"]), "\n\n").alias("rendered"))
+    return rendered if questions is None else questions.select("query_id").distinct().join(rendered, "query_id", "left").select("query_id", F.coalesce("rendered", F.lit(EMPTY)).alias("rendered"))
 
 
 def finish_answers(answers: DataFrame) -> DataFrame:
@@ -29,12 +32,12 @@ def finish_answers(answers: DataFrame) -> DataFrame:
     """
     dropped = T.dropped_markers("answer", "n")
     inline = F.filter(T.markers("answer"), lambda m: m.between(1, F.col("n")))
-    listed = F.filter("used", lambda m: m.between(1, F.col("n")))
+    listed = F.filter(F.coalesce("used", F.array().cast("array<int>")), lambda m: m.between(1, F.col("n")))
     cited = F.when(F.size(inline) > 0, inline).otherwise(listed)
     rows = answers.withColumn("dropped", dropped).withColumn("markers", F.array_sort(F.array_distinct(cited)))
     said = T.strip(F.concat_ws(" ", F.nullif("prefix", F.lit("")), F.nullif("caveats", F.lit(""))))
     loose = F.size("markers") == 0
-    return rows.select("query_id", T.strip(T.without_markers("answer", F.col("dropped"))).alias("answer"), "markers", "dropped", F.when(loose, "low").otherwise(F.col("confidence")).alias("confidence"), F.when(loose, T.strip(F.concat(said, F.lit(" " + UNTIED)))).otherwise(said).alias("caveats"))
+    return rows.select("query_id", T.strip(T.without_markers("answer", "n")).alias("answer"), "markers", "dropped", F.when(loose, "low").otherwise(F.col("confidence")).alias("confidence"), F.when(loose, T.strip(F.concat(said, F.lit(" " + UNTIED)))).otherwise(said).alias("caveats"))
 
 
 def citations(finished: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -59,3 +62,25 @@ def json_object(text: str) -> dict:
         return json.JSONDecoder().raw_decode(text, at)[0]
     except json.JSONDecodeError as e:
         raise NoObject(str(e)) from e
+
+
+_KINDS = {"string": str, "boolean": bool, "integer": int, "number": (int, float), "array": list, "object": dict}
+
+
+def validated(value: object, schema: dict, at: str = "answer") -> object:
+    """value, if it is as a schema says (type, enum, properties, required, items); ValueError with the place where it isn't. Properties that the schema doesn't name are refused."""
+    kind = schema.get("type")
+    if kind and (not isinstance(value, _KINDS[kind]) or isinstance(value, bool) != (kind == "boolean")):
+        raise ValueError(f"{at} is no {kind}")
+    if "enum" in schema and value not in schema["enum"]:
+        raise ValueError(f"{at} is none of {schema['enum']}")
+    if kind == "object":
+        own = schema.get("properties", {})
+        odd = [f"{k} is missing" for k in schema.get("required", own) if k not in value] + [f"{k} is unknown" for k in value if k not in own]
+        if odd:
+            raise ValueError(f"{at}: {', '.join(odd)}")
+        for k, v in value.items():
+            validated(v, own[k], f"{at}.{k}")
+    for i, v in enumerate(value if kind == "array" else ()):
+        validated(v, schema.get("items", {}), f"{at}[{i}]")
+    return value

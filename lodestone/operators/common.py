@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether df has at most `rows` rows; to be asked of cheap plans, since it runs one."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most `rows` rows; else left to the optimizer."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if fits(df, rows) else df
 
 
 def ranked(df: DataFrame, by: list[str], order: list[Column | str], name: str = "rank") -> DataFrame:
@@ -22,3 +27,13 @@ def ranked(df: DataFrame, by: list[str], order: list[Column | str], name: str =
 def top(df: DataFrame, by: list[str], order: list[Column | str], k: int, name: str = "rank") -> DataFrame:
     """The first k rows of each group; Spark limits each group before the shuffle."""
     return ranked(df, by, order, name).filter(F.col(name) <= k)
+
+
+def numbered(df: DataFrame, by: str, order: str, name: str = "at", width: int = 4096) -> DataFrame:
+    """df with the place of each row in its group, from 0, by `order`, a long column that differs in a group. Ranked in parts of `width` values of it, so that a large group is spread over tasks;
+    only the parts of a group, one row each, meet in one."""
+    part = df.withColumn("_part", F.floor(F.col(order) / width))
+    sizes = part.groupBy(by, "_part").agg(F.count("*").alias("_n"))
+    before = sizes.select(by, "_part", (F.sum("_n").over(Window.partitionBy(by).orderBy("_part")) - F.col("_n")).alias("_before"))
+    own = ranked(part, [by, "_part"], [order], "_own")
+    return own.join(before, [by, "_part"]).withColumn(name, F.col("_before") + F.col("_own") - 1).drop("_part", "_own", "_before")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone.config import DEFAULTS, Settings
 from lodestone.functions import text as T
-from lodestone.operators.common import ranked, small, top
+from lodestone.operators.common import fits, ranked, small, top
 
 DIGITS = 6
 
@@ -26,24 +26,48 @@ def document_frequency(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, settings: Settings = DEFAULTS, id_col: str = "doc_id", text_col: str = "text", query_id: str = "query_id", query_text: str = "query") -> DataFrame:
+def _asked(queries: DataFrame, query_id: str, query_text: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """(query_id, term) of each query's distinct terms, and what is done to a side of as many rows at most: a broadcast hint where they are few. Only the queries are counted."""
+    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(T.token_list(query_text))).alias("term"))
+    return asked, F.broadcast if fits(asked) else lambda df: df
+
+
+def _weights(index: DataFrame, stats: DataFrame) -> DataFrame:
+    """(term, mean_dl, idf) of the terms of index; stats: one row, n and mean_dl. tf is asked for so that the index is aggregated the same way as where it is summed."""
+    return index.groupBy("term").agg(F.count(F.when(F.col("tf") > 0, 1)).alias("df")).crossJoin(F.broadcast(stats)).select("term", "mean_dl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+
+
+def _summed(index: DataFrame, weighted: DataFrame, settings: Settings) -> DataFrame:
+    k1, b = settings.bm25_k1, settings.bm25_b
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("mean_dl")))
+    return index.join(weighted, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), DIGITS).alias("score"))
+
+
+def bm25(queries: DataFrame, docs: DataFrame, settings: Settings = DEFAULTS, id_col: str = "doc_id", text_col: str = "text", query_id: str = "query_id", query_text: str = "query", sources: list[str] | None = None) -> DataFrame:
     """(query_id, doc_id, score): BM25 of each query's distinct terms; only pairs that share a term.
 
-    The query side is broadcast where it is small, so that postings are cut to the terms asked for before anything is shuffled.
+    The query side is broadcast where it is small, so that postings are cut to the terms asked for before anything is shuffled. sources: documents of others
+    are not scored, but count in the statistics.
     """
-    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(T.token_list(query_text))).alias("term"))
+    asked, near = _asked(queries, query_id, query_text)
     whole = docs.sparkSession.createDataFrame([("",)], "term string")  # no token is empty: a row for each document, which counts them
-    terms = small(asked.select("term").distinct().unionAll(whole))
-    words = docs.select(F.col(id_col).alias("doc_id"), T.token_list(text_col).alias("w"))
-    rows = words.select("doc_id", F.size("w").cast("long").alias("dl"), F.explode_outer(F.concat("w", F.array(F.lit("")))).alias("term"))
+    terms = near(asked.select("term").distinct().unionAll(whole))
+    shown = {"shown": F.coalesce(F.col("source").isin(sources), F.lit(False))} if sources else {}
+    words = docs.select(F.col(id_col).alias("doc_id"), T.token_list(text_col).alias("w"), *(c.alias(n) for n, c in shown.items()))
+    rows = words.select("doc_id", *shown, F.size("w").cast("long").alias("dl"), F.explode_outer(F.concat("w", F.array(F.lit("")))).alias("term"))
     # all statistics come from this one aggregate without further filters, so that its exchange is made once
-    index = rows.join(terms, "term", "left_semi").groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
-    own = F.col("term") == ""
+    index = rows.join(terms, "term", "left_semi").groupBy("doc_id", "term", "dl", *shown).agg(F.count("*").alias("tf"))
+    own = (F.col("term") == "") & (F.col("tf") > 0)
     stats = index.agg(F.count(F.when(own, 1)).alias("n"), F.avg(F.when(own, F.col("dl"))).alias("mean_dl"))
-    weight = document_frequency(index).crossJoin(F.broadcast(stats)).select("term", "mean_dl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    k1, b = settings.bm25_k1, settings.bm25_b
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("mean_dl")))
-    return index.join(small(asked.join(weight, "term")), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), DIGITS).alias("score"))
+    return _summed(index.filter("shown") if sources else index, near(asked.join(_weights(index, stats), "term")), settings)
+
+
+def bm25_stored(queries: DataFrame, postings: DataFrame, stats: DataFrame, settings: Settings = DEFAULTS, query_id: str = "query_id", query_text: str = "query", sources: list[str] | None = None) -> DataFrame:
+    """What bm25() gives, from a stored index: postings (doc_id, term, tf, dl, source) and stats, one row, n and mean_dl. No text is read."""
+    asked, near = _asked(queries, query_id, query_text)
+    mine = postings.join(near(asked.select("term").distinct()), "term", "left_semi")
+    shown = mine.filter(F.col("source").isin(sources)) if sources else mine
+    return _summed(shown, near(asked.join(_weights(mine, stats), "term")), settings)
 
 
 def top_hits(scored: DataFrame, k: int) -> DataFrame:

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import retrieval
 from lodestone.operators.chunking import CHUNKS
+from lodestone.operators.common import ranked
 
 
 def corpus(spark: SparkSession, folder: str, suffix: str = ".pdf") -> DataFrame:
-    """(path, doc_id, source, content) of all files under a folder with that suffix, case aside; the id is of the name alone."""
+    """(path, doc_id, source, content) of all files under a folder with that suffix, case aside, by path; the id is of the name alone. ValueError if there are none."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     name = F.element_at(F.split("path", "/"), -1)
-    return files.filter(F.lower("path").endswith(suffix.lower())).select("path", T.doc_id(name).alias("doc_id"), name.alias("source"), "content")
+    found = files.filter(F.lower("path").endswith(suffix.lower()))
+    if not found.select("path").limit(1).count():
+        raise ValueError(f"no {suffix} files under {folder}")
+    return found.select("path", T.doc_id(name).alias("doc_id"), name.alias("source"), "content").orderBy("path")
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
@@ -43,9 +49,9 @@ def read_cases(spark: SparkSession, path: str, version: str = "2.0", ids: list[s
 
 
 def discover(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """Run artefacts of that name anywhere under a folder, one row each with its path; unreadable ones are skipped."""
+    """Run artefacts of that name anywhere under a folder, one row each with its path, by path; unreadable ones are skipped."""
     found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).option("multiLine", True).option("mode", "DROPMALFORMED").json(folder)
-    return found.withColumn("path", F.input_file_name()).dropDuplicates(["path"])
+    return found.withColumn("path", F.regexp_replace(F.input_file_name(), "^file:/+", "/")).dropDuplicates(["path"]).orderBy("path")
 
 
 def upsert_section(report: str, start: str, end: str, section: str) -> str:
@@ -63,6 +69,33 @@ def resume(cases: DataFrame, previous: DataFrame, config: dict, previous_config:
     return cases.join(previous.select(key), key, "left_anti"), previous.join(cases.select(key), key, "left_semi")
 
 
+def append_results(rows: DataFrame, path: str) -> None:
+    """Results of some cases added to those that are there, as each run of a few cases ends; read_results() has the last of a case."""
+    rows.withColumn("written_at", F.current_timestamp()).write.mode("append").json(path)
+
+
+def read_results(spark: SparkSession, path: str, key: str = "case_id") -> DataFrame:
+    last = spark.read.json(path)
+    newest = last.groupBy(key).agg(F.max("written_at").alias("written_at"))
+    return last.join(newest, [key, "written_at"]).dropDuplicates([key]).drop("written_at")
+
+
+def payload(chunks: DataFrame) -> DataFrame:
+    """Chunks as they are stored: table columns only where a chunk has a table, null elsewhere, so that JSON leaves them out."""
+    table = [c for c in chunks.columns if c.startswith("table_")]
+    return chunks.withColumns({c: F.when(F.col("chunk_type") == "table", F.col(c)) for c in table})
+
+
+def as_evidence(rows: DataFrame, round_no: int = 0) -> DataFrame:
+    """Stored chunks or hits as passages: what they lack, or have null, is the default."""
+    kinds = {"doc_id": "string", "chunk_index": "int", "title": "string", "section": "string", "page_start": "int", "page_end": "int", "chunk_type": "string", "table_caption": "string", "table_headers": "array<string>", "table_rows": "array<map<string,string>>", "table_row_start": "int", "table_row_end": "int", "fusion_score": "double", "rerank_score": "double", "is_neighbor": "boolean", "seed_chunk_id": "string", "round": "int"}
+    plain = {"chunk_type": F.lit("paragraph"), "is_neighbor": F.lit(False), "round": F.lit(round_no)}
+    empty = {"string": F.lit(""), "int": F.lit(0), "double": F.lit(0.0), "array<string>": F.array().cast("array<string>"), "array<map<string,string>>": F.array().cast("array<map<string,string>>")}
+    have = rows.withColumns({c: F.lit(None).cast(k) for c, k in kinds.items() if c not in rows.columns})
+    have = have.withColumn("chunk_index", T.index_of_chunk(F.coalesce("doc_id", F.lit("")), "chunk_id", "chunk_index"))
+    return have.select("chunk_id", "source", *(F.coalesce(F.col(c), plain.get(c, empty.get(k))).alias(c) for c, k in kinds.items()), "text")
+
+
 def write_report(rows: DataFrame, path: str, fmt: str = "json") -> None:
     writer = rows.write.mode("overwrite")
     writer.option("header", True).csv(path) if fmt == "csv" else writer.json(path)
@@ -79,33 +112,64 @@ def write_markdown(blocks: DataFrame, path: str) -> None:
 
 
 class IndexStore:
-    """An index of chunks as two tables in a folder: chunks with vectors, and postings by term."""
+    """An index of chunks in a folder: versions of three tables, chunks with vectors, postings by term, and one row of statistics. A file names the version that holds, and is
+    replaced once a new one is whole, so that a failure in between loses nothing."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
+    def _path(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def version(self) -> str | None:
+        path, fs = self._path("CURRENT")
+        if not fs.exists(path):
+            return None
+        return self.spark.read.text(str(path.toString())).first()["value"]
+
     def recreate(self, chunks: DataFrame) -> None:
-        """Write all anew; rows that repeat an id count once, the last by text."""
-        one = chunks.dropDuplicates(["chunk_id"])
-        one.write.mode("overwrite").parquet(f"{self.folder}/chunks")
-        retrieval.postings(one, "chunk_id").repartition("term").write.mode("overwrite").parquet(f"{self.folder}/postings")
+        """A new version of these chunks; of rows that share an id the last by text counts."""
+        old, new = self.version(), uuid.uuid4().hex
+        at = f"{self.folder}/{new}"
+        ranked(chunks, ["chunk_id"], [F.col("text").desc_nulls_last()], "_at").filter("_at = 1").drop("_at").write.parquet(f"{at}/chunks")
+        one = self.spark.read.parquet(f"{at}/chunks")
+        sources = one.select(F.col("chunk_id").alias("doc_id"), (F.col("source") if "source" in one.columns else F.lit("")).alias("source"))
+        retrieval.postings(one, "chunk_id").join(sources, "doc_id").repartition("term").write.parquet(f"{at}/postings")
+        one.select(F.size(T.token_list("text")).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("mean_dl")).write.parquet(f"{at}/stats")
+        path, fs = self._path("CURRENT")
+        out = fs.create(path, True)
+        out.write(bytearray(new.encode()))
+        out.close()
+        if old:
+            gone, fs = self._path(old)
+            fs.delete(gone, True)
 
     def upsert(self, chunks: DataFrame) -> None:
         """Chunks with these ids are replaced, others stay; doing it twice changes nothing."""
+        if not self.exists():
+            return self.recreate(chunks)
         old = self.chunks().join(chunks.select("chunk_id"), "chunk_id", "left_anti")
-        both = old.unionByName(chunks.dropDuplicates(["chunk_id"]), allowMissingColumns=True)
-        both.write.mode("overwrite").parquet(f"{self.folder}/next")
-        self.recreate(self.spark.read.parquet(f"{self.folder}/next"))
+        return self.recreate(old.unionByName(chunks, allowMissingColumns=True))
 
     def exists(self) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/chunks/_SUCCESS")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        return self.version() is not None
 
     def count(self) -> int:
         return self.chunks().count() if self.exists() else 0
 
+    def _table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{self.version()}/{name}")
+
     def chunks(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/chunks")
+        return self._table("chunks")
 
     def postings(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/postings")
+        return self._table("postings")
+
+    def stats(self) -> DataFrame:
+        return self._table("stats")
+
+    def search(self, queries: DataFrame, sources: list[str] | None = None, **how) -> DataFrame:
+        """BM25 of queries (query_id, query) from the stored postings; sources narrow what is scored."""
+        return retrieval.bm25_stored(queries, self.postings(), self.stats(), sources=sources, **how)

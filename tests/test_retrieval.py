@@ -153,13 +153,14 @@ def test_loop_answers_at_once(spark):
 
 def test_loop_retries_with_rewrites(spark):
     got, asked = outcome(spark, [(False, [], ["again"]), (True, [1], [])])
-    # all three passages were rejected in the first round, so nothing supports in the second
+    # all three passages were rejected in the first round, so there is no evidence in the second
     assert got["rounds"] == 2 and asked[1] == ["again"] and got["tried"] == ["what is it?", "again"]
+    assert got["status"] == "insufficient" and workflow.NOTHING in got["response"] and got["trace"] == ["triage: retrieve", "retrieve 1: 3 passages", "verify 1: retrieve", "retrieve 2: 0 passages", "verify 2: answer"]
 
 
 def test_loop_uses_up_its_rounds(spark):
     got, asked = outcome(spark, [(False, [1], ["more"])])
-    assert (got["status"], got["rounds"], len(asked)) == ("answered_partial", 3, 3)
+    assert (got["status"], got["rounds"], len(asked)) == ("answered_partial", 3, 3) and "3 rounds" in got["caveats"] and [c["chunk_id"] for c in got["citations"]] == ["a"]
 
 
 def test_loop_stops_without_rewrites(spark):
@@ -173,9 +174,95 @@ def test_loop_routes(spark, category, status):
     assert got["status"] == status
 
 
+def test_no_evidence_is_not_searched_again(spark):
+    docs = spark.createDataFrame([("d-00000", "red fox")], "chunk_id string, text string")
+    own, _ = providers(spark, [(False, [], ["again"])])
+    judged = []
+    verify = lambda q, e: judged.append(q.count()) or own.verify(q, e)
+    got = workflow.run(spark.createDataFrame([(1, "qqq www")], "query_id int, query string"), workflow.Providers(own.triage, workflow.lexical_search(docs, id_col="chunk_id"), verify)).first()
+    assert (got["status"], got["rounds"], got["tried"]) == ("insufficient", 1, ["qqq www"]) and judged == [0]
+
+
+def test_questions_that_a_provider_leaves_out_stay(spark):
+    own, _ = providers(spark, [(True, [1], [])])
+    some = workflow.Providers(own.triage, own.search, lambda q, e: own.verify(q, e).filter("query_id = 1"), lambda q, e: workflow.pointing_answer(q, e).filter("query_id < 0"))
+    got = {r["query_id"]: r for r in workflow.run(spark.createDataFrame([(1, "a"), (2, "b")], "query_id int, query string"), some).collect()}
+    assert (got[1]["status"], got[1]["response"], got[1]["confidence"]) == ("answered", "", "low") and (got[2]["status"], got[2]["rounds"]) == ("insufficient", 1)
+
+
+def loop_slowly(lists, chunks, verdicts, most_rounds=3):
+    """The loop for one question, step by step. lists: query to ranked (id, score); verdicts: by round."""
+    queries, tried, evidence, rejected = ["q"], [], [], []
+    for round_no in range(1, most_rounds + 1):
+        scores, best, seen = {}, {}, []
+        for q in queries:
+            for rank, (c, score) in enumerate([x for x in lists[q] if x[0] not in rejected], 1):
+                scores[c] = scores.get(c, 0) + 1 / (60 + rank)
+                seen += [c] if c not in seen else []
+                best[c] = max(best.get(c, score), score)
+        seeds = sorted(seen, key=lambda c: -round(scores[c], 9))[:6]
+        fresh = [(c, best[c], False) for c in seeds]
+        claimed = set(seeds) | set(rejected)
+        for c in seeds:
+            for step in (-1, 1):
+                near = (chunks[c][0], chunks[c][1] + step)
+                name = next((k for k, v in chunks.items() if v[:2] == near), None)
+                if near[1] >= 0 and f"{near[0]}-{near[1]:05d}" not in claimed:
+                    claimed.add(f"{near[0]}-{near[1]:05d}")
+                    if name and chunks[name][2] == chunks[c][2] and len(fresh) < 12:
+                        fresh.append((name, 0.0, True))
+        own = {c: (s, n) for c, s, n in evidence}
+        for c, score, neighbour in fresh:
+            old = own.get(c)
+            if old is None or (old[1] and not neighbour) or (old[1] == neighbour and score > old[0]):
+                own[c] = (score, neighbour)
+        now = sorted(((c, s, n) for c, (s, n) in own.items()), key=lambda x: (x[2], -x[1]))[:12]
+        tried += queries
+        sufficient, supporting, rewrites = verdicts[round_no - 1] if now else (False, [], [])
+        good = [i for i in supporting if 1 <= i <= len(now)]
+        sufficient = sufficient and bool(good)
+        kept = [now[i - 1] for i in good]
+        if not sufficient:
+            rejected += [x[0] for i, x in enumerate(now, 1) if i not in good]
+        evidence = kept
+        if sufficient or round_no == most_rounds or not rewrites:
+            return ("answered" if sufficient else "answered_partial" if kept else "insufficient"), round_no, len(kept), tried, [x[0] for x in kept]
+        queries = rewrites
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_loop_equals_a_slow_one(spark, seed):
+    """Random lists and verdicts, many questions at once."""
+    import random
+
+    rnd = random.Random(seed)
+    chunks = {f"d{d}-{i:05d}": (f"d{d}", i, rnd.choice("AB")) for d in range(3) for i in range(8)}
+    names, questions, lists, verdicts = list(chunks), range(12), {}, {}
+    for k in questions:
+        for q in ("q", "r", "s"):
+            some = rnd.sample(names, rnd.randint(0, 9))
+            lists[k, q] = sorted(((c, rnd.randint(1, 9) / 10) for c in some), key=lambda x: -x[1])
+        verdicts[k] = [(rnd.random() < 0.3, [rnd.randint(0, 8) for _ in range(rnd.randint(0, 4))], rnd.choice([[], ["r"], ["s"], ["r", "s"]])) for _ in range(3)]
+    table = spark.createDataFrame([(n, d, i, s, d, 1, 1, f"text {n}") for n, (d, i, s) in chunks.items()], "chunk_id string, doc_id string, chunk_index int, section string, source string, page_start int, page_end int, text string").cache()
+    hits = spark.createDataFrame([(k, q, c, i, s) for (k, q), own in lists.items() for i, (c, s) in enumerate(own, 1)], "query_id int, query string, doc_id string, rank int, rerank_score double").cache()
+    told = spark.createDataFrame([(k, i, *v) for k, own in verdicts.items() for i, v in enumerate(own, 1)], "query_id int, round int, sufficient boolean, supporting array<int>, rewrites array<string>").cache()
+    own, _ = providers(spark, [])
+    search = lambda a: a.join(hits, ["query_id", "query"]).select("query_id", "list_no", "doc_id", "rank", "rerank_score")
+    verify = lambda q, _: q.join(told, ["query_id", "round"]).select("query_id", "n", "sufficient", "supporting", "rewrites")
+    got = workflow.run(spark.createDataFrame([(k, "q") for k in questions], "query_id int, query string"), workflow.Providers(own.triage, search, verify, chunks=table)).collect()
+    for r in got:
+        k = r["query_id"]
+        status, rounds, n, tried, kept = loop_slowly({q: lists[k, q] for q in ("q", "r", "s")}, chunks, verdicts[k])
+        assert (r["status"], r["rounds"], r["n_evidence"], r["tried"]) == (status, rounds, n, tried)
+        assert [c["chunk_id"] for c in r["citations"]] == kept and all(c["quote"].startswith("text d") for c in r["citations"])
+    assert len(got) == 12 and len({r["rounds"] for r in got}) > 1
+
+
 def test_sufficient_without_support_is_not(spark):
     rows = spark.createDataFrame([(1, 2, True, [5], []), (2, 0, True, [1], []), (3, 2, True, [2], [])], "query_id int, n int, sufficient boolean, supporting array<int>, rewrites array<string>")
     assert {r["query_id"]: r["sufficient"] for r in workflow.verdict_rules(rows).collect()} == {1: False, 2: False, 3: True}
+    odd = spark.createDataFrame([(1, 2, None, None, None)], "query_id int, n int, sufficient boolean, supporting array<int>, rewrites array<string>")
+    assert tuple(workflow.verdict_rules(odd).first()) == (1, 2, [], False, [], "")
 
 
 def test_rendered_evidence(spark):
@@ -198,3 +285,67 @@ def test_dense_blocks_equal_pairs(spark):
     one, two = retrieval.dense_top(queries, vectors, 5, block=3), retrieval.top_hits(retrieval.dense(queries, vectors.filter("vector is not null")), 5)
     assert sorted(one.collect()) == sorted(two.collect())
     assert retrieval.dense_top(queries.limit(0), vectors, 5).count() == 0
+
+
+def test_sources_narrow_both_branches_but_no_statistics(spark, tmp_path):
+    from lodestone.sources.files import IndexStore
+
+    docs = spark.createDataFrame([("1", "red fox", "a"), ("2", "red red dog fox", "b"), ("3", "blue", "a"), ("4", "", "b")], "doc_id string, text string, source string")
+    asked = spark.createDataFrame([(7, "Red fox red")], "query_id int, query string")
+    store = IndexStore(spark, str(tmp_path / "i"))
+    store.recreate(docs.withColumnRenamed("doc_id", "chunk_id"))
+    every, some = retrieval.bm25(asked, docs), retrieval.bm25(asked, docs, sources=["a"])
+    assert sorted(every.collect()) == sorted(store.search(asked).collect())
+    assert some.collect() == every.filter("doc_id = '1'").collect() == store.search(asked, ["a"]).collect()
+
+
+def test_search_plans_scan_the_corpus_once_and_count_only_queries(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "red fox")], "doc_id int, text string")
+    docs.write.parquet(str(tmp_path / "d"))
+    asked = spark.createDataFrame([(7, "red fox")], "query_id int, query string")
+    plan = retrieval.bm25(asked, spark.read.parquet(str(tmp_path / "d")))
+    plan.collect()
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    final = text.split("== Initial Plan ==")[0]
+    assert final.count("FileScan parquet") == 1, final
+
+
+def test_places_in_a_large_group_are_counted_in_parts(spark):
+    from lodestone.operators.common import numbered
+
+    rows = spark.createDataFrame([("ab"[i % 3 == 0], i * 7 - 300) for i in range(200)], "g string, o long")
+    got = numbered(rows, "g", "o", width=50).collect()
+    for g in "ab":
+        own = sorted((r["o"], r["at"]) for r in got if r["g"] == g)
+        assert [at for _, at in own] == list(range(len(own)))
+
+
+def test_entry_functions(spark, tmp_path):
+    from lodestone import engine
+    from lodestone.operators import ingest
+
+    keys = ("block_type", "text", "page_start", "page_end", "section", "caption", "table_headers", "table_rows", "table_cells")
+    texts = [("a.pdf", 0, "The gates are shut at night."), ("a.pdf", 1, "Deer come in the morning."), ("b.pdf", 0, "Paint the gates each spring.")]
+    rows = [(d, i, *({"block_type": "text", "text": t, "page_start": 1, "page_end": 1, "section": f"S{i}", "caption": "", "table_headers": [], "table_rows": [], "table_cells": []}[k] for k in keys)) for d, i, t in texts]
+    store = engine.build_index(spark, spark.createDataFrame(rows, ingest.BLOCKS), str(tmp_path / "i"))
+    assert tuple(engine.index_stats(store).first()) == (3, 0, 2, 2, 5, 5, 6)
+    got = {r["query_id"]: r for r in engine.answer(spark.createDataFrame([(1, "gates shut night"), (2, "zebra")], "query_id int, query string"), store, settings=Settings(min_supporting=1)).collect()}
+    assert got[1]["status"] == "answered" and got[1]["citations"][0]["source"] == "a.pdf" and got[2]["status"] == "insufficient"
+    with pytest.raises(ValueError):
+        engine.answer(spark.createDataFrame([(1, "x")], "query_id int, query string"), engine.files.IndexStore(spark, str(tmp_path / "none")))
+
+
+def test_sweep_resumes(spark, tmp_path):
+    from lodestone import engine
+
+    cases, calls = spark.createDataFrame([("1",), ("2",)], "case_id string"), []
+
+    def run(config, todo):
+        calls.append((config["id"], todo.count()))
+        return todo.select("case_id", F.when((F.col("case_id") == "2") & F.lit(len(calls) == 1), "broken").otherwise("").alias("error"))
+
+    first = engine.sweep(spark, [{"id": "x"}], cases, run, str(tmp_path)).first()
+    again = engine.sweep(spark, [{"id": "x"}, {"id": "y"}], cases, run, str(tmp_path)).collect()
+    assert tuple(first) == ("x", 2, 1) and [tuple(r) for r in again] == [("x", 2, 0), ("y", 2, 0)] and calls == [("x", 2), ("x", 1), ("y", 2)]
+    with pytest.raises(ValueError):
+        engine.sweep(spark, [{"id": "x"}, {"id": "x"}], cases, run, str(tmp_path))
