@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions import text as T
 from lodestone.operators.common import ranked
 
 KS = (1, 3, 5, 10)
@@ -100,15 +101,33 @@ def e2e_overall(rows: DataFrame) -> DataFrame:
 
 def latency(rows: DataFrame, by: list[str], value: str, order: str) -> DataFrame:
     """Mean, median, nearest-rank 95th percentile, largest, and the mean without the first row by `order` (which counts where it is alone)."""
-    first = rows.groupBy(*by).agg(F.min(order).alias("first_at"))
-    joined = rows.join(first, by) if by else rows.crossJoin(first)
-    later = F.avg(F.when(F.col(order) != F.col("first_at"), F.col(value)))
-    return joined.groupBy(*by).agg(
+    # the first row's share is taken off the sums, in the one aggregate
+    n, first = F.count(value), F.min_by(value, order)
+    later = F.when(n > F.when(first.isNotNull(), 1).otherwise(0), (F.sum(value) - F.coalesce(first, F.lit(0.0))) / F.nullif(n - F.when(first.isNotNull(), 1).otherwise(0), F.lit(0)))
+    return rows.groupBy(*by).agg(
         F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean_s"), F.round(F.median(value), 6).alias("median_s"), F.expr(f"percentile_disc(0.95) within group (order by {value})").alias("p95_s"),
         F.max(value).alias("max_s"), F.round(F.coalesce(later, F.avg(value)), 6).alias("mean_excluding_first_s"),
     )
 
 
+DECLINED = ("insufficient", "rejected", "needs_clarification")
+
+
+def smoke_rows(cases: DataFrame, states: DataFrame) -> DataFrame:
+    """A row for each of cases (id, query, expected_category, expected_sources, must_include, expect_insufficient) with its state (query_id, category, status, rounds, response, confidence, citations, dropped): how
+    triage, sources, keywords and abstention came out. A case without a state is an error."""
+    s = states.withColumnRenamed("query_id", "id")
+    both = cases.join(s, "id", "left").withColumn("status", F.coalesce("status", F.lit("error")))
+    cited = F.transform(F.coalesce("citations", F.array().cast("array<struct<source:string>>")), lambda c: c["source"])
+    abstained = F.col("status").isin(*DECLINED, "answered_partial")
+    return both.select(
+        "id", "query", "expected_category", F.coalesce("category", F.lit("")).alias("actual_category"), F.coalesce(F.col("category") == F.col("expected_category"), F.lit(False)).cast("int").alias("triage_correct"), "status", F.coalesce("rounds", F.lit(0)).alias("rounds"),
+        F.size(cited).alias("n_citations"), F.array_join(F.array_sort(F.array_distinct(cited)), "|").alias("cited_sources"), T.source_hit(cited, F.coalesce("expected_sources", F.array().cast("array<string>"))).alias("source_hit"),
+        T.source_precision(cited, F.coalesce("expected_sources", F.array().cast("array<string>"))).alias("source_precision"), T.keyword_recall(F.coalesce("response", F.lit("")), F.coalesce("must_include", F.array().cast("array<string>"))).alias("keyword_recall"),
+        F.coalesce("confidence", F.lit("")).alias("confidence"), (F.size(F.coalesce("dropped", F.array())) == 0).cast("int").alias("citation_integrity"), F.when(F.col("expect_insufficient"), abstained.cast("int")).alias("abstained"), F.substring(F.coalesce("response", F.lit("")), 1, 2000).alias("response"),
+    )
+
+
 def smoke_summary(rows: DataFrame) -> DataFrame:
     """Means over what is not null of rows (triage_correct, source_hit, source_precision, keyword_recall, abstained, status, n_citations)."""
     mean = lambda c: F.round(F.avg(c), 6)

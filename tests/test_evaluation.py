@@ -131,7 +131,10 @@ def test_corpus_ids_are_of_names(spark, tmp_path):
     (tmp_path / "x").mkdir()
     (tmp_path / "x" / "NIST.CSWP.29.PDF").write_bytes(b"%PDF")
     (tmp_path / "n.txt").write_text("no")
-    assert [r["source"] for r in files.corpus(spark, str(tmp_path)).collect()] == ["NIST.CSWP.29.PDF"]
+    (tmp_path / "a.pdf").write_bytes(b"%PDF")
+    assert [r["source"] for r in files.corpus(spark, str(tmp_path)).collect()] == ["a.pdf", "NIST.CSWP.29.PDF"]
+    with pytest.raises(ValueError):
+        files.corpus(spark, str(tmp_path), ".doc")
 
 
 def test_report_sections():
@@ -151,7 +154,55 @@ def test_store(spark, tmp_path):
     assert not store.exists() and store.count() == 0
     store.recreate(spark.createDataFrame([("a", "red fox"), ("b", "dog")], "chunk_id string, text string"))
     store.upsert(spark.createDataFrame([("b", "blue dog"), ("c", "cat")], "chunk_id string, text string"))
-    assert store.count() == 3 and store.postings().filter("term = 'blue'").count() == 1
+    assert store.count() == 3 and store.postings().filter("term = 'blue'").count() == 1 and tuple(store.stats().first()) == (3, 5 / 3)
+    store.recreate(spark.createDataFrame([("a", "x"), ("a", "z"), ("a", None)], "chunk_id string, text string"))
+    assert [r["text"] for r in store.chunks().collect()] == ["z"]
+
+
+def test_a_failed_write_loses_nothing(spark, tmp_path):
+    store = files.IndexStore(spark, str(tmp_path / "store"))
+    store.recreate(spark.createDataFrame([("a", "red fox")], "chunk_id string, text string"))
+    with pytest.raises(Exception):
+        store.upsert(spark.createDataFrame([("b", "x")], "chunk_id string, text string").withColumn("text", F.raise_error(F.lit("lost"))))
+    assert store.count() == 1 and store.postings().count() == 2
+
+
+def test_appended_results(spark, tmp_path):
+    path = str(tmp_path / "r")
+    files.append_results(spark.createDataFrame([("1", 1), ("2", 1)], "case_id string, x int"), path)
+    files.append_results(spark.createDataFrame([("2", 5)], "case_id string, x int"), path)
+    assert sorted((r["case_id"], r["x"]) for r in files.read_results(spark, path).collect()) == [("1", 1), ("2", 5)]
+
+
+def test_payloads_and_passages(spark):
+    rows = spark.createDataFrame([("d-00004", "d", "s", "text", "paragraph", "", ["A"]), ("d-00005", "d", "s", "row", "table", "Cap", ["A"])], "chunk_id string, doc_id string, source string, text string, chunk_type string, table_caption string, table_headers array<string>")
+    got = {r["chunk_type"]: r for r in files.payload(rows).collect()}
+    assert got["paragraph"]["table_headers"] is None and got["table"]["table_caption"] == "Cap"
+    one = files.as_evidence(files.payload(rows).filter("chunk_type = 'paragraph'"), 2).first()
+    assert (one["chunk_index"], one["table_headers"], one["page_start"], one["is_neighbor"], one["round"], one["rerank_score"], one["seed_chunk_id"]) == (4, [], 0, False, 2, 0.0, "")
+
+
+def test_smoke_rows(spark):
+    cases = spark.createDataFrame([("1", "q", "in_scope", ["a.pdf"], ["Gate", "deer"], None), ("2", "r", "out_of_scope", [], [], True), ("3", "s", "in_scope", ["a.pdf"], [], False)], "id string, query string, expected_category string, expected_sources array<string>, must_include array<string>, expect_insufficient boolean")
+    states = spark.createDataFrame([("1", "in_scope", "answered", 1, "the gate", "high", [("a.pdf",), ("b.pdf",)], []), ("2", "in_scope", "answered_partial", 3, "x", "low", [], [9])], "query_id string, category string, status string, rounds int, response string, confidence string, citations array<struct<source:string>>, dropped array<int>")
+    got = {r["id"]: r for r in evaluation.smoke_rows(cases, states).collect()}
+    assert (got["1"]["triage_correct"], got["1"]["source_hit"], got["1"]["source_precision"], got["1"]["keyword_recall"], got["1"]["abstained"], got["1"]["cited_sources"]) == (1, 1.0, 0.5, 0.5, None, "a.pdf|b.pdf")
+    assert (got["2"]["triage_correct"], got["2"]["abstained"], got["2"]["citation_integrity"], got["2"]["source_hit"]) == (0, 1, 0, None)
+    assert (got["3"]["status"], got["3"]["triage_correct"], got["3"]["source_precision"]) == ("error", 0, 0.0)
+    assert evaluation.smoke_summary(evaluation.smoke_rows(cases, states)).first()["n"] == 3
+
+
+def test_latency_without_the_first(spark):
+    rows = [("a", 2, 5.0), ("a", 1, 100.0), ("a", 3, 7.0), ("b", 1, None), ("b", 2, 4.0), ("c", 1, 9.0), ("d", 1, None)]
+    got = {r["k"]: r for r in evaluation.latency(spark.createDataFrame(rows, "k string, at int, v double"), ["k"], "v", "at").collect()}
+    assert [got[k]["mean_excluding_first_s"] for k in "abcd"] == [6.0, 4.0, 9.0, None]
+
+
+def test_latency_change(spark):
+    from lodestone.functions import text as T
+
+    got = spark.range(1).select(T.change(F.lit(3.0), F.lit(4.0)).alias("a"), T.change(F.lit(3.0), F.lit(0.0)).alias("b"), T.change(F.lit(None).cast("double"), F.lit(1.0)).alias("c")).first()
+    assert tuple(got) == ("25.00%", "—", "—")
 
 
 def test_stream_windows(spark, tmp_path):
