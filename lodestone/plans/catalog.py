@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,8 @@ from lodestone.config import Settings
 from lodestone.functions import requests
 from lodestone.functions import text as T
 from lodestone.operators import answers, benchmark, chunking, compare, evaluation, ingest, retrieval, workflow
-from lodestone.operators.common import ranked, small, top
+from lodestone.operators.common import numbered, ranked, small, top
+from lodestone.sources import files, staging
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,11 +37,15 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
     return tab(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
+def graded(spark: SparkSession, d: str) -> DataFrame:
+    """(case_id, chunk_id, grade): documents that contain a question's text support it in full (2), those that contain its first three words in part (1)."""
+    asked = questions(spark, d).filter("query is not null").select(F.col("query_id").alias("case_id"), F.explode(F.array(F.struct(F.col("query").alias("span"), F.lit(2).alias("grade")), F.struct(F.array_join(F.slice(F.split("query", " "), 1, 3), " ").alias("span"), F.lit(1).alias("grade")))).alias("x"))
+    texts = tab(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("body"))
+    return benchmark.holding(texts, asked.select("case_id", "x.span", "x.grade")).groupBy("case_id", "chunk_id").agg(F.max("grade").alias("grade"))
+
+
 def gold(spark: SparkSession, d: str) -> DataFrame:
-    """(case_id, chunk_id, grade): documents that contain a question's text support it in full."""
-    asked = small(questions(spark, d).filter("query is not null"), 10_000)
-    docs = tab(spark, d, "documents").select("doc_id", "text")
-    return docs.join(asked, F.contains(F.col("text"), F.col("query"))).select(F.col("query_id").alias("case_id"), F.col("doc_id").alias("chunk_id"), F.lit(2).alias("grade"))
+    return graded(spark, d).filter("grade = 2")
 
 
 def bm25_hits(spark: SparkSession, d: str, k: int) -> DataFrame:
@@ -62,12 +68,12 @@ df as (select term, count(*) as df from tf group by term),
 q as (select distinct item_id as query_id, unnest({TOK.format('text')}) as term from benchmark),
 bm as (select query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 6) as score from q join df using (term) join tf using (term) join len using (doc_id), st group by query_id, doc_id),
 hits as (select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id) as rank from bm)"""
-GOLD = "gold as (select item_id as case_id, doc_id as chunk_id, 2 as grade from benchmark, documents where contains(documents.text, benchmark.text))"
+GOLD = """graded as (select item_id as case_id, doc_id as chunk_id, case when contains(documents.text, benchmark.text) then 2 else 1 end as grade from benchmark, documents where contains(documents.text, array_to_string(string_split(benchmark.text, ' ')[1:3], ' '))),
+gold as (select * from graded where grade = 2)"""
 DOT = "list_dot_product(list_transform({}, lambda x: x::double), list_transform({}, lambda x: x::double))"
-DENSE = f"dense as (select q.vec_id as query_id, v.vec_id as doc_id, round({DOT.format('q.embedding', 'v.embedding')}, 6) as score from embeddings q, embeddings v where q.vec_id < 20)"
-# The same for the whole search set: every vector whose id is divisible by 50; every question of benchmark.
-FIFTIETH = DENSE.replace("q.vec_id < 20", "q.vec_id % 50 = 0")
-ASKED = DENSE.replace("q.vec_id < 20", "q.vec_id in (select item_id from benchmark)")
+# Queries are every vector whose id is divisible by 50; in fusion every question of benchmark whose id is a vector's.
+DENSE = f"dense as (select q.vec_id as query_id, v.vec_id as doc_id, round({DOT.format('q.embedding', 'v.embedding')}, 6) as score from embeddings q, embeddings v where q.vec_id % 50 = 0)"
+ASKED = DENSE.replace("q.vec_id % 50 = 0", "q.vec_id in (select item_id from benchmark)")
 COVER = f"case when len({SET.format('{q}')}) > 0 then round(len(list_intersect({SET.format('{q}')}, {SET.format('{t}')})) / len({SET.format('{q}')}), 6) else 0.0 end"
 
 
@@ -84,10 +90,10 @@ def normalize_heading(spark, d):
     return tab(spark, d, "pages").select("page_id", T.normalize_heading(F.regexp_extract("html", "<h1>(.*?)</h1>", 1)).alias("heading"))
 
 
-@query(f"select doc_id, len({SET.format('text')})::bigint as n_tokens, array_to_string(list_sort({SET.format('text')})[1:20], ' ') as first_tokens from documents")
+@query(f"select doc_id, len({SET.format('text')})::bigint as n_tokens, array_to_string(list_sort({SET.format('text')}), ' ') as tokens from documents")
 def tokens_stopwords(spark, d):
     s = T.token_set("text")
-    return tab(spark, d, "documents").select("doc_id", F.size(s).cast("long").alias("n_tokens"), F.array_join(F.slice(F.array_sort(s), 1, 20), " ").alias("first_tokens"))
+    return tab(spark, d, "documents").select("doc_id", F.size(s).cast("long").alias("n_tokens"), F.array_join(F.array_sort(s), " ").alias("tokens"))
 
 
 @query(f"select doc_id, (pos - 1)::bigint as sentence_no, sentence, {WORDS.format('sentence')}::bigint as n_tokens from (select doc_id, unnest(s) as sentence, generate_subscripts(s, 1) as pos from (select doc_id, {SENTENCES.format('text')} as s from documents))")
@@ -131,15 +137,17 @@ def block_explode(spark, d):
     return ingest.document_blocks(tab(spark, d, "documents"))
 
 
-@query("""with l as (select doc_id, unnest(x) as line, (generate_subscripts(x, 1) - 1)::int as seq from (select doc_id, string_split(text, chr(10)) as x from documents)),
-h as (select doc_id, seq, line, length(line) < 60 as header from l where line <> '')
-select doc_id, seq, coalesce(last_value(case when header then line end ignore nulls) over (partition by doc_id order by seq rows between unbounded preceding and current row), '') as section from h""")
-def section_carry_forward(spark, d):
-    from pyspark.sql import Window
+# A document's lines are its items, on one page; short ones are section headers.
+_LINES = f"lines as (select doc_id, (pos - 1)::int as seq, length(line) < 60 as header, {CLEAN.format('line')} as plain from (select doc_id, unnest(x) as line, generate_subscripts(x, 1) as pos from (select doc_id, string_split(text, chr(10)) as x from documents)))"
 
-    lines = tab(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("seq", "line")).filter("line <> ''")
-    order = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return lines.select("doc_id", "seq", F.coalesce(F.last(F.when(F.length("line") < 60, F.col("line")), ignorenulls=True).over(order), F.lit("")).alias("section"))
+
+@query(rf"""with {_LINES}, kept as (select * from lines where plain <> '' and not regexp_full_match(plain, '\d{{1,4}}'))
+select doc_id::varchar as doc_id, seq, case when header then '# ' || plain else plain end as text, coalesce(last_value(case when header then plain end ignore nulls) over (partition by doc_id order by seq rows between unbounded preceding and current row), '') as section from kept""")
+def section_carry_forward(spark, d):
+    lines = tab(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("seq", "text"))
+    none = {"self_ref": "string", "level": "int", "marker": "string", "language": "string", "captions": "array<string>", "caption": "string", "table_headers": "array<string>", "table_rows": "array<map<string,string>>", "table_cells": f"array<{ingest.CELL}>"}
+    items = lines.withColumns({"label": F.when(F.length("text") < 60, "section_header").otherwise("text"), "pages": F.array(F.lit(1)), "page_count": F.lit(1), **{c: F.lit(None).cast(k) for c, k in none.items()}})
+    return ingest.extract_blocks(items.withColumn("self_ref", F.lit(""))).select("doc_id", "seq", "text", "section")
 
 
 _ITEMS = r"""items as (select page_id, (pos - 1)::int as seq, part from (select page_id, unnest(p) as part, generate_subscripts(p, 1) as pos from (select page_id, string_split(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', '', 'g'), '(?i)<(h1|p|li|footer|div|article|nav|title)(\s[^>]*)?>', chr(1) || '\1' || chr(2), 'g'), chr(1)) as p from pages)) where contains(part, chr(2))),
@@ -151,10 +159,10 @@ def html_blocks(spark, d):
     return ingest.html_items(tab(spark, d, "pages"))
 
 
-@query(f"with {_ITEMS} select page_id, seq, case tag when 'h1' then '# ' || text when 'li' then '- ' || text else text end as markdown from shown where text <> '' and tag in ('h1', 'p', 'li')")
+@query(f"with {_ITEMS} select page_id, seq, case when tag in ('h1', 'title') then '# ' || text when tag = 'li' then '- ' || text else text end as markdown from shown where text <> ''")
 def html_markdown(spark, d):
-    items = ingest.html_items(tab(spark, d, "pages")).filter(F.col("tag").isin("h1", "p", "li"))
-    label = F.when(F.col("tag") == "h1", "section_header").when(F.col("tag") == "li", "list_item").otherwise("text")
+    items = ingest.html_items(tab(spark, d, "pages"))
+    label = F.when(F.col("tag") == "h1", "section_header").when(F.col("tag") == "li", "list_item").when(F.col("tag") == "title", "title").otherwise("text")
     return items.select("page_id", "seq", T.markdown(label, F.col("text"), F.lit(1), F.lit("-"), F.lit("")).alias("markdown"))
 
 
@@ -162,32 +170,29 @@ def html_markdown(spark, d):
 n as (select source, count(*) as pages from documents group by source)
 select source, norm, count(distinct doc_id) as n_pages from l join n using (source) where length({CLEAN.format('line')}) between 1 and 160 and norm <> '' group by source, norm, pages having pages >= 3 and count(distinct doc_id) >= greatest(2, ceil(pages * 0.02))""")
 def repeated_chrome(spark, d):
-    """The counting of the chrome rule over sources as documents and documents as pages, with a share that occurs in these tables."""
+    """The chrome rule over sources as documents and documents as pages, with a share that occurs in these tables."""
     docs = tab(spark, d, "documents")
-    lines = docs.select("source", "doc_id", F.explode(F.split("text", "\n")).alias("line")).filter(F.length(T.clean("line")).between(1, 160))
-    seen = lines.select("source", "doc_id", T.normalize_heading("line").alias("norm")).filter("norm <> ''").distinct()
-    pages = docs.groupBy("source").agg(F.count("*").alias("pages")).filter("pages >= 3")
-    often = seen.groupBy("source", "norm").agg(F.count("*").alias("n_pages"))
-    return often.join(pages, "source").filter(F.col("n_pages") >= F.greatest(F.lit(2), F.ceil(F.col("pages") * 0.02))).select("source", "norm", "n_pages")
+    pages = docs.groupBy("source").agg(F.count("*").alias("page_count"))
+    items = docs.select("source", F.col("doc_id").alias("page_start"), F.col("doc_id").alias("page_end"), F.explode(F.split("text", "\n")).alias("text")).join(pages, "source")
+    return ingest.repeated_chrome(items.withColumnRenamed("source", "doc_id"), 0.02, 2).select(F.col("doc_id").alias("source"), "norm", F.col("n").alias("n_pages"))
 
 
 # --- chunks ---
 
 
-@query(f"""select doc_id, seq, unit_no, n_tokens from (
-select doc_id, seq, {WORDS.format('line')} as n, line from (select doc_id, (pos - 1)::int as seq, {CLEAN.format('line')} as line from (select doc_id, unnest(l) as line, generate_subscripts(l, 1) as pos from (select doc_id, string_split(text, chr(10)) as l from documents)))
-where line <> '') b, lateral (select 0::int as unit_no, b.n::bigint as n_tokens) u where n <= 4000""")
-def chunk_units(spark, d):
-    """Blocks within the budget are one unit each; longer ones are covered by the brute-force tests."""
-    rows = ingest.document_blocks(tab(spark, d, "documents")).select("doc_id", F.col("seq").cast("int").alias("seq"), F.lit(0).alias("unit_no"), T.count_tokens("text").cast("long").alias("n_tokens"))
-    return rows.filter("n_tokens <= 4000")
+_UNITS = f"""with recursive b as (select doc_id, seq, line, {WORDS.format('line')} as n from (select doc_id, (pos - 1)::int as seq, {CLEAN.format('line')} as line from (select doc_id, unnest(l) as line, generate_subscripts(l, 1) as pos from (select doc_id, string_split(text, chr(10)) as l from documents))) where line <> ''),
+s as (select doc_id, seq, i, {WORDS.format('sentence')} as n from (select doc_id, seq, unnest(x) as sentence, generate_subscripts(x, 1) - 1 as i from (select doc_id, seq, {SENTENCES.format('line')} as x from b where n > 40))),
+c as (select *, sum(n) over (partition by doc_id, seq order by i) as c, max(i) over (partition by doc_id, seq) as last from s),
+step as (select doc_id, seq, 0 as k, 0::bigint as f, greatest(0, coalesce((select max(x.i) from c x where x.doc_id = a.doc_id and x.seq = a.seq and x.c <= 40), 0))::bigint as e from c a where a.i = 0
+union all select t.doc_id, t.seq, t.k + 1, t.e + 1, greatest(t.e + 1, coalesce((select max(x.i) from c x where x.doc_id = t.doc_id and x.seq = t.seq and x.i > t.e and x.c - p.c <= 40), t.e + 1))::bigint from step t join c p on p.doc_id = t.doc_id and p.seq = t.seq and p.i = t.e where t.e < p.last)
+select doc_id, seq, k::int as unit_no, (select sum(n) from s where s.doc_id = step.doc_id and s.seq = step.seq and s.i between f and e)::bigint as n_tokens from step union all select doc_id, seq, 0, n::bigint from b where n <= 40"""
 
 
-@query()
-def chunk_units_whole(spark, d):
-    """The units of every block of documents, those of blocks over the budget split into groups of sentences."""
-    split = F.udf(lambda text: [n for _, n in chunking.text_units(text, 4000)], "array<bigint>")
-    return ingest.document_blocks(tab(spark, d, "documents")).select("doc_id", F.col("seq").cast("int").alias("seq"), F.posexplode(split("text")).alias("unit_no", "n_tokens"))
+@query(_UNITS)
+def chunk_units(spark, d):
+    """The units of every block of documents, with a budget over which many are split into groups of sentences."""
+    blocks = ingest.document_blocks(tab(spark, d, "documents")).withColumn("seq", F.col("seq").cast("int"))
+    return chunking.split_units(blocks, 40).drop("text")
 
 
 _PACK = f"""with recursive u as (select doc_id, row_number() over (partition by doc_id order by seq) - 1 as i, n, sum(n) over (partition by doc_id order by seq) as c from (select doc_id, seq, {WORDS.format('line')} as n from (select doc_id, pos as seq, {CLEAN.format('line')} as line from (select doc_id, unnest(l) as line, generate_subscripts(l, 1) as pos from (select doc_id, string_split(text, chr(10)) as l from documents))) where line <> '')),
@@ -205,31 +210,49 @@ def chunk_pack_spans(spark, d):
 @query()
 def chunk_pack(spark, d):
     """Chunks of whole documents with the default budget, from blocks of lines with sentences split."""
-    return chunking.chunk_blocks(_blocks(spark, d), Settings()).drop("table_rows", "table_headers")
-
-
-def _blocks(spark, d):
-    lines = ingest.document_blocks(tab(spark, d, "documents"))
-    empty = F.array()
-    return lines.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("seq").cast("int").alias("seq"), F.lit("text").alias("block_type"), "text", F.lit(1).alias("page_start"), F.lit(1).alias("page_end"), F.lit("").alias("section"), F.lit("").alias("caption"), empty.cast("array<string>").alias("table_headers"), empty.cast("array<map<string,string>>").alias("table_rows"), empty.cast(f"array<{ingest.CELL}>").alias("table_cells"))
-
-
-def _table_blocks(spark):
-    """Two tables of five columns on consecutive pages, of which the second begins with the rest of the first's last row; fixed rows."""
-    row = lambda *v: dict(zip(("ID", "Name", "Tactic"), v, strict=True))
-    data = [("t", 0, "table", "a", 1, 1, "S", "C", ["ID", "Name", "Tactic"], [row("T1", "One", "first half")], []), ("t", 1, "table", "b", 2, 2, "S", "", ["ID", "Name", "Tactic"], [row("", "", "second half"), row("T2", "Two", "other")], [])]
-    return spark.createDataFrame(data, ingest.BLOCKS)
+    return chunking.chunk_documents(tab(spark, d, "documents"), Settings()).drop("table_rows", "table_headers")
+
+
+# Each nation is a document: a table of its customers, cut after every fifth, each page after the first beginning with the rest of the last note of the page before. In every fourth nation the pages lie in
+# sections of their own, so that nothing is joined; in every fourth after those the headers of later pages are lost.
+_CUSTOMERS = """c as (select c_nationkey as n, c_custkey as k, c_name as name, c_mktsegment as seg, row_number() over (partition by c_nationkey order by c_custkey) - 1 as i, count(*) over (partition by c_nationkey) as total from customer),
+r as (select *, i // 5 as page, i % 5 + 1 as pos, (i % 5 = 4 or i = total - 1) as last_of_page, i = total - 1 as last_of_all, n % 4 <> 0 as joined from c)"""
+
+
+def _table_blocks(spark, d):
+    c = ranked(tab(spark, d, "customer"), ["c_nationkey"], ["c_custkey"], "i").withColumn("i", F.col("i") - 1).withColumn("page", F.floor(F.col("i") / 5))
+    rows = c.groupBy(F.col("c_nationkey").alias("n"), "page").agg(F.array_sort(F.collect_list(F.struct("i", F.col("c_custkey").cast("string").alias("k"), "c_name", "c_mktsegment"))).alias("rows"), F.max_by("c_custkey", "i").alias("last"))
+    before = rows.select("n", (F.col("page") + 1).alias("page"), F.col("last").alias("before"))
+    both = rows.join(before, ["n", "page"], "left")
+    lost = (F.col("n") % 4 == 1) & (F.col("page") > 0)
+    names = F.when(lost, F.array(*(F.lit(f"Column {i}") for i in (1, 2, 3)))).otherwise(F.array(*map(F.lit, ("ID", "Name", "Note"))))
+    row = lambda *v: F.map_from_arrays(F.col("names"), F.array(*v))
+    rest = F.when(F.col("before").isNotNull(), F.array(row(F.lit(""), F.lit(""), F.concat(F.lit("rest "), F.col("before").cast("string"))))).otherwise(F.array().cast("array<map<string,string>>"))
+    shown = both.withColumn("names", names).withColumn("all", F.concat(rest, F.transform("rows", lambda x: row(x["k"], x["c_name"], x["c_mktsegment"]))))
+    at = (F.col("page") + 1).cast("int")
+    return shown.select(
+        F.concat(F.lit("n"), F.col("n").cast("string")).alias("doc_id"), F.col("page").cast("int").alias("seq"), F.lit("table").alias("block_type"), F.lit("raw").alias("text"), at.alias("page_start"), at.alias("page_end"),
+        F.when(F.col("n") % 4 == 0, F.concat(F.lit("S"), F.col("page").cast("string"))).otherwise("S").alias("section"), F.when(F.col("page") == 0, F.concat(F.lit("Customers of "), F.col("n").cast("string"))).otherwise("").alias("caption"),
+        F.col("names").alias("table_headers"), F.col("all").alias("table_rows"), F.array().cast(f"array<{ingest.CELL}>").alias("table_cells"),
+    )
 
 
-@query("select * from (values ('t', 0::int, 1::int, 2::int, 'C', 1::bigint, 'first half second half'), ('t', 1::int, 2::int, 2::int, 'C', 1::bigint, 'other')) x(doc_id, seq, page_start, page_end, caption, n_rows, last_tactic)")
+@query(f"""with {_CUSTOMERS}, p as (select n, page, any_value(joined) as joined, count(*) as size, max_by(k, i) as k, max_by(seg, i) as seg, bool_or(last_of_all) as final from r group by n, page)
+select 'n' || n as doc_id, page::int as seq, (page + 1)::int as page_start, (case when joined and not final then page + 2 else page + 1 end)::int as page_end, case when page = 0 or joined then 'Customers of ' || n else '' end as caption,
+(size + case when not joined and page > 0 then 1 else 0 end)::bigint as n_rows, seg || case when joined and not final then ' rest ' || k else '' end as last_note, 'ID,Name,Note' as headers from p""")
 def table_repair(spark, d):
-    rows = ingest.repair_tables(_table_blocks(spark))
-    return rows.select("doc_id", "seq", "page_start", "page_end", "caption", F.size("table_rows").cast("long").alias("n_rows"), F.element_at(F.element_at("table_rows", -1), "Tactic").alias("last_tactic"))
+    rows = ingest.repair_tables(_table_blocks(spark, d))
+    return rows.select("doc_id", "seq", "page_start", "page_end", "caption", F.size("table_rows").cast("long").alias("n_rows"), F.element_at(F.element_at("table_rows", -1), "Note").alias("last_note"), F.array_join("table_headers", ",").alias("headers"))
 
 
-@query("select * from (values ('t-00000', 1::int, 'Section: S' || chr(10) || 'Table: C' || chr(10) || 'Row: 1' || chr(10) || 'ID: T1' || chr(10) || 'Name: One' || chr(10) || 'Tactic: first half second half'), ('t-00001', 1::int, 'Section: S' || chr(10) || 'Table: C' || chr(10) || 'Row: 1' || chr(10) || 'ID: T2' || chr(10) || 'Name: Two' || chr(10) || 'Tactic: other')) x(chunk_id, table_row_start, text)")
+# With twelve words to a chunk, a row of a captioned table is cut into its name and its note, and a note with a rest word by word; one without a caption fits.
+@query(f"""with {_CUSTOMERS}, h as (select *, 'Section: ' || case when joined then 'S' else 'S' || page end || chr(10) || case when joined or page = 0 then 'Table: Customers of ' || n || chr(10) else '' end || 'Row: ' as head, joined or page = 0 as captioned, pos + case when not joined and page > 0 then 1 else 0 end as no from r),
+t as (select n, page, no, case when captioned and joined and last_of_page and not last_of_all then list_transform(['Name: ' || name, 'Note: ' || seg, 'Note: rest', 'Note: ' || k], lambda x: head || no || chr(10) || 'ID: ' || k || chr(10) || x)
+ when captioned then list_transform(['Name: ' || name, 'Note: ' || seg], lambda x: head || no || chr(10) || 'ID: ' || k || chr(10) || x) else [head || no || chr(10) || 'ID: ' || k || chr(10) || 'Name: ' || name || chr(10) || 'Note: ' || seg] end as texts from h
+union all select n, page + 1, 1, ['Section: S' || (page + 1) || chr(10) || 'Row: 1' || chr(10) || 'Note: rest ' || k] from r where not joined and last_of_page and not last_of_all)
+select 'n' || n || '-' || lpad((row_number() over (partition by n order by page, no, nth) - 1)::varchar, 5, '0') as chunk_id, no::int as table_row_start, text from (select n, page, no, unnest(texts) as text, generate_subscripts(texts, 1) as nth from t)""")
 def table_row_units(spark, d):
-    return chunking.chunk_blocks(ingest.repair_tables(_table_blocks(spark)), Settings()).select("chunk_id", "table_row_start", "text")
+    return chunking.chunk_blocks(ingest.repair_tables(_table_blocks(spark, d)), Settings(chunk_size=12)).select("chunk_id", "table_row_start", "text")
 
 
 # --- retrieval ---
@@ -251,55 +274,46 @@ def bm25_topk(spark, d):
 
 
 def _vectors(spark, d):
-    v = tab(spark, d, "embeddings")
-    return v.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), v.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"), F.col("label").cast("string").alias("source"))
+    v = tab(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"), F.col("label").cast("string").alias("source"))
+    return v.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "vector"), v
 
 
 @query(f"with {DENSE} select query_id, doc_id, score, rank::int as rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from dense) where rank <= 5")
 def dense_topk(spark, d):
-    q, v = _vectors(spark, d)
-    return retrieval.top_hits(retrieval.dense(q, v), 5)
+    return retrieval.dense_top(*_vectors(spark, d), 5)
 
 
 @query(f"with {DENSE} select query_id, doc_id, score, rank::int as rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from dense join embeddings on vec_id = doc_id where label in (1, 3)) where rank <= 5")
 def dense_topk_filtered(spark, d):
     q, v = _vectors(spark, d)
-    return retrieval.top_hits(retrieval.dense(q, v, ["1", "3"]), 5)
-
-
-def _fiftieth(spark, d):
-    _, v = _vectors(spark, d)
-    return v.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "vector"), v
+    return retrieval.dense_top(q, v.filter(F.col("source").isin("1", "3")), 5)
 
 
-@query(f"with {FIFTIETH} select query_id, doc_id, score, rank::int as rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from dense) where rank <= 5")
-def dense_topk_fiftieth(spark, d):
-    return retrieval.dense_top(*_fiftieth(spark, d), 5)
+@query(f"""with {BM25} select query_id, doc_id, score, rank::int as rank from (select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id) as rank from bm join documents using (doc_id) where source in ('src0', 'src3')) where rank <= 10""")
+def bm25_topk_filtered(spark, d):
+    """Documents of two sources alone are scored; the statistics are of all."""
+    return retrieval.top_hits(retrieval.bm25(questions(spark, d), tab(spark, d, "documents"), sources=["src0", "src3"]), 10)
 
 
-@query(f"with {FIFTIETH} select query_id, doc_id, score, rank::int as rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from dense join embeddings on vec_id = doc_id where label in (1, 3)) where rank <= 5")
-def dense_topk_filtered_fiftieth(spark, d):
-    q, v = _fiftieth(spark, d)
-    return retrieval.dense_top(q, v.filter(F.col("source").isin("1", "3")), 5)
+@query(f"with {BM25} select query_id, doc_id, score, rank::int as rank from hits where rank <= 10")
+def bm25_stored_topk(spark, d):
+    """The same as bm25_topk, from an index that is written first; no text is read when it is searched."""
+    store = files.IndexStore(spark, f"{staging.folder(spark)}/index-{uuid.uuid4().hex}")
+    store.recreate(tab(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "source"))
+    return retrieval.top_hits(store.search(questions(spark, d)), 10)
 
 
-_HYBRID = f"""{BM25}, {DENSE}, dh as (select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id) as rank from dense),
+_HYBRID = f"""{BM25}, {ASKED}, dh as (select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id) as rank from dense),
 lists as (select query_id, 0 as list_no, doc_id, rank from dh where rank <= 30 union all select query_id, 1, doc_id, rank from hits where rank <= 30),
 fused as (select query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) as score, min((list_no, rank)) as first from lists group by query_id, doc_id)"""
 
 
 @query(f"with {_HYBRID} select query_id, doc_id, score, rank::int as rank from (select *, row_number() over (partition by query_id order by score desc, first, doc_id) as rank from fused) where rank <= 20")
 def hybrid_rrf(spark, d):
-    q, v = _vectors(spark, d)
-    return retrieval.hybrid(retrieval.bm25(questions(spark, d), tab(spark, d, "documents")), retrieval.dense(q, v)).select("query_id", "doc_id", "score", "rank")
-
-
-@query(f"with {_HYBRID.replace(DENSE, ASKED)} select query_id, doc_id, score, rank::int as rank from (select *, row_number() over (partition by query_id order by score desc, first, doc_id) as rank from fused) where rank <= 20")
-def hybrid_rrf_asked(spark, d):
     """A dense list for every question whose id is a vector's."""
     v = _vectors(spark, d)[1]
     q = v.select(F.col("doc_id").alias("query_id"), "vector").join(questions(spark, d).select("query_id").distinct(), "query_id", "left_semi")
-    return retrieval.hybrid(retrieval.bm25(questions(spark, d), tab(spark, d, "documents")), retrieval.dense(q, v)).select("query_id", "doc_id", "score", "rank")
+    return retrieval.hybrid(retrieval.bm25(questions(spark, d), tab(spark, d, "documents")), retrieval.dense_top(q, v, Settings().top_k_dense).drop("rank")).select("query_id", "doc_id", "score", "rank")
 
 
 _RERANK = f"scored as (select query_id, hits.doc_id, rank, {COVER.format(q='b.text', t='documents.text')} as rerank_score from hits join benchmark b on b.item_id = query_id join documents using (doc_id) where rank <= 20)"
@@ -353,9 +367,13 @@ found as (select fresh.*, row_number() over (partition by query_id order by abs(
 select query_id, chunk_id, position::bigint as position, is_neighbor, seed_chunk_id from own union all select query_id, chunk_id, n + pos, true, seed_chunk_id from found where n + pos <= 12"""
 
 
+def _numbered(spark, d):
+    chunks = numbered(tab(spark, d, "documents"), "source", "doc_id").select(F.col("doc_id").alias("id"), F.col("source").alias("doc_id"), F.col("at").cast("int").alias("chunk_index"), F.col("lang").alias("section"), "text")
+    return chunks.withColumn("chunk_id", T.chunk_id("doc_id", "chunk_index"))
+
+
 def _neighbors(spark, d, same: bool):
-    chunks = ranked(tab(spark, d, "documents"), ["source"], ["doc_id"], "at").select(F.col("doc_id").alias("id"), F.col("source").alias("doc_id"), (F.col("at") - 1).alias("chunk_index"), F.col("lang").alias("section"))
-    chunks = chunks.withColumn("chunk_id", T.chunk_id("doc_id", "chunk_index"))
+    chunks = _numbered(spark, d).drop("text")
     seeds = bm25_hits(spark, d, 6).select("query_id", F.col("doc_id").alias("id"), "rank").join(chunks, "id")
     return retrieval.expand_neighbors(seeds, chunks, window=1, max_total=12, same_section=same)
 
@@ -389,16 +407,16 @@ def point_lookup_ordered(spark, d):
 # --- metrics ---
 
 _SCORE = f"""{BM25}, {GOLD}, cases as (select item_id as case_id, item_id % 3 as scope, item_id % 2 as kind from benchmark),
-top as (select query_id as case_id, doc_id as chunk_id, rank from hits where rank <= 10), ng as (select case_id, count(distinct chunk_id) as g from gold group by case_id),
-m as (select case_id, min(rank) as first, {', '.join(f"count(*) filter (rank <= {k}) as f{k}, coalesce(sum(3 / log2(rank + 1)) filter (rank <= {k}), 0) as d{k}" for k in evaluation.KS)} from top join (select distinct case_id, chunk_id from gold) using (case_id, chunk_id) group by case_id),
-ideal as (select case_id, {', '.join(f"sum(3 / log2(nth + 1)) filter (nth <= {k}) as i{k}" for k in evaluation.KS)} from (select case_id, row_number() over (partition by case_id) as nth from (select distinct case_id, chunk_id from gold)) group by case_id),
+top as (select query_id as case_id, doc_id as chunk_id, rank from hits where rank <= 10), ng as (select case_id, count(*) as g from gold group by case_id),
+m as (select case_id, min(rank) filter (grade = 2) as first, {', '.join(f"count(*) filter (rank <= {k} and grade = 2) as f{k}, coalesce(sum((2 ** grade - 1) / log2(rank + 1)) filter (rank <= {k}), 0) as d{k}" for k in evaluation.KS)} from top join graded using (case_id, chunk_id) group by case_id),
+ideal as (select case_id, {', '.join(f"sum((2 ** grade - 1) / log2(nth + 1)) filter (nth <= {k}) as i{k}" for k in evaluation.KS)} from (select case_id, grade, row_number() over (partition by case_id order by grade desc, chunk_id) as nth from graded) group by case_id),
 s as (select case_id, scope, kind, {', '.join(f"(coalesce(f{k}, 0) > 0)::int::double as hit_{k}, round(coalesce(f{k} / g, 0), 6)::double as recall_{k}, round(coalesce(d{k} / i{k}, 0), 6)::double as ndcg_{k}" for k in evaluation.KS)}, round(coalesce(1.0 / first, 0), 6)::double as mrr from cases left join m using (case_id) left join ng using (case_id) left join ideal using (case_id))"""
 
 
 def _scored(spark, d):
     cases = tab(spark, d, "benchmark").select(F.col("item_id").alias("case_id"), (F.col("item_id") % 3).alias("scope"), (F.col("item_id") % 2).alias("kind"))
     hits = bm25_hits(spark, d, 10).select(F.col("query_id").alias("case_id"), F.col("doc_id").alias("chunk_id"), "rank")
-    return evaluation.score_rankings(cases, hits, gold(spark, d))
+    return evaluation.score_rankings(cases, hits, graded(spark, d))
 
 
 def _metric(name: str):
@@ -498,14 +516,14 @@ def citation_micro_macro(spark, d):
 
 # --- answers: text with markers made of documents ---
 
-_ANSWER = "a as (select doc_id as query_id, substr(text, 1, 40) || ' [' || (doc_id % 5) || '] , then [' || (doc_id % 3 + 1) || '] .' as answer, 3 as n, [2, 7] as used from documents)"
+_ANSWER = "a as (select doc_id as query_id, text || ' [' || (doc_id % 5) || '] , then [' || (doc_id % 3 + 1) || '] .' as answer, 3 as n, [2, 7] as used from documents)"
 _DROPPED = r"list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(answer, '\[(\d+)\]', 1), lambda m: m::int), lambda m: m < 1 or m > n)))"
 _KEPT = r"list_filter(list_transform(regexp_extract_all(answer, '\[(\d+)\]', 1), lambda m: m::int), lambda m: m between 1 and n)"
 
 
 def _answers(spark, d):
     i = F.col("doc_id")
-    text = F.concat(F.substring("text", 1, 40), F.lit(" ["), (i % 5).cast("string"), F.lit("] , then ["), (i % 3 + 1).cast("string"), F.lit("] ."))
+    text = F.concat("text", F.lit(" ["), (i % 5).cast("string"), F.lit("] , then ["), (i % 3 + 1).cast("string"), F.lit("] ."))
     return tab(spark, d, "documents").select(i.alias("query_id"), text.alias("answer"), F.array(F.lit(2), F.lit(7)).alias("used"), F.lit("high").alias("confidence"), F.lit("").alias("caveats"), F.lit("").alias("prefix"), F.lit(3).alias("n"))
 
 
@@ -523,27 +541,6 @@ def marker_drop(spark, d):
     return answers.finish_answers(_answers(spark, d)).select("query_id", "answer", F.array_join(F.col("markers").cast("array<string>"), ",").alias("markers"), "confidence")
 
 
-_WHOLE = _ANSWER.replace("substr(text, 1, 40)", "text")
-
-
-def _whole_answers(spark, d):
-    end = F.concat(F.lit(" ["), (F.col("query_id") % 5).cast("string"), F.lit("] , then ["), (F.col("query_id") % 3 + 1).cast("string"), F.lit("] ."))
-    texts = tab(spark, d, "documents").select(F.col("doc_id").alias("query_id"), "text")
-    rest = [F.array(F.lit(2), F.lit(7)).alias("used"), F.lit("high").alias("confidence"), F.lit("").alias("caveats"), F.lit("").alias("prefix"), F.lit(3).alias("n")]
-    return texts.select("query_id", F.concat("text", end).alias("answer"), *rest)
-
-
-@query(ORACLES["marker_extract"].replace(_ANSWER, _WHOLE))
-def marker_extract_whole(spark, d):
-    a = _whole_answers(spark, d)
-    return a.select("query_id", F.array_join(F.filter(T.markers("answer"), lambda m: m.between(1, F.col("n"))).cast("array<string>"), ",").alias("kept"), F.array_join(T.dropped_markers("answer", "n").cast("array<string>"), ",").alias("dropped"))
-
-
-@query(ORACLES["marker_drop"].replace(_ANSWER, _WHOLE))
-def marker_drop_whole(spark, d):
-    return answers.finish_answers(_whole_answers(spark, d)).select("query_id", "answer", F.array_join(F.col("markers").cast("array<string>"), ",").alias("markers"), "confidence")
-
-
 @query(f"select doc_id, substr({COLLAPSE.format('text')}, 1, 220) || case when length({COLLAPSE.format('text')}) >= 220 then '...' else '' end as quote from documents")
 def quote_render(spark, d):
     return tab(spark, d, "documents").select("doc_id", T.quote("text").alias("quote"))
@@ -561,14 +558,8 @@ def citation_render(spark, d):
     return _pages(tab(spark, d, "documents")).select("doc_id", T.citation("source", "section", "page_start", "page_end").alias("citation"))
 
 
-@query(f"with {BM25} select query_id, string_agg('[' || rank || '] (' || {_CITE} || case when rank = 3 then '; adjacent context for s' else '' end || ')' || chr(10) || substr(text, 1, 80), chr(10) || chr(10) order by rank) as rendered from hits join documents using (doc_id) where rank <= 3 group by query_id")
+@query(f"with {BM25} select query_id, string_agg('[' || rank || '] (' || {_CITE} || case when rank = 3 then '; adjacent context for s' else '' end || ')' || chr(10) || text, chr(10) || chr(10) order by rank) as rendered from hits join documents using (doc_id) where rank <= 3 group by query_id")
 def evidence_render(spark, d):
-    hits = bm25_hits(spark, d, 3).join(_pages(tab(spark, d, "documents")), "doc_id")
-    return answers.render_evidence(hits.select("query_id", F.col("rank").alias("position"), "source", "section", "page_start", "page_end", F.substring("text", 1, 80).alias("text"), (F.col("rank") == 3).alias("is_neighbor"), F.lit("s").alias("seed_chunk_id")))
-
-
-@query(ORACLES["evidence_render"].replace("substr(text, 1, 80)", "text"))
-def evidence_render_whole(spark, d):
     hits = bm25_hits(spark, d, 3).join(_pages(tab(spark, d, "documents")), "doc_id")
     return answers.render_evidence(hits.select("query_id", F.col("rank").alias("position"), "source", "section", "page_start", "page_end", "text", (F.col("rank") == 3).alias("is_neighbor"), F.lit("s").alias("seed_chunk_id")))
 
@@ -641,13 +632,7 @@ def lexical_candidates(spark, d):
 
 @query(f"with {DENSE} select query_id as fact_id, doc_id as chunk_id from (select *, row_number() over (partition by query_id order by score desc, doc_id) as nth from dense where query_id <> doc_id) where nth <= 8")
 def semantic_candidates(spark, d):
-    q, v = _vectors(spark, d)
-    return benchmark.semantic(retrieval.dense(q, v).select(F.col("query_id").alias("fact_id"), F.col("doc_id").alias("chunk_id"), "score"), 8)
-
-
-@query(f"with {FIFTIETH} select query_id as fact_id, doc_id as chunk_id from (select *, row_number() over (partition by query_id order by score desc, doc_id) as nth from dense where query_id <> doc_id) where nth <= 8")
-def semantic_candidates_fiftieth(spark, d):
-    best = retrieval.dense_top(*_fiftieth(spark, d), 9)  # the 8 best and the fact itself
+    best = retrieval.dense_top(*_vectors(spark, d), 9)  # the 8 best and the fact itself
     return benchmark.semantic(best.select(F.col("query_id").alias("fact_id"), F.col("doc_id").alias("chunk_id"), "score"), 8)
 
 
@@ -695,13 +680,8 @@ def triage_dedup(spark, d):
     return benchmark.first_occurrence(tab(spark, d, "conversations"), "text", ["conv_id", "turn"], ["role"]).select("conv_id", "turn", "role")
 
 
-@query("select item_id, (row_number() over (order by case when item_id in (0, 8, 16, 24, 32) then 0 else 1 end, item_id))::int as place from benchmark where item_id < 40")
-def triage_spread(spark, d):
-    return benchmark.even_spread(tab(spark, d, "benchmark").filter("item_id < 40").select("item_id"), "item_id", 40, 5)
-
-
 @query("select item_id, (row_number() over (order by case when item_id in (select i * n // 5 from range(5) r(i), (select count(*) as n from benchmark)) then 0 else 1 end, item_id))::int as place from benchmark")
-def triage_spread_all(spark, d):
+def triage_spread(spark, d):
     items = tab(spark, d, "benchmark").select("item_id")
     return benchmark.even_spread(items, "item_id", items.count(), 5)
 
@@ -718,7 +698,7 @@ def triage_route(spark, d):
 
 
 @query("""with v as (select conv_id * 100 + turn as query_id, turn % 4 as round, length(text) % 3 as n, (length(text) % 2 = 0) as suff, length(text) % 4 = 0 as none from conversations),
-r as (select query_id, round, none, suff and n > 0 and len(list_filter([1, 2, 9], lambda i: i between 1 and n)) > 0 as sufficient, len(list_filter([1, 2, 9], lambda i: i between 1 and n))::bigint as n_support from v)
+r as (select query_id, round, none or n = 0 as none, suff and n > 0 and len(list_filter([1, 2, 9], lambda i: i between 1 and n)) > 0 as sufficient, len(list_filter([1, 2, 9], lambda i: i between 1 and n))::bigint as n_support from v)
 select query_id, sufficient, n_support, case when sufficient or round >= 3 or none then 'answer' else 'retrieve' end as route from r""")
 def verify_route(spark, d):
     n = F.length("text")
@@ -729,12 +709,12 @@ def verify_route(spark, d):
 
 @query()
 def retry_rounds(spark, d):
-    """The whole loop over the benchmark's questions with the rule-based stand-ins."""
-    docs = tab(spark, d, "documents")
+    """The whole loop over the benchmark's questions with the rule-based stand-ins; chunks are the documents of a source in order."""
+    chunks = _numbered(spark, d).select("chunk_id", "doc_id", "chunk_index", "section", F.col("doc_id").alias("source"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end"), "text")
     none = F.lit(None).cast("string")
     ask = lambda q: q.select("query_id", "query", F.when(F.col("query_id") % 10 == 9, "ambiguous").otherwise("in_scope").alias("category"), F.array().cast("array<string>").alias("search_queries"), none.alias("clarifying_question"), none.alias("rejection_reason"))
-    done = workflow.run(questions(spark, d), workflow.Providers(ask, workflow.lexical_search(docs), workflow.coverage_verdict(0.6)), Settings(max_rounds=2))
-    return done.select("query_id", "status", "rounds", "n_evidence", F.size("tried").alias("n_tried"))
+    done = workflow.run(questions(spark, d), workflow.Providers(ask, workflow.lexical_search(chunks, id_col="chunk_id"), workflow.coverage_verdict(0.6), chunks=chunks))
+    return done.select("query_id", "status", "rounds", "n_evidence", F.size("tried").alias("n_tried"), "response", "confidence", F.transform("citations", lambda c: c["chunk_id"]).alias("cited"))
 
 
 @query("select doc_id from documents where doc_id not in (select doc_id from labels)")
