@@ -24,7 +24,7 @@ from lodestone.llm.common import NO_LETTERS, Words, batches, long_text, mapped,
 
 K1, B, TOP = 1.2, 0.75, 10
 #: Text bytes of a shard; documents of a range; distinct terms of the queries that are searched together, which bounds what is broadcast.
-SHARD_BYTES, RANGE, QUERY_TERMS = 8 << 20, 64, 200_000
+SHARD_BYTES, RANGE, QUERY_TERMS = 4 << 20, 64, 200_000
 _DIGITS = 6
 _COLUMNS = (("ids", "<i8"), ("lengths", "<u4"), ("terms", "<u8"), ("first", "<u4"), ("docs", "<u4"), ("counts", "<u4"), ("blocks", "<u4"), ("block", "<u4"), ("block_first", "<u4"), ("most", "<u4"), ("shortest", "<u4"))
 _INDEX = "shard long, n long, total long, " + ", ".join(f"{c} binary" for c, _ in _COLUMNS)
