@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lodestone.llm import bpe, licenses, search
+from lodestone.llm import bpe, licenses, search, wand
 from lodestone.llm.html import op9_html_extraction
 from lodestone.llm.language import op7_language_id
 from lodestone.llm.minhash import op1_minhash_near_dedup
@@ -23,6 +23,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_html_extraction": op9_html_extraction,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_wand_search": wand.op11_wand_search,
     "pipeline": corpus_pipeline.run,
 }
 #: Further query sets of operators that QUERIES has already.
@@ -31,4 +32,5 @@ ORACLES: dict[str, str] = {
     "op2_bm25_top_k": search.ORACLE,
     "op2_bm25_corpus_top_k": search.CORPUS_ORACLE,
     "op5_license_scan": licenses.oracle(),
+    "op11_wand_search": wand.ORACLE,
 }

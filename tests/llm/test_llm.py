@@ -629,5 +629,5 @@ def test_pipeline_on_odd_and_empty_tables(spark, odd, nothing, tmp_path):
 
 
 def test_every_operator_is_registered():
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)] + ["pipeline"]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 13)] + ["pipeline"]
     assert corpus_pipeline.ORACLE_SQL is None
