@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from lodestone.llm import bpe, licenses, search, wand
+from lodestone.llm.digest import op12_document_fingerprints
 from lodestone.llm.html import op9_html_extraction
 from lodestone.llm.language import op7_language_id
 from lodestone.llm.minhash import op1_minhash_near_dedup
@@ -24,6 +25,7 @@ QUERIES = {
     "op9_html_extraction": op9_html_extraction,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_wand_search": wand.op11_wand_search,
+    "op12_document_fingerprints": op12_document_fingerprints,
     "pipeline": corpus_pipeline.run,
 }
 #: Further query sets of operators that QUERIES has already.

@@ -1,0 +1,151 @@
+"""Fingerprints against a slow version over one window at a time, and over tables with odd orders."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from lodestone.llm import common, digest
+
+RANKS = np.array(random.Random(4).sample(range(1001), 1001))
+
+
+def entropy_slowly(window: bytes) -> int:
+    total = sum(int(digest._MORE[1 : n + 1].sum()) for n in Counter(window).values())
+    most = int(digest._MORE.sum())
+    return (most - total) * 1000 // most
+
+
+def selected_slowly(text: bytes, ranks=RANKS) -> list[bytes]:
+    """The selected windows, in order."""
+    laid = digest._PAD + text + digest._PAD
+    windows = [laid[i : i + digest.WINDOW] for i in range(len(text) + 1)] if text else []
+    ranked = [(int(ranks[entropy_slowly(w)]), i) for i, w in enumerate(windows)]
+    points: Counter = Counter()
+    for begin in range(1 - digest.SPAN, len(windows)):
+        points[min(ranked[max(0, begin) : begin + digest.SPAN])[1]] += 1
+    return [w for i, w in enumerate(windows) if points[i] >= digest.LEAST_POINTS]
+
+
+def feature(window: bytes) -> int:
+    values = common._BYTES[0][np.frombuffer(window, np.uint8)]
+    return int(digest._ROLL.spans(digest._ROLL.sums(values), np.array([0]), np.array([len(window)]))[0])
+
+
+def chain_slowly(text: bytes, ranks=RANKS) -> list[tuple[int, set[int]]]:
+    features = list(dict.fromkeys(feature(w) for w in selected_slowly(text, ranks)))
+    return [(len(own), {(f >> 11 * k) % digest.BITS for f in own for k in range(digest.HASHES)}) for own in (features[i : i + digest.FEATURES] for i in range(0, len(features), digest.FEATURES))]
+
+
+def likeness_slowly(one, other) -> float:
+    if not one or not other:
+        return float(len(one) == len(other))
+    if [b for _, b in one] == [b for _, b in other]:
+        return 1.0
+    if sum(n for n, _ in one) > sum(n for n, _ in other):
+        one, other = other, one
+    total = 0.0
+    for n, bits in one:
+        shares = []
+        for _, there in other:
+            chance, most = len(bits) * len(there) / digest.BITS, min(len(bits), len(there))
+            cut = chance + digest.CUT * (most - chance)
+            shares.append(max(0.0, (len(bits & there) - cut) / (most - cut)))
+        total += n * max(shares)
+    return total / sum(n for n, _ in one)
+
+
+def as_sets(chain):
+    return [(int(n), set(np.flatnonzero(np.unpackbits(b.view(np.uint8))).tolist())) for n, b in zip(*chain, strict=True)]
+
+
+def test_entropies_equal_slow_ones():
+    x = np.frombuffer(b"aaaa bbbb abcdefghijklmnop" * 3 + bytes(40) + "日本語 текст".encode() * 4, np.uint8)
+    assert digest.entropies(x).tolist() == [entropy_slowly(x[i : i + digest.WINDOW].tobytes()) for i in range(len(x) - digest.WINDOW + 1)]
+
+
+def test_chains_equal_brute_force(rows):
+    texts = [(r[1] or "").encode() for r in rows if len(r[1] or "") < 6000][:70] + [b"a", b"a" * 500, b"short text", "é".encode() * 90]
+    got = digest.chains(texts, RANKS)
+    assert [as_sets(c) for c in got] == [chain_slowly(t) for t in texts]
+    for i in range(len(texts) - 1):
+        assert digest.likeness(got[i], got[i + 1]) == pytest.approx(likeness_slowly(chain_slowly(texts[i]), chain_slowly(texts[i + 1])), abs=1e-6)
+        assert digest.likeness(got[i], got[i + 1]) == digest.likeness(got[i + 1], got[i])
+    assert [as_sets(digest.chain_of(digest.text_of(c))) for c in got] == [as_sets(c) for c in got]
+
+
+def test_long_texts_are_read_in_stretches(rows, monkeypatch):
+    texts = [r[1].encode() for r in rows if len(r[1] or "") > 2500]
+    whole = [as_sets(c) for t in texts for c in digest.chains([t], RANKS)]
+    monkeypatch.setattr(common, "PASS_BYTES", 300)
+    assert [as_sets(c) for t in texts for c in digest.chains([t], RANKS)] == whole
+    assert len(whole) > 1 and max(map(len, whole)) > 1
+
+
+def edited_slowly(rows):
+    """doc_id -> edited text, for rows with ids of their own."""
+    order = sorted(((r[0], r[1] or "") for r in rows), reverse=True)
+    out = {}
+    for (i, text), (_, after) in zip(order, order[1:] + order[:1], strict=True):
+        half = len(text) // 2
+        out[i] = text[: len(text) - half] + after[:half]
+    return out
+
+
+@pytest.mark.parametrize("per_task", [1, 4, 40])
+def test_edits_follow_the_whole_order(docs, rows, per_task, monkeypatch):
+    monkeypatch.setattr(digest, "in_order", lambda *a, f=digest.in_order: f(*a, per_task=per_task))
+    got = {r["doc_id"]: r for r in digest.fingerprint_with_edits(docs, RANKS).collect()}
+    want = edited_slowly(rows)
+    texts = {r[0]: r[1] or "" for r in rows}
+    assert {i: r["edited_sha256"] for i, r in got.items()} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in want.items()}
+    assert {i: r["n_chars"] for i, r in got.items()} == {i: len(t) for i, t in texts.items()}
+    order = sorted(got, reverse=True)
+    for i, j in zip(order, order[1:] + order[:1], strict=True):
+        own, changed = digest.chains([texts[i].encode()], RANKS)[0], digest.chains([want[i].encode()], RANKS)[0]
+        assert (got[i]["fingerprint"], got[i]["edited_fingerprint"]) == (digest.text_of(own), digest.text_of(changed))
+        assert (got[i]["near_edited"], got[i]["near_next"]) == (digest.likeness(own, changed), digest.likeness(own, digest.chains([texts[j].encode()], RANKS)[0]))
+
+
+def test_edits_are_near_and_others_far(docs, rows):
+    ranks = digest.rarities(docs)
+    slow = Counter()
+    for r in rows:
+        text = (r[1] or "").encode()
+        laid = digest._PAD + text + digest._PAD
+        slow.update(entropy_slowly(laid[i : i + digest.WINDOW]) for i in range(len(text) + 1) if text)
+    order = sorted(range(1001), key=lambda e: (e < 250, slow[e] if e >= 250 else 0, -e))
+    assert ranks.tolist() == [order.index(e) for e in range(1001)]
+    got = [r for r in digest.fingerprint_with_edits(docs, ranks).collect() if r["n_chars"] > 400]
+    assert min(r["near_edited"] for r in got) > 0.15
+    by_text = {}
+    for r in digest.fingerprint_with_edits(docs, ranks).collect():
+        by_text.setdefault(rows[r["doc_id"]][1] or "", set()).add(r["fingerprint"])
+    assert all(len(f) == 1 for f in by_text.values())
+
+
+def test_odd_empty_and_single_tables(spark, odd, nothing):
+    assert digest.fingerprint_with_edits(nothing, digest.rarities(nothing)).count() == 0
+    got = digest.fingerprint_with_edits(odd, digest.rarities(odd))
+    assert got.count() == odd.count() and got.filter("doc_id is null").count() == 2 and got.filter("near_edited is null or near_next is null or edited_sha256 is null").count() == 0
+    one = spark.createDataFrame([(5, "abcdefgh")], "doc_id long, text string")
+    r = digest.fingerprint_with_edits(one, RANKS).first()
+    assert (r["edited_sha256"], r["near_next"]) == (hashlib.sha256(b"abcdabcd").hexdigest(), 1.0)
+    empty = spark.createDataFrame([(1, ""), (2, None), (3, "x")], "doc_id long, text string")
+    assert {r["doc_id"]: (r["fingerprint"] == "", r["near_edited"], r["near_next"]) for r in digest.fingerprint_with_edits(empty, RANKS).collect()} == {1: (True, 1.0, 0.0), 2: (True, 1.0, 1.0), 3: (False, 1.0, 0.0)}
+
+
+def test_texts_are_shuffled_once(docs):
+    plan = digest.fingerprint_with_edits(docs, RANKS)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_buckets_by_halving(spark):
+    ids = [None, -5, 0, 1, 2, 3, 7, 8, 100]
+    for bounds in ([], [0], [0, 3], [1, 2, 3, 8, 9]):
+        got = spark.createDataFrame([(i,) for i in ids], "id long").select("id", digest._bucket(bounds).alias("b")).collect()
+        assert [r["b"] for r in got] == [-1 if i is None else sum(b <= i for b in bounds) for i in ids]
