@@ -21,8 +21,8 @@ def _gain(grade: Column, rank: Column) -> Column:
     return (F.pow(F.lit(2.0), grade) - 1) / F.log2(rank + 1)
 
 
-def score_rankings(cases: DataFrame, hits: DataFrame, qrels: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
-    """One row for each of cases (case_id, ...) with hit_k, recall_k, ndcg_k and mrr; a case without gold or hits has zeros.
+def score_rankings(cases: DataFrame, hits: DataFrame, qrels: DataFrame, ks: tuple[int, ...] = KS, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each of cases (case_id, ...) with hit_k, recall_k, ndcg_k and mrr; a case without gold or hits has zeros. by: columns of cases and hits, but not of qrels, that tell rankings apart.
 
     Recall and hits count full support alone, nDCG partial support as half the grade; its ideal ranking has all graded chunks, best first.
     """
@@ -31,11 +31,11 @@ def score_rankings(cases: DataFrame, hits: DataFrame, qrels: DataFrame, ks: tupl
     per = [F.max(F.when(full & (F.col("rank") <= k), 1).otherwise(0)).alias(f"hit_{k}") for k in ks]
     per += [F.count(F.when(full & (F.col("rank") <= k), 1)).alias(f"found_{k}") for k in ks]
     per += [F.sum(F.when(F.col("rank") <= k, _gain(F.col("grade"), F.col("rank"))).otherwise(0.0)).alias(f"dcg_{k}") for k in ks]
-    mine = seen.groupBy("case_id").agg(*per, F.min(F.when(full, F.col("rank"))).alias("first"))
+    mine = seen.groupBy(*by, "case_id").agg(*per, F.min(F.when(full, F.col("rank"))).alias("first"))
     best = qrels.groupBy("case_id", "chunk_id").agg(F.max("grade").alias("grade"))
     ideal = ranked(best, ["case_id"], [F.col("grade").desc(), "chunk_id"], "at")
     ideal = ideal.groupBy("case_id").agg(F.count(F.when(F.col("grade") == 2, 1)).alias("gold"), *(F.sum(F.when(F.col("at") <= k, _gain(F.col("grade"), F.col("at"))).otherwise(0.0)).alias(f"idcg_{k}") for k in ks))
-    both = cases.join(ideal, "case_id", "left").join(mine, "case_id", "left")
+    both = cases.join(ideal, "case_id", "left").join(mine, [*by, "case_id"], "left")
     out = [c for c in cases.columns]
     zero = F.lit(0.0)
     for k in ks:
@@ -44,13 +44,13 @@ def score_rankings(cases: DataFrame, hits: DataFrame, qrels: DataFrame, ks: tupl
     return both.select(*out, *names, F.round(F.coalesce(1.0 / F.col("first"), zero), 6).alias("mrr"))
 
 
-def metric_groups(scored: DataFrame, dimensions: list[str], metrics: list[str]) -> DataFrame:
-    """(dimension, value, n, means): over all (`all`), and over each value of each dimension, in one pass of grouping sets."""
-    sets = [[], *([d] for d in dimensions)]
-    grouped = scored.groupingSets(sets, *dimensions).agg(F.count("*").alias("n"), *(F.round(F.coalesce(F.avg(m), F.lit(0.0)), 6).alias(m) for m in metrics), *(F.grouping(d).alias(f"g_{d}") for d in dimensions))
+def metric_groups(scored: DataFrame, dimensions: list[str], metrics: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """(dimension, value, n, means): over all (`all`), and over each value of each dimension, in one pass of grouping sets; for each value of the columns `by`, which come first."""
+    sets = [[*by], *([*by, d] for d in dimensions)]
+    grouped = scored.groupingSets(sets, *by, *dimensions).agg(F.count("*").alias("n"), *(F.round(F.coalesce(F.avg(m), F.lit(0.0)), 6).alias(m) for m in metrics), *(F.grouping(d).alias(f"g_{d}") for d in dimensions))
     name = F.coalesce(*(F.when(F.col(f"g_{d}") == 0, F.lit(d)) for d in dimensions), F.lit("all"))
     value = F.coalesce(*(F.when(F.col(f"g_{d}") == 0, F.coalesce(F.col(d).cast("string"), F.lit("None"))) for d in dimensions), F.lit("all"))
-    return grouped.select(name.alias("dimension"), value.alias("value"), "n", *metrics)
+    return grouped.select(*by, name.alias("dimension"), value.alias("value"), "n", *metrics)
 
 
 def weakest(scored: DataFrame, by: str, metrics: list[str], k: int = 5) -> DataFrame:

@@ -37,10 +37,13 @@ def _weights(index: DataFrame, stats: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count(F.when(F.col("tf") > 0, 1)).alias("df")).crossJoin(F.broadcast(stats)).select("term", "mean_dl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
-def _summed(index: DataFrame, weighted: DataFrame, settings: Settings) -> DataFrame:
+def _impact(settings: Settings) -> Column:
     k1, b = settings.bm25_k1, settings.bm25_b
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("mean_dl")))
-    return index.join(weighted, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), DIGITS).alias("score"))
+    return F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("mean_dl")))
+
+
+def _summed(index: DataFrame, weighted: DataFrame, settings: Settings) -> DataFrame:
+    return index.join(weighted, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(_impact(settings)), DIGITS).alias("score"))
 
 
 def bm25(queries: DataFrame, docs: DataFrame, settings: Settings = DEFAULTS, id_col: str = "doc_id", text_col: str = "text", query_id: str = "query_id", query_text: str = "query", sources: list[str] | None = None) -> DataFrame:
@@ -49,6 +52,19 @@ def bm25(queries: DataFrame, docs: DataFrame, settings: Settings = DEFAULTS, id_
     The query side is broadcast where it is small, so that postings are cut to the terms asked for before anything is shuffled. sources: documents of others
     are not scored, but count in the statistics.
     """
+    return _summed(*_matched(queries, docs, id_col, text_col, query_id, query_text, sources), settings)
+
+
+def bm25_sweep(queries: DataFrame, docs: DataFrame, configs: dict[str, Settings], id_col: str = "doc_id", text_col: str = "text", query_id: str = "query_id", query_text: str = "query", sources: list[str] | None = None) -> DataFrame:
+    """(config, query_id, doc_id, score): bm25() for each of the named settings, from one scan, one join and one aggregate, which has a sum for each."""
+    index, weighted = _matched(queries, docs, id_col, text_col, query_id, query_text, sources)
+    sums = [F.struct(F.lit(name).alias("config"), F.round(F.sum(_impact(s)), DIGITS).alias("score")) for name, s in configs.items()]
+    every = index.join(weighted, "term").groupBy("query_id", "doc_id").agg(F.array(*sums).alias("sums"))
+    return every.select("query_id", "doc_id", F.explode("sums").alias("s")).select("s.config", "query_id", "doc_id", "s.score")
+
+
+def _matched(queries: DataFrame, docs: DataFrame, id_col: str, text_col: str, query_id: str, query_text: str, sources: list[str] | None) -> tuple[DataFrame, DataFrame]:
+    """Postings (doc_id, term, dl, tf) of the asked terms, and (query_id, term, mean_dl, idf)."""
     asked, near = _asked(queries, query_id, query_text)
     whole = docs.sparkSession.createDataFrame([("",)], "term string")  # no token is empty: a row for each document, which counts them
     terms = near(asked.select("term").distinct().unionAll(whole))
@@ -59,7 +75,7 @@ def bm25(queries: DataFrame, docs: DataFrame, settings: Settings = DEFAULTS, id_
     index = rows.join(terms, "term", "left_semi").groupBy("doc_id", "term", "dl", *shown).agg(F.count("*").alias("tf"))
     own = (F.col("term") == "") & (F.col("tf") > 0)
     stats = index.agg(F.count(F.when(own, 1)).alias("n"), F.avg(F.when(own, F.col("dl"))).alias("mean_dl"))
-    return _summed(index.filter("shown") if sources else index, near(asked.join(_weights(index, stats), "term")), settings)
+    return (index.filter("shown") if sources else index), near(asked.join(_weights(index, stats), "term"))
 
 
 def bm25_stored(queries: DataFrame, postings: DataFrame, stats: DataFrame, settings: Settings = DEFAULTS, query_id: str = "query_id", query_text: str = "query", sources: list[str] | None = None) -> DataFrame:
