@@ -1,9 +1,9 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one for each block element; lines of menus, headers, forms, notices and the like, told by their element, class, id or role, are left out, wherever they stand, but
-such a word never leaves out what holds the page's main text. The lengths of the other lines, without their links, are summed over sliding windows; text starts where that sum surges, at the first line
-with weight of a window that reaches the threshold, and ends where it dives to nothing. All lines between the two are kept. Where article and main elements
-hold at least half of all that length, text surges and dives within them alone, and their links count as well.
+Markup is stripped to lines, one for each block element. A line weighs what it has outside links; names and elements only move that weight: lines of menus, headers, forms, notices and the like, told by their element, class, id or role,
+weigh nothing wherever they stand, unless such a word marks what holds the page's main text, and where article and main elements hold at least half of all weight, their lines weigh as much as the page's level and those
+outside nothing. The level is the length of line that half of the page's weight stands in lines of at least. Weights are summed over sliding windows, and text ends where a window sums to nothing. Between such
+places it surges at the first line that reaches a share of the level, and dives after the last one; headings and paragraphs that touch these lines belong to them. All lines that aren't marked between the two are kept.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import batches, mapped, table
 
-#: Lines of a window; a window's sum that starts text, unless no window of the page reaches it.
-WINDOW, SURGE = 3, 80
+#: Lines of a window; the share of the page's level at which text surges, and the length that is enough on any page.
+WINDOW, SHARE, SURGE = 3, 0.25, 80
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s>/]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _RAW = frozenset(("script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "textarea", "title", "math", "audio", "video"))
@@ -40,6 +40,10 @@ _LAYOUT = frozenset("banner banners nav navbar navigation menu menus sidebar sid
 _OF_OTHERS = frozenset("has have no not with without non is".split())
 _CLOSES = {"p": frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()), "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr",)), "td": frozenset(("td", "th", "tr")), "th": frozenset(("td", "th", "tr")), "option": frozenset(("option",))}
 _BLANKS = re.compile(r"\s+")
+_HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+_PARAGRAPHS = frozenset(("p", "pre", "blockquote", "li", "dd", "td", "figcaption"))
+#: What a line of rights begins with; where it is no paragraph, it weighs nothing outside article and main.
+_RIGHTS = re.compile(r"\W{0,3}(?:©|\(c\)|copyright\b)", re.I)
 
 
 def _mark(tag: str, attributes: str) -> str:
@@ -70,6 +74,8 @@ class Line:
     text: str
     own: int  # characters outside links
     core: bool  # in an article or main element
+    kind: str = ""  # "heading", also of a line that the page's title holds, "paragraph" or nothing
+    marked: bool = False  # left out by what its markup says
 
 
 @dataclass
@@ -85,7 +91,8 @@ class _Marked:
 
 
 def lines(page: str) -> list[Line]:
-    """The blocks of a page in order, without what its markup leaves out; the time grows with the page's length, however deep its elements are nested."""
+    """The blocks of a page in order, those that its markup leaves out marked; the time grows with the page's length, however deep its elements are nested."""
+    title = ""
     found: list[tuple[Line, int]] = []
     marked: list[_Marked] = []
     stack: list[tuple[str, int, bool]] = []  # tag, the marked element that it is or is in, whether its text is out
@@ -97,14 +104,15 @@ def lines(page: str) -> list[Line]:
     def end() -> None:
         nonlocal own
         if text:
-            if not (stack and stack[-1][2]):
-                line = _BLANKS.sub(" ", _html.unescape("".join(text))).strip()
-                if line:
-                    at = stack[-1][1] if stack else -1
-                    found.append((Line(line, own, open_["article"] + open_["main"] > 0), at))
-                    if at >= 0:
-                        e = marked[at]
-                        e.mass, e.longest, e.heading = e.mass + own, max(e.longest, own), e.heading or open_["h1"] > 0
+            line = _BLANKS.sub(" ", _html.unescape("".join(text))).strip()
+            if line:
+                at, out = (stack[-1][1], stack[-1][2]) if stack else (-1, False)
+                inner = blocks[-1] if blocks else ""
+                kind = "heading" if inner in _HEADINGS or line == title else "paragraph" if inner in _PARAGRAPHS else ""
+                found.append((Line(line, own, not out and open_["article"] + open_["main"] > 0, kind, out), at))
+                if at >= 0 and not out:
+                    e = marked[at]
+                    e.mass, e.longest, e.heading = e.mass + own, max(e.longest, own), e.heading or open_["h1"] > 0
             text.clear()
         own = 0
 
@@ -132,6 +140,8 @@ def lines(page: str) -> list[Line]:
         if tag in _RAW and not m[1]:
             if not m[3].endswith("/"):
                 stop = _RAW_END[tag].search(page, at)
+                if tag == "title" and not title:
+                    title = _BLANKS.sub(" ", _html.unescape(page[at : stop.start() if stop else len(page)])).strip()
                 at = stop.end() if stop else len(page)
             continue
         if tag == "br":
@@ -164,8 +174,10 @@ def lines(page: str) -> list[Line]:
         if tag not in _INLINE:
             blocks.append(tag)
     end()
-    gone = _left_out(marked, sum(line.own for line, _ in found))
-    return [line for line, at in found if at < 0 or not gone[at]]
+    gone = _left_out(marked, sum(line.own for line, _ in found if not line.marked))
+    for line, at in found:
+        line.marked = line.marked or at >= 0 and gone[at]
+    return [line for line, _ in found]
 
 
 def _left_out(marked: list[_Marked], total: int) -> list[bool]:
@@ -184,45 +196,68 @@ def _left_out(marked: list[_Marked], total: int) -> list[bool]:
     return gone
 
 
-def runs_of_text(weight: list[int], window: int, surge: int) -> list[tuple[int, int]]:
-    """Where text surges and dives: first line and one past the last, of lines with these weights."""
+def level(weight: list[int]) -> int:
+    """The largest length that half of the weight stands in lines of at least."""
+    total, above = sum(weight), 0
+    for w in sorted(weight, reverse=True):
+        above += w
+        if 2 * above >= total:
+            return w
+    return 0
+
+
+def runs_of_text(weight: list[int], kinds: list[str], window: int, share: float, surge: int) -> list[tuple[int, int]]:
+    """Where text surges and dives: first line and one past the last, of lines with these weights and kinds."""
     before = [0]
     for w in weight:
         before.append(before[-1] + w)
     n = len(weight)
     sums = [before[min(i + window, n)] - before[i] for i in range(n)]
-    least = min(surge, max(sums, default=0))
+    least = min(surge, share * level(weight))
     out: list[tuple[int, int]] = []
     i = 0
-    while i < n and least:
-        if not weight[i] or sums[i] < least:
+    while i < n:
+        if not weight[i]:
             i += 1
             continue
-        start = i
-        while start and weight[start - 1]:  # back to where the run of text began
-            start -= 1
+        first = i
         while i < n and sums[i]:
             i += 1
-        out.append((start, i))
+        heavy = [j for j in range(first, i) if weight[j] >= least]
+        if not heavy:
+            continue
+        start, stop = heavy[0], heavy[-1] + 1
+        titled = any(k == "heading" for k in kinds[first:i])
+        if titled:  # text begins with the first heading that it follows, not before it
+            head = next(j for j in range(first, i) if kinds[j] == "heading")
+            if start - head <= window and before[i] - before[head] >= before[head] - before[first]:
+                start = head
+        plain = not any(kinds[j] == "paragraph" for j in heavy)
+        while start > first and weight[start - 1] and kinds[start - 1]:
+            start -= 1
+        if not titled and plain and start > first and weight[start - 1]:  # a page without headings: the line before the text is one
+            start -= 1
+        while stop < i and weight[stop] and (plain or kinds[stop]):
+            stop += 1
+        out.append((start, stop))
     return out
 
 
-def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
+def main_text(page: str, window: int = WINDOW, share: float = SHARE, surge: int = SURGE) -> str:
     """The main text of one page: its blocks joined by line feeds, empty if there is none."""
     shown = lines(page)
-    cored = sum(line.own for line in shown if line.core)
-    inner = cored > 0 and 2 * cored >= sum(line.own for line in shown)
-    parts: list[list[Line]] = [[]]
-    for a, line in enumerate(shown):
-        if inner and a and line.core != shown[a - 1].core:
-            parts.append([])
-        if line.core or not inner:
-            parts[-1].append(line)
+    cored = sum(line.own for line in shown if line.core and not line.marked)
+    inner = cored > 0 and 2 * cored >= sum(line.own for line in shown if not line.marked)
+    usual = level([line.own for line in shown if not line.marked])
+    weight = []
+    for line in shown:
+        out = line.marked or (not line.core if inner else not line.kind and bool(_RIGHTS.match(line.text)))
+        weight.append(0 if out else max(len(line.text), usual) if inner else line.own)
+    # windows pass over what is marked, which neither ends text nor weighs
+    seen = [i for i, line in enumerate(shown) if not line.marked]
     kept: list[str] = []
-    for part in parts:
-        weight = [len(line.text) if inner else line.own for line in part]
-        for start, stop in runs_of_text(weight, window, surge):
-            kept += [line.text for line in part[start:stop]]
+    for start, stop in runs_of_text([weight[i] for i in seen], [shown[i].kind for i in seen], window, share, surge):
+        kept += [shown[i].text for i in seen[start:stop] if weight[i] or not inner and not shown[i].own]
     return "\n".join(kept)
 
 
