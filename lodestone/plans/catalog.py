@@ -13,7 +13,8 @@ from lodestone.functions import requests
 from lodestone.functions import text as T
 from lodestone.operators import answers, benchmark, chunking, compare, evaluation, ingest, retrieval, workflow
 from lodestone.operators.common import numbered, ranked, small, top
-from lodestone.sources import files, staging
+from lodestone.sources import staging
+from lodestone.sources.segments import Segments
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -298,8 +299,23 @@ def bm25_topk_filtered(spark, d):
 @query(f"with {BM25} select query_id, doc_id, score, rank::int as rank from hits where rank <= 10")
 def bm25_stored_topk(spark, d):
     """The same as bm25_topk, from an index that is written first; no text is read when it is searched."""
-    store = files.IndexStore(spark, f"{staging.folder(spark)}/index-{uuid.uuid4().hex}")
-    store.recreate(tab(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "source"))
+    store = _store(spark)
+    store.upsert(tab(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "source"))
+    return retrieval.top_hits(store.search(questions(spark, d)), 10)
+
+
+def _store(spark):
+    return Segments(spark, f"{staging.folder(spark)}/index-{uuid.uuid4().hex}")
+
+
+# First every text with its language in front, then long ones as they are, then those of one source go.
+@query(f"""with {BM25.replace("from documents", "from (select doc_id, source, case when n_chars > 2000 then text else concat_ws(' ', lang, text) end as text from documents where source is distinct from 'src3')")} select query_id, doc_id, score, rank::int as rank from hits where rank <= 10""")
+def index_upsert_topk(spark, d):
+    """An index after two upserts and a deletion."""
+    store, docs = _store(spark), tab(spark, d, "documents").withColumnRenamed("doc_id", "chunk_id")
+    store.upsert(docs.select("chunk_id", F.concat_ws(" ", "lang", "text").alias("text"), "source"))
+    store.upsert(docs.filter("n_chars > 2000").select("chunk_id", "text", "source"))
+    store.delete(docs.filter("source = 'src3'"))
     return retrieval.top_hits(store.search(questions(spark, d)), 10)
 
 
@@ -316,6 +332,15 @@ def hybrid_rrf(spark, d):
     return retrieval.hybrid(retrieval.bm25(questions(spark, d), tab(spark, d, "documents")), retrieval.dense_top(q, v, Settings().top_k_dense).drop("rank")).select("query_id", "doc_id", "score", "rank")
 
 
+@query(f"with {_HYBRID} select query_id, doc_id, score, rank::int as rank from (select *, row_number() over (partition by query_id order by score desc, first, doc_id) as rank from fused) where rank <= 20")
+def hybrid_stored_topk(spark, d):
+    """The same as hybrid_rrf, both branches from one stored index."""
+    v = tab(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+    store = _store(spark)
+    store.upsert(tab(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "source").join(v, "chunk_id", "left"))
+    return store.hybrid(questions(spark, d).join(v.withColumnRenamed("chunk_id", "query_id"), "query_id", "left")).select("query_id", "doc_id", "score", "rank")
+
+
 _RERANK = f"scored as (select query_id, hits.doc_id, rank, {COVER.format(q='b.text', t='documents.text')} as rerank_score from hits join benchmark b on b.item_id = query_id join documents using (doc_id) where rank <= 20)"
 
 

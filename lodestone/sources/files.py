@@ -1,14 +1,12 @@
-"""Sources and sinks: chunks, cases and results as JSON, run artefacts, reports with replaceable sections, resumable results, the stored index."""
+"""Sources and sinks: chunks, cases and results as JSON, run artefacts, reports with replaceable sections, resumable results."""
 
 from __future__ import annotations
 
-import uuid
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import retrieval
 from lodestone.operators.chunking import CHUNKS
 from lodestone.operators.common import ranked
 
@@ -69,15 +67,40 @@ def resume(cases: DataFrame, previous: DataFrame, config: dict, previous_config:
     return cases.join(previous.select(key), key, "left_anti"), previous.join(cases.select(key), key, "left_semi")
 
 
-def append_results(rows: DataFrame, path: str) -> None:
-    """Results of some cases added to those that are there, as each run of a few cases ends; read_results() has the last of a case."""
-    rows.withColumn("written_at", F.current_timestamp()).write.mode("append").json(path)
+def _runs(spark: SparkSession, path: str) -> DataFrame:
+    """(n_rows, run) of the runs under path that were written whole."""
+    try:
+        return spark.read.schema("n_rows long, run int").parquet(f"{path}/runs")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "n_rows long, run int")
+
+
+def append_results(rows: DataFrame, path: str, run: int | None = None) -> int:
+    """Results of some cases added as a run, by default one after the last, whose number is returned. A run counts once its row under runs stands, which is written last; one that failed before counts nowhere and its number is
+    written again, as is a run whose number is given."""
+    spark = rows.sparkSession
+    if run is None:
+        run = (_runs(spark, path).agg(F.max("run")).first()[0] or 0) + 1
+    rows.withColumn("run", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").json(f"{path}/rows")
+    n = read_run(spark, path, run).count()
+    spark.createDataFrame([(n, run)], "n_rows long, run int").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(f"{path}/runs")
+    return run
+
 
+def read_run(spark: SparkSession, path: str, run: int) -> DataFrame:
+    return spark.read.json(f"{path}/rows").filter(F.col("run") == run)
 
-def read_results(spark: SparkSession, path: str, key: str = "case_id") -> DataFrame:
-    last = spark.read.json(path)
-    newest = last.groupBy(key).agg(F.max("written_at").alias("written_at"))
-    return last.join(newest, [key, "written_at"]).dropDuplicates([key]).drop("written_at")
+
+def read_results(spark: SparkSession, path: str, key: str = "case_id") -> DataFrame | None:
+    """The last result of each case, by the number of its run; of equal cases in a run the largest row. None if no run counts."""
+    runs = [r["run"] for r in _runs(spark, path).select("run").collect()]
+    if not runs:
+        return None
+    rows = spark.read.json(f"{path}/rows").filter(F.col("run").isin(runs))
+    whole = F.to_json(F.struct(*[c for c in rows.columns if c != "run"]))
+    return ranked(rows.withColumn("_row", whole), [key], [F.col("run").desc(), F.col("_row").desc()], "_at").filter("_at = 1").drop("_row", "_at", "run")
 
 
 def payload(chunks: DataFrame) -> DataFrame:
@@ -109,67 +132,3 @@ def write_markdown(blocks: DataFrame, path: str) -> None:
     marked = blocks.withColumn("text", F.when(F.col("page_start") > before, F.concat(F.lit("<!-- page break -->\n\n"), "text")).otherwise(F.col("text")))
     whole = marked.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("all"))
     whole.select("doc_id", F.array_join(F.transform("all", lambda b: b["text"]), "\n\n").alias("value")).write.mode("overwrite").partitionBy("doc_id").text(path)
-
-
-class IndexStore:
-    """An index of chunks in a folder: versions of three tables, chunks with vectors, postings by term, and one row of statistics. A file names the version that holds, and is
-    replaced once a new one is whole, so that a failure in between loses nothing."""
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-
-    def _path(self, name: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def version(self) -> str | None:
-        path, fs = self._path("CURRENT")
-        if not fs.exists(path):
-            return None
-        return self.spark.read.text(str(path.toString())).first()["value"]
-
-    def recreate(self, chunks: DataFrame) -> None:
-        """A new version of these chunks; of rows that share an id the last by text counts."""
-        old, new = self.version(), uuid.uuid4().hex
-        at = f"{self.folder}/{new}"
-        ranked(chunks, ["chunk_id"], [F.col("text").desc_nulls_last()], "_at").filter("_at = 1").drop("_at").write.parquet(f"{at}/chunks")
-        one = self.spark.read.parquet(f"{at}/chunks")
-        sources = one.select(F.col("chunk_id").alias("doc_id"), (F.col("source") if "source" in one.columns else F.lit("")).alias("source"))
-        retrieval.postings(one, "chunk_id").join(sources, "doc_id").repartition("term").write.parquet(f"{at}/postings")
-        one.select(F.size(T.token_list("text")).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("mean_dl")).write.parquet(f"{at}/stats")
-        path, fs = self._path("CURRENT")
-        out = fs.create(path, True)
-        out.write(bytearray(new.encode()))
-        out.close()
-        if old:
-            gone, fs = self._path(old)
-            fs.delete(gone, True)
-
-    def upsert(self, chunks: DataFrame) -> None:
-        """Chunks with these ids are replaced, others stay; doing it twice changes nothing."""
-        if not self.exists():
-            return self.recreate(chunks)
-        old = self.chunks().join(chunks.select("chunk_id"), "chunk_id", "left_anti")
-        return self.recreate(old.unionByName(chunks, allowMissingColumns=True))
-
-    def exists(self) -> bool:
-        return self.version() is not None
-
-    def count(self) -> int:
-        return self.chunks().count() if self.exists() else 0
-
-    def _table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{self.version()}/{name}")
-
-    def chunks(self) -> DataFrame:
-        return self._table("chunks")
-
-    def postings(self) -> DataFrame:
-        return self._table("postings")
-
-    def stats(self) -> DataFrame:
-        return self._table("stats")
-
-    def search(self, queries: DataFrame, sources: list[str] | None = None, **how) -> DataFrame:
-        """BM25 of queries (query_id, query) from the stored postings; sources narrow what is scored."""
-        return retrieval.bm25_stored(queries, self.postings(), self.stats(), sources=sources, **how)

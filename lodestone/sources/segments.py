@@ -2,7 +2,7 @@
 
 Tables under one folder, each partitioned by segment: `documents` (chunk_id, the chunk's columns, dl), `postings` (doc_id, term, tf, dl, source), ranged and sorted by term and document, so that a term is found in few
 row groups and a frequent one is spread over files; `replaced` (chunk_id, of, dl), the rows of older segments that no longer hold; `totals`, one row, which is written last. A segment without totals doesn't count, and writing
-a segment again replaces it, so an upsert that failed is simply repeated. Statistics are sums over totals and replaced.
+a segment again replaces it, so an upsert that failed is simply repeated. Statistics are sums over totals and replaced. Where chunks have a vector, `vectors` (doc_id, vector, source, list, part) and `lists` (list, centre, radius, n) hold them by nearest centre, for exact dense search.
 """
 
 from __future__ import annotations
@@ -11,11 +11,15 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.config import DEFAULTS, Settings
 from lodestone.functions import text as T
-from lodestone.operators import retrieval
+from lodestone.operators import lists, retrieval
 from lodestone.operators.common import fits, ranked, small
+from lodestone.sources.staging import staged
 
-COLUMNS = {"documents": "chunk_id long, text string, source string, dl long, segment int", "postings": "doc_id long, term string, dl long, source string, tf long, segment int"}
+COLUMNS = {
+    "documents": "chunk_id long, text string, source string, dl long, segment int", "postings": "doc_id long, term string, dl long, source string, tf long, segment int",
+    "vectors": "doc_id long, vector array<double>, source string, list int, part int, segment int", "lists": "list int, centre array<double>, radius double, n long, segment int"}
 TOTALS = "n long, dl long, n_replaced long, dl_replaced long, segment int"
 #: Different terms of queries up to which their ranges are pushed to the scan, and how many ranges.
 PUSHED_TERMS, RANGES = 10_000, 32
@@ -56,6 +60,12 @@ class Segments:
         gone = small(self._replaced(numbers, dict(rows.dtypes)[id_col]).select(F.col("chunk_id").alias(id_col), F.col("of").alias("segment")).distinct())
         return rows.join(gone, [id_col, "segment"], "left_anti")
 
+    def exists(self) -> bool:
+        return bool(self.numbers())
+
+    def count(self) -> int:
+        return self.stats().first()["n"]
+
     def documents(self) -> DataFrame:
         """The chunks that hold, with dl and the segment of each."""
         return self._live("documents", "chunk_id", self.numbers())
@@ -80,9 +90,10 @@ class Segments:
     def _write(self, df: DataFrame, name: str, segment: int) -> None:
         df.withColumn("segment", F.lit(segment)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("segment").parquet(f"{self.folder}/{name}")
 
-    def upsert(self, chunks: DataFrame, segment: int | None = None, newest: list[Column | str] | None = None) -> int:
+    def upsert(self, chunks: DataFrame, segment: int | None = None, newest: list[Column | str] | None = None, whole: bool = False) -> int:
         """Add chunks as a segment, by default one after the last, and return its number. Chunks with these ids are replaced, whatever segment has them; others are untouched. Of rows that share an id the first by
-        `newest` holds, then the largest text; rows without an id are left out, a null text has no terms but counts. The number of the last segment writes that one again; an older one is a ValueError. Without rows the segment is empty."""
+        `newest` holds, then the largest text; rows without an id are left out, a null text has no terms but counts. The number of the last segment writes that one again; an older one is a ValueError. Without rows the segment is empty. whole: nothing else holds from
+        then on."""
         before, segment = self._place(segment)
         one = ranked(chunks.filter("chunk_id is not null"), ["chunk_id"], [*(newest or []), F.col("text").desc_nulls_last()], "_at").filter("_at = 1").drop("_at")
         one = one if "source" in one.columns else one.withColumn("source", F.lit(""))
@@ -91,7 +102,11 @@ class Segments:
         words = mine.select(F.col("chunk_id").alias("doc_id"), F.explode(T.token_list("text")).alias("term"), "dl", "source")
         index = words.groupBy("doc_id", "term", "dl", "source").agg(F.count("*").alias("tf"))
         self._write(index.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"), "postings", segment)
-        self._replace(mine.select("chunk_id"), before, segment)
+        if "vector" in one.columns:
+            made, placed = lists.build(mine.select(F.col("chunk_id").alias("doc_id"), "vector", "source"))
+            self._write(placed.repartitionByRange("list", "part").sortWithinPartitions("list", "part"), "vectors", segment)
+            self._write(made, "lists", segment)
+        self._replace(None if whole else mine.select("chunk_id"), before, segment)
         self._count(mine, segment)
         return segment
 
@@ -102,10 +117,10 @@ class Segments:
         self._count(None, segment)
         return segment
 
-    def _replace(self, ids: DataFrame, before: list[int], segment: int) -> None:
+    def _replace(self, ids: DataFrame | None, before: list[int], segment: int) -> None:
         if before:
             held = self._live("documents", "chunk_id", before).select("chunk_id", F.col("segment").alias("of"), "dl")
-            self._write(held.join(small(ids), "chunk_id", "left_semi"), "replaced", segment)
+            self._write(held if ids is None else held.join(small(ids), "chunk_id", "left_semi"), "replaced", segment)
 
     def _count(self, mine: DataFrame | None, segment: int) -> None:
         sums = [F.coalesce(F.sum("dl"), F.lit(0)).alias("dl"), F.count("*").alias("n")]
@@ -121,6 +136,16 @@ class Segments:
             found = found.filter(ranges([r["term"] for r in terms.collect()]))  # PUSHED_TERMS at most
         return retrieval.bm25_stored(queries, found, self.stats(), sources=sources, query_text=query_text, **how)
 
+    def dense(self, queries: DataFrame, k: int, sources: list[str] | None = None) -> DataFrame:
+        """The k best dot products with the vectors of chunks that hold, for queries (query_id, vector): what retrieval.dense() and top_hits() give. Lists that cannot have one of them are not looked into."""
+        numbers = self.numbers()
+        vectors = self._live("vectors", "doc_id", numbers)
+        return lists.search(queries, self._table("lists", numbers), vectors.filter(F.col("source").isin(sources)) if sources else vectors, k, staged)
+
+    def hybrid(self, queries: DataFrame, settings: Settings = DEFAULTS, sources: list[str] | None = None) -> DataFrame:
+        """Both branches over queries (query_id, query, vector), fused; a query without a vector has no dense list."""
+        return retrieval.hybrid(self.search(queries, sources, settings=settings), self.dense(queries, settings.top_k_dense, sources).drop("rank"), settings)
+
     def merged(self, folder: str) -> Segments:
         """The chunks that hold, as one segment of a new folder."""
         out = Segments(self.spark, folder)

@@ -149,29 +149,24 @@ def test_resume(spark):
     assert files.resume(cases, old, {"k": 1}, {"k": 2})[0].count() == 2
 
 
-def test_store(spark, tmp_path):
-    store = files.IndexStore(spark, str(tmp_path / "store"))
-    assert not store.exists() and store.count() == 0
-    store.recreate(spark.createDataFrame([("a", "red fox"), ("b", "dog")], "chunk_id string, text string"))
-    store.upsert(spark.createDataFrame([("b", "blue dog"), ("c", "cat")], "chunk_id string, text string"))
-    assert store.count() == 3 and store.postings().filter("term = 'blue'").count() == 1 and tuple(store.stats().first()) == (3, 5 / 3)
-    store.recreate(spark.createDataFrame([("a", "x"), ("a", "z"), ("a", None)], "chunk_id string, text string"))
-    assert [r["text"] for r in store.chunks().collect()] == ["z"]
-
-
-def test_a_failed_write_loses_nothing(spark, tmp_path):
-    store = files.IndexStore(spark, str(tmp_path / "store"))
-    store.recreate(spark.createDataFrame([("a", "red fox")], "chunk_id string, text string"))
-    with pytest.raises(Exception):
-        store.upsert(spark.createDataFrame([("b", "x")], "chunk_id string, text string").withColumn("text", F.raise_error(F.lit("lost"))))
-    assert store.count() == 1 and store.postings().count() == 2
-
-
 def test_appended_results(spark, tmp_path):
     path = str(tmp_path / "r")
     files.append_results(spark.createDataFrame([("1", 1), ("2", 1)], "case_id string, x int"), path)
-    files.append_results(spark.createDataFrame([("2", 5)], "case_id string, x int"), path)
-    assert sorted((r["case_id"], r["x"]) for r in files.read_results(spark, path).collect()) == [("1", 1), ("2", 5)]
+    assert files.append_results(spark.createDataFrame([("2", 5)], "case_id string, x int"), path) == 2
+    want = [("1", 1), ("2", 5)]
+    held = lambda: sorted((r["case_id"], r["x"]) for r in files.read_results(spark, path).collect())
+    assert held() == want and files.read_results(spark, str(tmp_path / "none")) is None
+    # a run that ends between its rows and its entry counts nowhere; done again, it counts once
+    real, files.read_run = files.read_run, lambda *a: 1 / 0
+    try:
+        with pytest.raises(ZeroDivisionError):
+            files.append_results(spark.createDataFrame([("1", 7), ("3", 7)], "case_id string, x int"), path)
+    finally:
+        files.read_run = real
+    assert held() == want
+    new = spark.createDataFrame([("1", 8), ("1", 9), ("3", 7)], "case_id string, x int")
+    assert files.append_results(new, path) == 3 and held() == [("1", 9), ("2", 5), ("3", 7)]
+    assert files.append_results(new, path, 3) == 3 and held() == [("1", 9), ("2", 5), ("3", 7)]
 
 
 def test_payloads_and_passages(spark):

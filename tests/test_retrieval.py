@@ -288,12 +288,12 @@ def test_dense_blocks_equal_pairs(spark):
 
 
 def test_sources_narrow_both_branches_but_no_statistics(spark, tmp_path):
-    from lodestone.sources.files import IndexStore
+    from lodestone.sources.segments import Segments
 
     docs = spark.createDataFrame([("1", "red fox", "a"), ("2", "red red dog fox", "b"), ("3", "blue", "a"), ("4", "", "b")], "doc_id string, text string, source string")
     asked = spark.createDataFrame([(7, "Red fox red")], "query_id int, query string")
-    store = IndexStore(spark, str(tmp_path / "i"))
-    store.recreate(docs.withColumnRenamed("doc_id", "chunk_id"))
+    store = Segments(spark, str(tmp_path / "i"))
+    store.upsert(docs.withColumnRenamed("doc_id", "chunk_id"))
     every, some = retrieval.bm25(asked, docs), retrieval.bm25(asked, docs, sources=["a"])
     assert sorted(every.collect()) == sorted(store.search(asked).collect())
     assert some.collect() == every.filter("doc_id = '1'").collect() == store.search(asked, ["a"]).collect()
@@ -332,7 +332,30 @@ def test_entry_functions(spark, tmp_path):
     got = {r["query_id"]: r for r in engine.answer(spark.createDataFrame([(1, "gates shut night"), (2, "zebra")], "query_id int, query string"), store, settings=Settings(min_supporting=1)).collect()}
     assert got[1]["status"] == "answered" and got[1]["citations"][0]["source"] == "a.pdf" and got[2]["status"] == "insufficient"
     with pytest.raises(ValueError):
-        engine.answer(spark.createDataFrame([(1, "x")], "query_id int, query string"), engine.files.IndexStore(spark, str(tmp_path / "none")))
+        engine.answer(spark.createDataFrame([(1, "x")], "query_id int, query string"), engine.Segments(spark, str(tmp_path / "none")))
+
+
+def test_answers_from_both_branches_and_a_reranker(spark, tmp_path):
+    """A chunk without a word of the question is found by its vector; the reranker decides what stands first; a new index replaces the old one."""
+    from lodestone import engine
+    from lodestone.operators import ingest
+
+    def encoder():
+        return lambda texts: [[1.0, 0.0] if ("deer" in t.lower() or "roe" in t.lower()) else [0.0, 1.0] for t in texts]
+
+    def reranker():
+        return lambda q, t: [1.0 if "deer" in x.lower() else 0.2 for x in t]
+
+    keys = ("block_type", "text", "page_start", "page_end", "section", "caption", "table_headers", "table_rows", "table_cells")
+    blocks = lambda rows: spark.createDataFrame([(d, i, *({"block_type": "text", "text": t, "page_start": 1, "page_end": 1, "section": f"S{i}", "caption": "", "table_headers": [], "table_rows": [], "table_cells": []}[k] for k in keys)) for d, i, t in rows], ingest.BLOCKS)
+    engine.build_index(spark, blocks([("old", 0, "roe roe roe")]), str(tmp_path / "i"), encoder=encoder)
+    store = engine.build_index(spark, blocks([("a", 0, "Gates are shut at night."), ("b", 0, "Deer come in the morning."), ("c", 0, "Paint it.")]), str(tmp_path / "i"), encoder=encoder)
+    asked = spark.createDataFrame([(1, 0, "roe shut")], "query_id int, list_no int, query string")
+    got = engine.stored_search(store, encoder=encoder, reranker=reranker)(asked).orderBy("rank").collect()
+    assert [r["doc_id"] for r in got] == ["b-00000", "a-00000", "c-00000"] and got[0]["rerank_score"] == 1.0
+    assert [r["doc_id"] for r in engine.stored_search(store)(asked).collect()] == ["a-00000"] and store.count() == 3
+    state = engine.answer(spark.createDataFrame([(1, "roe")], "query_id int, query string"), store, settings=Settings(min_supporting=1, max_rounds=1), encoder=encoder, reranker=reranker).first()
+    assert state["status"].startswith("answered") and state["citations"][0]["source"] == "b"
 
 
 def test_sweep_resumes(spark, tmp_path):
