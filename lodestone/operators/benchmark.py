@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators.common import ranked, small, top
+from lodestone.operators.common import in_order, ranked, small, top
 
 #: Parts of section names whose chunks make no questions.
 EXCLUDED_SECTIONS = (
@@ -42,22 +45,47 @@ def question_counts(total: int) -> list[int]:
     return counts
 
 
-def holding(texts: DataFrame, spans: DataFrame) -> DataFrame:
+#: Characters of spans that are searched for together, which bounds the automaton of a task and what is broadcast.
+SPAN_CHARS = 1_000_000
+
+
+def holding(texts: DataFrame, spans: DataFrame, most: int = SPAN_CHARS) -> DataFrame:
     """Rows of texts (chunk_id, body) and spans (span, ...) where the body has the span: chunk_id and the columns of spans but span.
 
-    An inner token of a span is a token of each text that has the span, so the longest one is joined on before texts are compared. Spans without inner tokens, of one or two
-    words, are compared with every text, if there are any.
+    Texts are read where they lie, once for each block of spans, by an automaton of all spans of the block: no text is shuffled, and a span of one letter costs what a long one does.
     """
-    inner = F.slice("t", 2, F.greatest(F.size("t") - 2, F.lit(0)))
-    longest = F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
-    asked = spans.filter("span <> ''").distinct().withColumn("t", T.token_list("span")).withColumn("token", F.when(F.size("t") > 2, longest)).drop("t")
-    has = F.contains(F.col("body"), F.col("span"))
-    words = texts.select("chunk_id", F.explode(F.array_distinct(T.token_list("body"))).alias("token"))
-    near = words.join(small(asked.filter("token is not null")), "token").drop("token").join(texts, "chunk_id").filter(has).drop("body", "span")
-    short = asked.filter("token is null").drop("token")
-    if not short.limit(1).count():
-        return near
-    return near.unionByName(texts.join(small(short, 10_000), has).drop("body", "span"))
+    asked = spans.filter("span <> ''").distinct()
+    spark, parts, block, size = texts.sparkSession, [], [], 0
+    kind = dict(texts.dtypes)["chunk_id"]
+
+    def searched() -> None:
+        sent, numbered = spark.sparkContext.broadcast(list(block)), list(enumerate(block))
+
+        def found(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for i, span in enumerate(sent.value):
+                automaton.add_word(span, i)
+            automaton.make_automaton()
+            for pdf in it:
+                hits = [{i for _, i in automaton.iter(body)} if body else () for body in pdf["body"]]
+                yield pd.DataFrame({"chunk_id": np.repeat(pdf["chunk_id"].to_numpy(), [len(h) for h in hits]), "_span": [i for h in hits for i in sorted(h)]})
+
+        pairs = texts.select("chunk_id", "body").mapInPandas(found, f"chunk_id {kind}, _span int")
+        names = F.broadcast(spark.createDataFrame(numbered, "_span int, span string"))  # the block
+        parts.append(pairs.join(names, "_span").drop("_span"))
+
+    for row in asked.select("span").distinct().toLocalIterator():
+        block.append(row["span"])
+        size += len(row["span"])
+        if size >= most:
+            searched()
+            block, size = [], 0
+    if block:
+        searched()
+    found = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], f"chunk_id {kind}, span string")
+    return found.join(small(asked), "span").drop("span")
 
 
 def exact_span(facts: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -66,12 +94,25 @@ def exact_span(facts: DataFrame, chunks: DataFrame) -> DataFrame:
     return holding(chunks.select("chunk_id", T.normalise("text").alias("body")), asked).select("fact_id", "chunk_id").filter("fact_id <> chunk_id").distinct()
 
 
-def lexical(facts: DataFrame, chunks: DataFrame, share: float = 0.72) -> DataFrame:
-    """(fact_id, chunk_id) where the chunk has that share of the fact's tokens: an equality join on tokens and a count. facts: fact_id, tokens ARRAY."""
+def lexical_pairs(facts: DataFrame, chunks: DataFrame, share: float = 0.72) -> DataFrame:
+    """(fact_id, n, chunk_id) of the pairs that lexical() counts: a chunk with enough of a fact's n tokens has one of its n - least + 1 rarest, where least is share * n, rounded up, and is at least that large."""
     asked = facts.select("fact_id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    own = chunks.select("chunk_id", F.explode(T.token_set("text")).alias("token"))
-    shared = own.join(small(asked), "token").groupBy("fact_id", "chunk_id", "n").agg(F.count("*").alias("common"))
-    return shared.filter((F.col("common") / F.col("n") >= share) & (F.col("fact_id") != F.col("chunk_id"))).select("fact_id", "chunk_id")
+    own = chunks.select("chunk_id", T.token_set("text").alias("set")).select("chunk_id", F.size("set").alias("size"), F.explode("set").alias("token"))
+    mine = own.join(small(asked.select("token").distinct()), "token", "left_semi")
+    often = mine.groupBy("token").agg(F.count("*").alias("df"))
+    least = F.ceil(F.col("n") * share - 1e-9).cast("int")
+    rare = ranked(asked.join(often, "token"), ["fact_id"], ["df", "token"], "_at")  # tokens that no chunk has are the rarest of all, and leave fewer places
+    held = rare.groupBy("fact_id").agg(F.count("*").alias("_held"))
+    first = rare.join(held, "fact_id").filter(F.col("_at") <= F.col("_held") - least + 1).select("fact_id", "n", least.alias("least"), "token")
+    return mine.join(small(first), "token").filter("size >= least and fact_id <> chunk_id").select("fact_id", "n", "chunk_id").distinct()
+
+
+def lexical(facts: DataFrame, chunks: DataFrame, share: float = 0.72) -> DataFrame:
+    """(fact_id, chunk_id) where the chunk has that share of the fact's tokens: candidates share a rare token, and their sets are compared. facts: fact_id, tokens ARRAY."""
+    pairs = lexical_pairs(facts, chunks, share)
+    sets = chunks.select("chunk_id", T.token_set("text").alias("set")).join(pairs, "chunk_id")
+    common = F.size(F.array_intersect("tokens", "set"))
+    return sets.join(small(facts.select("fact_id", F.array_distinct("tokens").alias("tokens"))), "fact_id").filter(common / F.col("n") >= share).select("fact_id", "chunk_id")
 
 
 def semantic(scored: DataFrame, n: int) -> DataFrame:
@@ -136,11 +177,13 @@ def valid_item(text: Column, answer: Column, spans: Column, queries: Column, sty
 
 def assemble_cases(groups: DataFrame) -> DataFrame:
     """Numbered cases of groups (group_key, multiplicity, n_questions, questions ARRAY<STRUCT<style, query>>): groups of two drop the style `lexical`."""
-    numbered = ranked(groups, ["multiplicity"], ["group_key"], "group_no").withColumn("group_id", F.format_string("%s_%03d", "multiplicity", "group_no"))
+    placed = in_order(groups, ["multiplicity", "group_key"], "_group")
+    first = placed.groupBy("multiplicity").agg(F.min("_group").alias("_first"))
     asked = F.when(F.col("n_questions") == 2, F.filter("questions", lambda q: q["style"] != "lexical")).otherwise(F.col("questions"))
-    rows = numbered.select("group_id", "group_key", "multiplicity", F.posexplode(asked).alias("at", "q"))
-    total = ranked(rows, [], ["multiplicity", "group_key", "at"], "case_no")  # a benchmark has some hundred cases
-    return total.select(F.format_string("ret_%03d", "case_no").alias("case_id"), "group_id", "group_key", "multiplicity", F.col("q.style").alias("paraphrase_type"), F.col("q.query").alias("query"))
+    numbered = placed.join(F.broadcast(first), "multiplicity").withColumn("group_id", F.format_string("%s_%03d", "multiplicity", F.col("_group") - F.col("_first") + 1))  # a row for each multiplicity
+    rows = numbered.select("group_id", "group_key", "multiplicity", "_group", F.posexplode(asked).alias("at", "q"))
+    total = in_order(rows, ["_group", "at"], "_case")
+    return total.select(F.format_string("ret_%03d", F.col("_case") + 1).alias("case_id"), "group_id", "group_key", "multiplicity", F.col("q.style").alias("paraphrase_type"), F.col("q.query").alias("query"))
 
 
 def first_occurrence(rows: DataFrame, text: str, order: list[str], by: list[str] | None = None) -> DataFrame:
@@ -155,6 +198,8 @@ def spread_first(index: Column, n: Column, k: Column) -> Column:
 
 
 def even_spread(rows: DataFrame, index: str, n: int, k: int) -> DataFrame:
-    """rows with `place`: those at indexes i * n div k come first, the others after, each in order; a plan for one list, numbered in one task."""
-    first = spread_first(F.col(index), F.lit(n), F.lit(k)) if k and n else F.lit(False)
-    return ranked(rows.withColumn("late", (~first).cast("int")), [], ["late", index], "place").drop("late")
+    """rows with `place`: those at indexes i * n div k come first, the others after, each in order. index: 0 to n - 1, each once; so the indexes before a row tell its place, and nothing is sorted."""
+    if not k or not n or k >= n:
+        return rows.withColumn("place", (F.col(index) + 1).cast("int"))
+    firsts = F.ceil(F.col(index) * k / n)  # first indexes below this one
+    return rows.withColumn("place", F.when(spread_first(F.col(index), F.lit(n), F.lit(k)), firsts + 1).otherwise(F.lit(k) + F.col(index) - firsts + 1).cast("int"))

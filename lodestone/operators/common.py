@@ -37,3 +37,19 @@ def numbered(df: DataFrame, by: str, order: str, name: str = "at", width: int =
     before = sizes.select(by, "_part", (F.sum("_n").over(Window.partitionBy(by).orderBy("_part")) - F.col("_n")).alias("_before"))
     own = ranked(part, [by, "_part"], [order], "_own")
     return own.join(before, [by, "_part"]).withColumn(name, F.col("_before") + F.col("_own") - 1).drop("_part", "_own", "_before")
+
+
+def in_order(rows: DataFrame, order: list[Column | str], name: str = "at", keep=None) -> DataFrame:
+    """rows with the place of each, from 0, in the order of all of them; equal rows by chance. Rows are sorted in ranges of `order`, which are written down, and counted; only the counts, one for each range, meet in one place.
+    keep: writes a table down and reads it again, by default sources.staging.staged()."""
+    if keep is None:
+        from lodestone.sources.staging import staged as keep
+    placed = keep(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    split = placed.withColumns({"_range": F.shiftright("_id", 33), "_own": F.col("_id").bitwiseAND((1 << 33) - 1)})
+    counts = sorted((r["_range"], r["count"]) for r in split.groupBy("_range").count().collect())  # a row for each range
+    before, total = [], 0
+    for number, n in counts:
+        before.append((number, total))
+        total += n
+    starts = F.broadcast(rows.sparkSession.createDataFrame(before, "_range long, _before long"))
+    return split.join(starts, "_range").withColumn(name, F.col("_before") + F.col("_own")).drop("_id", "_range", "_own", "_before")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators.common import ranked
+from lodestone.operators.common import ranked, small
+from lodestone.sources.staging import staged
 
 KS = (1, 3, 5, 10)
 
@@ -99,15 +103,50 @@ def e2e_overall(rows: DataFrame) -> DataFrame:
     )
 
 
-def latency(rows: DataFrame, by: list[str], value: str, order: str) -> DataFrame:
-    """Mean, median, nearest-rank 95th percentile, largest, and the mean without the first row by `order` (which counts where it is alone)."""
+#: Values of a group up to which its median and percentile are taken in memory; larger groups are narrowed. Ranges of a round.
+IN_MEMORY, SPLITS = 1_000_000, 1024
+
+
+def at_ranks(rows: DataFrame, by: list[str], value: str, ranks: dict[str, Callable[[Column], Column]], splits: int = SPLITS) -> DataFrame:
+    """(by..., a column for each of ranks): the values that stand at these ranks, from 1, of a group's finite values in ascending order. ranks: from a group's number of values to a rank.
+
+    No group is sorted or held: in each round the range that has the rank is cut into `splits` ranges of equal width, whose rows are counted, and the one that has it is shrunk to the values in it, until they are equal.
+    A round's counts are summed where rows lie; the ranges, one for each group and rank, are written down.
+    """
+    good = rows.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v") & (F.abs("_v") < float("inf")))
+    sizes = good.groupBy(*by).agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), rank(F.col("n")).cast("long").alias("rank")) for name, rank in ranks.items())))
+    open_ = staged(sizes.select(*by, "lo", "hi", each.alias("r")).select(*by, "lo", "hi", "r.name", "r.rank"))
+    found = [open_.filter("lo = hi")]
+    open_ = open_.filter("lo < hi")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]
+    while open_.limit(1).count():
+        at = (F.col("_v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * splits  # halves, so that no difference overflows
+        inside = good.alias("a").join(small(open_).alias("b"), [*same, F.col("_v").between(F.col("lo"), F.col("hi"))])
+        counts = inside.groupBy(*(F.col(f"b.{c}") for c in by), "name", "rank", F.least(F.floor(at), F.lit(splits - 1)).alias("at")).agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+        upto = F.sum("n").over(Window.partitionBy(*by, "name").orderBy("at"))  # `splits` rows at most
+        one = counts.withColumn("_upto", upto).filter((F.col("_upto") >= F.col("rank")) & (F.col("_upto") - F.col("n") < F.col("rank")))
+        open_ = staged(one.select(*by, "lo", "hi", "name", (F.col("rank") - F.col("_upto") + F.col("n")).alias("rank")))
+        found.append(open_.filter("lo = hi"))
+        open_ = open_.filter("lo < hi")
+    done = reduce(DataFrame.unionByName, found)
+    return done.groupBy(*by).agg(*(F.max(F.when(F.col("name") == name, F.col("lo"))).alias(name) for name in ranks))
+
+
+def latency(rows: DataFrame, by: list[str], value: str, order: str, in_memory: int = IN_MEMORY) -> DataFrame:
+    """Mean, median, nearest-rank 95th percentile, largest, and the mean without the first row by `order` (which counts where it is alone). Groups of more than in_memory values get median and percentile by at_ranks()."""
     # the first row's share is taken off the sums, in the one aggregate
     n, first = F.count(value), F.min_by(value, order)
     later = F.when(n > F.when(first.isNotNull(), 1).otherwise(0), (F.sum(value) - F.coalesce(first, F.lit(0.0))) / F.nullif(n - F.when(first.isNotNull(), 1).otherwise(0), F.lit(0)))
-    return rows.groupBy(*by).agg(
-        F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean_s"), F.round(F.median(value), 6).alias("median_s"), F.expr(f"percentile_disc(0.95) within group (order by {value})").alias("p95_s"),
-        F.max(value).alias("max_s"), F.round(F.coalesce(later, F.avg(value)), 6).alias("mean_excluding_first_s"),
-    )
+    means = [F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean_s")]
+    ends = [F.max(value).alias("max_s"), F.round(F.coalesce(later, F.avg(value)), 6).alias("mean_excluding_first_s")]
+    most = rows.groupBy(*by).agg(n.alias("n")).agg(F.max("n")).first()[0] or 0
+    if most <= in_memory:
+        return rows.groupBy(*by).agg(*means, F.round(F.median(value), 6).alias("median_s"), F.expr(f"percentile_disc(0.95) within group (order by {value})").alias("p95_s"), *ends)
+    ranks = at_ranks(rows, by, value, {"low": lambda n: F.floor((n + 1) / 2), "high": lambda n: F.floor(n / 2) + 1, "p95_s": lambda n: F.ceil(n * 0.95)}).alias("r")
+    groups = rows.groupBy(*by).agg(*means, *ends).alias("g")
+    both = groups.join(ranks, [F.col(f"g.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by], "left")
+    return both.select(*(f"g.{c}" for c in by), "n", "mean_s", F.round((F.col("low") + F.col("high")) / 2, 6).alias("median_s"), "p95_s", "max_s", "mean_excluding_first_s")
 
 
 DECLINED = ("insufficient", "rejected", "needs_clarification")
