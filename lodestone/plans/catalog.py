@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lodestone.config import Settings
 from lodestone.functions import requests
 from lodestone.functions import text as T
-from lodestone.operators import answers, benchmark, chunking, compare, evaluation, ingest, retrieval, workflow
+from lodestone.operators import answers, benchmark, chunking, compare, evaluation, ingest, markup, retrieval, workflow
 from lodestone.operators.common import numbered, ranked, small, top
 from lodestone.sources import staging
 from lodestone.sources.segments import Segments
@@ -151,20 +151,31 @@ def section_carry_forward(spark, d):
     return ingest.extract_blocks(items.withColumn("self_ref", F.lit(""))).select("doc_id", "seq", "text", "section")
 
 
-_ITEMS = r"""items as (select page_id, (pos - 1)::int as seq, part from (select page_id, unnest(p) as part, generate_subscripts(p, 1) as pos from (select page_id, string_split(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', '', 'g'), '(?i)<(h1|p|li|footer|div|article|nav|title)(\s[^>]*)?>', chr(1) || '\1' || chr(2), 'g'), chr(1)) as p from pages)) where contains(part, chr(2))),
-shown as (select page_id, seq, lower(string_split(part, chr(2))[1]) as tag, regexp_replace(regexp_replace(replace(regexp_replace(replace(regexp_replace(string_split(part, chr(2))[2], '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&middot;|&copy;', '', 'g'), '&amp;', '&'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') as text from items)"""
+_ITEMS = r"""parts as (select page_id, pos, part from (select page_id, unnest(p) as part, generate_subscripts(p, 1) as pos from (select page_id, string_split(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', '', 'g'), '(?i)<(h1|p|li|footer|div|article|nav|ul|title)(\s[^>]*)?>', chr(1) || '\1' || chr(2), 'g'), chr(1)) as p from pages)) where contains(part, chr(2))),
+texts as (select page_id, pos, lower(string_split(part, chr(2))[1]) as tag, regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(regexp_replace(regexp_replace(string_split(part, chr(2))[2], '<br>', ' ', 'g'), '<[^>]*>', '', 'g'), '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') as text from parts),
+shown as (select page_id, (row_number() over (partition by page_id order by pos) - 1)::int as seq, case tag when 'title' then 'title' when 'h1' then 'section_header' when 'li' then 'list_item' when 'footer' then 'page_footer' else 'text' end as label, text from texts where text <> '')"""
 
 
-@query(f"with {_ITEMS} select page_id, seq, tag, text from shown where text <> ''")
+@query(f"with {_ITEMS} select page_id, seq, label, case when label = 'section_header' then 1 end::int as level, text from shown")
 def html_blocks(spark, d):
-    return ingest.html_items(tab(spark, d, "pages"))
+    return markup.items(tab(spark, d, "pages")).select(F.col("doc_id").alias("page_id"), "seq", "label", "level", "text")
 
 
-@query(f"with {_ITEMS} select page_id, seq, case when tag in ('h1', 'title') then '# ' || text when tag = 'li' then '- ' || text else text end as markdown from shown where text <> ''")
+@query(f"with {_ITEMS} select page_id, seq, case when label in ('section_header', 'title') then '# ' || text when label = 'list_item' then '- ' || text else text end as markdown from shown")
 def html_markdown(spark, d):
-    items = ingest.html_items(tab(spark, d, "pages"))
-    label = F.when(F.col("tag") == "h1", "section_header").when(F.col("tag") == "li", "list_item").when(F.col("tag") == "title", "title").otherwise("text")
-    return items.select("page_id", "seq", T.markdown(label, F.col("text"), F.lit(1), F.lit("-"), F.lit("")).alias("markdown"))
+    items = markup.items(tab(spark, d, "pages"))
+    return items.select(F.col("doc_id").alias("page_id"), "seq", T.markdown(F.col("label"), F.col("text"), F.col("level"), F.col("marker"), F.col("language")).alias("markdown"))
+
+
+# A page for each nation: a heading and a table of its customers, whose head has two rows, the upper one with a cell over two columns.
+@query("""select 'n' || c_nationkey || '-' || lpad(i::varchar, 5, '0') as chunk_id, i::int as table_row_start, case when i = 0 then '## Customers &' else 'Section: Customers &' || chr(10) || 'Table: Nation <' || c_nationkey || '>' || chr(10) || 'Row: ' || i || chr(10) || 'Who. Key: ' || c_custkey || chr(10) || 'Who. Name: ' || c_name || chr(10) || 'Segment: ' || c_mktsegment end as text
+from (select c_nationkey, c_custkey, c_name, c_mktsegment, row_number() over (partition by c_nationkey order by c_custkey) as i from customer union all select distinct c_nationkey, null, null, null, 0 from customer)""")
+def html_table_chunks(spark, d):
+    row = F.concat(F.lit("<tr><td>"), F.col("c_custkey").cast("string"), F.lit("<td>"), "c_name", F.lit("</td><td>"), "c_mktsegment", F.lit("</td></tr>"))
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", row.alias("row")))), lambda r: r["row"]), "\n")
+    head = F.concat(F.lit("<h2>Customers &amp;</h2><table><caption>Nation &lt;"), F.col("c_nationkey").cast("string"), F.lit("&gt;</caption><thead><tr><th colspan='2'>Who<th rowspan=2>Segment<tr><th>Key<th>Name</thead><tbody>"))
+    pages = tab(spark, d, "customer").groupBy("c_nationkey").agg(rows.alias("rows")).select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("page_id"), F.concat(head, "rows", F.lit("</table>")).alias("html"))
+    return chunking.chunk_blocks(ingest.extract_blocks(markup.items(pages)), Settings(chunk_size=60)).select("chunk_id", "table_row_start", "text")
 
 
 @query(f"""with l as (select source, doc_id, trim(regexp_replace(lower(line), '[^a-z0-9]+', ' ', 'g')) as norm, line from (select source, doc_id, unnest(string_split(text, chr(10))) as line from documents)),

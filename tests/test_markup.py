@@ -1,0 +1,94 @@
+"""Typed items of web pages: hand-made pages, and grids against a slow placement on paper squares."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+
+from lodestone.operators import ingest, markup
+
+PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><script>var a = "<p>no</p>";</script></head><body>
+<header>Top</header><h1>One</h1>before<p>First &copy; &middot; &lt;b&gt;<br>line<p>Second <b>bo</b>ld<h3>Three</h3><ul><li>a<li>b<ol start=4><li>c</li><li>d</ol></ul>
+<pre class="language-sql">select 1
+  from t &amp; u
+</pre><!-- gone --><dl><dt>term<dd>told</dl><template>no</template><table><caption>Cap</caption><tr><th>A<th>B<tr><td>1<td>x <table><tr><td>inner</table> y</table>tail<footer>&copy; us</footer>"""
+
+
+def test_all_labels():
+    got = [(x["label"], x["text"], x["level"], x["marker"], x["language"]) for x in markup.items_of(PAGE)]
+    assert got == [
+        ("title", "T & t", None, None, None), ("page_header", "Top", None, None, None), ("section_header", "One", 1, None, None), ("text", "before", None, None, None), ("text", "First © · <b> line", None, None, None),
+        ("text", "Second bold", None, None, None), ("section_header", "Three", 3, None, None), ("list_item", "a", None, "-", None), ("list_item", "b", None, "-", None), ("list_item", "c", None, "4.", None), ("list_item", "d", None, "5.", None),
+        ("code", "select 1\n  from t & u", None, None, "sql"), ("list_item", "term", None, "-", None), ("list_item", "told", None, "-", None), ("table", "| A | B |\n| 1 | x inner y |", None, None, None), ("text", "tail", None, None, None), ("page_footer", "© us", None, None, None),
+    ]
+    table = markup.items_of(PAGE)[14]
+    assert (table["caption"], table["table_headers"], table["table_rows"]) == ("Cap", ["A", "B"], [{"A": "1", "B": "x inner y"}]) and [x["seq"] for x in markup.items_of(PAGE)] == list(range(17))
+
+
+@pytest.mark.parametrize("page, want", [("", []), ("a &amp b", ["a & b"]), ("<p>", []), ("x<p>y", ["x", "y"]), ("</table></li>z", ["z"]), ("<table>loose<tr><td>1", ["loose", "| 1 |"]), ("<td>1<td>2", ["1", "2"]), ("<p>open <b>bold", ["open bold"]), ("<script>x", [])])
+def test_broken_pages(page, want):
+    assert [x["text"] for x in markup.items_of(page)] == want
+
+
+def test_heads_of_rows_and_of_columns():
+    [t] = markup.items_of("<table><tr><th>Year<th>Sum</tr><tr><th>2001<td>5</tr><tr><td rowspan=2>2002<td>6<tr><td>7</table>")
+    assert t["table_headers"] == ["Year", "Sum"] and t["table_rows"] == [{"Year": "2001", "Sum": "5"}, {"Year": "2002", "Sum": "6"}, {"Year": "2002", "Sum": "7"}]
+    assert [(c["text"], c["is_column_header"], c["is_row_header"]) for c in t["table_cells"]][:4] == [("Year", True, False), ("Sum", True, False), ("2001", False, True), ("5", False, False)]
+    [t] = markup.items_of("<table><thead><tr><th rowspan=2>Id<th colspan=2>Who<tr><th>First<th>Last</thead><tr><td>1<td>a<td>b</table>")
+    assert t["table_headers"] == ["Id", "Who. First", "Who. Last"]
+    assert markup.items_of("<table><tr><td colspan=0 rowspan=x>1<td colspan=99999>2</table>")[0]["table_cells"][1]["column_end"] == 1001
+
+
+def slowly(rows):
+    """Row by row onto squared paper."""
+    paper: dict[tuple[int, int], str] = {}
+    for r, row in enumerate(rows):
+        c = 0
+        for cell in row:
+            while (r, c) in paper:
+                c += 1
+            for i in range(cell["rows"]):
+                for j in range(cell["columns"]):
+                    if r + i < len(rows):
+                        paper[r + i, c + j] = cell["text"]
+            c += cell["columns"]
+    return paper
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_grids_equal_squared_paper(seed):
+    rnd = random.Random(seed)
+    rows = [[{"text": f"{r}/{i}", "rows": rnd.choice((1, 1, 2, 3)), "columns": rnd.choice((1, 1, 2)), "head": False, "side": False} for i in range(rnd.randint(0, 4))] for r in range(6)]
+    cells, width = markup.placed(rows)
+    paper = slowly(rows)
+    shown = markup.grid(cells, len(rows), width)
+    overlap = len({(r, c) for x in cells for r in range(x["row_start"], x["row_end"]) for c in range(x["column_start"], x["column_end"])}) < sum((x["row_end"] - x["row_start"]) * (x["column_end"] - x["column_start"]) for x in cells)
+    assert width == max((c for _, c in paper), default=-1) + 1
+    if not overlap:  # where spans meet, the later one is shown in both
+        assert {(r, c): shown[r][c]["text"] for r in range(6) for c in range(width) if shown[r][c]["text"]} == paper
+
+
+def test_items_become_blocks(spark):
+    pages = spark.createDataFrame([("a", PAGE), ("b", None), ("c", ""), ("a2", "<h2>S</h2><p>x")], "page_id string, html string")
+    got = ingest.extract_blocks(markup.items(pages)).orderBy("doc_id", "seq").collect()
+    assert [(r["block_type"], r["text"], r["section"]) for r in got if r["doc_id"] == "a2"] == [("text", "## S", "S"), ("text", "x", "S")]
+    mine = {r["text"]: r for r in got if r["doc_id"] == "a"}
+    assert "Top" not in mine and "© us" not in mine and mine["### Three"]["section"] == "Three" and "```sql\nselect 1\n from t & u\n```" in mine and "4. c" in mine
+    assert {r["doc_id"] for r in got} == {"a", "a2"} and mine["| A | B |\n| 1 | x inner y |"]["table_headers"] == ["A", "B"]
+
+
+def row_zero_slowly(headers, cells):
+    return [next((c["text"] for c in reversed(cells) if c["text"] and c["row_start"] <= 0 < c["row_end"] and max(0, c["column_start"]) <= i < max(max(0, c["column_start"]) + 1, c["column_end"])), "") for i in range(len(headers))]
+
+
+def test_row_zero_of_cells(spark):
+    rnd = random.Random(6)
+    rows = []
+    for n in range(60):
+        cells = [(rnd.choice(["", "x", "y"]) + str(i), rnd.randint(-1, 2), rnd.randint(0, 3), (c := rnd.randint(-1, 3)), c + rnd.randint(-1, 3), False, False, False) for i in range(rnd.randint(0, 6))]
+        rows.append((n, [f"h{i}" for i in range(rnd.randint(0, 4))], cells))
+    rows.append((99, ["a"], []))
+    df = spark.createDataFrame(rows, f"n int, h array<string>, c array<{ingest.CELL}>")
+    for r in df.select("*", ingest.first_row(df["h"], df["c"]).alias("got")).collect():
+        assert r["got"] == row_zero_slowly(r["h"], [c.asDict() for c in r["c"]])
