@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.operators.common import ranked
+from lodestone.sources.staging import staged
 
 UNTIED = "The answer could not be tied to specific passages."
 EMPTY = "(no evidence retrieved)"
@@ -67,20 +71,61 @@ def json_object(text: str) -> dict:
 _KINDS = {"string": str, "boolean": bool, "integer": int, "number": (int, float), "array": list, "object": dict}
 
 
+class Invalid(ValueError):
+    """A value is not as its schema says: the place, and what is wrong there."""
+
+    def __init__(self, place: str, what: str):
+        super().__init__(f"{place}: {what}")
+        self.place, self.what = place, what
+
+
 def validated(value: object, schema: dict, at: str = "answer") -> object:
-    """value, if it is as a schema says (type, enum, properties, required, items); ValueError with the place where it isn't. Properties that the schema doesn't name are refused."""
+    """value, if it is as a schema says (type, enum, properties, required, items); Invalid with the place where it isn't. Properties that the schema doesn't name are refused."""
     kind = schema.get("type")
     if kind and (not isinstance(value, _KINDS[kind]) or isinstance(value, bool) != (kind == "boolean")):
-        raise ValueError(f"{at} is no {kind}")
+        raise Invalid(at, f"is no {kind}")
     if "enum" in schema and value not in schema["enum"]:
-        raise ValueError(f"{at} is none of {schema['enum']}")
+        raise Invalid(at, f"is none of {', '.join(map(str, schema['enum']))}")
     if kind == "object":
         own = schema.get("properties", {})
         odd = [f"{k} is missing" for k in schema.get("required", own) if k not in value] + [f"{k} is unknown" for k in value if k not in own]
         if odd:
-            raise ValueError(f"{at}: {', '.join(odd)}")
+            raise Invalid(at, ", ".join(odd))
         for k, v in value.items():
             validated(v, own[k], f"{at}.{k}")
     for i, v in enumerate(value if kind == "array" else ()):
         validated(v, schema.get("items", {}), f"{at}[{i}]")
     return value
+
+
+def structured(rows: DataFrame, schema: dict, text: str = "reply") -> DataFrame:
+    """rows with what their model's text says: value, the JSON of an object as the schema wants it, or error and place, what is wrong with it and where. A null text has no object, one without an object has no place."""
+
+    @F.pandas_udf("value string, error string, place string")
+    def read(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for raw in texts:
+            try:
+                out.append((json.dumps(validated(json_object(raw or ""), schema), ensure_ascii=False), None, None))
+            except Invalid as e:
+                out.append((None, e.what, e.place))
+            except NoObject:
+                out.append((None, "no JSON object", None))
+        return pd.DataFrame(out, columns=["value", "error", "place"])
+
+    return rows.withColumn("_read", read(F.col(text))).select("*", "_read.value", "_read.error", "_read.place").drop("_read")
+
+
+def ask_structured(rows: DataFrame, key: str, ask: Callable[[DataFrame], DataFrame], schema: dict) -> DataFrame:
+    """(key, value, error, place, attempts) of rows: what ask(), from rows to (key, reply), says of each. Rows whose reply doesn't hold, and no others, are asked once more, with its error and place as columns for the model to
+    mend. Rows without a reply have the error `no reply`; of several replies the first that holds counts, then the smallest."""
+
+    def replied(asked: DataFrame) -> DataFrame:
+        told = structured(ask(asked).select(key, "reply"), schema)
+        one = ranked(told, [key], [F.col("value").isNull(), "value", "error", "place"], "_at").filter("_at = 1").select(key, "value", "error", "place")
+        return asked.select(key).join(one, key, "left").withColumn("error", F.when(F.col("value").isNull(), F.coalesce("error", F.lit("no reply"))))
+
+    first = staged(replied(rows))
+    open_ = rows.join(first.filter("value is null").select(key, "error", "place"), key)
+    second = replied(open_).withColumn("attempts", F.lit(2))
+    return first.filter("value is not null").withColumn("attempts", F.lit(1)).unionByName(second)

@@ -20,6 +20,8 @@ EXCLUDED_SECTIONS = (
     "reports on computer systems technology", "disclaimer", "incident response recommendations and considerations for cybersecurity risk management",
 )
 LEAST_SPAN, LEAST_ANSWER, LEAST_QUERY = 25, 12, 12
+#: The styles of an item's questions.
+STYLES = ("lexical", "semantic", "natural")
 
 
 def eligible(chunks: DataFrame, min_tokens: int = 100) -> DataFrame:
@@ -163,12 +165,12 @@ def duplication_scope(gold: DataFrame) -> DataFrame:
     return per.select("fact_id", "n_gold", scope.alias("scope"), F.when(F.col("n_gold") > 1, "multi").otherwise("single").alias("multiplicity"))
 
 
-def valid_item(text: Column, answer: Column, spans: Column, queries: Column, styles: Column, forbidden: tuple[str, ...]) -> Column:
-    """Whether a generated item holds: three questions of distinct styles, each ending in a question mark, unique and long enough, without forbidden phrases; the answer long enough; spans long enough and in the text."""
+def valid_item(text: Column, answer: Column, spans: Column, queries: Column, styles: Column, forbidden: tuple[str, ...], wanted: tuple[str, ...] = STYLES) -> Column:
+    """Whether a generated item holds: a question of each wanted style and no other, each ending in a question mark, unique and long enough, without forbidden phrases; the answer long enough; spans long enough and in the text."""
     body = T.normalise(text)
     asked = F.transform(queries, T.normalise)
     return (
-        (F.size(queries) == 3) & (F.size(F.array_distinct(styles)) == 3) & (F.length(T.strip(answer)) >= LEAST_ANSWER) & (F.size(spans) > 0)
+        (F.size(queries) == len(wanted)) & (F.array_sort(styles) == F.array(*map(F.lit, sorted(wanted)))) & (F.length(T.strip(answer)) >= LEAST_ANSWER) & (F.size(spans) > 0)
         & F.forall(spans, lambda s: (F.length(T.collapse(s)) >= LEAST_SPAN) & F.contains(body, T.normalise(s)))
         & F.forall(asked, lambda q: (F.length(q) >= LEAST_QUERY) & F.endswith(q, F.lit("?"))) & (F.size(F.array_distinct(asked)) == F.size(asked))
         & ~F.exists(asked, lambda q: F.exists(F.array(*map(F.lit, forbidden)), lambda p: F.contains(q, p)))

@@ -22,6 +22,12 @@ def gold_record(spans: Column, level: str, kind: Column) -> Column:
     return F.struct(*fields, F.lit(level).alias("support_level"), kind.alias("match_kind"), spans.alias("evidence_spans"))
 
 
+def chunks_fingerprint(chunks: DataFrame) -> str:
+    """A hash of all chunks (chunk_id, text) in any order, which rows that repeat change too: of their number and the sum of their hashes."""
+    own = F.conv(F.substring(F.sha2(F.to_json(F.struct("chunk_id", "text")), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    return chunks.agg(F.sha2(F.concat_ws("/", F.count("*").cast("string"), F.sum(own).cast("string")), 256).alias("x")).first()["x"]
+
+
 def generate(chunks: DataFrame, ask: Callable[[DataFrame], DataFrame], judge: Callable[[DataFrame], DataFrame], n_single: int = 50, n_multi: int = 50, n_candidates: int = 100, seed: int = 43, min_tokens: int = 100, attempts: int = 3, semantic: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, dict]:
     """(cases, metadata) from chunks (chunk_id, doc_id, source, section, page_start, page_end, chunk_type, n_tokens, text).
 
@@ -68,5 +74,5 @@ def generate(chunks: DataFrame, ask: Callable[[DataFrame], DataFrame], judge: Ca
     ids = {"acceptable_gold_chunk_ids": "gold_chunks", "partial_support_chunk_ids": "partial_support_chunks"}
     out = staged(cases.join(facts_of, ["multiplicity", "group_key"]).withColumns({k: F.transform(v, lambda g: g["chunk_id"]) for k, v in ids.items()}).drop("group_key").withColumnRenamed("case_id", "id").withColumnRenamed("multiplicity", "gold_multiplicity").withColumn("type", F.lit("retrieval_grounded")))
     histogram = lambda c: {r[0]: r["count"] for r in out.groupBy(c).count().collect()}  # noqa: E731  of some hundred cases
-    fingerprint = chunks.agg(F.bit_xor(F.xxhash64("chunk_id", "text")).alias("x")).first()["x"]  # of all chunks, in any order
+    fingerprint = chunks_fingerprint(chunks)
     return out, {"schema_version": "2.0", "case_count": out.count(), "group_count": sum(map(len, counts.values())), "candidate_chunk_count": made.count(), "seed": seed, "corpus_fingerprint": fingerprint, "questions_by_gold_multiplicity": histogram("gold_multiplicity"), "questions_by_duplication_scope": histogram("duplication_scope")}

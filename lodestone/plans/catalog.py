@@ -826,3 +826,32 @@ def sanity_join(spark, d):
 @query("select o_custkey, o_orderkey, place::int as place from (select *, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as place from orders) where place <= 3")
 def sanity_topk(spark, d):
     return top(tab(spark, d, "orders"), ["o_custkey"], [F.col("o_totalprice").desc(), "o_orderkey"], 3, "place").select("o_custkey", "o_orderkey", "place")
+
+
+# What a model might say of a turn, in seven ways; asked again with its error, it mends all but the last.
+_SAID = {"type": "object", "properties": {"role": {"type": "string", "enum": ["user", "assistant", "system"]}, "said": {"type": "object", "properties": {"text": {"type": "string"}, "n": {"type": "integer"}}}}}
+
+
+def _replies(rows):
+    n = F.length("text")
+    good = F.to_json(F.struct("role", F.struct("text", n.alias("n")).alias("said")))
+    way = F.when(F.lit("error" in rows.columns) & (F.col("way") < 6), 0).otherwise(F.col("way"))
+    said = {0: good, 1: F.concat(F.lit('<think>perhaps {"role": 1}</think>Here:\n```json\n'), good, F.lit("\n```\nDone }")), 2: F.concat(F.lit("So: "), good, F.lit(" as asked {")), 3: F.expr("concat('{\"role\": \"', role, '\", ')"),
+            4: F.to_json(F.struct("role")), 5: F.to_json(F.struct("role", F.struct("text", F.col("role").alias("n")).alias("said"))), 6: F.lit("I cannot tell.")}
+    return rows.select("turn_id", F.coalesce(*(F.when(way == k, v) for k, v in said.items())).alias("reply"))
+
+
+@query("""select turn_id, case when way < 6 then role end as role, case when way < 6 then length(text) end::bigint as n, case when way < 6 then md5(text) end as text_md5, case when way = 6 then 'no JSON object' end as error, case when way < 3 then 1 else 2 end::int as attempts
+from (select *, conv_id * 100 + turn as turn_id, (conv_id + turn) % 7 as way from conversations)""")
+def structured_output(spark, d):
+    rows = tab(spark, d, "conversations").withColumns({"turn_id": F.col("conv_id") * 100 + F.col("turn"), "way": (F.col("conv_id") + F.col("turn")) % 7})
+    got = answers.ask_structured(rows, "turn_id", _replies, _SAID).withColumn("v", F.from_json("value", "role string, said struct<text:string,n:bigint>"))
+    return got.select("turn_id", "v.role", "v.said.n", F.md5("v.said.text").alias("text_md5"), "error", "attempts")
+
+
+@query("""select conv_id * 100 + turn as turn_id, case way when 3 then 'no JSON object' when 4 then 'said is missing' when 5 then 'is no integer' when 6 then 'no JSON object' end as error, case way when 4 then 'answer' when 5 then 'answer.said.n' end as place
+from (select *, (conv_id + turn) % 7 as way from conversations)""")
+def structured_errors(spark, d):
+    """The first replies alone, with what is wrong with each and where."""
+    rows = tab(spark, d, "conversations").withColumns({"turn_id": F.col("conv_id") * 100 + F.col("turn"), "way": (F.col("conv_id") + F.col("turn")) % 7})
+    return answers.structured(_replies(rows), _SAID).select("turn_id", "error", "place")

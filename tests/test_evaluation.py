@@ -74,13 +74,13 @@ def test_round_robin_is_even_and_whole(spark):
 
 def test_items(spark):
     text = "Multi-factor authentication is required for all remote access to systems."
-    spans, queries, styles = [text[:40]], ["Is it needed at home?", "Who needs factors?", "What is required?"], ["a", "b", "c"]
+    spans, queries, styles = [text[:40]], ["Is it needed at home?", "Who needs factors?", "What is required?"], ["semantic", "lexical", "natural"]
     def ok(**change):
         row = {"text": text, "answer": "It is required.", "spans": spans, "queries": queries, "styles": styles} | change
         c = {k: (F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v)) for k, v in row.items()}
         return spark.range(1).select(benchmark.valid_item(c["text"], c["answer"], c["spans"], c["queries"], c["styles"], ("according to the passage",)).alias("x")).first()["x"]
     assert ok()
-    assert not ok(spans=["short"]) and not ok(spans=["y" * 30]) and not ok(answer="no") and not ok(styles=["a", "a", "b"]) and not ok(queries=queries[:2] + queries[:1])
+    assert not ok(spans=["short"]) and not ok(spans=["y" * 30]) and not ok(answer="no") and not ok(styles=["lexical", "lexical", "natural"]) and not ok(styles=["lexical", "formal", "natural"]) and not ok(queries=queries[:2] + queries[:1])
     assert not ok(queries=[*queries[:2], "According to the passage, what?"]) and not ok(queries=[*queries[:2], "No question mark here"])
 
 

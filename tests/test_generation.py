@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -85,7 +87,7 @@ def made(spark, n=14):
 def facts(chunks):
     span = F.regexp_extract("text", r"^Rule \d+ says that [^.]*\.", 0)
     ask = lambda style: F.struct(F.lit(style).alias("style"), F.concat(F.lit(f"{style}: which gate is meant by "), "chunk_id", F.lit("?")).alias("query"))
-    return chunks.select(F.col("chunk_id").alias("fact_id"), F.lit("The gate is painted.").alias("answer"), F.array(span).alias("spans"), F.array(*map(ask, ("natural", "lexical", "formal"))).alias("questions"))
+    return chunks.select(F.col("chunk_id").alias("fact_id"), F.lit("The gate is painted.").alias("answer"), F.array(span).alias("spans"), F.array(*map(ask, ("natural", "lexical", "semantic"))).alias("questions"))
 
 
 def test_facts_hold_and_share_no_question(spark):
@@ -130,6 +132,54 @@ def test_a_whole_benchmark(spark):
         dataset.generate(chunks, facts, none, n_single=5, n_multi=40, n_candidates=14)
 
 
+def objects_slowly(text):
+    """The first object with matched braces, strings aside; None without one."""
+    text = re.sub(r"<think>.*?</think>", "", text, flags=re.S | re.I).strip()
+    if fence := re.search(r"```(?:json)?\s*(.*?)```", text, re.S):
+        text = fence[1].strip()
+    begin = text.find("{")
+    for end in range(begin + 1, len(text) + 1) if begin >= 0 else ():
+        try:
+            return json.loads(text[begin:end])
+        except ValueError:
+            continue
+    return None
+
+
+def test_structured_output_equals_a_slow_reader(spark):
+    rnd = random.Random(11)
+    pieces = ['{"a": 1}', '{"a": {"b": "}"}}', '{"a": "\\"{"}', "<think>{x}</think>", "```json\n", "```", "{", "}", "prose ", '{"b": 2}', '{"a": true}', '"', "\n", '{"a": 1, "c": 3}']
+    texts = ["".join(rnd.choice(pieces) for _ in range(rnd.randint(1, 5))) for _ in range(300)] + [None, ""]
+    bare = lambda t: re.sub(r"<think>.*?</think>", "", t, flags=re.S).strip().removeprefix("```json").removeprefix("```").strip()
+    texts = [t for t in texts if t is None or not bare(t).startswith('"')]  # a string is read whole, as one that is no object
+    schema = {"type": "object", "properties": {"a": {"type": "integer"}}}
+    got = answers.structured(spark.createDataFrame(list(enumerate(texts)), "i int, reply string").repartition(3), schema)
+    for r in got.collect():
+        want = objects_slowly(r["reply"] or "")
+        if want is None:
+            assert (r["value"], r["error"], r["place"]) == (None, "no JSON object", None), r
+        elif set(want) != {"a"}:
+            assert r["value"] is None and r["place"] == "answer" and ("missing" in r["error"] or "unknown" in r["error"]), r
+        elif isinstance(want["a"], bool) or not isinstance(want["a"], int):
+            assert (r["error"], r["place"]) == ("is no integer", "answer.a"), r
+        else:
+            assert json.loads(r["value"]) == want and r["error"] is None, r
+
+
+def test_only_rows_with_errors_are_asked_once_more(spark):
+    asked = []
+
+    def ask(rows):
+        asked.append({r["k"]: r["error"] if "error" in rows.columns else None for r in rows.collect()})
+        told = {1: '{"a": 1}', 2: '{"a": 2}' if len(asked) > 1 else '{"a": "x"}', 3: "nothing"}
+        pairs = [(k, v) for k, v in told.items() if k in asked[-1]] + ([(1, "twice")] if 1 in asked[-1] else [])
+        return rows.sparkSession.createDataFrame(pairs, "k int, reply string")
+
+    got = answers.ask_structured(spark.createDataFrame([(k,) for k in (1, 2, 3, 4)], "k int"), "k", ask, {"type": "object", "properties": {"a": {"type": "integer"}}})
+    assert sorted((r["k"], r["value"], r["error"], r["attempts"]) for r in got.collect()) == [(1, '{"a": 1}', None, 1), (2, '{"a": 2}', None, 2), (3, None, "no JSON object", 2), (4, None, "no reply", 2)]
+    assert asked == [dict.fromkeys((1, 2, 3, 4)), {2: "is no integer", 3: "no JSON object", 4: "no reply"}]
+
+
 def test_schema_validation():
     schema = {"type": "object", "required": ["level"], "properties": {"level": {"type": "string", "enum": ["none", "full"]}, "spans": {"type": "array", "items": {"type": "string"}}}}
     assert answers.validated({"level": "full", "spans": ["a"]}, schema) == {"level": "full", "spans": ["a"]}
