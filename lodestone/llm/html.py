@@ -277,4 +277,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of pages: page_id, url, text, n_chars."""
     return extract(table(spark, sf_dir, "pages"))

@@ -165,4 +165,5 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents: doc_id, held_out, lang_pred, score."""
     return identify(table(spark, sf_dir, "documents"))

@@ -206,7 +206,7 @@ def _split(x: bytes | np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def viewed(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, filled, x) of docs (doc_id, text, lang, source), written: a number of its own for each row, whether it has text, its features as bytes of half precision."""
+    """(row, doc_id, filled, x) of docs (doc_id, text, lang, source), written: a hash of its id and features, which doesn't hang on how rows lie, whether it has text, its features as bytes of half precision."""
 
     def seen(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it, "text"):
@@ -215,7 +215,7 @@ def viewed(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(filled), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "filled", "x"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).cast("string").alias(c) for c in ("text", "lang", "source")))
-    return written(mapped(own, seen, "doc_id long, filled boolean, x binary").select(F.monotonically_increasing_id().alias("row"), "doc_id", "filled", "x"), "views")
+    return written(mapped(own, seen, "doc_id long, filled boolean, x binary").select(F.xxhash64("doc_id", "x").alias("row"), "doc_id", "filled", "x"), "views")
 
 
 def _known(labels: DataFrame, label_col: str) -> DataFrame:
@@ -223,7 +223,8 @@ def _known(labels: DataFrame, label_col: str) -> DataFrame:
 
 
 def surest(rows: DataFrame, views: list[View], taken: list[set[int]], sure: float = SURE, most: int = PER_ROUND) -> list[Sure]:
-    """Of rows (row, x), the `most` that each view is surest of for each label, at least `sure`, that the other view hasn't taken; each task sends as many of its own at most."""
+    """Of rows (row, x), the `most` that each view is surest of for each label, at least `sure`, that the other view hasn't taken; each task sends as many of its own at most. Equally sure ones go by `row`; those that share it
+    are equal."""
     sent = rows.sparkSession.sparkContext.broadcast((views, [np.array(sorted(x), np.int64) for x in taken]))
 
     def best(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +267,8 @@ def _fitted(rows: DataFrame, labels: DataFrame, label_col: str, max_labelled: in
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_labelled: int = MAX_LABELLED) -> Model | None:
-    """A model from about max_labelled rows of docs with a label, drawn by a hash of doc_id, one for each id, and from all rows without one. None without labels of both kinds."""
+    """A model from about max_labelled rows of docs with a label, drawn by a hash of doc_id, one for each id (of several texts that with the smallest hash), and from all rows without one. The same rows give the same model, however they
+    lie. None without labels of both kinds."""
     rows = viewed(docs)
     model = _fitted(rows, labels, label_col, max_labelled)
     dropped(rows)
@@ -316,4 +318,5 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, l
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents, judged by a model of documents and labels: doc_id, p_text, p_meta, quality_score, quality_kept."""
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
