@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows up to which a side may be broadcast; it is counted first.
-BROADCAST_ROWS = 200_000
+#: Rows, and bytes of them as text, up to which a side may be broadcast; both are measured first.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
-def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether df has at most `rows` rows; to be asked of cheap plans, since it runs one."""
-    return df.limit(rows + 1).count() <= rows
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether df has at most `rows` rows, and these at most `size` bytes as text; to be asked of cheap plans, since it runs one."""
+    own = F.octet_length(F.struct(*(F.col(f"`{c}`") for c in df.columns)).cast("string"))
+    n, total = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(own), F.lit(0))).first()
+    return n <= rows and total <= size
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `rows` rows; else left to the optimizer."""
+    """df with a broadcast hint if it fits(); else left to the optimizer."""
     return F.broadcast(df) if fits(df, rows) else df
 
 

@@ -100,37 +100,31 @@ def dense(queries: DataFrame, vectors: DataFrame, sources: list[str] | None = No
 
 
 def dense_top(queries: DataFrame, vectors: DataFrame, k: int, block: int = 2048) -> DataFrame:
-    """What top_hits(dense(...), k) gives, for many queries: blocks of them, a stated set, are broadcast as a matrix, and each Arrow batch of vectors keeps its k best of a
-    query, so that pairs never reach a shuffle. Vectors are of one length."""
-    spark, parts, held = queries.sparkSession, [], []
-
-    def scored() -> None:
-        sent = spark.sparkContext.broadcast(([r["query_id"] for r in held], np.array([r["vector"] for r in held], np.float64)))  # at most `block` vectors
-
-        def best(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, q = sent.value
-            for pdf in it:
-                doc = pdf["doc_id"].to_numpy()
-                s = np.round(q @ np.array(pdf["vector"].tolist(), np.float64).T, DIGITS)
-                order = np.stack([np.lexsort((doc, -row))[:k] for row in s])
-                yield pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), "doc_id": doc[order.ravel()], "score": np.take_along_axis(s, order, 1).ravel()})
-
-        kinds = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["doc_id"]
-        parts.append(vectors.select("doc_id", "vector").filter("vector is not null").mapInPandas(best, f"query_id {kinds[0]}, doc_id {kinds[1]}, score double"))
-
-    for row in queries.select("query_id", "vector").filter("vector is not null").toLocalIterator():
-        held.append(row)
-        if len(held) == block:
-            scored()
-            held = []
-    if held:
-        scored()
-    if not parts:
+    """What top_hits(dense(...), k) gives. Up to `block` queries are broadcast as a matrix, and each Arrow batch of vectors keeps its k best of a query, so that pairs never reach a shuffle; more of them are joined, in
+    blocks, with the clustered lists that may hold one of their k best, and none comes to the driver. Vectors are of one length."""
+    asked = queries.select("query_id", "vector").filter("vector is not null")
+    rows = vectors.select("doc_id", "vector").filter("vector is not null")
+    if not fits(asked, block):
+        from lodestone.operators import lists
+        from lodestone.sources.staging import staged
+
+        made, placed = (staged(t.withColumn("segment", F.lit(0))) for t in lists.build(rows))
+        return lists.search(asked, made, placed, k, staged)
+    held = asked.collect()  # at most `block` vectors
+    if not held:
         return top_hits(dense(queries, vectors), k)
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionAll(p)
-    return top_hits(found, k)
+    sent = queries.sparkSession.sparkContext.broadcast(([r["query_id"] for r in held], np.array([r["vector"] for r in held], np.float64)))
+
+    def best(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, q = sent.value
+        for pdf in it:
+            doc = pdf["doc_id"].to_numpy()
+            s = np.round(q @ np.array(pdf["vector"].tolist(), np.float64).T, DIGITS)
+            order = np.stack([np.lexsort((doc, -row))[:k] for row in s])
+            yield pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), "doc_id": doc[order.ravel()], "score": np.take_along_axis(s, order, 1).ravel()})
+
+    kinds = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["doc_id"]
+    return top_hits(rows.mapInPandas(best, f"query_id {kinds[0]}, doc_id {kinds[1]}, score double"), k)
 
 
 def rrf(lists: DataFrame, k: int = DEFAULTS.rrf_k, keep: int | None = None) -> DataFrame:

@@ -120,3 +120,10 @@ def test_lexical_candidates_are_few_and_lose_nothing(spark, share):
     assert sorted(map(tuple, benchmark.lexical(facts, chunks, share).collect())) == want
     pairs, sharing = staged(benchmark.lexical_pairs(facts, chunks, share)).count(), sum(1 for f, t in asked for s in own.values() if set(t) & s)
     assert len(want) <= pairs and (share < 0.7 or pairs < sharing / 3)
+
+
+def test_what_is_broadcast_is_measured_in_rows_and_bytes(spark):
+    from lodestone.operators.common import fits
+
+    rows = spark.range(10).select("id", F.repeat(F.lit("x"), 1000).alias("t.x"), F.array(F.lit(None).cast("string")).alias("a"))
+    assert fits(rows, 10) and not fits(rows, 9) and fits(rows, 10, 12_000) and not fits(rows, 10, 9_000) and fits(rows.limit(0), 0, 0)
