@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import os
+import re
 from collections import Counter
 
 import pytest
@@ -190,9 +192,9 @@ def test_questions_that_a_provider_leaves_out_stay(spark):
     assert (got[1]["status"], got[1]["response"], got[1]["confidence"]) == ("answered", "", "low") and (got[2]["status"], got[2]["rounds"]) == ("insufficient", 1)
 
 
-def loop_slowly(lists, chunks, verdicts, most_rounds=3):
-    """The loop for one question, step by step. lists: query to ranked (id, score); verdicts: by round."""
-    queries, tried, evidence, rejected = ["q"], [], [], []
+def loop_slowly(lists, chunks, verdicts, most_rounds=3, question="q"):
+    """The loop for one question, step by step. lists: query to ranked (id, score); verdicts: by round, or a function of the evidence."""
+    queries, tried, evidence, rejected = [question], [], [], []
     for round_no in range(1, most_rounds + 1):
         scores, best, seen = {}, {}, []
         for q in queries:
@@ -218,7 +220,7 @@ def loop_slowly(lists, chunks, verdicts, most_rounds=3):
                 own[c] = (score, neighbour)
         now = sorted(((c, s, n) for c, (s, n) in own.items()), key=lambda x: (x[2], -x[1]))[:12]
         tried += queries
-        sufficient, supporting, rewrites = verdicts[round_no - 1] if now else (False, [], [])
+        sufficient, supporting, rewrites = (verdicts(now) if callable(verdicts) else verdicts[round_no - 1]) if now else (False, [], [])
         good = [i for i in supporting if 1 <= i <= len(now)]
         sufficient = sufficient and bool(good)
         kept = [now[i - 1] for i in good]
@@ -258,6 +260,64 @@ def test_loop_equals_a_slow_one(spark, seed):
     assert len(got) == 12 and len({r["rounds"] for r in got}) > 1
 
 
+class Ranked(dict):
+    """Query to what BM25 and coverage rank, by the formulas, a chunk at a time."""
+
+    def __init__(self, chunks):
+        super().__init__()
+        self.stop = set(T.STOPWORDS)
+        self.words = {c: self.tokens(t) for c, t in chunks.items()}
+        self.mean = sum(map(len, self.words.values())) / len(self.words)
+        self.df = Counter(w for own in self.words.values() for w in set(own))
+
+    @staticmethod
+    def tokens(text):
+        return re.findall("[a-z0-9][a-z0-9_.-]*", text.lower())
+
+    def __missing__(self, query):
+        asked, n = set(self.tokens(query)), len(self.words)
+        scores = {}
+        for c, own in self.words.items():
+            tf = Counter(own)
+            if both := asked & set(own):
+                scores[c] = round(sum(math.log(1 + (n - self.df[w] + 0.5) / (self.df[w] + 0.5)) * tf[w] * 2.2 / (tf[w] + 1.2 * (0.25 + 0.75 * len(own) / self.mean)) for w in both), 6)
+        hits = sorted(scores, key=lambda c: (-scores[c], c))[:20]
+        named = asked - self.stop
+        covered = {c: round(len(named & set(self.words[c])) / len(named), 6) if named else 0.0 for c in hits}
+        self[query] = [(c, covered[c]) for c in sorted(hits, key=lambda c: -covered[c])]
+        return self[query]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_retry_rounds_equal_a_slow_loop(spark):
+    """The registered query's own rows: search, fusion, neighbours, verdicts, retries and citations of every question."""
+    from lodestone.plans.catalog import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    docs = sorted((r["source"], r["doc_id"], r["lang"], r["text"] or "") for r in spark.read.parquet(f"{d}/documents.parquet").collect())
+    places, chunks, texts = Counter(), {}, {}
+    for source, _, lang, text in docs:
+        name = f"{source}-{places[source]:05d}"
+        chunks[name], texts[name] = (source, places[source], lang), text
+        places[source] += 1
+    lists, want = Ranked(texts), {}
+    for r in spark.read.parquet(f"{d}/benchmark.parquet").collect():
+        i, q = r["item_id"], r["text"]
+        if i % 10 == 9:
+            want[i] = ("needs_clarification", 0, 0, 0, [])
+            continue
+        rest = re.sub(r"^\S+\s+", "", q, count=1)
+
+        def verdict(now, rest=rest, q=q):
+            good = [at for at, x in enumerate(now, 1) if x[1] >= 0.6]
+            return len(good) >= 2, good, [rest] if rest != q else []
+
+        status, rounds, n, tried, kept = loop_slowly(lists, chunks, verdict, question=q)
+        want[i] = (status, rounds, n, len(tried), kept)
+    got = {r["query_id"]: (r["status"], r["rounds"], r["n_evidence"], r["n_tried"], r["cited"]) for r in QUERIES["retry_rounds"](spark, d).collect()}
+    assert got == want and len({w[1] for w in want.values()}) > 2
+
+
 def test_sufficient_without_support_is_not(spark):
     rows = spark.createDataFrame([(1, 2, True, [5], []), (2, 0, True, [1], []), (3, 2, True, [2], [])], "query_id int, n int, sufficient boolean, supporting array<int>, rewrites array<string>")
     assert {r["query_id"]: r["sufficient"] for r in workflow.verdict_rules(rows).collect()} == {1: False, 2: False, 3: True}
