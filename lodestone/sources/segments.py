@@ -64,7 +64,7 @@ class Segments:
         return bool(self.numbers())
 
     def count(self) -> int:
-        return self.stats().first()["n"]
+        return self.documents().count() if self.exists() else 0
 
     def documents(self) -> DataFrame:
         """The chunks that hold, with dl and the segment of each."""
@@ -75,7 +75,7 @@ class Segments:
         return self._live("postings", "doc_id", self.numbers())
 
     def stats(self) -> DataFrame:
-        """One row: n and mean_dl of the chunks that hold, summed up from the segments."""
+        """One row: n and mean_dl of the chunks with text that hold, summed up from the segments."""
         n, dl = F.sum(F.col("n") - F.col("n_replaced")), F.sum(F.col("dl") - F.col("dl_replaced"))
         return self.totals().agg(F.coalesce(n, F.lit(0)).alias("n"), (dl / F.nullif(n, F.lit(0))).alias("mean_dl"))
 
@@ -92,12 +92,12 @@ class Segments:
 
     def upsert(self, chunks: DataFrame, segment: int | None = None, newest: list[Column | str] | None = None, whole: bool = False) -> int:
         """Add chunks as a segment, by default one after the last, and return its number. Chunks with these ids are replaced, whatever segment has them; others are untouched. Of rows that share an id the first by
-        `newest` holds, then the largest text; rows without an id are left out, a null text has no terms but counts. The number of the last segment writes that one again; an older one is a ValueError. Without rows the segment is empty. whole: nothing else holds from
+        `newest` holds, then the largest text; rows without an id are left out; a chunk without text is held, but counts in no statistic, as in retrieval.bm25(). The number of the last segment writes that one again; an older one is a ValueError. Without rows the segment is empty. whole: nothing else holds from
         then on."""
         before, segment = self._place(segment)
         one = ranked(chunks.filter("chunk_id is not null"), ["chunk_id"], [*(newest or []), F.col("text").desc_nulls_last()], "_at").filter("_at = 1").drop("_at")
         one = one if "source" in one.columns else one.withColumn("source", F.lit(""))
-        self._write(one.withColumn("dl", F.size(T.token_list(F.coalesce("text", F.lit("")))).cast("long")), "documents", segment)
+        self._write(one.withColumn("dl", F.when(F.col("text").isNotNull(), F.size(T.token_list("text"))).cast("long")), "documents", segment)
         mine = self._table("documents", [segment])
         words = mine.select(F.col("chunk_id").alias("doc_id"), F.explode(T.token_list("text")).alias("term"), "dl", "source")
         index = words.groupBy("doc_id", "term", "dl", "source").agg(F.count("*").alias("tf"))
@@ -123,7 +123,7 @@ class Segments:
             self._write(held if ids is None else held.join(small(ids), "chunk_id", "left_semi"), "replaced", segment)
 
     def _count(self, mine: DataFrame | None, segment: int) -> None:
-        sums = [F.coalesce(F.sum("dl"), F.lit(0)).alias("dl"), F.count("*").alias("n")]
+        sums = [F.coalesce(F.sum("dl"), F.lit(0)).alias("dl"), F.count("dl").alias("n")]
         n, dl = (mine.agg(*sums).select("n", "dl").first()) if mine is not None else (0, 0)
         gone = self._replaced([segment], "string").select("dl").agg(*sums).first()
         self._write(self.spark.createDataFrame([(n, dl, gone["n"], gone["dl"])], "n long, dl long, n_replaced long, dl_replaced long"), "totals", segment)
