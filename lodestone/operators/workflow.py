@@ -121,12 +121,13 @@ def pointing_answer(questions: DataFrame, evidence: DataFrame) -> DataFrame:
     return questions.join(at, "query_id").select("query_id", text.alias("answer"), "used", F.lit("medium").alias("confidence"), F.lit("").alias("caveats"))
 
 
-def retrieve(asked: DataFrame, rejected: DataFrame | None, providers: Providers, settings: Settings = DEFAULTS) -> DataFrame:
-    """(query_id, chunk_id, rerank_score, is_neighbor, seed_chunk_id, position) of a round: each query's list without rejected passages, fused to seeds, with their neighbours."""
-    lists = providers.search(asked)
+def retrieve(asked: DataFrame, rejected: DataFrame | None, providers: Providers, settings: Settings = DEFAULTS, keep: Callable[[DataFrame], DataFrame] = staged) -> DataFrame:
+    """(query_id, chunk_id, rerank_score, is_neighbor, seed_chunk_id, position) of a round: each query's list without rejected passages, fused to seeds, with their neighbours. keep: writes down the lists and the seeds, which
+    are read several times."""
+    lists = keep(providers.search(asked))
     if rejected is not None:
         lists = retrieval.exclude(lists, rejected.withColumnRenamed("chunk_id", "doc_id"))
-    seeds = retrieval.fuse_queries(lists, settings).select("query_id", F.col("doc_id").alias("chunk_id"), "rerank_score", "rank")
+    seeds = keep(retrieval.fuse_queries(lists, settings).select("query_id", F.col("doc_id").alias("chunk_id"), "rerank_score", "rank"))
     if providers.chunks is None:
         return seeds.select("query_id", "chunk_id", "rerank_score", F.lit(False).alias("is_neighbor"), F.lit("").alias("seed_chunk_id"), F.col("rank").cast("long").alias("position"))
     placed = seeds.join(providers.chunks.select("chunk_id", "doc_id", "chunk_index", "section"), "chunk_id")
@@ -175,7 +176,7 @@ def run(questions: DataFrame, providers: Providers, settings: Settings = DEFAULT
     evidence = rejected = None
     for round_no in range(1, settings.max_rounds + 1):
         asked = state.select("query_id", F.posexplode("search_queries").alias("list_no", "query"))
-        fresh = retrieve(asked, rejected, providers, settings)
+        fresh = retrieve(asked, rejected, providers, settings, keep)
         now = keep(retrieval.merge_evidence(fresh.limit(0) if evidence is None else evidence, fresh, settings.working_set))
         open_ = keep(
             state.join(now.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left")
