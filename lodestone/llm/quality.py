@@ -205,8 +205,9 @@ def _split(x: bytes | np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return own[:, :TEXT_SIZE], own[:, TEXT_SIZE:]
 
 
-def viewed(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, filled, x) of docs (doc_id, text, lang, source), written: a hash of its id and features, which doesn't hang on how rows lie, whether it has text, its features as bytes of half precision."""
+def viewed(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """(row, doc_id, label, filled, x) of docs (doc_id, text, lang, source), written: a hash of its id and features, which doesn't hang on how rows lie, its label if known (doc_id, label) has one, whether it has text, its
+    features as bytes of half precision. Features are shuffled once at most, for the labels; rows without an id are dealt by their hash."""
 
     def seen(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it, "text"):
@@ -215,7 +216,10 @@ def viewed(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(filled), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "filled", "x"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).cast("string").alias(c) for c in ("text", "lang", "source")))
-    return written(mapped(own, seen, "doc_id long, filled boolean, x binary").select(F.xxhash64("doc_id", "x").alias("row"), "doc_id", "filled", "x"), "views")
+    rows = mapped(own, seen, "doc_id long, filled boolean, x binary").select(F.xxhash64("doc_id", "x").alias("row"), "doc_id", "filled", "x")
+    keyed = rows.withColumns({"_key": F.coalesce("doc_id", "row"), "_has": F.col("doc_id").isNotNull()})
+    named = known.select(F.col("doc_id").alias("_key"), F.lit(True).alias("_has"), "label")
+    return written(keyed.join(named, ["_key", "_has"], "left").select("row", "doc_id", "label", "filled", "x"), "views")
 
 
 def _known(labels: DataFrame, label_col: str) -> DataFrame:
@@ -252,25 +256,26 @@ def surest(rows: DataFrame, views: list[View], taken: list[set[int]], sure: floa
     return [(r["k"], r["label"], r["row"], np.concatenate(_split(bytes(r["x"]), 1), 1)[0]) for r in sorted(got, key=lambda r: (r["k"], -r["label"], -r["how"], r["row"]))]
 
 
-def _fitted(rows: DataFrame, labels: DataFrame, label_col: str, max_labelled: int) -> Model | None:
-    known = _known(labels, label_col)
+def _fitted(rows: DataFrame, known: DataFrame, max_labelled: int) -> Model | None:
     n = known.count()
     drawn = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("labelled")), F.lit(1 << 30)) < int((1 << 30) * min(1.0, max_labelled / max(n, 1)))).limit(2 * max_labelled)
     usable = rows.filter("doc_id is not null and filled")
-    picked = usable.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct("row", "x")).alias("first")).select("doc_id", "label", "first.x").orderBy("doc_id").toPandas()  # one row of an id
+    mine = usable.filter("label is not null").join(F.broadcast(drawn.select("doc_id")), "doc_id")
+    picked = mine.groupBy("doc_id", "label").agg(F.min(F.struct("row", "x")).alias("first")).select("doc_id", "label", "first.x").orderBy("doc_id").toPandas()  # one row of an id
     y = picked["label"].to_numpy(float)
     t, m = _split(b"".join(picked["x"]), len(picked))
     if len(np.unique(y)) < 2:
         return None
-    pool = usable.join(known.select("doc_id"), "doc_id", "left_anti")
+    pool = usable.filter("label is null")
     return cotrain(t, m, y, lambda views, taken: surest(pool, views, taken))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_labelled: int = MAX_LABELLED) -> Model | None:
     """A model from about max_labelled rows of docs with a label, drawn by a hash of doc_id, one for each id (of several texts that with the smallest hash), and from all rows without one. The same rows give the same model, however they
     lie. None without labels of both kinds."""
-    rows = viewed(docs)
-    model = _fitted(rows, labels, label_col, max_labelled)
+    known = _known(labels, label_col)
+    rows = viewed(docs, known)
+    model = _fitted(rows, known, max_labelled)
     dropped(rows)
     return model
 
@@ -306,8 +311,9 @@ def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) ->
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, label_col: str = "quality", max_labelled: int = MAX_LABELLED) -> DataFrame:
     """(doc_id, p_text, p_meta, quality_score, quality_kept) of each row of docs, by a model co-trained on docs and labels; texts are read once. Odd rows and tables: as in score()."""
-    rows = viewed(docs)
-    sent = docs.sparkSession.sparkContext.broadcast(_fitted(rows, labels, label_col, max_labelled))
+    known = _known(labels, label_col)
+    rows = viewed(docs, known)
+    sent = docs.sparkSession.sparkContext.broadcast(_fitted(rows, known, max_labelled))
 
     def rate(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
