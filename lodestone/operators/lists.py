@@ -25,17 +25,31 @@ PART, BLOCK = 512, 64
 SENT_LISTS = 20_000
 
 
+def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The number of the nearest of centres c for each row of x, a thousand rows at a time."""
+    half = 0.5 * (c**2).sum(axis=1)
+    return np.concatenate([(x[at : at + 1024] @ c.T - half).argmax(axis=1) for at in range(0, len(x), 1024)] or [np.empty(0, np.int64)])
+
+
+def drawn(vectors: DataFrame, n: int, seed: int = 7) -> list:
+    """About SAMPLE of n rows (doc_id, vector), the same whatever the layout: those whose hash falls in that share of all hashes. Each task sends its part of the sample alone; an order by the hash with a limit would send SAMPLE rows from every
+    task and sort them in the driver."""
+    at = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40))
+    rows = vectors.select(at.alias("_at"), "doc_id", "vector").filter(F.col("_at") < F.lit(-(-(SAMPLE << 40) // max(n, 1)))).limit(2 * SAMPLE).collect()
+    return sorted(rows, key=lambda r: (r["_at"], r["doc_id"]))[:SAMPLE] or vectors.limit(1).collect()  # none of many only where all share few ids
+
+
 def centres(vectors: DataFrame, seed: int = 7) -> np.ndarray:
     """Centres of (doc_id, vector), about the square root of their number; without vectors none."""
     n = vectors.count()
-    drawn = vectors.select("vector").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(SAMPLE).collect()  # SAMPLE vectors
-    if not drawn:
+    some = drawn(vectors, n, seed)  # SAMPLE vectors
+    if not some:
         return np.empty((0, 0))
-    x = np.array([r["vector"] for r in drawn], np.float64)
+    x = np.array([r["vector"] for r in some], np.float64)
     k = min(MOST_LISTS, max(1, round(n**0.5)), len(x))
     out = x[:k].copy()
     for _ in range(STEPS):
-        own = (x @ out.T - 0.5 * (out**2).sum(axis=1)).argmax(axis=1)
+        own = _nearest(x, out)
         n_own = np.bincount(own, minlength=k)
         sums = np.zeros_like(out)
         np.add.at(sums, own, x)
@@ -56,8 +70,8 @@ def build(vectors: DataFrame, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     def nearest(column: pd.Series) -> pd.DataFrame:
         c = sent.value
         x = np.array(column.tolist(), np.float64).reshape(-1, c.shape[1])
-        own = (x @ c.T - 0.5 * (c**2).sum(axis=1)).argmax(axis=1) if len(x) else np.empty(0, int)
-        return pd.DataFrame({"list": own.astype(np.int32), "far": np.sqrt(((x - c[own]) ** 2).sum(axis=1)) if len(x) else np.empty(0)})
+        own = _nearest(x, c)
+        return pd.DataFrame({"list": own.astype(np.int32), "far": np.sqrt(((x - c[own]) ** 2).sum(axis=1))})
 
     placed = good.withColumn("_at", nearest("vector")).withColumns({"list": F.col("_at.list"), "_far": F.col("_at.far")}).drop("_at")
     sizes = placed.groupBy("list").agg((F.max("_far") * (1 + 1e-9) + 1e-9).alias("radius"), F.count("*").alias("n"))
@@ -102,7 +116,8 @@ def scored(asked: DataFrame, vectors: DataFrame, k: int, n_queries: int) -> Data
     kinds = dict(asked.dtypes)["query_id"], dict(vectors.dtypes)["doc_id"]
     blocks = asked.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(-(-max(n_queries, 1) // BLOCK)))).groupBy("segment", "list", "_block").agg(F.collect_list("query_id").alias("q"), F.collect_list("vector").alias("qv"))
     parts = vectors.groupBy("segment", "list", "part").agg(F.collect_list("doc_id").alias("d"), F.collect_list(F.col("vector").cast("array<double>")).alias("dv"))
-    both = blocks.join(parts, ["segment", "list"]).select("q", "qv", "d", "dv")
+    # as shuffled bytes a query's vector in many lists is small, as rows it is not: neither side may be broadcast by its size in the shuffle
+    both = blocks.hint("merge").join(parts.hint("merge"), ["segment", "list"]).select("q", "qv", "d", "dv")
 
     def matrix(rows: pa.Scalar) -> np.ndarray:
         flat = rows.values
