@@ -19,7 +19,6 @@ from jobs.common import LOG, config, session
 from lodestone.config import DEFAULTS as SETTINGS
 from lodestone.functions import text as T
 from lodestone.operators import benchmark, evaluation, retrieval
-from lodestone.operators.common import top
 
 DEFAULTS = {
     "reference": "bm25", "baselines": [{"id": "bm25", "k1": 1.2, "b": 0.75}, {"id": "no-length", "k1": 1.2, "b": 0.0}, {"id": "presence", "k1": 0.1, "b": 0.75}], "top_k": 10, "word_classes": [20, 40],
@@ -61,8 +60,7 @@ def run(spark: SparkSession, questions: str, documents: str, out: str, settings:
     texts = spark.read.parquet(documents).select(F.col(own["document_id"]).alias("chunk_id"), F.col(own["document"]).cast("string").alias("body")).filter("chunk_id is not null")
     LOG.info("read %s: %s questions; %s: %s documents; baselines: %s", questions, asked.count(), documents, texts.count(), ", ".join(names))
 
-    scored = retrieval.bm25_sweep(asked.filter("query is not null"), texts, configs, id_col="chunk_id", text_col="body", query_id="case_id")
-    ranks = top(scored, ["config", "query_id"], [F.col("score").desc(), "doc_id"], max(own["top_k"], 10))
+    ranks = retrieval.bm25_sweep_top(asked.filter("query is not null"), texts, configs, max(own["top_k"], 10), id_col="chunk_id", text_col="body", query_id="case_id")
     mine = F.col("baseline").isin(names)
     hits = _written(ranks.select(F.col("query_id").alias("case_id"), F.col("doc_id").alias("chunk_id"), "rank", "score", F.col("config").alias("baseline")), f"{out}/hits").filter(mine)
 

@@ -6,8 +6,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestone.config import DEFAULTS, Settings
 from lodestone.functions import text as T
@@ -86,6 +89,137 @@ def bm25_stored(queries: DataFrame, postings: DataFrame, stats: DataFrame, setti
     return _summed(shown, near(asked.join(_weights(mine, stats), "term")), settings)
 
 
+#: Scores that a task holds at once: documents of a block times queries, and postings of it times queries that ask for their terms.
+BLOCK_SCORES = 1 << 22
+
+
+class _Asked:
+    """What a task needs to score documents: the terms asked for with their idf, which queries ask for each, and each setting's k1 and b. Sent to all tasks; no larger than what may be broadcast."""
+
+    def __init__(self, pairs: list, df: dict[str, int], n: int, mean: float, settings: list[Settings]):
+        self.ids = list(dict.fromkeys(r["query_id"] for r in pairs))
+        at = {q: i for i, q in enumerate(self.ids)}
+        self.terms = sorted({r["term"] for r in pairs} & df.keys())
+        code = {t: i for i, t in enumerate(self.terms)}
+        both = np.array([(code[r["term"]], at[r["query_id"]]) for r in pairs if r["term"] in code], np.int64).reshape(-1, 2)
+        both = both[np.argsort(both[:, 0], kind="stable")]
+        self.asking, self.times = both[:, 1], np.bincount(both[:, 0], minlength=len(self.terms))  # queries of each term, one after the other
+        self.starts = np.cumsum(self.times) - self.times
+        held = np.array([df[t] for t in self.terms], np.float64)
+        self.idf, self.mean, self.settings = np.log(1 + (n - held + 0.5) / (held + 0.5)), mean or 1.0, [(s.bm25_k1, s.bm25_b) for s in settings]
+
+    def blocks(self, doc: np.ndarray, term: np.ndarray, tf: np.ndarray, dl: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:
+        """(first document, one past the last, setting, scores of documents by queries) of postings in the order of their documents, which are numbered from 0; dl is of documents. No score: 0."""
+        n, width = len(dl), max(len(self.ids), 1)
+        work = np.concatenate(([0], np.cumsum(np.bincount(doc, self.times[term], minlength=n) + width)))
+        first = 0
+        while first < n:
+            last = max(first + 1, int(np.searchsorted(work, work[first] + BLOCK_SCORES, side="right")) - 1)
+            a, b = np.searchsorted(doc, (first, last))
+            d, t, f = doc[a:b] - first, term[a:b], tf[a:b]
+            each = self.times[t]
+            at = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(self.starts[t], each)
+            cell = np.repeat(d, each) * width + self.asking[at]
+            for i, (k1, b_) in enumerate(self.settings):
+                impact = self.idf[t] * f * (k1 + 1) / (f + k1 * (1 - b_ + b_ * dl[first:last][d] / self.mean))
+                yield first, last, i, np.bincount(cell, np.repeat(impact, each), minlength=(last - first) * width).reshape(-1, width)
+            first = last
+
+
+class _Best:
+    """The k best documents so far of each query, in one setting; ties go to the smaller id."""
+
+    def __init__(self, k: int, n_queries: int):
+        self.k, self.least = k, np.full(n_queries, -1.0)
+        self.query, self.doc, self.score = np.empty(0, np.int64), None, np.empty(0)
+
+    def add(self, scores: np.ndarray, docs: np.ndarray) -> None:
+        s = np.where(scores > 0, np.floor(scores * 10**DIGITS + 0.5) / 10**DIGITS, -2.0)
+        own = np.partition(s, -self.k, axis=0)[-self.k] if len(s) > self.k else np.full(s.shape[1], -1.0)
+        d, q = np.nonzero(s >= np.maximum(np.maximum(own, self.least), 0.0))
+        if not len(d):
+            return
+        query, score = np.concatenate((self.query, q)), np.concatenate((self.score, s[d, q]))
+        doc = docs[d] if self.doc is None else np.concatenate((self.doc, docs[d]))
+        order = np.lexsort((np.unique(doc, return_inverse=True)[1], -score, query))
+        query, score, doc = query[order], score[order], doc[order]
+        starts = np.searchsorted(query, np.arange(len(self.least)))
+        place = np.arange(len(query)) - starts[query]
+        full = place == self.k - 1
+        self.least[query[full]] = score[full]
+        keep = place < self.k
+        self.query, self.score, self.doc = query[keep], score[keep], doc[keep]
+
+
+def bm25_top(queries: DataFrame, docs: DataFrame, k: int, settings: Settings = DEFAULTS, id_col: str = "doc_id", text_col: str = "text", query_id: str = "query_id", query_text: str = "query", sources: list[str] | None = None) -> DataFrame:
+    """What top_hits(bm25(...), k) gives: (query_id, doc_id, score, rank)."""
+    return bm25_sweep_top(queries, docs, {"": settings}, k, id_col, text_col, query_id, query_text, sources).drop("config")
+
+
+def bm25_sweep_top(queries: DataFrame, docs: DataFrame, configs: dict[str, Settings], k: int, id_col: str = "doc_id", text_col: str = "text", query_id: str = "query_id", query_text: str = "query", sources: list[str] | None = None) -> DataFrame:
+    """(config, query_id, doc_id, score, rank): the k best of bm25_sweep() for each query in each of the settings.
+
+    Every document is scored where it lies, and a task keeps k of them for a query, so that neither postings nor pairs reach a shuffle or a hash table. The documents are read twice: the statistics come first, a row for each term that is asked
+    for. Where the queries are too many to be sent to the tasks, or ids repeat, so that a document lies in several rows, it is a join.
+    """
+    asked, pairs = _asked_pairs(queries, query_id, query_text)
+    kind = dict(docs.dtypes)[id_col]
+    if not pairs or kind not in ("string", "bigint", "int") or docs.groupBy(id_col).count().filter((F.col("count") > 1) | F.col(id_col).isNull()).limit(1).count():
+        every = bm25_sweep(queries, docs, configs, id_col, text_col, query_id, query_text, sources)
+        return top(every, ["config", "query_id"], [F.col("score").desc(), "doc_id"], k)
+    words = T.token_list(text_col)
+    terms = F.broadcast(docs.sparkSession.createDataFrame([(t,) for t in {"", *(r["term"] for r in pairs)}], "term string"))  # what _asked_pairs() measured
+    # no token is empty: a row for each document, which counts them; outer, since else a filter is inferred that splits texts once more
+    rows = docs.select(words.alias("w")).select(F.size("w").cast("long").alias("dl"), F.explode_outer(F.array_distinct(F.concat("w", F.array(F.lit(""))))).alias("term"))
+    counted = rows.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("dl")).collect()
+    df = {r["term"]: r["df"] for r in counted}
+    n = df.pop("", 0)
+    own = _Asked(pairs, df, n, sum(r["dl"] for r in counted if r["term"] == "") / max(n, 1), list(configs.values()))
+    sent = docs.sparkSession.sparkContext.broadcast(own)
+    shown = docs.filter(F.coalesce(F.col("source").isin(sources), F.lit(False))) if sources else docs
+
+    def found(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
+        known, best = pa.array(own.terms, pa.string()), [_Best(k, len(own.ids)) for _ in own.settings]
+        for batch in it:
+            dl = pc.fill_null(pc.list_value_length(batch["w"]), 0).to_numpy().astype(np.int64)
+            code = pc.fill_null(pc.index_in(batch["w"].flatten().cast(pa.string()), value_set=known), -1).to_numpy()
+            doc = np.repeat(np.arange(len(dl)), dl)[code >= 0]
+            key, tf = np.unique(doc * len(own.terms) + code[code >= 0], return_counts=True)
+            ids = batch["doc_id"].to_numpy(zero_copy_only=False)
+            for first, last, i, scores in own.blocks(key // max(len(own.terms), 1), key % max(len(own.terms), 1), tf, dl):
+                best[i].add(scores, ids[first:last])
+        yield from _kept(best, own.ids, schema)
+
+    out, schema = _schemas(asked, kind)
+    hits = shown.select(F.col(id_col).alias("doc_id"), words.alias("w")).mapInArrow(found, out)
+    return _named(hits, configs, k)
+
+
+def _asked_pairs(queries: DataFrame, query_id: str, query_text: str) -> tuple[DataFrame, list]:
+    """(query_id, term) as in _asked(), and its rows if they are few enough to be sent to the tasks, else none."""
+    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(T.token_list(query_text))).alias("term"))
+    return asked, asked.collect() if fits(asked) else []
+
+
+def _schemas(asked: DataFrame, kind: str) -> tuple[str, pa.Schema]:
+    query = asked.schema["query_id"].dataType
+    doc = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[kind]
+    return f"_at int, query_id {query.simpleString()}, doc_id {kind}, score double", pa.schema([("_at", pa.int32()), ("query_id", to_arrow_type(query)), ("doc_id", doc), ("score", pa.float64())])
+
+
+def _kept(best: list[_Best], ids: list, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    for i, b in enumerate(best):
+        if len(b.query):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b.query), i, np.int32)), pa.array([ids[q] for q in b.query], schema.field("query_id").type), pa.array(b.doc, schema.field("doc_id").type), pa.array(b.score)], schema=schema)
+
+
+def _named(hits: DataFrame, configs: dict[str, Settings], k: int) -> DataFrame:
+    """Ranks over what the tasks kept."""
+    names = F.element_at(F.array(*map(F.lit, configs)), F.col("_at") + 1).alias("config")
+    return top(hits.select(names, "query_id", "doc_id", "score"), ["config", "query_id"], [F.col("score").desc(), "doc_id"], k)
+
+
 def top_hits(scored: DataFrame, k: int) -> DataFrame:
     """The k best for each query; ties go to the smaller id."""
     return top(scored, ["query_id"], [F.col("score").desc(), "doc_id"], k)

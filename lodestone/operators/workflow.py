@@ -93,7 +93,7 @@ def lexical_search(chunks: DataFrame, settings: Settings = DEFAULTS, id_col: str
 
     def search(asked: DataFrame) -> DataFrame:
         keyed = asked.withColumn("key", F.concat_ws("/", F.col("query_id").cast("string"), F.col("list_no").cast("string")))
-        hits = retrieval.top_hits(retrieval.bm25(keyed, chunks, settings, id_col=id_col, query_id="key"), settings.top_k_fused)
+        hits = retrieval.bm25_top(keyed, chunks, settings.top_k_fused, settings, id_col=id_col, query_id="key")
         named = hits.withColumnRenamed("query_id", "key").join(keyed.select("key", "query"), "key").join(chunks.select(F.col(id_col).alias("doc_id"), "text"), "doc_id")
         scored = named.select(F.col("key").alias("query_id"), "doc_id", "rank", retrieval.coverage(F.col("query"), F.col("text")).alias("rerank_score"))
         best = retrieval.rerank(scored, settings, settings.top_k_fused).withColumnRenamed("query_id", "key").join(keyed.select("key", "query_id", "list_no"), "key")
