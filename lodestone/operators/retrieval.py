@@ -86,7 +86,8 @@ def bm25_stored(queries: DataFrame, postings: DataFrame, stats: DataFrame, setti
     asked, near = _asked(queries, query_id, query_text)
     mine = postings.join(near(asked.select("term").distinct()), "term", "left_semi")
     shown = mine.filter(F.col("source").isin(sources)) if sources else mine
-    return _summed(shown, near(asked.join(_weights(mine, stats), "term")), settings)
+    # an index lies by term, so sums where it lies would leave nearly a row for each posting and query to shuffle; brought together by document first, only postings are shuffled
+    return _summed(shown.repartition("doc_id"), near(asked.join(_weights(mine, stats), "term")), settings)
 
 
 #: Scores that a task holds at once: documents of a block times queries, and postings of it times queries that ask for their terms.
