@@ -1,21 +1,23 @@
 """Token-budgeted chunks: sentences of long blocks are grouped, units packed greedily with overlap, table rows become chunks of their own.
 
-The packing of a document depends on all that came before, so it is an ordered fold in Python; the document is the group, and where it is one row already nothing is
+The packing of a document depends on all that came before, so it is an ordered fold in Python, which holds the chunk it is at, not the document; where that is one row already nothing is
 shuffled.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain, groupby
+from itertools import count as counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.config import DEFAULTS, Settings
-from lodestone.operators.ingest import block_dicts, clean
+from lodestone.operators.ingest import clean, folded
 
 CHUNKS = (
     "chunk_id string, doc_id string, chunk_index int, section string, page_start int, page_end int, text string, n_tokens int, chunk_type string, "
@@ -75,6 +77,27 @@ def pack(units: list[Unit], size: int, overlap: int) -> list[tuple[int, int]]:
     return [*spans, (first, len(units) - 1)] if units else spans
 
 
+def packed(units: Iterable[Unit], size: int, overlap: int) -> Iterator[list[Unit]]:
+    """The units of each of the chunks that pack() gives; only those of one are held."""
+    own: list[Unit] = []
+    total = 0
+    for unit in units:
+        if own and unit.section != own[-1].section:
+            yield own
+            own, total = [], 0
+        elif own and total + unit.tokens > size:
+            yield own
+            first, total = len(own), 0
+            while first > 0 and total + own[first - 1].tokens <= overlap:
+                first -= 1
+                total += own[first].tokens
+            own = own[first:]
+        own.append(unit)
+        total += unit.tokens
+    if own:
+        yield own
+
+
 def _lines(*parts: str) -> str:
     return "\n".join(parts)
 
@@ -139,41 +162,40 @@ def table_texts(block: dict, most: int, count: Count = words) -> list[tuple[str,
     return [(_lines(*head), 0, {})] if head else []
 
 
-def document_chunks(doc_id: str, blocks: list[dict], settings: Settings = DEFAULTS, count: Count = words) -> list[dict]:
-    """The chunks of a document's blocks in order."""
-    out: list[dict] = []
-    held: list[Unit] = []
+def chunks_of(doc_id: str, blocks: Iterable[dict], settings: Settings = DEFAULTS, count: Count = words) -> Iterator[dict]:
+    """The chunks of a document's blocks in order, as the blocks come."""
+    places = counter()
 
-    def add(text: str, kind: str, section: str, first: int, last: int, block: dict | None = None, number: int = 0, row: dict | None = None) -> None:
-        out.append({
-            "chunk_id": f"{doc_id}-{len(out):05d}", "doc_id": doc_id, "chunk_index": len(out), "section": section, "page_start": first, "page_end": last, "text": text, "n_tokens": count(text), "chunk_type": kind,
+    def chunk(text: str, kind: str, section: str, first: int, last: int, block: dict | None = None, number: int = 0, row: dict | None = None) -> dict:
+        at = next(places)
+        return {
+            "chunk_id": f"{doc_id}-{at:05d}", "doc_id": doc_id, "chunk_index": at, "section": section, "page_start": first, "page_end": last, "text": text, "n_tokens": count(text), "chunk_type": kind,
             "table_caption": block["caption"] if block else "", "table_headers": list(block["table_headers"]) if block else [], "table_rows": [dict(row)] if row else [], "table_row_start": number, "table_row_end": number,
-        })
-
-    def prose() -> None:
-        for a, b in pack(held, settings.chunk_size, settings.chunk_overlap):
-            own = held[a : b + 1]
-            add("\n\n".join(u.text for u in own), "paragraph", own[0].section, min(u.first_page for u in own), max(u.last_page for u in own))
-        held.clear()
-
-    for block in blocks:
-        if block["block_type"] == "table":
-            prose()
-            for text, number, row in table_texts(block, settings.chunk_size, count):
-                add(text, "table", block["section"], block["page_start"], block["page_end"], block, number, row)
+        }
+
+    for is_table, run in groupby(blocks, key=lambda block: block["block_type"] == "table"):
+        if is_table:
+            for block in run:
+                for text, number, row in table_texts(block, settings.chunk_size, count):
+                    yield chunk(text, "table", block["section"], block["page_start"], block["page_end"], block, number, row)
         else:
-            held += [Unit(t, n, block["section"], block["page_start"], block["page_end"]) for t, n in text_units(block["text"], settings.chunk_size, count)]
-    prose()
-    return out
+            units = (Unit(t, n, block["section"], block["page_start"], block["page_end"]) for block in run for t, n in text_units(block["text"], settings.chunk_size, count))
+            for own in packed(units, settings.chunk_size, settings.chunk_overlap):
+                yield chunk("\n\n".join(u.text for u in own), "paragraph", own[0].section, min(u.first_page for u in own), max(u.last_page for u in own))
+
+
+def document_chunks(doc_id: str, blocks: list[dict], settings: Settings = DEFAULTS, count: Count = words) -> list[dict]:
+    return list(chunks_of(doc_id, blocks, settings, count))
 
 
 def chunk_blocks(blocks: DataFrame, settings: Settings = DEFAULTS, count: Count = words) -> DataFrame:
-    """Chunks of blocks, document by document."""
+    """Chunks of blocks, document by document; a fold over each document's blocks as they come."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(document_chunks(str(pdf["doc_id"].iloc[0]), block_dicts(pdf), settings, count), columns=[c.split()[0] for c in CHUNKS.split(", ")])
+    def fold(own: Iterator[dict]) -> Iterator[dict]:
+        first = next(own)
+        return chunks_of(str(first["doc_id"]), chain([first], own), settings, count)
 
-    return blocks.groupBy("doc_id").applyInPandas(fold, CHUNKS)
+    return folded(blocks, fold, CHUNKS)
 
 
 def split_units(blocks: DataFrame, most: int, count: Count = words, by: tuple[str, ...] = ("doc_id", "seq")) -> DataFrame:
