@@ -92,6 +92,8 @@ def bm25_stored(queries: DataFrame, postings: DataFrame, stats: DataFrame, setti
 
 #: Scores that a task holds at once: documents of a block times queries, and postings of it times queries that ask for their terms.
 BLOCK_SCORES = 1 << 22
+#: Documents of an Arrow batch whose words a task looks up at once.
+BLOCK_DOCS = 1000
 
 
 class _Asked:
@@ -178,11 +180,12 @@ def bm25_sweep_top(queries: DataFrame, docs: DataFrame, configs: dict[str, Setti
     own = _Asked(pairs, df, n, sum(r["dl"] for r in counted if r["term"] == "") / max(n, 1), list(configs.values()))
     sent = docs.sparkSession.sparkContext.broadcast(own)
     shown = docs.filter(F.coalesce(F.col("source").isin(sources), F.lit(False))) if sources else docs
+    size = BLOCK_DOCS
 
     def found(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         known, best = pa.array(own.terms, pa.string()), [_Best(k, len(own.ids)) for _ in own.settings]
-        for batch in it:
+        for batch in (whole.slice(at, size) for whole in it for at in range(0, whole.num_rows, size)):
             dl = pc.fill_null(pc.list_value_length(batch["w"]), 0).to_numpy().astype(np.int64)
             code = pc.fill_null(pc.index_in(batch["w"].flatten().cast(pa.string()), value_set=known), -1).to_numpy()
             doc = np.repeat(np.arange(len(dl)), dl)[code >= 0]

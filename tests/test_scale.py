@@ -127,3 +127,31 @@ def test_what_is_broadcast_is_measured_in_rows_and_bytes(spark):
 
     rows = spark.range(10).select("id", F.repeat(F.lit("x"), 1000).alias("t.x"), F.array(F.lit(None).cast("string")).alias("a"))
     assert fits(rows, 10) and not fits(rows, 9) and fits(rows, 10, 12_000) and not fits(rows, 10, 9_000) and fits(rows.limit(0), 0, 0)
+
+
+# --- scores of documents ---
+
+
+@pytest.mark.parametrize("name", ["citation_scores"])
+def test_pairs_are_not_summed(spark, monkeypatch, name):
+    """A sum for each pair of a question and a document that share a term: rows, shuffle and memory of a task grew with postings times questions."""
+    from lodestone.operators import retrieval
+    from lodestone.plans.catalog import QUERIES
+
+    def never(*_, **__):
+        raise AssertionError("pairs are summed")
+
+    for f in ("bm25", "bm25_sweep", "_summed"):
+        monkeypatch.setattr(retrieval, f, never)
+    assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_documents_of_a_batch_are_looked_up_in_parts(spark, monkeypatch):
+    """Words of all documents of a batch, up to 10,000, were looked up at once."""
+    from lodestone.operators import retrieval
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 11}" for j in range(i % 7))) for i in range(60)] + [(99, None)], "doc_id long, text string").coalesce(1)
+    asked = spark.createDataFrame([(q, f"w{q} w{q + 3}") for q in range(6)], "query_id int, query string")
+    want = sorted(map(tuple, retrieval.top_hits(retrieval.bm25(asked, docs), 4).collect()))
+    monkeypatch.setattr(retrieval, "BLOCK_DOCS", 7)
+    assert sorted(map(tuple, retrieval.bm25_top(asked, docs, 4).collect())) == want
