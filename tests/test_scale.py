@@ -132,7 +132,7 @@ def test_what_is_broadcast_is_measured_in_rows_and_bytes(spark):
 # --- scores of documents ---
 
 
-@pytest.mark.parametrize("name", ["citation_scores", "rerank_threshold_topk", "source_precision", "fusion_with_exclusion", "metrics_grouping_sets"])
+@pytest.mark.parametrize("name", ["citation_scores", "rerank_threshold_topk", "source_precision", "fusion_with_exclusion", "metrics_grouping_sets", "hit_at_k"])
 def test_pairs_are_not_summed(spark, monkeypatch, name):
     """A sum for each pair of a question and a document that share a term: rows, shuffle and memory of a task grew with postings times questions."""
     from lodestone.operators import retrieval
