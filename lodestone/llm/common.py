@@ -91,6 +91,22 @@ def with_key(df: DataFrame, id_col: str) -> tuple[DataFrame, str]:
     return df.withColumn(key, F.col(id_col).cast("long")), key
 
 
+#: Bits of a filter that is broadcast, at most: a million words of 64.
+FILTER_BITS = 1 << 26
+
+
+def among(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """The rows whose column has a value that keys (a written table) has too, and few others: for use before an exact join, so that most rows that find nothing there are not shuffled.
+
+    A bit for each key's hash is broadcast, 8 to 16 bits a key and FILTER_BITS at most; with more keys than that more rows stay, and none is lost.
+    """
+    bits = min(FILTER_BITS, 1 << max(6, (8 * keys.count()).bit_length()))
+    at = F.pmod(F.xxhash64(column), F.lit(bits))
+    bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{column}`), {bits}L) % 64 as int))")
+    words = keys.select(F.shiftright(at, 6).alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    return rows.withColumns({"_word": F.shiftright(at, 6), "_bit": bit}).join(F.broadcast(words), "_word").filter(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).select(*rows.columns)
+
+
 def one_row_per_id(df: DataFrame, key: str, value: str) -> DataFrame:
     """Rows that share a key become one, which has their largest value (null is the smallest); costs a shuffle only if keys repeat."""
     repeats = df.groupBy(key).count().filter("count > 1").limit(1).count()

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Rolling, Words, batches, cut_text, long_text, mapped, mixed, signed, stretches, table, with_key, written
+from lodestone.llm.common import Rolling, Words, among, batches, cut_text, dropped, long_text, mapped, mixed, signed, stretches, table, with_key, written
 
 WINDOW = 35
 _FIRST, _SECOND = Rolling(0xD6E8FEB86659FD93), Rolling(0xA0761D6478BD642F)
@@ -148,10 +148,11 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame,
     marked = written(long_enough.select("key", "h1", "h2").join(copies, ["h1", "h2"]).select("key", (F.col("key") != F.col("keeper")).alias("later")), "copies")
     single = long_enough.join(marked.filter("later").select("key"), "key", "left_anti")
     seeds = single.select("key", F.explode(F.arrays_zip("seeds", "places", "rights", "lefts")).alias("x")).select("key", F.col("x.seeds").alias("h"), F.col("x.places").alias("place"), F.col("x.rights").alias("r"), F.col("x.lefts").alias("l"))
-    level1 = _repeated(seeds, "h")
+    level1 = written(_repeated(seeds, "h").drop("h"), "level1")  # read twice; else all picks are shuffled twice
     sides = level1.select("key", "place", F.explode(F.array(F.struct(F.lit(True).alias("right"), F.col("r").alias("h")), F.struct(F.lit(False).alias("right"), F.col("l").alias("h")))).alias("x")).select("key", "place", "x.right", "x.h").filter("h != 0")
-    level2 = _repeated(sides, "h").groupBy("key").agg(F.collect_set(F.when(F.col("right"), F.col("place")).otherwise(-1 - F.col("place"))).alias("picks"))
-    held = written(docs.select("key", "text").join(level2, "key"), "held")
+    level2 = written(_repeated(sides, "h").groupBy("key").agg(F.collect_set(F.when(F.col("right"), F.col("place")).otherwise(-1 - F.col("place"))).alias("picks")), "level2")
+    held = written(among(docs.select("key", "text"), level2, "key").join(level2, "key"), "held")  # most texts have no pick left, and are not shuffled
+    dropped(level1, level2)
 
     def full(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it, "text"):

@@ -18,7 +18,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestone.llm import bpe, graph, html, language, licenses, minhash, packing, quality, queries, search, substrings, vectors
+from lodestone.llm import bpe, common, graph, html, language, licenses, minhash, packing, quality, queries, search, substrings, vectors
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -380,6 +380,38 @@ def test_repeats_within_one_document(spark):
     assert {i: (r["n_words"], r["n_removed"], r["kept_sha256"]) for i, r in got.items()} == {i: w[:3] for i, w in removed_slowly(rows, 4).items()}
 
 
+def test_texts_and_picks_without_repeats_are_not_shuffled_again(spark, monkeypatch):
+    """All texts were shuffled to meet the few that have repeats, and all picks for each of two levels."""
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(60))) for i in range(400)]
+    rows[7] = (7, "other " + rows[3][1])
+    plans, texts = [], []
+
+    def noted(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return common.written(df, name)
+
+    def counted(df, keys, column):
+        texts.append(sorted(r[column] for r in common.among(df, keys, column).collect()))
+        return common.among(df, keys, column)
+
+    monkeypatch.setattr(substrings, "written", noted)
+    monkeypatch.setattr(substrings, "among", counted, raising=False)
+    got = by_id(substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {i: (r["n_words"], r["n_removed"], r["kept_sha256"]) for i, r in got.items()} == {i: w[:3] for i, w in removed_slowly(rows, 35).items()}
+    assert len(texts) == 1 and {3, 7} <= set(texts[0]) and len(texts[0]) < 150
+    assert sum("seeds" in p for name, p in plans if name != "windows") == 2 and "bit_or" in dict(plans)["held"]
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 26])
+def test_no_row_is_lost_among_keys(spark, monkeypatch, bits):
+    monkeypatch.setattr(common, "FILTER_BITS", bits)
+    keys = spark.range(-300, 300, 6).withColumnRenamed("id", "k")
+    rows = spark.createDataFrame([(i, str(i)) for i in range(-500, 500)] + [(None, "x")], "k long, t string")
+    got = {r["k"] for r in common.among(rows, keys, "k").collect()} - {None}
+    assert set(range(-300, 300, 6)) <= got and len(got) < (1000 if bits == 64 else 330)
+    assert common.among(rows, keys.limit(0), "k").count() == 0 and common.among(rows, keys, "k").columns == ["k", "t"]
+
+
 # --- pages ---
 
 def test_copies_of_vectors_do_not_fill_the_window(spark):
