@@ -60,11 +60,14 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: short lineage that outlives any executor."""
+def written(df: DataFrame, name: str, group_rows: int | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again: short lineage that outlives any executor.
+
+    group_rows: rows of a row group, at most. Writers look at the size of one only after 100 rows, and they and readers hold a whole one, so rows of megabytes need it.
+    """
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**({"parquet.block.row.count.limit": group_rows} if group_rows else {})).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lodestone_path = path
     _paths(spark).append(path)

@@ -25,6 +25,8 @@ from lodestone.llm.common import NO_LETTERS, Words, batches, long_text, mapped,
 K1, B, TOP = 1.2, 0.75, 10
 #: Text bytes of a shard; documents of a range; distinct terms of the queries that are searched together, which bounds what is broadcast.
 SHARD_BYTES, RANGE, QUERY_TERMS = 4 << 20, 64, 200_000
+#: Shards of a row group of a written index.
+GROUP = 2
 _DIGITS = 6
 _COLUMNS = (("ids", "<i8"), ("lengths", "<u4"), ("terms", "<u8"), ("first", "<u4"), ("docs", "<u4"), ("counts", "<u4"), ("blocks", "<u4"), ("block", "<u4"), ("block_first", "<u4"), ("most", "<u4"), ("shortest", "<u4"))
 _INDEX = "shard long, n long, total long, " + ", ".join(f"{c} binary" for c, _ in _COLUMNS)
@@ -93,6 +95,11 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return mapped(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null"), build, _INDEX)
 
 
+def stored(index: DataFrame) -> DataFrame:
+    """A build_index() written down, as a search reads it. A task that writes or reads it holds GROUP shards, however many a file has."""
+    return written(index, "index", GROUP)
+
+
 def _loaded(batch: pa.RecordBatch, i: int, columns: tuple[str, ...]) -> dict[str, np.ndarray]:
     kinds = dict(_COLUMNS)
     return {c: np.frombuffer(batch[c][i].as_buffer(), kinds[c]) for c in columns}
@@ -163,7 +170,7 @@ def _best(x: dict[str, np.ndarray], terms: np.ndarray, idf: np.ndarray, mean: fl
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = TOP, k1: float = K1, b: float = B, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(query_id, rank, doc_id, score) of the k best documents with a score over 0 for each query; index: a written build_index().
+    """(query_id, rank, doc_id, score) of the k best documents with a score over 0 for each query; index: a stored() build_index().
 
     score is rounded to six places; equal ones go by the smaller doc_id. Rows of queries that share an id are searched as one, with all their distinct words; those with a null id or no words have
     no result; nor has any over an empty index. Rows of the index that share a doc_id are documents of their own. Queries of any length are taken whole, in blocks of bounded size, each
@@ -247,13 +254,13 @@ def _search_block(index: DataFrame, block: list[tuple[int, np.ndarray]], n: int,
 
 def op2_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of benchmark as a query, against every row of documents."""
-    return search(written(build_index(table(spark, sf_dir, "documents")), "index"), table(spark, sf_dir, "benchmark"))
+    return search(stored(build_index(table(spark, sf_dir, "documents"))), table(spark, sf_dir, "benchmark"))
 
 
 def op2_bm25_corpus_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of documents whose doc_id is divisible by 50 as a query with its whole text, against every row of documents, itself among them."""
     docs = table(spark, sf_dir, "documents")
-    return search(written(build_index(docs), "index"), docs.filter("doc_id % 50 = 0"), id_col="doc_id")
+    return search(stored(build_index(docs)), docs.filter("doc_id % 50 = 0"), id_col="doc_id")
 
 
 ORACLE = rf"""

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import batches, mapped, runs, signed, table, written
-from lodestone.llm.search import QUERY_TERMS, TOP, _loaded, _postings, build_index
+from lodestone.llm.search import QUERY_TERMS, TOP, _loaded, _postings, build_index, stored
 
 #: What is read of an index.
 INDEX = ("ids", "lengths", "terms", "first", "docs", "counts")
@@ -89,7 +89,7 @@ def _impacts(x: dict[str, np.ndarray], asked: np.ndarray, n: int, total: int) ->
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = TOP, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(query_id, rank, doc_id, score) of the k documents with the highest scores over 0 for each query, equal scores by the smaller doc_id; index: a written build_index(), of which INDEX is read.
+    """(query_id, rank, doc_id, score) of the k documents with the highest scores over 0 for each query, equal scores by the smaller doc_id; index: a stored() build_index(), of which INDEX is read.
 
     Rows of queries that share an id are one query with the terms of all; those with a null id, a null or empty text or no terms have no result, nor has any over an empty index. Rows of the index that
     share a doc_id are documents of their own, rows without one are not indexed; documents without terms count nowhere. Queries of any length are taken whole, in blocks of about QUERY_TERMS different terms,
@@ -171,7 +171,7 @@ def _search_block(index: DataFrame, block: list[tuple[int, np.ndarray, list[int]
 
 def op11_wand_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents of all rows of documents for every row of benchmark: item_id, rank, doc_id, score."""
-    index = written(build_index(table(spark, sf_dir, "documents")).select(*INDEX), "index")
+    index = stored(build_index(table(spark, sf_dir, "documents")).select(*INDEX))
     return search(index, table(spark, sf_dir, "benchmark")).withColumnRenamed("query_id", "item_id")
 
 
