@@ -31,7 +31,7 @@ def stored_search(store: Segments, settings: Settings = DEFAULTS, sources: list[
         if encoder:
             hits = store.hybrid(models.encode(keyed.select(F.col("key").alias("query_id"), "query"), encoder, "query"), settings, sources)
         else:
-            hits = retrieval.top_hits(store.search(keyed, sources, settings=settings, query_id="key"), settings.top_k_fused)
+            hits = store.top(keyed, settings.top_k_fused, settings, sources, query_id="key")
         texts = store.documents().select(F.col("chunk_id").alias("doc_id"), "text")
         pairs = hits.select(F.col("query_id").alias("key"), "doc_id", "rank").join(keyed.select("key", "query"), "key").join(texts, "doc_id")
         scored = models.score(pairs, reranker) if reranker else pairs.withColumn("rerank_score", retrieval.coverage(F.col("query"), F.col("text")))

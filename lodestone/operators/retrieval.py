@@ -90,6 +90,105 @@ def bm25_stored(queries: DataFrame, postings: DataFrame, stats: DataFrame, setti
     return _summed(shown.repartition("doc_id"), near(asked.join(_weights(mine, stats), "term")), settings)
 
 
+#: Postings of a stored index that a task gathers, at least, before it hands on their lists; rows of these lists that leave it at once.
+LISTED, LIST_ROWS = 1 << 20, 10_000
+#: The columns of such lists.
+LISTS = ("doc_id", "tf", "dl", "source")
+
+
+def listed(docs: DataFrame) -> DataFrame:
+    """An inverted index of documents (doc_id, w: their tokens or null, source), made where they lie, so that no posting is shuffled: (term, doc_id, tf, dl, source), of which all but term are lists that belong together. A task
+    gives lists for each run of documents with LISTED postings or a little more, and in a run terms ascend."""
+    kind = dict(docs.dtypes)["doc_id"]
+    values = {"doc_id": to_arrow_type(docs.schema["doc_id"].dataType), "tf": pa.int32(), "dl": pa.int32(), "source": pa.string()}
+
+    def made(ids: list, sources: list, lengths: list, terms: list, doc: list, code: list, tf: list) -> Iterator[pa.RecordBatch]:
+        words = pa.concat_arrays(terms).dictionary_encode()
+        order = pc.sort_indices(words.dictionary)
+        place = np.empty(len(order), np.int64)
+        place[order.to_numpy()] = np.arange(len(order))
+        place = place[words.indices.to_numpy()]  # of each batch's terms, one batch after the other
+        term = place[np.concatenate([c + at for c, at in zip(code, np.cumsum([0, *map(len, terms)]), strict=False)])]
+        by = np.argsort(term, kind="stable")
+        at = np.concatenate([d + n for d, n in zip(doc, np.cumsum([0, *map(len, lengths)]), strict=False)])[by]
+        starts = pa.array(np.concatenate(([0], np.cumsum(np.bincount(term, minlength=len(order))))), pa.int32())
+        columns = (pa.concat_arrays(ids).take(pa.array(at)), pa.array(np.concatenate(tf)[by], pa.int32()), pa.array(np.concatenate(lengths)[at], pa.int32()), pa.concat_arrays(sources).take(pa.array(at)))
+        every = pa.RecordBatch.from_arrays([words.dictionary.take(order), *(pa.ListArray.from_arrays(starts, c.cast(k)) for c, k in zip(columns, values.values(), strict=True))], ["term", *values])
+        for first in range(0, every.num_rows, LIST_ROWS):
+            yield every.slice(first, LIST_ROWS)
+
+    def build(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        n = 0
+        for batch in (whole.slice(at, BLOCK_DOCS) for whole in it for at in range(0, whole.num_rows, BLOCK_DOCS)):
+            dl = pc.fill_null(pc.list_value_length(batch["w"]), 0).to_numpy().astype(np.int64)
+            words = batch["w"].flatten().cast(pa.string()).dictionary_encode()
+            if len(words):
+                key, tf = np.unique(np.repeat(np.arange(len(dl)), dl) * len(words.dictionary) + words.indices.to_numpy(), return_counts=True)
+                held.append((batch["doc_id"], batch["source"].cast(pa.string()), dl, words.dictionary, key // len(words.dictionary), key % len(words.dictionary), tf))
+                n += len(key)
+            if n >= LISTED:
+                yield from made(*map(list, zip(*held, strict=True)))
+                held, n = [], 0
+        if held:
+            yield from made(*map(list, zip(*held, strict=True)))
+
+    return docs.select("doc_id", "w", "source").mapInArrow(build, f"term string, doc_id array<{kind}>, tf array<int>, dl array<int>, source array<string>")
+
+
+def unlisted(lists: DataFrame) -> DataFrame:
+    """(doc_id, term, tf, dl, source, ...): the postings of listed()."""
+    others = [c for c in lists.columns if c not in LISTS]
+    return lists.select(*others, F.inline(F.arrays_zip(*LISTS))).withColumns({"tf": F.col("tf").cast("long"), "dl": F.col("dl").cast("long")})
+
+
+def by_document(lists: DataFrame) -> DataFrame:
+    """(doc_id, segment, dl, source, p): a row for each document of listed() with a segment and code, a number, in place of term; p: code * 2**32 + tf of each of its terms. Lists are turned around where they lie, and only what a task
+    has of a document is shuffled, as one row."""
+    doc = lists.schema["doc_id"].dataType.elementType
+    names, kinds = ["doc_id", "segment", "dl", "source", "p"], [to_arrow_type(doc), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int64())]
+
+    def turned(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            size = pc.fill_null(pc.list_value_length(batch["doc_id"]), 0).to_numpy().astype(np.int64)
+            if not size.sum():
+                continue
+            ids, segments = batch["doc_id"].flatten().dictionary_encode(), batch["segment"].dictionary_encode()
+            key = ids.indices.to_numpy().astype(np.int64) * len(segments.dictionary) + np.repeat(segments.indices.to_numpy(), size)
+            p = (np.repeat(batch["code"].to_numpy().astype(np.int64), size) << 32) + batch["tf"].flatten().to_numpy()
+            found, first, times = np.unique(key, return_index=True, return_counts=True)
+            starts, at = pa.array(np.concatenate(([0], np.cumsum(times))), pa.int32()), pa.array(first)
+            columns = (ids.dictionary.take(pa.array(found // len(segments.dictionary))), segments.dictionary.take(pa.array(found % len(segments.dictionary))), batch["dl"].flatten().take(at), batch["source"].flatten().take(at), pa.ListArray.from_arrays(starts, pa.array(p[np.argsort(key, kind="stable")])))
+            every = pa.RecordBatch.from_arrays([c.cast(k) for c, k in zip(columns, kinds, strict=True)], names)
+            for n in range(0, every.num_rows, BLOCK_DOCS):
+                yield every.slice(n, BLOCK_DOCS)
+
+    rows = lists.select("segment", "code", *LISTS).mapInArrow(turned, f"doc_id {doc.simpleString()}, segment int, dl int, source string, p array<bigint>")
+    return rows.groupBy("doc_id", "segment").agg(F.first("dl").alias("dl"), F.first("source").alias("source"), F.flatten(F.collect_list("p")).alias("p"))
+
+
+def by_document_top(docs: DataFrame, asked: DataFrame, pairs: list, terms: list[str], n: int, mean: float, k: int, settings: Settings = DEFAULTS, sources: list[str] | None = None) -> DataFrame:
+    """(query_id, doc_id, score, rank): the k best of bm25_stored() for each query, from a written by_document(), whose codes are places in terms; each is scored where it lies, and a task keeps k of them for a query. pairs: asked, (query_id, term)."""
+    counted = docs.select(F.explode("p").alias("p")).groupBy(F.shiftright("p", 32).alias("code")).count().collect()  # a row for each asked term
+    own = _Asked(pairs, {terms[r["code"]]: r["count"] for r in counted}, n, mean, [settings])
+    at = {t: i for i, t in enumerate(own.terms)}
+    sent = docs.sparkSession.sparkContext.broadcast((own, np.array([at.get(t, -1) for t in terms], np.int64)))
+
+    def found(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, place = sent.value
+        best = _Best(k, len(own.ids))
+        for batch in (whole.slice(first, BLOCK_DOCS) for whole in it for first in range(0, whole.num_rows, BLOCK_DOCS)):
+            size = pc.list_value_length(batch["p"]).to_numpy().astype(np.int64)
+            p, ids = batch["p"].flatten().to_numpy(), batch["doc_id"].to_numpy(zero_copy_only=False)
+            for first, last, _, scores in own.blocks(np.repeat(np.arange(len(size)), size), place[p >> 32], p & 0xFFFFFFFF, batch["dl"].to_numpy().astype(np.int64)):
+                best.add(scores, ids[first:last])
+        yield from _kept([best], own.ids, schema)
+
+    out, schema = _schemas(asked, dict(docs.dtypes)["doc_id"])
+    shown = docs.filter(F.col("source").isin(sources)) if sources else docs
+    return _named(shown.select("doc_id", "dl", "p").mapInArrow(found, out), {"": settings}, k).drop("config")
+
+
 #: Scores that a task holds at once: documents of a block times queries, and postings of it times queries that ask for their terms.
 BLOCK_SCORES = 1 << 22
 #: Documents of an Arrow batch whose words a task looks up at once.
@@ -165,13 +264,13 @@ def bm25_sweep_top(queries: DataFrame, docs: DataFrame, configs: dict[str, Setti
     Every document is scored where it lies, and a task keeps k of them for a query, so that neither postings nor pairs reach a shuffle or a hash table. The documents are read twice: the statistics come first, a row for each term that is asked
     for. Where the queries are too many to be sent to the tasks, or ids repeat, so that a document lies in several rows, it is a join.
     """
-    asked, pairs = _asked_pairs(queries, query_id, query_text)
+    asked, pairs = asked_pairs(queries, query_id, query_text)
     kind = dict(docs.dtypes)[id_col]
     if not pairs or kind not in ("string", "bigint", "int") or docs.groupBy(id_col).count().filter((F.col("count") > 1) | F.col(id_col).isNull()).limit(1).count():
         every = bm25_sweep(queries, docs, configs, id_col, text_col, query_id, query_text, sources)
         return top(every, ["config", "query_id"], [F.col("score").desc(), "doc_id"], k)
     words = T.token_list(text_col)
-    terms = F.broadcast(docs.sparkSession.createDataFrame([(t,) for t in {"", *(r["term"] for r in pairs)}], "term string"))  # what _asked_pairs() measured
+    terms = F.broadcast(docs.sparkSession.createDataFrame([(t,) for t in {"", *(r["term"] for r in pairs)}], "term string"))  # what asked_pairs() measured
     # no token is empty: a row for each document, which counts them; outer, since else a filter is inferred that splits texts once more
     rows = docs.select(words.alias("w")).select(F.size("w").cast("long").alias("dl"), F.explode_outer(F.array_distinct(F.concat("w", F.array(F.lit(""))))).alias("term"))
     counted = rows.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("dl")).collect()
@@ -200,7 +299,7 @@ def bm25_sweep_top(queries: DataFrame, docs: DataFrame, configs: dict[str, Setti
     return _named(hits, configs, k)
 
 
-def _asked_pairs(queries: DataFrame, query_id: str, query_text: str) -> tuple[DataFrame, list]:
+def asked_pairs(queries: DataFrame, query_id: str, query_text: str) -> tuple[DataFrame, list]:
     """(query_id, term) as in _asked(), and its rows if they are few enough to be sent to the tasks, else none."""
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(T.token_list(query_text))).alias("term"))
     return asked, asked.collect() if fits(asked) else []
