@@ -151,7 +151,7 @@ def row_texts(block: dict, row: dict[str, str], number: int, most: int, count: C
 
 def table_texts(block: dict, most: int, count: Count = words) -> list[tuple[str, int, dict]]:
     """(text, row number, row) of each chunk of a table; without rows its headers or its raw text, as row 0."""
-    out = [(text, i, row) for i, row in enumerate(block["table_rows"], 1) for text in row_texts(block, row, i, most, count)]
+    out = [(text, i, row) for i, row in enumerate(block["table_rows"], 1 + (block.get("row_from") or 0)) for text in row_texts(block, row, i, most, count)]
     if out:
         return out
     head = _context(block)
